@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.bpe import op8_bpe
+from quire.llm.langid import op7_language_id
+from quire.llm.quality import op9_quality_rules
 from quire.llm.substring_dedup import op2_substring_dedup
 from quire.llm.suffix_array import op3_suffix_array_dedup
+from quire.llm.warc import op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
+        "op7_language_id": op7_language_id,
+        "op8_bpe": op8_bpe,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 

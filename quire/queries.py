@@ -1,6 +1,478 @@
-"""Queries on the driver's tables and the SQL that answers them too."""
+"""Queries on the driver's tables and the SQL that answers them too.
+
+Documents stand for chapters (``quire.model``): a source is a work, a language a book of it, a document a chapter, a line
+that is not blank a verse. Every query reads its whole tables; limits are the feature where they stand.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.model import chapters_of, document_verses, table, verses_of
+from quire.operators import corpus as C
+from quire.operators import reader as R
+from quire.sources import web
+
+#: Words that the concordance and the similarity leave out. A parameter: any list does.
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "i", "in", "is",
+    "it", "its", "my", "not", "of", "on", "or", "our", "she", "so", "that", "the", "their", "them", "then", "there", "they", "this", "to",
+    "unto", "up", "was", "we", "were", "which", "who", "will", "with", "ye", "you", "your",
+]
+_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+
+VERSES = """WITH lines AS (SELECT doc_id, source AS work_id, lang AS book_id, lang || '-' || doc_id AS chapter_id,
+  list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+v AS (SELECT doc_id, work_id, book_id, chapter_id, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS verse FROM lines),
+verses AS (SELECT *, work_id || ':' || chapter_id || ':' || verse AS ref FROM v) """
+WORDS = VERSES + f""", words AS (SELECT DISTINCT work_id, book_id, chapter_id, verse, ref, word FROM
+  (SELECT *, unnest(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS word FROM verses)
+  WHERE length(word) > 1 AND NOT list_contains({_STOP}, word)) """
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def chapters(spark: SparkSession, sf: str) -> DataFrame:
+    return chapters_of(table(spark, sf, "documents"))
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+# ---------------------------------------------------------------- flat index and search
+
+
+@query(VERSES + "SELECT work_id, book_id, chapter_id, verse, ref, text FROM verses")
+def verse_flatten(spark, sf):
+    return document_verses(spark, sf).select("work_id", "book_id", "chapter_id", F.col("verse").cast("long").alias("verse"), "ref", "text")
+
+
+@query(VERSES + "SELECT ref, text FROM verses")
+def search_index(spark, sf):
+    return document_verses(spark, sf).select("ref", "text")
+
+
+@query(VERSES + "SELECT ref, text FROM verses WHERE contains(lower(text), 'the of') ORDER BY work_id, chapter_id, verse LIMIT 100")
+def search_substring(spark, sf):
+    return C.first_hits(C.search(document_verses(spark, sf), "  The OF ")).select("ref", "text")
+
+
+@query(VERSES + "SELECT ref, text FROM verses WHERE contains(lower(text), 'on') AND work_id = 'src3' AND book_id = 'en'")
+def search_filtered(spark, sf):
+    return C.search(document_verses(spark, sf), "on", work="src3", book="en").select("ref", "text")
+
+
+@query(VERSES + ", hits AS (SELECT * FROM verses WHERE contains(lower(text), 'the and')) SELECT work_id, count(*) AS hits, arg_min(ref, (chapter_id, verse)) AS first_ref FROM hits GROUP BY work_id")
+def search_grouped(spark, sf):
+    return C.group_hits(C.search(document_verses(spark, sf), "the and")).select("work_id", "hits", "first_ref")
+
+
+@query(VERSES + "SELECT ref, regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi') AS marked FROM verses WHERE contains(lower(text), 'the')")
+def search_highlight(spark, sf):
+    return C.search(document_verses(spark, sf), "the").select("ref", T.highlight(F.col("text"), "the").alias("marked"))
+
+
+@query(VERSES + "SELECT ref, text FROM verses WHERE chapter_id = (SELECT min(chapter_id) FROM verses)")
+def chapter_lookup(spark, sf):
+    rows = chapters(spark, sf)
+    first = rows.agg(F.min("chapter_id").alias("chapter_id"))
+    return verses_of(rows.join(F.broadcast(first), "chapter_id", "left_semi")).select("ref", "text")
+
+
+# ---------------------------------------------------------------- concordance
+
+
+def words(spark, sf):
+    return C.word_rows(document_verses(spark, sf), STOPWORDS)
+
+
+@query(WORDS + "SELECT word, work_id, chapter_id, string_agg(ref, ' ' ORDER BY verse) AS refs, count(*) AS verse_count FROM words GROUP BY word, work_id, chapter_id")
+def concordance_build(spark, sf):
+    return C.concordance(words(spark, sf)).withColumn("verse_count", F.col("verse_count").cast("long"))
+
+
+@query(WORDS + "SELECT word, count(*) AS verse_count FROM words GROUP BY word")
+def concordance_counts(spark, sf):
+    return C.word_counts(words(spark, sf))
+
+
+@query(WORDS + "SELECT word, count(*) AS verse_count FROM words GROUP BY word ORDER BY verse_count DESC, word LIMIT 50")
+def concordance_topk(spark, sf):
+    return C.word_counts(words(spark, sf)).orderBy(F.desc("verse_count"), "word").limit(50)
+
+
+@query(WORDS + "SELECT w.ref, v.text, (SELECT count(*) FROM words WHERE word = 'tion') AS verse_count FROM words w JOIN verses v USING (ref) WHERE w.word = 'tion' ORDER BY w.work_id, w.chapter_id, w.verse LIMIT 5")
+def concordance_lookup(spark, sf):
+    verses = document_verses(spark, sf)
+    word = T.click_word(F.lit("Tion,"))
+    hits = C.word_rows(verses.withColumn("body", F.col("text")), STOPWORDS).where(F.col("word") == word)
+    total = hits.agg(F.count("*").alias("verse_count"))
+    first = hits.orderBy(*C.INDEX_ORDER).limit(C.POPOVER)
+    return first.crossJoin(F.broadcast(total)).select("ref", F.col("body").alias("text"), "verse_count")
+
+
+@query(WORDS + "SELECT work_id, count(*) AS verse_count, count(DISTINCT chapter_id) AS chapters FROM words WHERE word = 'tion' GROUP BY work_id")
+def concordance_by_work(spark, sf):
+    per = words(spark, sf).where("word = 'tion'").groupBy("work_id", "chapter_id").count()
+    return per.groupBy("work_id").agg(F.sum("count").alias("verse_count"), F.count("*").alias("chapters"))
+
+
+@query(WORDS + f", b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS word FROM benchmark) SELECT word FROM b WHERE length(word) > 1 AND NOT list_contains({_STOP}, word) AND word NOT IN (SELECT word FROM words)")
+def concordance_unknown_words(spark, sf):
+    return C.unknown_words(table(spark, sf, "benchmark"), words(spark, sf), STOPWORDS)
+
+
+@query(WORDS + "SELECT (SELECT count(DISTINCT word) FROM words) AS words, (SELECT count(*) FROM words) AS refs, (SELECT count(*) FROM verses) AS verses, (SELECT count(DISTINCT work_id) FROM verses) AS works")
+def concordance_totals(spark, sf):
+    w = words(spark, sf).groupBy("word").count().agg(F.count("*").alias("words"), F.sum("count").alias("refs"))
+    v = document_verses(spark, sf).groupBy("work_id").count().agg(F.sum("count").alias("verses"), F.count("*").alias("works"))
+    return w.crossJoin(F.broadcast(v))
+
+
+@query(VERSES + "SELECT ref, regexp_replace(text, '\\b(tion)\\b', '<mark>\\1</mark>', 'gi') AS marked FROM verses WHERE regexp_matches(lower(text), '(^| )tion( |$)') AND NOT regexp_matches(text, '[^ -~]')")
+def highlight_words(spark, sf):
+    rows = document_verses(spark, sf).where(F.lower("text").rlike("(^| )tion( |$)") & ~F.col("text").rlike("[^ -~]"))
+    return rows.select("ref", T.highlight_word(F.col("text"), "tion").alias("marked"))
+
+
+# ---------------------------------------------------------------- similarity
+
+_TFIDF = f"""WITH c AS (SELECT source AS work_id, lang AS book_id, lang || '-' || doc_id AS chapter_id,
+  array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), ' ') AS t FROM documents),
+rows AS (SELECT * FROM c WHERE trim(t) <> ''), n AS (SELECT count(*) AS n FROM rows),
+tokens AS (SELECT work_id, book_id, chapter_id, unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM rows),
+tf AS (SELECT work_id, book_id, chapter_id, term, count(*) AS tf FROM tokens WHERE NOT list_contains({_STOP}, term) GROUP BY ALL),
+terms AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 20000),
+raw AS (SELECT work_id, book_id, chapter_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN terms USING (term), n),
+unit AS (SELECT work_id, book_id, chapter_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY work_id, book_id, chapter_id)) AS w FROM raw) """
+_SIMILAR = (
+    _TFIDF
+    + """, pairs AS (SELECT a.work_id AS work_id, a.chapter_id AS chapter_id, b.work_id AS ref_work, b.chapter_id AS ref_chapter, sum(a.w * b.w) AS s
+  FROM unit a JOIN unit b USING (term) WHERE NOT (a.work_id = b.work_id AND a.book_id = b.book_id) GROUP BY ALL HAVING sum(a.w * b.w) >= 0.1),
+best AS (SELECT work_id, chapter_id, ref_work, ref_work || ':' || ref_chapter AS ref, round(s, 3) AS score,
+  row_number() OVER (PARTITION BY work_id, chapter_id ORDER BY round(s, 3) DESC, ref_work, ref_chapter) AS rank FROM pairs) """
+)
+
+
+@query(_TFIDF + "SELECT chapter_id, term, round(w, 6) AS weight FROM unit")
+def tfidf_weights(spark, sf):
+    return C.weights(chapters(spark, sf), STOPWORDS).select("chapter_id", "term", F.round("w", 6).alias("weight"))
+
+
+@query(_SIMILAR + "SELECT work_id, chapter_id, rank, ref, score FROM best WHERE rank <= 5")
+def chapter_similarity_top5(spark, sf):
+    return C.similar_chapters(C.weights(chapters(spark, sf), STOPWORDS)).select("work_id", "chapter_id", F.col("rank").cast("long").alias("rank"), "ref", "score")
+
+
+@query(_SIMILAR + "SELECT work_id, chapter_id, ref_work, string_agg(ref, ' ' ORDER BY rank) AS refs FROM best WHERE rank <= 5 GROUP BY work_id, chapter_id, ref_work")
+def related_by_work(spark, sf):
+    return C.related_by_work(C.similar_chapters(C.weights(chapters(spark, sf), STOPWORDS)))
+
+
+# ---------------------------------------------------------------- navigation
+
+_ORDER = "WITH c AS (SELECT source AS work_id, lang AS book_id, lang || '-' || doc_id AS chapter_id, doc_id FROM documents) "
+_BOOKS = "WITH b AS (SELECT source AS work_id, lang AS book_id, count(*) AS chapters FROM documents GROUP BY ALL), toc AS (SELECT work_id, book_id, unnest(range(1, chapters + 1)) AS chapter_num FROM b) "
+
+
+def books(spark, sf):
+    return chapters(spark, sf).groupBy("work_id", "book_id").agg(F.count("*").alias("chapters")).withColumn("start", F.lit(1)).withColumn("names", F.lit(None).cast("array<string>"))
+
+
+@query(_ORDER + "SELECT work_id, chapter_id, lag(chapter_id) OVER w AS prev_id, lead(chapter_id) OVER w AS next_id FROM c WINDOW w AS (PARTITION BY work_id ORDER BY book_id, doc_id)")
+def chapter_adjacent(spark, sf):
+    return C.reading_order(chapters(spark, sf)).select("work_id", "chapter_id", "prev_id", "next_id")
+
+
+@query(_ORDER + "SELECT work_id, book_id, chapter_id, row_number() OVER w AS position, count(*) OVER (PARTITION BY work_id, book_id) AS chapters, round(row_number() OVER w / count(*) OVER (PARTITION BY work_id, book_id) * 100) AS percent FROM c WINDOW w AS (PARTITION BY work_id, book_id ORDER BY doc_id)")
+def reading_progress(spark, sf):
+    rows = C.reading_order(chapters(spark, sf)).select("work_id", "book_id", "chapter_id", "position", "chapters")
+    return rows.withColumn("percent", F.round(F.col("position") / F.col("chapters") * 100))
+
+
+@query(_BOOKS + "SELECT work_id, book_id, book_id || '-' || chapter_num AS chapter_id, chapter_num FROM toc")
+def toc_expand(spark, sf):
+    return C.expand_books(books(spark, sf)).select("work_id", "book_id", "chapter_id", F.col("chapter_num").cast("long").alias("chapter_num"))
+
+
+@query(_BOOKS + """SELECT 'https://example.org/' AS loc, 'monthly' AS changefreq, '1.0' AS priority UNION ALL SELECT DISTINCT 'https://example.org/' || work_id, 'monthly', '0.8' FROM b
+UNION ALL SELECT 'https://example.org/' || work_id || '/' || book_id || '-' || chapter_num, 'yearly', '0.6' FROM toc""")
+def site_urls(spark, sf):
+    from quire.operators.site import site_urls as urls
+
+    return urls(books(spark, sf), "https://example.org")
+
+
+@query(VERSES + "SELECT ref, work_id, chapter_id, verse, book_id FROM verses")
+def ref_parse(spark, sf):
+    rows = document_verses(spark, sf).select("ref", T.parse_ref(F.col("ref")).alias("p"))
+    return rows.select("ref", "p.work_id", "p.chapter_id", "p.verse", T.book_of(F.col("p.chapter_id")).alias("book_id"))
+
+
+@query(VERSES + "SELECT ref, CASE WHEN book_id IN ('en', 'de') THEN upper(book_id) || '. ' || doc_id || ':' || verse ELSE chapter_id || ':' || verse END AS shown FROM verses")
+def ref_format(spark, sf):
+    abbrevs = spark.createDataFrame([("en", "EN."), ("de", "DE.")], "book_id string, abbrev string")
+    rows = document_verses(spark, sf).join(F.broadcast(abbrevs), "book_id", "left")
+    return rows.select("ref", T.format_ref(F.col("chapter_id"), F.col("verse").cast("string"), F.col("abbrev")).alias("shown"))
+
+
+_PATHS = "WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/work/' WHEN 2 THEN '/work/' || lang || '-' || doc_id WHEN 3 THEN '/work/1-' || lang || '-' || doc_id || ':' || n_chars ELSE '/Work/x-y' END AS path FROM documents) "
+
+
+@query(_PATHS + """SELECT path, CASE WHEN path = '/' THEN 'index' WHEN regexp_matches(path, '^/([a-z]+)/?$') THEN 'work' WHEN regexp_matches(path, '^/([a-z]+)/(.+)-(\\d+)(?::(\\d+))?$') THEN 'chapter' ELSE 'none' END AS kind,
+CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 'work' END AS work_id,
+nullif(regexp_extract(path, '^/([a-z]+)/(.+)-(\\d+)(?::(\\d+))?$', 2), '') AS book_id, try_cast(nullif(regexp_extract(path, '^/([a-z]+)/(.+)-(\\d+)(?::(\\d+))?$', 3), '') AS BIGINT) AS chapter_num,
+try_cast(nullif(regexp_extract(path, '^/([a-z]+)/(.+)-(\\d+)(?::(\\d+))?$', 4), '') AS BIGINT) AS verse FROM p""")
+def route_parse(spark, sf):
+    path = F.expr("CASE doc_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/work/' WHEN 2 THEN '/work/' || lang || '-' || doc_id WHEN 3 THEN '/work/1-' || lang || '-' || doc_id || ':' || n_chars ELSE '/Work/x-y' END")
+    return docs(spark, sf).select(path.alias("path")).select("path", T.parse_route(F.col("path")).alias("r")).select("path", "r.*")
+
+
+@query("WITH l AS (SELECT source AS work_id, lang || '-' || doc_id AS chapter_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), f AS (SELECT work_id, chapter_id, len(l) AS n, unnest(l[1:25]) AS text, unnest(range(1, least(len(l), 25) + 1)) AS verse FROM l) SELECT work_id, chapter_id, verse, text, greatest(n - 25, 0) AS more FROM f")
+def preview_25(spark, sf):
+    rows = chapters(spark, sf).select("work_id", "chapter_id", F.flatten(F.transform("sections", lambda s: s["verses"])).alias("v"))
+    rows = rows.select("work_id", "chapter_id", F.greatest(F.size("v") - C.PREVIEW, F.lit(0)).cast("long").alias("more"), F.posexplode(F.slice("v", 1, C.PREVIEW)).alias("i", "text"))
+    return rows.select("work_id", "chapter_id", (F.col("i") + 1).cast("long").alias("verse"), "text", "more")
+
+
+@query()
+def random_verse(spark, sf):
+    return document_verses(spark, sf).orderBy(F.rand(7)).limit(1).select("ref", "text")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, max(struct_pack(t := ts, e := event_id)).t AS ts FROM events GROUP BY user_id, event_type),
+d AS (SELECT doc_id, string_split(text, chr(10))[1] AS first FROM documents)
+SELECT e.user_id, e.event_type, coalesce(d.first, e.event_type || ' ' || e.user_id) AS label FROM e LEFT JOIN d ON d.doc_id = e.user_id""")
+def resume_list(spark, sf):
+    last = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("at"))
+    first = docs(spark, sf).select(F.col("doc_id").alias("user_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("first"))
+    return last.join(first, "user_id", "left").select("user_id", "event_type", F.coalesce("first", F.concat_ws(" ", "event_type", "user_id")).alias("label"))
+
+
+# ---------------------------------------------------------------- text functions
+
+
+def _text(name: str, make, sql: str, source: str = "text") -> None:
+    """A query of one text function over every document, and its SQL."""
+
+    def run(spark, sf):
+        return docs(spark, sf).select("doc_id", make(F.expr(source)).alias("out"))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, {sql} AS out FROM (SELECT doc_id, lang, source, {source} AS t FROM documents)")(run)
+
+
+_WS = "[ \\t\\n\\v\\f\\r]"
+_text("text_clean", T.clean_text, f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\\[\\]]', '', 'g'), '-{{2,}}', '—', 'g'), ' ([,;:.!?])', '\\1', 'g'), '  +', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')", "concat('  [', text, ' ,  a -- b] ')")
+_text("divine_names", T.normalize_divine_names, "regexp_replace(regexp_replace(t, '\\bLORD\\b', 'Lord', 'g'), '\\bGOD\\b', 'God', 'g')", "concat('LORD ', text, ' GOD, LORDS')")
+_text("strip_parens", T.strip_parenthesized, f"regexp_replace(regexp_replace(regexp_replace(t, '{_WS}*\\([^)]*\\)', '', 'g'), '  +', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')", "concat('(a) ', replace(text, 'the ', '(the) '), ' (z)')")
+_text("first_upper", T.first_upper, "upper(left(t, 1)) || substr(t, 2)", "lower(text)")
+_text("html_escape", T.html_escape, "replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')")
+_text("meta_description", T.description, "CASE WHEN length(t) > 160 THEN CASE WHEN contains(left(t, 161), ' ') THEN left(t, 161 - strpos(reverse(left(t, 161)), ' ')) ELSE left(t, length(t) - 1) END || '…' ELSE t END", "replace(text, '\\n', ' ')")
+ORACLES["meta_description"] = ORACLES["meta_description"].replace("replace(text, '\\n', ' ')", "replace(text, chr(10), ' ')")
+_text("term_replace", lambda c: T.replace_in_order(c, [("the", "de"), ("de ", "da "), ("and", "&")]), "replace(replace(replace(t, 'the', 'de'), 'de ', 'da '), 'and', '&')")
+_text("spelling_patch", lambda c: T.replace_words(c, {"shew": "show", "shewed": "showed"}), "regexp_replace(regexp_replace(t, '\\bshewed\\b', 'showed', 'g'), '\\bshew\\b', 'show', 'g')", "concat('shew shewed ', replace(text, ' the ', ' shew '))")
+_text("click_word", T.click_word, "regexp_replace(lower(t), '[^a-z'']', '', 'g')")
+_text("chapter_number", T.chapter_number, "CASE WHEN regexp_matches(t, '[0-9]+$') THEN regexp_extract(t, '[0-9]+$') ELSE t END", "CASE WHEN doc_id % 3 = 0 THEN lang ELSE lang || '-' || doc_id END")
+_text("word_diff", lambda c: T.words_differ(c, F.concat(F.replace(c, F.lit("the"), F.lit("THE")), F.lit(" (-)"))), "FALSE", "concat('a—b ', text, '!')")
+_text("poem_title", T.poem_title, f"regexp_replace(regexp_replace(split_part(t, ';', 1), '^{_WS}+|{_WS}+$', '', 'g'), '^The ', '')", "concat(' The ', left(text, 40), '; or, a tale')")
+_text("copy_text", lambda c: F.concat(c, F.lit(" — "), F.concat_ws(":", "source", F.concat_ws("-", "lang", "doc_id"))), "t || ' — ' || source || ':' || lang || '-' || doc_id")
+
+
+@query()
+def slugify(spark, sf):
+    return docs(spark, sf).select("doc_id", T.slugify(F.substring("text", 1, 80)).alias("out"))
+
+
+@query()
+def caps_first_words(spark, sf):
+    return docs(spark, sf).select("doc_id", T.caps_first_words(F.concat(F.lit("IN THE NAME OF GOD, "), "text")).alias("out"))
+
+
+@query()
+def markdown_render(spark, sf):
+    return docs(spark, sf).select("doc_id", T.markdown(F.concat(F.lit("**b** *i* <x> work:gen-1:3 "), "text")).alias("out"))
+
+
+@query()
+def text_wrap(spark, sf):
+    return docs(spark, sf).select("doc_id", T.wrap(F.concat("doc_id", F.lit(":1 ")), F.col("text")).alias("out"))
+
+
+@query("SELECT n, value FROM (VALUES ('I', 1), ('IV', 4), ('XIX', 19), ('XL', 40), ('CCXCIX', 299), ('MCMXCIV', 1994), ('', 0)) t(n, value)")
+def roman_numbers(spark, sf):
+    return spark.createDataFrame([(x,) for x in ("I", "IV", "XIX", "XL", "CCXCIX", "MCMXCIV", "")], "n string").select("n", T.roman_to_int(F.col("n")).alias("value"))
+
+
+# ---------------------------------------------------------------- segmentation
+
+_LINES = "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM l) "
+
+
+@query(_LINES + """, m AS (SELECT doc_id, i, line, i % 3 = 2 AS is_start FROM e), g AS (SELECT *, sum(is_start::INT) OVER (PARTITION BY doc_id ORDER BY i) AS piece FROM m WHERE trim(line) <> '')
+SELECT doc_id, CASE WHEN min(piece) OVER (PARTITION BY doc_id) = 0 THEN piece ELSE piece - 1 END AS verse_idx, string_agg(trim(line, ' ' || chr(9) || chr(13)), ' ' ORDER BY i) AS verse FROM g GROUP BY doc_id, piece""")
+def segment_numbered(spark, sf):
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 1, F.concat((i + 1).cast("string"), F.lit(". "), x)).otherwise(x))
+    return docs(spark, sf).select("doc_id", F.posexplode(C.numbered_verses(lines)).alias("verse_idx", "verse")).withColumn("verse_idx", F.col("verse_idx").cast("long"))
+
+
+@query(_LINES + """, s AS (SELECT *, CASE WHEN i = 1 OR regexp_matches(lag(line) OVER (PARTITION BY doc_id ORDER BY i), '[.!?"”]$') THEN 1 ELSE 0 END AS is_start FROM e), g AS (SELECT *, sum(is_start) OVER (PARTITION BY doc_id ORDER BY i) AS piece FROM s)
+SELECT doc_id, piece, string_agg(line, ' ' ORDER BY i) AS paragraph FROM g GROUP BY doc_id, piece""")
+def paragraph_merge(spark, sf):
+    rows = docs(spark, sf).select("doc_id", F.posexplode(C.merged_paragraphs(F.split("text", "\n"))).alias("i", "paragraph"))
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("piece"), "paragraph")
+
+
+@query(_LINES + ", n AS (SELECT doc_id, i, length(line) AS n FROM e), r AS (SELECT *, CASE WHEN n <= lag(n) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS falls FROM n) SELECT doc_id, i, n, sum(falls) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS section FROM r")
+def section_restart(spark, sf):
+    rows = docs(spark, sf).select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.length(x)).alias("n"))
+    rows = rows.withColumn("s", C.sections_of_numbers(F.col("n"))).select("doc_id", F.posexplode(F.arrays_zip("n", "s")).alias("i", "z"))
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), F.col("z.n").cast("long").alias("n"), F.col("z.s").cast("long").alias("section"))
+
+
+@query(_LINES + ", h AS (SELECT doc_id, i, CASE WHEN i % 4 = 2 THEN left(line, 10) END AS header FROM e) SELECT doc_id, i, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS header FROM h")
+def forward_fill(spark, sf):
+    heads = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.left(x, F.lit(10))))
+    rows = docs(spark, sf).select("doc_id", F.posexplode(C.filled_forward(heads)).alias("i", "header"))
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "header")
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x) % 4) AS n FROM documents),
+f AS (SELECT doc_id, n, 1 AS want, 0 AS place FROM l UNION ALL SELECT doc_id, n, want + 1, place + list_position(list_slice(n, place + 1, len(n)), want) FROM f WHERE list_position(list_slice(n, place + 1, len(n)), want) > 0)
+SELECT doc_id, (want - 1)::BIGINT AS number, place::BIGINT AS place FROM f WHERE place > 0""")
+def sequential_markers(spark, sf):
+    numbers = F.transform(F.split("text", "\n"), lambda x: F.length(x) % 4)
+    rows = docs(spark, sf).select("doc_id", F.posexplode(C.sequential_markers(numbers)).alias("k", "at"))
+    return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("number"), (F.col("at") + 1).cast("long").alias("place"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'), e AS (SELECT * FROM events)
+SELECT e.event_id, (SELECT max(struct_pack(t := m.ts, e := m.event_id)).e FROM m WHERE m.user_id = e.user_id AND (m.ts, m.event_id) <= (e.ts, e.event_id)) AS volume FROM e""")
+def volume_asof(spark, sf):
+    from quire.operators.asof import latest_before
+
+    events = table(spark, sf, "events")
+    return latest_before(events, "user_id", ("ts", "event_id"), F.col("event_type") == "purchase", "event_id").select("event_id", F.col("marker").alias("volume"))
+
+
+# ---------------------------------------------------------------- verification
+
+
+@query("""SELECT source || '/' || lang || '-' || doc_id || ': ' || len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) || ' verses, expected ' || (n_chars // 100) AS message FROM documents
+WHERE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) <> n_chars // 100 UNION ALL SELECT 'nowhere: manifest missing'""")
+def verify_errors(spark, sf):
+    c = chapters(spark, sf).withColumn("book_id", F.concat_ws("-", "book_id", "chapter_num"))
+    b = c.select("work_id", "book_id", F.lit(1).alias("chapters"), F.col("chapter_num").alias("start"), F.lit(None).cast("array<string>").alias("names"))
+    c = c.withColumn("chapter_id", F.concat_ws("-", "book_id", "chapter_num"))
+    expected = docs(spark, sf).select(F.concat_ws("-", "lang", "doc_id").alias("book_id"), F.lit(0).alias("idx"), F.floor(F.col("n_chars") / 100).alias("verses"))
+    works = c.select("work_id").distinct().unionAll(spark.createDataFrame([("nowhere",)], "work_id string"))
+    return C.verify(works, b, c, expected).select(F.regexp_replace("message", r"^([^/]*/[^/]*?-\d+)-\d+:", "$1:").alias("message"))
+
+
+@query("SELECT count(DISTINCT source) AS works, count(DISTINCT (source, lang)) AS books, count(*) AS chapters, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::BIGINT AS verses FROM documents")
+def corpus_stats(spark, sf):
+    return C.corpus_stats(chapters(spark, sf))
+
+
+# ---------------------------------------------------------------- web
+
+
+@query("""WITH h AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1) AS l, regexp_replace(url, '[^/]*$', '') AS base, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS root FROM pages),
+f AS (SELECT page_id, base, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS pos, root FROM h),
+k AS (SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN root || href ELSE base || href END AS link, root FROM f WHERE NOT starts_with(href, '#') AND NOT starts_with(href, 'http') AND href NOT IN ('index.htm', '')),
+d AS (SELECT page_id, link, min(pos) AS pos FROM k WHERE starts_with(link, root || '/') GROUP BY page_id, link)
+SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos FROM d""")
+def page_links(spark, sf):
+    return web.page_links(table(spark, sf, "pages"), scope="site").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def page_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", web.page_text("html").alias("text"))
+
+
+# ---------------------------------------------------------------- readers
+
+
+@query("""WITH k AS (SELECT user_id, event_type, max(struct_pack(t := ts, e := event_id)) AS last FROM events GROUP BY user_id, event_type), r AS (SELECT user_id, event_type, last.t AS ts, row_number() OVER (PARTITION BY user_id ORDER BY last DESC, event_type) AS rank FROM k)
+SELECT user_id, event_type, ts, rank FROM r WHERE rank <= 10""")
+def history_recent(spark, sf):
+    return R.recent(table(spark, sf, "events"), "user_id", "event_type", "ts", "event_id").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type HAVING count(*) % 2 = 1")
+def bookmark_toggle(spark, sf):
+    return R.toggled(table(spark, sf, "events"), "user_id", "event_type")
+
+
+_NOTES = "WITH old AS (SELECT lang || '-' || doc_id AS ref, left(text, 30) AS text FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT lang || '-' || doc_id AS ref, lower(left(text, 20)) AS text FROM documents WHERE doc_id % 2 = 0) "
+
+
+def notes(spark, sf):
+    rows = docs(spark, sf).select("doc_id", F.concat_ws("-", "lang", "doc_id").alias("ref"), "text")
+    return rows.where("doc_id % 3 <> 0").select("ref", F.left("text", F.lit(30)).alias("text")), rows.where("doc_id % 2 = 0").select("ref", F.lower(F.left("text", F.lit(20))).alias("text"))
+
+
+@query(_NOTES + "SELECT coalesce(new.ref, old.ref) AS ref, coalesce(new.text, old.text) AS text FROM old FULL JOIN new ON old.ref = new.ref")
+def notes_merge(spark, sf):
+    return R.merge_notes(*notes(spark, sf))
+
+
+@query("""WITH old AS (SELECT doc_id AS ref, doc_id AS seq FROM labels WHERE quality = 1), new AS (SELECT doc_id AS ref, doc_id * 2 AS seq FROM labels WHERE toxic = 0),
+b AS (SELECT ref, 0 AS side, seq FROM old UNION ALL SELECT ref, 1, seq FROM new) SELECT ref, min(struct_pack(s := side, q := seq)).s AS side, min(struct_pack(s := side, q := seq)).q AS seq FROM b GROUP BY ref""")
+def bookmarks_merge(spark, sf):
+    labels = table(spark, sf, "labels")
+    old = labels.where("quality = 1").select(F.col("doc_id").alias("ref"), F.col("doc_id").alias("seq"))
+    new = labels.where("toxic = 0").select(F.col("doc_id").alias("ref"), (F.col("doc_id") * 2).alias("seq"))
+    return R.merge_bookmarks(old, new)
+
+
+@query(_NOTES + "SELECT ref, text FROM old WHERE trim(text) <> '' AND (contains(lower(text), 'en') OR contains(lower(ref), 'en'))")
+def notes_filtered(spark, sf):
+    return R.filter_notes(notes(spark, sf)[0], " En")
+
+
+@query("SELECT d.doc_id, source || ':' || lang || '-' || d.doc_id AS ref FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id WHERE contains(lower(source || ':' || lang || '-' || d.doc_id), '1')")
+def bookmarks_filtered(spark, sf):
+    marked = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    rows = docs(spark, sf).join(marked, "doc_id", "left_semi").select("doc_id", F.concat_ws(":", "source", F.concat_ws("-", "lang", "doc_id")).alias("ref"))
+    return rows.where(F.contains(F.lower("ref"), F.lit("1")))
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT DISTINCT doc_id, 'new', 0::BIGINT FROM labels WHERE toxic = 1")
+def book_upsert(spark, sf):
+    new = table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit("new").alias("lang"), F.lit(0).cast("long").alias("n_chars")).distinct()
+    return R.upsert(docs(spark, sf).select("doc_id", "lang", "n_chars"), new, "doc_id")
+
+
+@query("WITH old AS (SELECT n_name AS w, n_nationkey AS k FROM nation WHERE n_nationkey % 3 <> 0), present AS (SELECT n_name AS w FROM nation WHERE n_nationkey % 4 <> 1) SELECT old.w, 0 AS side, k::BIGINT AS place FROM old JOIN present USING (w) UNION ALL SELECT w, 1, 0 FROM present WHERE w NOT IN (SELECT w FROM old)")
+def works_order_merge(spark, sf):
+    nation = table(spark, sf, "nation")
+    old = nation.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("w"), F.col("n_nationkey").alias("k"))
+    return R.ordered_union(old, nation.where("n_nationkey % 4 <> 1").select(F.col("n_name").alias("w")), "w", "k")
+
+
+@query()
+def backup_round_trip(spark, sf):
+    rows = docs(spark, sf).select((F.col("doc_id") % 50).alias("user_id"), F.concat_ws("-", "lang", "doc_id").alias("ref"), F.left("text", F.lit(40)).alias("text"), F.col("doc_id").alias("seq"))
+    stores = R.restore(R.backup(rows.where("seq % 2 = 0").select("user_id", "ref", "text"), rows.select("user_id", "ref", "seq")))
+    return stores.select("user_id", F.size("store.notes").alias("notes"), F.size("store.bookmarks").alias("bookmarks"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role IS NOT NULL THEN upper(left(role, 1)) || substr(role, 2) || ': ' || text ELSE text END AS line FROM conversations")
+def speaker_lines(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role").isNotNull(), F.concat(T.first_upper(F.col("role")), F.lit(": "), F.col("text"))).otherwise(F.col("text")).alias("line"))

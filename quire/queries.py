@@ -476,3 +476,71 @@ def backup_round_trip(spark, sf):
 @query("SELECT conv_id, turn, CASE WHEN role IS NOT NULL THEN upper(left(role, 1)) || substr(role, 2) || ': ' || text ELSE text END AS line FROM conversations")
 def speaker_lines(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role").isNotNull(), F.concat(T.first_upper(F.col("role")), F.lit(": "), F.col("text"))).otherwise(F.col("text")).alias("line"))
+
+
+# ---------------------------------------------------------------- sources
+
+
+def _tagged_rows(spark, sf):
+    c = chapters(spark, sf)
+    sections = F.transform("sections", lambda s: F.struct(F.lit(3).alias("startVerse"), s["verses"].alias("verses")))
+    return c.where(F.size(F.get("sections", F.lit(0))["verses"]) > 0).select(
+        F.concat_ws("-", "work_id", "chapter_num").alias("work_id"), F.col("work_id").alias("title"), F.lit(0).alias("book_ord"), "book_id", F.col("book_id").alias("book_name"),
+        F.col("chapter_num").cast("int").alias("start"), F.lit(0).alias("chapter_ord"), "chapter_id", F.lit(None).cast("string").alias("name"), F.lit("an intro").alias("intro"), sections.alias("sections"),
+    )
+
+
+@query(VERSES + "SELECT chapter_id, verse + 2 AS verse, text FROM verses")
+def text_roundtrip(spark, sf):
+    """Every document as a work in the tagged format, read back."""
+    from quire.sources import tagged
+
+    rows = _tagged_rows(spark, sf)
+    lines = tagged.render(rows)
+    # Each work here is one document, so its text is a row again; a large work is read as a file.
+    texts = lines.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("book_ord", "chapter_ord", "line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    back = tagged.read(texts).withColumnRenamed("chapter_ord", "chapter_num")
+    return verses_of(back).select("chapter_id", F.col("verse").cast("long").alias("verse"), "text")
+
+
+@query(VERSES + "SELECT 'vpl' AS work_id, 'b' || book_id AS book_id, doc_id AS chapter_num, 2 * verse AS verse, regexp_replace(regexp_replace(regexp_replace(text, ' ([,;:.!?])', '\\1', 'g'), '  +', ' ', 'g'), '-{2,}', '—', 'g') AS text FROM verses WHERE NOT regexp_matches(text, '[\\[\\]]|^[ \\t\\r\\n]|[ \\t\\r\\n]$|LORD|GOD') AND book_id <> 'de'")
+def verse_per_line(spark, sf):
+    """Verses written as lines ``BOOK CH:VS text`` and read back; a book that is not listed is left out."""
+    from quire.sources.layouts import verse_lines
+
+    v = document_verses(spark, sf).where(~F.col("text").rlike(r"[\[\]]|^\s|\s$|LORD|GOD"))
+    lines = v.select(F.concat(F.upper("book_id"), F.lit(" "), "chapter_num", F.lit(":"), F.col("verse") * 2, F.lit(" "), "text").alias("value"))
+    listed = spark.createDataFrame([(x.upper(), f"b{x}") for x in ("en", "fr", "es", "it")], "abbrev string, book_id string")
+    c = verse_lines(lines, listed, "vpl")
+    rows = c.select("work_id", "book_id", "chapter_num", F.posexplode(F.col("sections")[0]["verses"]).alias("i", "text"), F.col("sections")[0]["startVerse"].alias("first"))
+    return rows.select("work_id", "book_id", F.col("chapter_num").cast("long").alias("chapter_num"), (F.col("first") + 2 * F.col("i")).cast("long").alias("verse"), "text")
+
+
+@query("SELECT source AS work_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS verses, doc_id FROM documents")
+def headed_verses(spark, sf):
+    """Lines ``[NNN_VVV]V text`` under chapter heads: the verses counted."""
+    from quire.sources.layouts import headed_verses as read
+
+    c = chapters(spark, sf).select("work_id", "chapter_num", F.flatten(F.transform("sections", lambda s: s["verses"])).alias("v"))
+    lines = F.transform("v", lambda x, i: F.concat(F.lit("["), "chapter_num", F.lit("_"), i + 1, F.lit("]"), i + 1, F.lit(" "), F.regexp_replace(x, "[\r\u0085  ]", " ")))
+    files = c.select(F.concat("chapter_num", F.lit(". n: T\nnoise\n"), F.array_join(lines, "\n")).alias("value"))
+    out = read(files, "q").select(F.col("chapter_num").cast("long").alias("doc_id"), F.size(F.col("sections")[0]["verses"]).cast("long").alias("verses"))
+    return out.join(c.select("work_id", F.col("chapter_num").alias("doc_id")), "doc_id")
+
+
+@query()
+def layouts_parsed(spark, sf):
+    """Each document as a scraped chapter, by the layout engine."""
+    from quire.sources.layouts import LAYOUTS, parse_files
+
+    files = docs(spark, sf).select(F.concat(F.lit("=== CHAPTER "), "doc_id", F.lit(" ===\n1. "), F.replace("text", F.lit("\n"), F.lit("\n2. "))).alias("value"))
+    return parse_files(files, LAYOUTS["scraped"]).select("chapter_id", F.size("sections").alias("sections"), F.aggregate("sections", F.lit(0), lambda a, s: a + F.size(s["verses"])).alias("verses"))
+
+
+@query("SELECT 'https://example.org/' || source || '/' || lang || '-' || doc_id AS url, '{\"@type\":\"Chapter\",\"name\":\"' || lang || ' ' || doc_id || '\",\"position\":' || doc_id || '}' AS json FROM documents")
+def json_ld(spark, sf):
+    from quire.operators.site import json_ld as build
+
+    c = chapters(spark, sf)
+    fields = F.struct(F.lit("Chapter").alias("@type"), F.concat_ws(" ", "book_id", "chapter_num").alias("name"), F.lit(None).cast("string").alias("author"), F.col("chapter_num").alias("position"))
+    return c.select(F.concat_ws("/", F.lit("https://example.org"), "work_id", "chapter_id").alias("url"), build(fields).alias("json"))

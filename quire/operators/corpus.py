@@ -266,3 +266,46 @@ def corpus_stats(chapters: DataFrame) -> DataFrame:
     verses = F.aggregate("sections", F.lit(0).cast("long"), lambda a, s: a + F.size(s["verses"]))
     books = chapters.groupBy("work_id", "book_id").agg(F.count("*").alias("c"), F.sum(verses).alias("v"))
     return books.agg(F.count_distinct("work_id").alias("works"), F.count("*").alias("books"), F.sum("c").alias("chapters"), F.sum("v").alias("verses"))
+
+
+# ---------------------------------------------------------------- manifests
+
+
+def books_of(chapters: DataFrame) -> DataFrame:
+    """A manifest's rows from chapters: how many a book has, its first number, and its first chapter's id."""
+    return chapters.groupBy("work_id", "book_id").agg(F.count("*").alias("chapters"), F.min("chapter_num").alias("start"), F.min_by("chapter_id", "chapter_num").alias("first_id"))
+
+
+def chapter_title(title: Column, book_name: Column, number: Column, chapters: Column, books: Column) -> Column:
+    """A book of one chapter is called by its name, a chapter of a work with one book by the work's, any other by its book's."""
+    return F.when(chapters == 1, book_name).when(books == 1, F.concat_ws(" ", title, number)).otherwise(F.concat_ws(" ", book_name, number))
+
+
+def resolve_routes(routes: DataFrame, books: DataFrame) -> DataFrame:
+    """Chapter routes whose book exists and whose number lies in it."""
+    b = books.select("work_id", "book_id", F.coalesce("start", F.lit(1)).alias("__q_start"), F.col("chapters").alias("__q_n"))
+    found = routes.join(b, ["work_id", "book_id"])
+    return found.where(F.col("chapter_num").between(F.col("__q_start"), F.col("__q_start") + F.col("__q_n") - 1)).drop("__q_start", "__q_n")
+
+
+def with_overrides(names: DataFrame, overrides: DataFrame, key: str = "num", name: str = "name") -> DataFrame:
+    """Names as listed, without their article, or as overridden."""
+    own = overrides.select(key, F.col(name).alias("__q_name"))
+    return names.join(F.broadcast(own), key, "left").select(key, F.coalesce("__q_name", F.regexp_replace(name, "^The ", "")).alias(name))
+
+
+def verse_changes(verses: DataFrame, other: DataFrame, key: str = "ref") -> DataFrame:
+    """Verses whose words differ from another edition's, with the other's text; marks and case don't count."""
+    right = other.select(key, F.col("text").alias("new_text"))
+    return verses.select(key, "text").join(right, key).where(T.words_differ(F.col("text"), F.col("new_text")))
+
+
+def patched(verses: DataFrame, changes: DataFrame, key: str = "ref") -> DataFrame:
+    """Verses with changed ones replaced."""
+    return verses.join(changes.select(key, "new_text"), key, "left").withColumn("text", F.coalesce("new_text", "text")).drop("new_text")
+
+
+def occurrences(text: Column, words: list[str]) -> Column:
+    """How many whole words of ``words`` a text holds."""
+    pattern = r"\b(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")\b"
+    return F.regexp_count(text, F.lit(pattern))

@@ -544,3 +544,48 @@ def json_ld(spark, sf):
     c = chapters(spark, sf)
     fields = F.struct(F.lit("Chapter").alias("@type"), F.concat_ws(" ", "book_id", "chapter_num").alias("name"), F.lit(None).cast("string").alias("author"), F.col("chapter_num").alias("position"))
     return c.select(F.concat_ws("/", F.lit("https://example.org"), "work_id", "chapter_id").alias("url"), build(fields).alias("json"))
+
+
+# ---------------------------------------------------------------- manifests and editions
+
+
+@query("SELECT source AS work_id, lang AS book_id, count(*) AS chapters, min(doc_id) AS start, lang || '-' || min(doc_id) AS first_id FROM documents GROUP BY source, lang")
+def manifest_books(spark, sf):
+    return C.books_of(chapters(spark, sf))
+
+
+@query("""WITH b AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), w AS (SELECT source, count(*) AS books FROM b GROUP BY source)
+SELECT d.doc_id, CASE WHEN b.n = 1 THEN d.lang WHEN w.books = 1 THEN d.source || ' ' || d.doc_id ELSE d.lang || ' ' || d.doc_id END AS title FROM documents d JOIN b ON b.source = d.source AND b.lang = d.lang JOIN w ON w.source = d.source""")
+def chapter_titles(spark, sf):
+    c = chapters(spark, sf)
+    b = C.books_of(c)
+    w = b.groupBy("work_id").agg(F.count("*").alias("books"))
+    rows = c.select("work_id", "book_id", "chapter_num").join(b.select("work_id", "book_id", "chapters"), ["work_id", "book_id"]).join(w, "work_id")
+    return rows.select(F.col("chapter_num").alias("doc_id"), C.chapter_title(F.col("work_id"), F.col("book_id"), F.col("chapter_num"), F.col("chapters"), F.col("books")).alias("title"))
+
+
+@query("WITH b AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT d.doc_id, d.source AS work_id, d.lang AS book_id FROM documents d JOIN b ON b.source = d.source AND b.lang = d.lang WHERE d.doc_id BETWEEN 1 AND b.n AND regexp_matches('/' || regexp_replace(d.source, '[0-9]', '', 'g'), '^/[a-z]+$')")
+def route_resolve(spark, sf):
+    d = docs(spark, sf)
+    path = F.concat(F.lit("/"), F.regexp_replace("source", "[0-9]", ""), F.lit("/"), "lang", F.lit("-"), "doc_id")
+    routes = d.select("doc_id", F.col("source").alias("work_id"), T.parse_route(path).alias("r")).select("doc_id", "work_id", "r.book_id", "r.chapter_num")
+    return C.resolve_routes(routes, books(spark, sf)).select("doc_id", "work_id", "book_id")
+
+
+@query("SELECT n_nationkey AS num, CASE WHEN n_nationkey = 3 THEN 'Override' ELSE n_name END AS name FROM nation")
+def title_overrides(spark, sf):
+    names = table(spark, sf, "nation").select(F.col("n_nationkey").alias("num"), F.concat(F.lit("The "), "n_name").alias("name"))
+    return C.with_overrides(names, names.where("num = 3").select("num", F.lit("Override").alias("name")))
+
+
+@query(VERSES + "SELECT ref, CASE WHEN verse % 3 = 0 THEN text || ' extra words' ELSE text END AS text FROM verses")
+def verse_patch(spark, sf):
+    """Another edition's verses taken over where words differ; its other punctuation and case don't count."""
+    v = document_verses(spark, sf).select("ref", "verse", "text")
+    other = v.select("ref", F.when(F.col("verse") % 3 == 0, F.concat("text", F.lit(" extra words"))).otherwise(F.concat(F.lit("("), "text", F.lit(")!"))).alias("text"))
+    return C.patched(v, C.verse_changes(v, other)).select("ref", "text")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(' ' || regexp_replace(text, '[^a-zA-Z]', '  ', 'g') || ' ', ' (the|and|of) ')) AS n FROM documents WHERE NOT regexp_matches(text, '[^ -~\\n]')")
+def spelling_count(spark, sf):
+    return docs(spark, sf).where(~F.col("text").rlike(r"[^ -~\n]")).select("doc_id", C.occurrences(F.regexp_replace("text", "[0-9_]", " "), ["the", "and", "of"]).alias("n"))

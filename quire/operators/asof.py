@@ -19,9 +19,9 @@ def latest_before(rows: DataFrame, key: str, order: tuple[str, ...], is_marker:
     if dict(rows.dtypes)[order[0]].startswith(("timestamp", "date")):
         first = first.cast("timestamp")
     first = first.cast("double")
-    cuts = rows.select(first.alias("x")).agg(F.percentile_approx("x", F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)]), F.lit(1000)).alias("c"))
+    cuts = rows.select(first.alias("x")).agg(F.percentile_approx("x", F.array(*[F.lit((i + 1) / ranges) for i in range(max(1, ranges - 1))]), F.lit(1000)).alias("c"))
     dealt = rows.withColumn("__q_m", F.when(is_marker, F.col(value))).crossJoin(F.broadcast(cuts))
-    dealt = dealt.withColumn("__q_r", F.size(F.filter("c", lambda c: c < first))).drop("c")
+    dealt = dealt.withColumn("__q_r", F.size(F.filter(F.coalesce("c", F.array().cast("array<double>")), lambda c: c < first))).drop("c")
     near = Window.partitionBy(key, "__q_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     last = dealt.where("__q_m IS NOT NULL").groupBy(key, "__q_r").agg(F.max_by("__q_m", F.struct(*order)).alias("__q_last"))
     spans = dealt.select(key, "__q_r").distinct().join(last, [key, "__q_r"], "left")

@@ -20,7 +20,7 @@ from quire.llm.components import components
 
 COSINE = 0.98
 #: Pivots (the bound of the fitting sample), named pivots of a vector, pivots that candidates share.
-PIVOTS, NEAREST, SHARED = 256, 8, 2
+PIVOTS, NEAREST, SHARED = 256, 10, 2
 TILE = 512
 
 

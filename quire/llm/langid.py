@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quire.llm.sample import held_out, labelled_sample
 
@@ -149,7 +150,8 @@ def identify(docs: DataFrame, model: dict[str, str], text_col: str = "text") ->
     """
     key = hash(tuple(sorted(model.items())))
     out = docs.drop("lang_pred", "score", "phrase_rate")
-    schema = out.schema.add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
+    made = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("phrase_rate", DoubleType())]
+    schema = StructType([*out.schema.fields, *made])
     at = out.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,7 +141,7 @@ def write_archives(records: DataFrame, folder: str, roll: int = ROLL) -> DataFra
             cols = [batch.column(i).to_pylist() for i in range(4)]
             for page, url, payload, refers in zip(*cols, strict=True):
                 if out is None:
-                    out, count, size = system.open_output_stream(f"{stem}.open"), 0, 0
+                    out, count, size = system.open_output_stream(f"{stem}.open", compression=None), 0, 0
                 data = record("response" if refers is None else "revisit", page, url, payload, refers)
                 out.write(data)
                 count, size = count + 1, size + len(data)
@@ -167,7 +167,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path, want in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 rows, held, seen = [], 0, 0
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for member in members(stream):
                         rows.append(_row(parse(member)))
                         held, seen = held + len(member), seen + 1

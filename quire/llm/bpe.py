@@ -96,7 +96,11 @@ class TreeBPE:
         m = 4
         while True:
             a, b = left[-m:], right[:m]
-            again = encode(b"".join(self.bytes_of[i] for i in a + b))
+            try:
+                again = encode(b"".join(self.bytes_of[i] for i in a + b))
+            except UnicodeDecodeError:  # the window's ends lie within characters
+                m *= 2
+                continue
             if (m >= len(left) or again[0] == a[0]) and (m >= len(right) or again[-1] == b[-1]):
                 return left[: len(left) - len(a)] + again + right[len(b) :]
             m *= 2

@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import hot_lookup, materialize
+from quire.llm.common import materialize
 
 #: More steps than any graph of 2**60 nodes needs; reaching it is an error, not a result.
 STEPS = 120
+#: Edges of a written partition, about; small graphs are not spread over every shuffle partition.
+EDGES = 200_000
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node that links reach) for each node of ``links`` (two long columns).
 
-    Each step writes its edges to the shared folder. A node with very many neighbours is aggregated map-side, and its
-    smallest neighbour is looked up by broadcast. Nodes without links do not appear; order and repeats of links don't matter.
+    Each half step writes its edges to the shared folder, so no plan grows with the steps. A node with very many neighbours
+    is aggregated map-side; the join that hands out its smallest neighbour is one that Spark splits at run time. Nodes without links do not appear; order and repeats of links don't matter.
     """
     a, b = links.columns[:2]
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, "edges")
-    last = None
+    edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    last, parts = None, max(1, edges.count() // EDGES)
     for _ in range(STEPS):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = hot_lookup(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = hot_lookup(large, least, "u", "n").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = materialize(small.where("u <> v").distinct(), "edges")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u <> v").distinct().coalesce(2 * parts + 4), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = materialize(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct().coalesce(2 * parts + 4), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

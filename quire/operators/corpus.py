@@ -19,7 +19,7 @@ SEARCH_LIMIT, POPOVER, PREVIEW, HISTORY = 100, 5, 25, 10
 def search(verses: DataFrame, query: str, work: str | None = None, book: str | None = None, chapter: str | None = None) -> DataFrame:
     """Verses that contain ``query`` in any case; a blank query finds nothing. The cheap filters come first.
 
-    A book counts only within a chosen work, as in the reference's filters.
+    A book counts only within a chosen work.
     """
     q = query.strip().lower()
     out = verses if q else verses.limit(0)

@@ -19,8 +19,11 @@ from quire.llm.common import NULL_ID, hot_lookup, materialize
 from quire.llm.components import components
 
 COSINE = 0.98
-#: Pivots (the bound of the fitting sample), named pivots of a vector, pivots that candidates share.
+#: Pivots at most, named pivots of a vector, pivots that candidates share.
 PIVOTS, NEAREST, SHARED = 256, 10, 2
+#: Vectors that pivots are chosen from (the bound of the fitting sample). Pivots that are chosen even if they are alike: any
+#: two choices of 10 among 24 share 2 with a chance of 0.99.
+POOL, LEAST_PIVOTS = 4096, 24
 TILE = 512
 
 
@@ -35,13 +38,27 @@ def usable(embedding: str, label: str):
     return F.coalesce(F.col(label).isNotNull() & e.isNotNull() & F.forall(e, finite) & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
-def choose_pivots(rows: DataFrame, count: int = PIVOTS) -> np.ndarray:
-    """At most ``count`` unit vectors of the commonest length: those whose bytes hash smallest, so copies count once."""
+def choose_pivots(rows: DataFrame, count: int = PIVOTS, cosine: float = COSINE) -> np.ndarray:
+    """At most ``count`` unit vectors of the commonest length that are far from one another.
+
+    Of the ``POOL`` vectors whose bytes hash smallest (copies count once), each next pivot is the one farthest from those
+    chosen, until all are so near to one that both may link to a third. So a dense group has one pivot that all its members
+    name, instead of many about equally far ones; its size has no influence.
+    """
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return np.zeros((0, 0))
-    found = rows.where(F.size("vec") == sizes[0]["d"]).select("vec").distinct().orderBy(F.xxhash64("vec")).limit(count).collect()
-    return _unit(np.array([r["vec"] for r in found], float))
+    found = rows.where(F.size("vec") == sizes[0]["d"]).select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(POOL).collect()
+    pool = _unit(np.array([r["vec"] for r in found], float))
+    chosen, near = [0], pool @ pool[0]
+    while len(chosen) < min(count, len(pool)):
+        far = int(np.argmin(near))
+        if len(chosen) >= LEAST_PIVOTS and near[far] >= 2 * cosine**2 - 1:
+            break
+        near[far] = np.inf
+        chosen.append(far)
+        near = np.maximum(near, pool @ pool[far])
+    return pool[chosen]
 
 
 def links_and_classes(vectors: DataFrame, id_col: str = "vec_id", embedding_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
@@ -55,7 +72,7 @@ def links_and_classes(vectors: DataFrame, id_col: str = "vec_id", embedding_col:
     """
     base = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(embedding_col).cast("array<double>").alias("vec"), usable(embedding_col, label_col).alias("ok"))
     good = base.where("ok")
-    reference = choose_pivots(good, pivots)
+    reference = choose_pivots(good, pivots, cosine)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -149,3 +149,16 @@ def test_recall_on_table(spark):
     got = embeddings.links_and_classes(df).collect()
     pairs = brute(rows)
     assert len(got) == len(rows) and 2 * len(pairs) >= sum(r.n_links for r in got) >= 0.97 * 2 * len(pairs) > 500
+
+
+@pytest.mark.parametrize("hot,others", [(1000, 500), (1200, 0)])
+def test_recall_in_a_hot_group(spark, hot, others):
+    rng = np.random.default_rng(5)
+    centre, groups = rng.normal(size=64), np.repeat(rng.normal(size=(others, 64)), 4, axis=0)
+    vectors = np.concatenate((centre + rng.normal(size=(hot, 64)) * 0.1, groups + rng.normal(size=groups.shape) * 0.1)).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<float>, label int")
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    got = np.array([r.n_links for r in sorted(embeddings.links_and_classes(df).collect(), key=lambda r: r.vec_id)])
+    assert len(got) == len(want) and (got <= want).all()
+    assert want[:hot].sum() > 100_000 and got.sum() >= 0.97 * want.sum()

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import NULL_ID, hot_lookup, materialize, mix, rolling
@@ -28,6 +28,8 @@ BANDS, ROWS = 24, 4
 #: Members of a bucket up to which all pairs of different components are verified; larger ones send representatives.
 SMALL = 48
 SALTS = 16
+#: Texts that share an element and meet in one task, about.
+MEET = 1024
 
 
 def shingles(chunk: Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +158,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Round one verifies every member of a bucket with the bucket's leader; later rounds verify, in each bucket, members of
     components that are still different, until no bucket has an unverified pair of them: all members in buckets of
-    up to ``SMALL``, one representative of each component in larger ones, tile by tile.
+    up to ``SMALL``, one representative of each component in larger ones, tile by tile. The members of larger buckets that
+    are then still in different components meet by an exact prefix filter on their shingles.
     """
     base = docs.select(id_col, text_col)
     sketched = materialize(sketch(base, id_col, text_col, size, bands, rows).withColumn("id", F.coalesce("id", F.lit(int(NULL_ID)))), "sketch")
@@ -205,6 +208,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         turn += 1
         if turn > turns:
             break
+    for tile in (SMALL, None):
+        placed = members.where(F.col("g") > SMALL).join(roots, F.col("rep") == F.col("node"), "left").select("k", "rep", F.coalesce("root", "rep").alias("root"))
+        several = placed.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k")
+        rest = materialize(placed.join(several, "k").select("rep", "root").distinct(), "rest")
+        if rest.isEmpty():
+            break
+        if tile:
+            first = materialize(prefixes(texts.join(rest.select("rep"), "rep"), similarity, size), "prefixes")
+        pairs = materialize(alike(first.join(rest, "rep"), similarity, tile).join(tested, ["a", "b"], "left_anti"), "pairs")
+        fresh = materialize(verified(pairs, texts, similarity, size), "links")
+        if not fresh.isEmpty():
+            links, tested = materialize(links.unionAll(fresh), "links"), tested.unionAll(pairs)
+            roots = components(links)
     named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("key", "n", F.coalesce("root", "rep").alias("class_id"))
     with_words = hot_lookup(sketched.where("key IS NOT NULL").select("id", "key"), named, "key", "n").select("id", "class_id")
     out = with_words.unionByName(sketched.where("key IS NULL").select("id", F.col("id").alias("class_id")))
@@ -212,6 +228,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(real("id").alias(id_col), real("class_id").alias("class_id"), (F.col("id") == F.col("class_id")).alias("kept"))
 
 
+def prefixes(texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Of each text's multiset, in order of rarity among the texts, the elements that a prefix filter needs.
+
+    ``rep``, ``x`` (hash of a shingle and its number among equal ones), ``i`` (place in the order) and ``n`` (elements). Two
+    texts as similar as ``similarity`` share an element among the first ``n - ceil(similarity * n) + 1`` of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, chunk in chunks(batch.column(1).to_pylist(), True):
+                doc, x, w = shingles(chunk, size)
+                number = spread(np.zeros(len(w), np.int64), w)
+                x = mix(np.repeat(x, w) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                rep = batch.column(0).to_numpy()[row + np.repeat(doc, w)]
+                for at in range(0, len(x), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[at : at + (1 << 16)]), pa.array(x[at : at + (1 << 16)].view(np.int64))], names=["rep", "x"])
+
+    each = materialize(texts.select("rep", "text").mapInArrow(run, "rep long, x long"), "elements")
+    often = each.groupBy("x").agg(F.count("*").alias("often"))
+    known = hot_lookup(each, often, "x", "often")
+    place = Window.partitionBy("rep")
+    known = known.withColumn("i", F.row_number().over(place.orderBy("often", "x")) - 1).withColumn("n", F.count("*").over(place))
+    return known.where((F.col("often") > 1) & (F.col("i") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6))).select("rep", "x", "i", "n")
+
+
+def alike(entries: DataFrame, similarity: float, tile: int | None) -> DataFrame:
+    """Pairs (a < b) of different components that share an element and can be as similar as ``similarity`` by its places.
+
+    For the first element that two texts share, all others shared come later in both, so the places bound the overlap. With
+    ``tile``, only texts that fall into one tile of about so many meet; else all, the shorter one in tiles of ``MEET``.
+    """
+    per = entries.groupBy("x").agg(F.count("*").alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    sizes = per.select("x", "g", F.ceil(F.col("g") / (tile or MEET)).cast("int").alias("tiles"))
+    known = hot_lookup(entries.join(sizes.select("x"), "x", "left_semi"), sizes, "x", "g")
+    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    # The shorter text of a pair needs an overlap of 2 s / (1 + s) of its elements at least.
+    short = known.where(F.col("i") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-6))
+    short = short.select("x", own.alias("tile"), F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("i").alias("ia"), F.col("n").alias("na"))
+    where = own if tile else F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    long = known.select("x", where.alias("tile"), F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("i").alias("ib"), F.col("n").alias("nb"))
+    fits = (F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.struct("na", "a") < F.struct("nb", "b"))
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    fits &= most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
+    met = short.join(long, ["x", "tile"]).where((F.col("ra") != F.col("rb")) & fits)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """The pairs (a, b) whose texts are at least so similar. A document with very many partners is dealt over ``SALTS`` tasks."""
     salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))

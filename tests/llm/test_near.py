@@ -162,3 +162,18 @@ def test_recall_in_a_hot_group(spark, hot, others):
     got = np.array([r.n_links for r in sorted(embeddings.links_and_classes(df).collect(), key=lambda r: r.vec_id)])
     assert len(got) == len(want) and (got <= want).all()
     assert want[:hot].sum() > 100_000 and got.sum() >= 0.97 * want.sum()
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    rng = random.Random(4)
+    docs = []
+    for c in range(12):
+        passage = [f"p{c}x{i}" for i in range(80)]
+        for d in range(30):
+            docs.append(" ".join(passage + [f"t{c}x{d}x{i}" for i in range(rng.randint(6, 13 + c // 2))]))
+    rng.shuffle(docs)
+    bags = [bag(t) for t in docs]
+    root = union(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if overlap(bags[i], bags[j]) >= 0.8])
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(root))

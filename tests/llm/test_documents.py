@@ -115,3 +115,19 @@ def test_jensen_shannon(spark, p, q, want):
 
     got = spark.createDataFrame([(p, q)], "p array<double>, q array<double>").select(quality.jensen_shannon(F.col("p"), F.col("q"))).first()[0]
     assert abs(got - want) < 1e-9
+
+
+def test_words_of_another_language_and_no_common_words(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", F.length("text").alias("n_chars"))
+    refs = spark.createDataFrame(quality.references(docs).collect(), quality.references(docs).schema)
+    good = docs.join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id").where("lang = 'en' AND n_chars < 3000")
+    judged = lambda d: [r for r in quality.judge(d, refs).collect() if not r.base_failed and r.js_words is not None]
+    own, wrong = judged(good), judged(good.withColumn("lang", F.lit("es")))
+    assert len(own) == len(wrong) > 20
+    assert sum(r.kept for r in own) >= 0.98 * len(own) and sum(not r.kept for r in wrong) >= 0.9 * len(wrong)
+    none = spark.createDataFrame([(n, " ".join(f"wo{chr(97 + i % 26)}{chr(97 + i // 26)}rd" for i in range(n)), lang) for n in (100, 150, 600) for lang in ("en", "es", "fr", "de")], "doc_id long, text string, lang string")
+    got = judged(none)
+    assert not any(r.kept for r in got) and len(got) == 12

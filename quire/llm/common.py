@@ -29,11 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "part") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: the lineage ends here, and no executor's loss matters."""
+#: Tasks that may write a table of any size.
+FILES = 40
+
+
+def materialize(df: DataFrame, name: str = "part", files: int | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: the lineage ends here, and no executor's loss matters.
+
+    ``files``: the most tasks that write it, so that a small table is not dealt over every shuffle partition.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}"
+    df = df.coalesce(files) if files else df
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and no later plan reads; others are left alone."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def files_for(rows: int, per: int = 50_000) -> int:
+    """Tasks to write ``rows`` rows: ``FILES``, or what holds about ``per`` rows in each."""
+    return max(FILES, rows // per)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -4,7 +4,16 @@ A shingle with weight w owns the level interval [0, w), cut into [0, 1), [1, 2),
 Poisson process in time that depends on the shingle and the interval alone; its points carry a level and a slot of the
 signature, and count if their level lies below w. A slot's first point is then equal in two documents with exactly the
 probability of their weighted Jaccard similarity. Points are made in order of time and only until every slot has one.
-Bands of the signatures give candidates; candidates are verified on the shingles themselves.
+
+A slot is kept as 16 bits, and four slots are a band. Texts that share a band meet in its bucket, in tiles of bounded size:
+
+1. Each tile gives a spanning forest of its most similar texts by signature, so a bucket sends fewer pairs than it has
+   members. Those pairs are verified on the texts' shingles; what they link are the first components.
+2. In buckets that still hold several components, tiles meet tiles. Pairs of different components whose signatures agree
+   in ``AGREE`` slots are verified in place: a tile's texts travel together, once for all their pairs.
+
+Nothing is left after that: every pair that shares a band and agrees in ``AGREE`` slots is linked, or in one component
+by other links, or verified to be no link.
 """
 
 from __future__ import annotations
@@ -15,21 +24,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import NULL_ID, hot_lookup, materialize, mix, rolling
+from quire.llm.common import FILES, NULL_ID, discard, files_for, hot_lookup, materialize, mix, plan_bytes, rolling
 from quire.llm.components import components
-from quire.llm.repeats import Chunk, chunks, spread
+from quire.llm.repeats import Chunk, chunks, runs, spread
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands and rows of a band: a pair at the threshold shares no band with a chance of 3e-6.
+#: Bands, and slots of a band: a pair at the threshold shares no band with a chance of 3e-6.
 BANDS, ROWS = 24, 4
-#: Members of a bucket up to which all pairs of different components are verified; larger ones send representatives.
-SMALL = 48
-SALTS = 16
-#: Texts that share an element and meet in one task, about.
-MEET = 1024
+#: Slots of all in which candidates agree: a pair at the threshold has fewer with a chance of 3e-5.
+AGREE = 60 / 96
+#: Texts of a tile, and shingles of a tile, about.
+TILE, TILE_SHINGLES = 256, 1 << 19
+#: Bucket entries that one task compares, and bytes of text that one task verifies, about.
+ENTRIES, BYTES = 1 << 14, 8 << 20
+#: Partners of a text from which its pairs are dealt over several tasks.
+PARTNERS = 64
 
 
 def shingles(chunk: Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,207 +100,307 @@ def _points(doc: np.ndarray, x: np.ndarray, weight: np.ndarray, limit: np.ndarra
         doc, x, weight = doc[more_levels], x[more_levels], weight[more_levels]
 
 
-def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    bits = sig.view(np.uint64).reshape(len(sig), bands, rows)
-    key = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64) + np.uint64(99)), bits.shape[:2]).copy()
-    for r in range(rows):
-        key = mix(key * np.uint64(31) + bits[:, :, r])
-    return key.view(np.int64)
-
-
-def similarities(left: list[bytes], right: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Weighted Jaccard of each pair of texts: shared shingles over all, with multiplicity."""
-    out, n = np.zeros(len(left)), len(left)
-    for row, chunk in chunks([t for pair in zip(left, right, strict=True) for t in pair], True):
-        # A pair may lie in two chunks; it is then measured by itself.
-        doc, x, w = shingles(chunk, size)
-        doc = doc + row
-        first, last = row + row % 2, row + len(chunk.first) - 1
-        last -= last % 2
-        inside = (doc >= first) & (doc < last)
-        pair, side = doc[inside] // 2, doc[inside] % 2
-        order = np.lexsort((side, x[inside], pair))
-        p, xs, ws = pair[order], x[inside][order], w[inside][order]
-        both = np.flatnonzero((p[1:] == p[:-1]) & (xs[1:] == xs[:-1]))
-        shared = np.bincount(p[both], np.minimum(ws[both], ws[both + 1]), n)
-        total = np.bincount(p, ws, n)
-        where = np.flatnonzero(total > 0)
-        out[where] = shared[where] / (total[where] - shared[where])
-    for i in _cut_pairs(left, right):
-        doc, x, w = shingles(Chunk([left[i], right[i]], True), size)
-        a, b = dict(zip(x[doc == 0].tolist(), w[doc == 0].tolist(), strict=True)), dict(zip(x[doc == 1].tolist(), w[doc == 1].tolist(), strict=True))
-        shared = sum(min(v, b.get(k, 0)) for k, v in a.items())
-        total = sum(a.values()) + sum(b.values()) - shared
-        out[i] = shared / total if total else 0.0
-    return out
-
-
-def _cut_pairs(left: list[bytes], right: list[bytes]) -> list[int]:
-    """Pairs whose sides fall into different chunks."""
-    texts = [t for pair in zip(left, right, strict=True) for t in pair]
-    return [row // 2 for row, _ in chunks(texts, False) if row % 2]
+def lanes(sig: np.ndarray) -> np.ndarray:
+    """Signatures as one 64-bit value a band, 16 bits a slot; equal slots have equal bits."""
+    bits = mix(np.ascontiguousarray(sig).view(np.uint64)) >> np.uint64(48)
+    return np.ascontiguousarray(bits.astype(np.uint16)).view(np.int64).reshape(len(sig), -1)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """``id``, ``key`` (of the word sequence; null without words) and ``bands`` of each row."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int) -> DataFrame:
+    """``id``, ``h`` (hash of the text), ``key`` (of the word sequence; null without words), ``n`` (shingles) and ``bands`` of each row."""
+    base = docs.select(*_named(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            texts = [t or b"" for t in batch.column(2).to_pylist()]
             for row, chunk in chunks(texts, True):
                 n = len(chunk.first) - 1
                 doc, x, w = shingles(chunk, size)
-                keys = band_keys(signatures(doc, x, w, n, bands * rows), bands, rows)
+                keys = lanes(signatures(doc, x, w, n, bands * ROWS))
                 raw = chunk.buf.tobytes()
                 names = [hashlib.blake2b(raw[chunk.starts[a] : chunk.ends[b - 1]], digest_size=16).digest() if b > a else None for a, b in zip(chunk.first[:-1].tolist(), chunk.first[1:].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(names, pa.binary()), lists], names=["id", "key", "bands"])
+                total = np.bincount(doc, w, n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(names, pa.binary()), pa.array(total), lists], names=["id", "h", "key", "n", "bands"])
+
+    return base.mapInArrow(run, "id long, h long, key binary, n long, bands array<long>")
+
+
+def _named(id_col: str, text_col: str) -> list:
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("id"), F.xxhash64(F.col(text_col).cast("binary")).alias("h")]
+
+
+# ---------------------------------------------------------------- within a task
+
+
+class Elements:
+    """The multisets of some texts as sets: equal shingles are numbered, so overlaps count with multiplicity."""
+
+    def __init__(self, texts: list[bytes], size: int) -> None:
+        xs, lengths = [], np.zeros(len(texts), np.int64)
+        for row, chunk in chunks(texts, True):
+            doc, x, w = shingles(chunk, size)
+            number = spread(np.zeros(len(w), np.int64), w)
+            xs.append(mix(np.repeat(x, w) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            n = len(chunk.first) - 1
+            lengths[row : row + n] = np.bincount(doc, w, n)
+        every, self.x = np.unique(np.concatenate(xs) if xs else np.empty(0, np.uint64), return_inverse=True)
+        self.mark = np.zeros(len(every), bool)
+        self.n = lengths
+        self.first = np.cumsum(lengths) - lengths
+
+    def similarities(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard of the texts ``a`` and ``b``, pair by pair: shared shingles over all, with multiplicity."""
+        out = np.zeros(len(a))
+        order = np.argsort(a, kind="stable")
+        at = runs(a[order])
+        for s, e in zip(at.tolist(), [*at[1:].tolist(), len(a)] if len(at) else [], strict=True):
+            me = int(a[order[s]])
+            own = self.x[self.first[me] : self.first[me] + self.n[me]]
+            self.mark[own] = True
+            while s < e:  # about 4 million elements of partners at a time
+                size = np.cumsum(self.n[b[order[s:e]]])
+                take = order[s : s + max(1, int(np.searchsorted(size, 1 << 22, side="right")))]
+                s += len(take)
+                other = self.n[b[take]]
+                hits = np.concatenate(([0], np.cumsum(self.mark[self.x[spread(self.first[b[take]], other)]])))
+                ends = np.cumsum(other)
+                shared = hits[ends] - hits[ends - other]
+                total = self.n[me] + other - shared
+                out[take] = shared / np.maximum(1, total)
+            self.mark[own] = False
+        return out
 
-    return base.mapInArrow(run, "id long, key binary, bands array<long>")
 
+def similarities(left: list[bytes], right: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Weighted Jaccard of each pair of texts."""
+    n = len(left)
+    return Elements([*left, *right], size).similarities(np.arange(n), np.arange(n) + n)
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``id_col``, ``class_id``, ``kept`` (it is the class's representative) for each row of ``docs``.
 
-    A class is a connected component of links between texts whose multisets of ``size``-word shingles have a weighted
-    Jaccard similarity of at least ``similarity``; its id is its smallest document id. Texts with equal words are one text.
-    Texts of fewer than ``size`` words are one shingle. Null, empty and blank texts link with nothing. Null ids come after
-    all others and give a null ``class_id`` where no other id is in the class; rows with the representative's id are all kept.
-
-    Round one verifies every member of a bucket with the bucket's leader; later rounds verify, in each bucket, members of
-    components that are still different, until no bucket has an unverified pair of them: all members in buckets of
-    up to ``SMALL``, one representative of each component in larger ones, tile by tile. The members of larger buckets that
-    are then still in different components meet by an exact prefix filter on their shingles.
+def forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """Which of the edges, the best ones first, make a spanning forest."""
+    label, chosen = np.arange(nodes), np.zeros(len(a), bool)
+    alive = np.arange(len(a))
+    while True:
+        la, lb = label[a[alive]], label[b[alive]]
+        apart = la != lb
+        alive, la, lb = alive[apart], la[apart], lb[apart]
+        if not len(alive):
+            return chosen
+        best = np.full(nodes, len(a), np.int64)
+        np.minimum.at(best, la, alive)
+        np.minimum.at(best, lb, alive)
+        pick = np.unique(best[best < len(a)])
+        chosen[pick] = True
+        label = _joined(label, a[pick], b[pick])
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    while True:
+        before = label
+        label = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, before[a], least)
+        np.minimum.at(label, before[b], least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+class Met:
+    """The entries of some tiles (or pairs of tiles), and the candidate pairs in them."""
+
+    def __init__(self, table: pa.Table, tiles: list[str]) -> None:
+        keys = [table.column(c).to_numpy() for c in tiles]
+        order = np.lexsort((table.column("node").to_numpy(), *keys[::-1]))
+        self.table = table.take(pa.array(order))
+        keys = [k[order] for k in keys]
+        self.group = np.cumsum(np.any([np.concatenate(([False], k[1:] != k[:-1])) for k in keys], axis=0)) if len(order) else order
+        lists = self.table.column("bands").combine_chunks()
+        self.bands = lists.flatten().to_numpy().reshape(len(order), -1)
+        self.slots = np.ascontiguousarray(self.bands).view(np.uint16)
+        self.size = self.column("n")
+
+    def column(self, name: str) -> np.ndarray:
+        return self.table.column(name).to_numpy()
+
+    def pairs(self, similarity: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a group that can be links by size and signature, the most alike first.
+
+        ``across``: of different components, in the first band that they share; in a pair of tiles, one of each.
+        """
+        need = math.ceil(AGREE * self.slots.shape[1])
+        found = []
+        n = len(self.group)
+        if across:
+            root, band, tile, mixed = self.column("root"), self.column("band"), self.column("tile"), self.column("i") != self.column("j")
+        for d in range(1, int(np.bincount(self.group).max(initial=0))):
+            ok = self.group[d:] == self.group[: n - d]
+            small, large = np.minimum(self.size[d:], self.size[: n - d]), np.maximum(self.size[d:], self.size[: n - d])
+            ok &= small >= similarity * large - 1e-6
+            if across:
+                ok &= (root[d:] != root[: n - d]) & (~mixed[d:] | (tile[d:] != tile[: n - d]))
+            x = np.flatnonzero(ok)
+            agree = (self.slots[x] == self.slots[x + d]).sum(axis=1)
+            x, agree = x[agree >= need], agree[agree >= need]
+            if across and len(x):
+                first = (self.bands[x] == self.bands[x + d]).argmax(axis=1)
+                x, agree = x[first == band[x]], agree[first == band[x]]
+            if len(x):
+                found.append((x.astype(np.int32), (x + d).astype(np.int32), agree.astype(np.int16)))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b, agree = (np.concatenate([f[k] for f in found]) for k in range(3))
+        order = np.argsort(-agree, kind="stable")
+        return a[order].astype(np.int64), b[order].astype(np.int64)
+
+
+# ---------------------------------------------------------------- over the cluster
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS) -> DataFrame:
+    """For each row ``id``, ``h`` (hash of its text), ``class_id`` and ``class_h``: the id and hash of its class's representative.
+
+    Null ids are ``NULL_ID`` here. A class is a connected component of links; its representative is the text with the
+    smallest id (of several texts with that id, the one with the smallest hash).
     """
     base = docs.select(id_col, text_col)
-    sketched = materialize(sketch(base, id_col, text_col, size, bands, rows).withColumn("id", F.coalesce("id", F.lit(int(NULL_ID)))), "sketch")
-    reps = sketched.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n"))
-    reps = materialize(reps, "reps")
-    keys = reps.select("rep", F.explode("bands").alias("k"))
-    buckets = keys.groupBy("k").agg(F.count("*").alias("g")).where("g > 1")
-    shared = materialize(hot_lookup(keys, buckets, "k", "g"), "shared")
-    # A bucket's leader is the member whose buckets are largest in sum: the text that the others were copied from, if any.
-    crowd = shared.groupBy("rep").agg(F.sum("g").alias("crowd"))
-    leads = shared.join(crowd, "rep").groupBy("k").agg(F.max_by("rep", F.struct("crowd", -F.col("rep"))).alias("lead"), F.count("*").alias("n"))
-    members = materialize(hot_lookup(shared, leads, "k", "n").drop("n"), "members")
-    texts = base.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("rep"), F.col(text_col).cast("binary").alias("text"))
-    wanted = members.select("rep").distinct()
-    texts = texts.join(wanted, "rep").groupBy("rep").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "texts")
-
-    stars = materialize(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = materialize(verified(stars, texts, similarity, size), "links")
-    tested = materialize(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
-    turn = 0
+    spark = docs.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sketched = materialize(sketch(base, id_col, text_col, size, bands), "sketch", max(FILES, plan_bytes(base) >> 21))
+    count = sketched.count()
+    # A node is a word sequence, whatever the ids of the rows that have it.
+    reps = sketched.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "h")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("node"), "key", "rep.id", "rep.h", "copies", "n", "bands"), "reps", files_for(count))
+    signed = reps.select("node", "bands")
+
+    entries = reps.select("node", "n", F.posexplode("bands").alias("band", "v"))
+    sizes = entries.groupBy("band", "v").agg(F.count("*").alias("g"), F.sum("n").alias("s")).where("g > 1")
+    sizes = sizes.select("band", "v", F.ceil(F.greatest(F.col("g") / TILE, F.least(F.col("g") / 2, F.col("s") / TILE_SHINGLES))).cast("int").alias("tiles"))
+    shared = entries.join(sizes, ["band", "v"]).withColumn("tile", F.pmod(F.xxhash64("node", "band"), F.col("tiles")).cast("int"))
+    shared = materialize(shared, "shared", files_for(count * bands, 500_000))
+    met_rows = shared.count()
+
+    def linked(table: pa.Table) -> pa.Table:
+        met = Met(table, ["band", "v", "tile"])
+        a, b = met.pairs(similarity, False)
+        pick = forest(a, b, len(met.group))
+        node = met.column("node")
+        a, b = node[a[pick]], node[b[pick]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    slot = lambda keys, slots: F.pmod(F.xxhash64(*keys), F.lit(slots))
+    slots = max(least, met_rows // ENTRIES)
+    dealt = shared.join(signed, "node").select(slot(["band", "v", "tile"], slots).alias("slot"), "band", "v", "tile", "node", "n", "bands")
+    pairs = materialize(dealt.groupBy("slot").applyInArrow(linked, "a long, b long").distinct(), "pairs", files_for(met_rows))
+
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(shared.where("tiles > 1").select("node")).distinct()
+    wanted = reps.join(nodes, "node", "left_semi").select("node", "id", "h")
+    texts = base.select(*_named(id_col, text_col), F.col(text_col).cast("binary").alias("text")).join(wanted, ["id", "h"])
+    texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "texts", files_for(count, 10_000))
+
+    links = materialize(verified(pairs, texts, similarity, size), "links", files_for(met_rows, 5_000))
     roots = components(links)
-    while True:
-        placed = members.join(roots, F.col("rep") == F.col("node"), "left").select("k", "g", "rep", F.coalesce("root", "rep").alias("root"))
-        placed = materialize(placed, "placed")
-        several = placed.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k")
-        split = placed.join(several, "k")
-        some = split.where(F.col("g") <= SMALL).select("k", "rep", "root")
-        some = some.unionAll(split.where(F.col("g") > SMALL).groupBy("k", "root").agg(F.min("rep").alias("rep")).select("k", "rep", "root"))
-        # A bucket's entries lie in tiles of about SMALL; in each turn a tile meets one other, so no bucket is gathered.
-        tiles = some.groupBy("k").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("tiles"))
-        entries = materialize(some.join(tiles, "k").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")), "entries")
-        turns = (entries.agg(F.max("tiles")).first()[0] or 0) // 2
-        here = entries.where(F.col("tiles") > turn).select("k", "tile", F.col("rep").alias("a"), F.col("root").alias("ra"))
-        there = entries.select("k", F.pmod(F.col("tile") + turn, F.col("tiles")).cast("int").alias("tile"), F.col("rep").alias("b"), F.col("root").alias("rb"))
-        met = here.join(there, ["k", "tile"]).where("ra <> rb AND a <> b")
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not pairs.isEmpty():
-            fresh = materialize(verified(pairs, texts, similarity, size), "links")
-            tested = materialize(tested.unionAll(pairs), "tested")
-            if not fresh.isEmpty():
-                links, turn = materialize(links.unionAll(fresh), "links"), 0
-                roots = components(links)
-                continue
-        turn += 1
-        if turn > turns:
-            break
-    for tile in (SMALL, None):
-        placed = members.where(F.col("g") > SMALL).join(roots, F.col("rep") == F.col("node"), "left").select("k", "rep", F.coalesce("root", "rep").alias("root"))
-        several = placed.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k")
-        rest = materialize(placed.join(several, "k").select("rep", "root").distinct(), "rest")
-        if rest.isEmpty():
-            break
-        if tile:
-            first = materialize(prefixes(texts.join(rest.select("rep"), "rep"), similarity, size), "prefixes")
-        pairs = materialize(alike(first.join(rest, "rep"), similarity, tile).join(tested, ["a", "b"], "left_anti"), "pairs")
-        fresh = materialize(verified(pairs, texts, similarity, size), "links")
-        if not fresh.isEmpty():
-            links, tested = materialize(links.unionAll(fresh), "links"), tested.unionAll(pairs)
-            roots = components(links)
-    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("key", "n", F.coalesce("root", "rep").alias("class_id"))
-    with_words = hot_lookup(sketched.where("key IS NOT NULL").select("id", "key"), named, "key", "n").select("id", "class_id")
-    out = with_words.unionByName(sketched.where("key IS NULL").select("id", F.col("id").alias("class_id")))
-    real = lambda c: F.when(F.col(c) != int(NULL_ID), F.col(c))
-    return out.select(real("id").alias(id_col), real("class_id").alias("class_id"), (F.col("id") == F.col("class_id")).alias("kept"))
-
+    placed = shared.join(roots.withColumnRenamed("node", "__q_node"), F.col("node") == F.col("__q_node"), "left").drop("__q_node").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("band", "v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "v")
+    rest = materialize(placed.join(several, ["band", "v"], "left_semi"), "rest", files_for(met_rows))
+    # Tile i meets tile j: an entry goes to as many blocks as its bucket has tiles.
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
+    blocks = rest.withColumn("m", F.explode(meets)).select("band", "v", "m.i", "m.j", "tile", "node", "root", "n")
+    slots = max(least, (rest.agg(F.sum("tiles")).first()[0] or 0) // ENTRIES)
+    schema = "band int, v long, i int, j int, tile int, node long, root long, n long, bands array<long>"
+
+    def doubted(table: pa.Table) -> pa.Table:
+        met = Met(table.drop_columns(["slot"]), ["band", "v", "i", "j"])
+        a, b = met.pairs(similarity, True)
+        return met.table.take(pa.array(np.unique(np.concatenate((a, b)))))
+
+    dealt = blocks.join(signed, "node").select(slot(["band", "v", "i", "j"], slots).alias("slot"), "band", "v", "i", "j", "tile", "node", "root", "n", "bands")
+    doubt = materialize(dealt.groupBy("slot").applyInArrow(doubted, schema), "doubt", files_for(met_rows, 5_000))
+
+    def settled(table: pa.Table) -> pa.Table:
+        met = Met(table, ["band", "v", "i", "j"])
+        a, b = met.pairs(similarity, True)
+        node, root = met.column("node"), met.column("root")
+        _, one, which = np.unique(node, return_index=True, return_inverse=True)
+        blobs = met.table.column("text").take(pa.array(one)).to_pylist()
+        good = Elements(blobs, size).similarities(which[a], which[b]) >= similarity
+        a, b = root[a[good]], root[b[good]]
+        some, label = np.unique(np.concatenate((a, b)), return_inverse=True)
+        pick = forest(label[: len(a)], label[len(a) :], len(some))
+        return pa.table({"a": a[pick], "b": b[pick]})
+
+    in_doubt = doubt.agg(F.sum("n")).first()[0]
+    if in_doubt:
+        slots = max(least, 8 * in_doubt // BYTES)
+        dealt = doubt.join(texts, "node").withColumn("slot", slot(["band", "v", "i", "j"], slots))
+        more = materialize(dealt.groupBy("slot").applyInArrow(settled, "a long, b long").distinct(), "more", files_for(met_rows))
+        again = components(more).toDF("__q_node", "__q_root")
+        known = roots.unionAll(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))).distinct()
+        roots = known.join(again, F.col("root") == F.col("__q_node"), "left").select("node", F.coalesce("__q_root", "root").alias("root"))
+        roots = materialize(roots.distinct(), "roots", files_for(met_rows))
+    discard(doubt, rest, shared, pairs, texts)
+
+    members = reps.join(roots, "node").select("node", "root", "id", "h")
+    heads = members.groupBy("root").agg(F.min(F.struct("id", "h")).alias("head"))
+    named = reps.select("node", "key", "copies", "id", "h").join(members.join(heads, "root").select("node", "head"), "node", "left")
+    named = named.select("key", "copies", F.coalesce("head.id", "id").alias("class_id"), F.coalesce("head.h", "h").alias("class_h"))
+    with_words = hot_lookup(sketched.where("key IS NOT NULL").select("id", "h", "key"), named, "key", "copies").select("id", "h", "class_id", "class_h")
+    return with_words.unionByName(sketched.where("key IS NULL").select("id", "h", F.col("id").alias("class_id"), F.col("h").alias("class_h")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS) -> DataFrame:
+    """``id_col``, ``class_id``, ``kept`` (it has the id of the class's representative) for each row of ``docs``.
 
-def prefixes(texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Of each text's multiset, in order of rarity among the texts, the elements that a prefix filter needs.
-
-    ``rep``, ``x`` (hash of a shingle and its number among equal ones), ``i`` (place in the order) and ``n`` (elements). Two
-    texts as similar as ``similarity`` share an element among the first ``n - ceil(similarity * n) + 1`` of each.
+    A class is a connected component of links between texts whose multisets of ``size``-word shingles have a weighted
+    Jaccard similarity of at least ``similarity`` (shingles are compared by 64-bit hashes); its id is its smallest document
+    id. Texts with equal words are one text. Texts of fewer than ``size`` words are one shingle. Null, empty and blank
+    texts link with nothing. Null ids come after all others and give a null ``class_id`` where no other id is in the class.
+    Rows are classed by their texts, not by their ids: different texts with one id (or none) can be in different classes,
+    and a row is ``kept`` if its id is its class's. Other columns are ignored; an empty table gives an empty one.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, chunk in chunks(batch.column(1).to_pylist(), True):
-                doc, x, w = shingles(chunk, size)
-                number = spread(np.zeros(len(w), np.int64), w)
-                x = mix(np.repeat(x, w) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                rep = batch.column(0).to_numpy()[row + np.repeat(doc, w)]
-                for at in range(0, len(x), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[at : at + (1 << 16)]), pa.array(x[at : at + (1 << 16)].view(np.int64))], names=["rep", "x"])
-
-    each = materialize(texts.select("rep", "text").mapInArrow(run, "rep long, x long"), "elements")
-    often = each.groupBy("x").agg(F.count("*").alias("often"))
-    known = hot_lookup(each, often, "x", "often")
-    place = Window.partitionBy("rep")
-    known = known.withColumn("i", F.row_number().over(place.orderBy("often", "x")) - 1).withColumn("n", F.count("*").over(place))
-    return known.where((F.col("often") > 1) & (F.col("i") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6))).select("rep", "x", "i", "n")
+    found = classes(docs, id_col, text_col, similarity, size, bands)
+    real = lambda c: F.when(F.col(c) != int(NULL_ID), F.col(c))
+    return found.select(real("id").alias(id_col), real("class_id").alias("class_id"), (F.col("id") == F.col("class_id")).alias("kept"))
 
 
-def alike(entries: DataFrame, similarity: float, tile: int | None) -> DataFrame:
-    """Pairs (a < b) of different components that share an element and can be as similar as ``similarity`` by its places.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class of ``near_duplicates``: that of its representative.
 
-    For the first element that two texts share, all others shared come later in both, so the places bound the overlap. With
-    ``tile``, only texts that fall into one tile of about so many meet; else all, the shorter one in tiles of ``MEET``.
+    Of rows with the representative's id and text, the smallest by its other columns in order. Null, empty and blank texts
+    with one id count as one class for each text.
     """
-    per = entries.groupBy("x").agg(F.count("*").alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    sizes = per.select("x", "g", F.ceil(F.col("g") / (tile or MEET)).cast("int").alias("tiles"))
-    known = hot_lookup(entries.join(sizes.select("x"), "x", "left_semi"), sizes, "x", "g")
-    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    # The shorter text of a pair needs an overlap of 2 s / (1 + s) of its elements at least.
-    short = known.where(F.col("i") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-6))
-    short = short.select("x", own.alias("tile"), F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("i").alias("ia"), F.col("n").alias("na"))
-    where = own if tile else F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    long = known.select("x", where.alias("tile"), F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("i").alias("ib"), F.col("n").alias("nb"))
-    fits = (F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.struct("na", "a") < F.struct("nb", "b"))
-    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    fits &= most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
-    met = short.join(long, ["x", "tile"]).where((F.col("ra") != F.col("rb")) & fits)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    heads = classes(docs, id_col, text_col).select(F.col("class_id").alias("id"), F.col("class_h").alias("h")).distinct()
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*_named(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in (*others, text_col)]).alias("__q_row"))
+    rows = rows.join(heads, ["id", "h"]).groupBy("id", "h").agg(F.min("__q_row").alias("__q_row"))
+    return rows.select(*[F.col("__q_row").getField(c).alias(c) for c in docs.columns])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose texts are at least so similar. A document with very many partners is dealt over ``SALTS`` tasks."""
-    salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    left = salted.select("a", "s").distinct().join(texts.select(F.col("rep").alias("a"), F.col("text").alias("left")), "a")
-    right = salted.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("right")), "b")
+    """The pairs (a, b) whose texts are at least so similar.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                good = similarities(some.column(2).to_pylist(), some.column(3).to_pylist(), size) >= similarity
-                yield some.select(["a", "b"]).filter(pa.array(good))
-
-    return right.join(left, ["a", "s"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    Pairs are dealt by ``a``, those of a text with many partners over several tasks; each task gets the texts that its
+    pairs name, once.
+    """
+    spark = pairs.sparkSession
+    many = pairs.groupBy("a").agg(F.count("*").alias("d")).where(F.col("d") > PARTNERS)
+    count, mean = pairs.count(), texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2 * count * mean) // BYTES)
+    salt = F.when(F.col("d").isNotNull(), F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / PARTNERS))).otherwise(0)
+    dealt = materialize(pairs.join(many, "a", "left").select(F.pmod(F.xxhash64("a", salt), F.lit(slots)).alias("slot"), "a", "b"), "dealt", files_for(count))
+    need = dealt.select(F.col("slot").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def judge(asked: pa.Table, named: pa.Table) -> pa.Table:
+        node = named.column("node").to_numpy()
+        order = np.argsort(node)
+        blobs = named.column("text").take(pa.array(order)).to_pylist()
+        a, b = (np.searchsorted(node[order], asked.column(c).to_numpy()) for c in ("a", "b"))
+        good = Elements(blobs, size).similarities(a, b) >= similarity
+        return asked.select(["a", "b"]).filter(pa.array(good))
+
+    return dealt.groupBy("slot").cogroup(need.join(texts, "node").groupBy("at")).applyInArrow(judge, "a long, b long")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

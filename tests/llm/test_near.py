@@ -61,20 +61,46 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_near_duplicates(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
-    rows = corpus()
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, class_id int")).collect()
+def classes_of(rows):
+    """(id, class id, kept) of each row by direct definition; null ids come last."""
     big = 1 << 62
-    bags = [bag(t) for _, t, _ in rows]
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if overlap(bags[i], bags[j]) >= 0.8]
-    root = union(len(rows), pairs)
+    bags = [bag(t) for _, t in rows]
+    root = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if overlap(bags[i], bags[j]) >= 0.8])
     least = {}
-    for r, (i, _, _) in zip(root, rows, strict=True):
+    for r, (i, _) in zip(root, rows, strict=True):
         least[r] = min(least.get(r, big), big if i is None else i)
-    want = [(i, None if least[r] == big else least[r], (big if i is None else i) == least[r]) for r, (i, _, _) in zip(root, rows, strict=True)]
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    return sorted([(i, None if least[r] == big else least[r], (big if i is None else i) == least[r]) for r, (i, _) in zip(root, rows, strict=True)], key=str)
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_near_duplicates(spark, monkeypatch, tile):
+    monkeypatch.setattr(minhash, "TILE", tile)
+    rows = corpus()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, class_id int")).collect()
+    assert sorted(map(tuple, got), key=str) == classes_of([r[:2] for r in rows])
+
+
+def test_ids_with_several_texts(spark):
+    rng = random.Random(3)
+    text = lambda: [rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(80)]
+    t, v, u = text(), text(), text()
+    near = t[:-1] + ["other"]
+    rows = [(1, " ".join(t)), (7, " ".join(near)), (7, " ".join(v)), (None, " ".join(near[1:])), (None, " ".join(u)), (None, " ".join(u)), (None, None), (3, None), (3, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, lang int")
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str) == classes_of(rows)
+    kept = sorted(map(tuple, minhash.representatives(docs).collect()), key=str)
+    assert kept == sorted([(*rows[k], k) for k in (0, 2, 4, 6, 7, 8)], key=str)
+
+
+def test_many_alike_below_the_threshold(spark):
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(64)]
+    docs = [" ".join(passage + [f"t{d}x{i}" for i in range(20)]) for d in range(500)]
+    docs += [docs[3] + " end", docs[400] + " end here", " ".join(docs[77].split()[2:])]
+    rows = list(enumerate(docs))
+    rng.shuffle(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == classes_of(rows)
 
 
 def test_empty(spark):
@@ -165,7 +191,7 @@ def test_recall_in_a_hot_group(spark, hot, others):
 
 
 def test_near_duplicates_in_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "TILE", 4)
     rng = random.Random(4)
     docs = []
     for c in range(12):
@@ -173,7 +199,14 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
         for d in range(30):
             docs.append(" ".join(passage + [f"t{c}x{d}x{i}" for i in range(rng.randint(6, 13 + c // 2))]))
     rng.shuffle(docs)
-    bags = [bag(t) for t in docs]
-    root = union(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if overlap(bags[i], bags[j]) >= 0.8])
-    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(root))
+    rows = list(enumerate(docs))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == classes_of(rows)
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = minhash.op10_minhash(spark, sf)
+    assert got.columns == ["doc_id", "class_id", "kept"]
+    assert sorted(map(tuple, got.collect()), key=str) == classes_of(rows)

@@ -1,19 +1,22 @@
 """Windows of ``window`` consecutive tokens that repeat across documents: the distributed part of both substring dedups.
 
-Tokens are the bytes of a text or its words. The plan, all over one shuffle of the documents into *blocks* of bounded size:
+Tokens are the bytes of a text or its words. Suffixes are sampled: every window chooses the run of ``ANCHOR`` tokens in it
+with the smallest hash, its *anchor*. Equal windows choose equal runs at the same place, so a window can repeat only where
+its anchor, as the prefix of the suffix that begins there, does; suffixes are divided among tasks by that prefix. The
+plan, all over one shuffle of the documents into *blocks* of bounded size:
 
-1. ``_anchors``: every window chooses the run of ``ANCHOR`` tokens in it with the smallest hash. Equal windows choose equal
-   runs, so a window can repeat only where its anchor does. A block sends each distinct anchor hash once to a bucket.
-2. ``_shared``: a bucket tells the blocks which of their anchors occur in two documents or more, and which are *hot*
+1. ``anchors``: a block sends each distinct prefix's hash once to a bucket.
+2. ``shared``: a bucket tells the blocks which of their prefixes occur in two documents or more, and which are *hot*
    (more than ``HOT`` different surroundings).
-3. ``_suffixes``: a block sends each run of windows with one shared anchor, as the tokens that they span, to the bin of
-   the anchor. The windows of a hot anchor go singly, by their own hash, so no bin gathers a common phrase.
-4. ``_resolve``: a bin compares whole windows (suffixes cut at ``window`` tokens) by the caller's method and answers, for
-   each run, which windows also start in a document with a smaller id.
-5. ``_apply``: a block marks the tokens that those windows cover.
-
-Every message is a compressed pack per (block, bucket): a key that a third of all documents hold is one entry per block.
-Bins hold windows of one anchor together, whole; hashes only choose places, and tokens decide equality.
+3. ``suffixes``: a block sends each distinct run of windows with one shared prefix, as the tokens that they span, once to
+   the bin of the prefix, with the smallest and the largest document that has it. For hot prefixes the prefix is made
+   longer, to the whole window, so no bin gathers a common phrase.
+4. ``resolve``: a bin divides all windows into classes by the caller's method (a suffix tree, a radix sort) and answers, for
+   each content, the smallest document in which its windows start.
+5. ``last``: a block finds its contents again and marks the tokens that windows of larger documents cover.
+
+Every message is a compressed pack per (block, bucket): a key or a passage that a third of all documents hold is one entry
+for each block. Hashes only choose places, and tokens decide equality.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import BYTE_HASH, IS_SEP, NULL_ID, mix, parts_for, rolling, sized, word_hashes, word_spans
 
 ANCHOR = 16
-#: Different surroundings of an anchor from which its windows travel singly.
+#: Different surroundings of an anchor from which the prefix is the whole window.
 HOT = 1024
 CHUNK = 1 << 18
 BLOCK_BYTES = 8 << 20
@@ -295,19 +298,18 @@ def repeated(
             out.append((int(block[who[a]]), bucket, pack(r.astype(np.uint32), (r >> np.uint64(32)).astype(np.uint8), heat[a:b].astype(np.uint8))))
         return _batch(out, ("__q_block", "__q_bucket"))
 
-    def suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows or not told.num_rows:
-            return _batch([], ("__q_bucket", "__q_block"))
-        block = table.column("__q_block")[0].as_py()
+    def contents(texts: list[bytes], ids: np.ndarray, blobs: list[tuple[int, bytes]]) -> Contents | None:
+        """The distinct contents of a block's runs of windows with a shared prefix; the same ones in the same order each time."""
+        if not blobs or not texts:
+            return None
         keys, heats = [], []
-        for bucket, blob in zip(told.column("__q_bucket").to_pylist(), told.column("__q_blob").to_pylist(), strict=True):
+        for bucket, blob in blobs:
             low, high, heat = unpack(blob)
             keys.append((low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))) * np.uint64(buckets) + np.uint64(bucket))
             heats.append(heat)
         known, heat = np.concatenate(keys), np.concatenate(heats)
         order = np.argsort(known)
         known, heat = known[order], heat[order]
-        ids, texts, _ = _rows(table)
         parts: list[tuple] = []
         for row, before, chunk in _pieces(texts, words, window):
             h, first, count, every = chunk.anchors(window)
@@ -315,7 +317,7 @@ def repeated(
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
             found = known[at] == key
             h, first, count, hot = h[found], first[found], count[found], heat[at[found]].astype(bool)
-            if hot.any():  # singly, by a hash of the window
+            if hot.any():  # the prefix is the whole window
                 single = spread(first[hot], count[hot])
                 k = min(ANCHOR, window)
                 own = every[single]
@@ -328,49 +330,49 @@ def repeated(
                 continue
             local = _doc_of(chunk, first)
             content, lengths = chunk.contents(first, count + window - 1)
-            parts.append((h, count.astype(np.uint16), ids[row + local], (row + local).astype(np.uint32), first - chunk.first[local] + before, lengths, content))
+            parts.append((h, count, (row + local).astype(np.int64), first - chunk.first[local] + before, lengths, content))
         if not parts:
+            return None
+        h, count, row, pos, lengths = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        content = np.concatenate([p[5] for p in parts])
+        return Contents(h, count, row, pos, ids, lengths, content, bins)
+
+    def suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows or not told.num_rows:
             return _batch([], ("__q_bucket", "__q_block"))
-        h, count, doc, row, pos, lengths = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        content = np.concatenate([p[6] for p in parts])
-        starts = np.cumsum(lengths) - lengths
-        bucket = (mix(h) % np.uint64(bins)).astype(np.int64)
-        order = np.lexsort((pos, h, bucket))
+        block = table.column("__q_block")[0].as_py()
+        ids, texts, _ = _rows(table)
+        c = contents(texts, ids, _by_bucket(told))
         out = []
-        for a, b in segments(bucket[order]):  # contents are gathered bucket by bucket
-            o = order[a:b]
-            out.append((int(bucket[o[0]]), block, pack(h[o], count[o], doc[o], row[o], pos[o], lengths[o].astype(np.uint32), content[spread(starts[o], lengths[o])])))
+        for a, b in segments(c.bucket) if c else ():  # contents are gathered bucket by bucket
+            o = c.lead[a:b]
+            out.append((int(c.bucket[a]), block, pack(c.h[o], c.count[o].astype(np.uint16), c.least[a:b], c.most[a:b], c.lengths[o].astype(np.uint32), c.content[spread(c.starts[o], c.lengths[o])])))
         return _batch(out, ("__q_bucket", "__q_block"))
 
     def resolve(table: pa.Table) -> pa.Table:
         bucket = table.column("__q_bucket")[0].as_py()
         block = table.column("__q_block").to_numpy()
         parts = [unpack(x) for x in table.column("__q_blob").to_pylist()]
-        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        h, count, doc, row, pos, lengths, content = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        sizes = np.array([len(p[0]) for p in parts])
+        h, count, least, most, lengths, content = (np.concatenate([p[i] for p in parts]) for i in range(6))
         del parts
-        covered = _covered(h, count.astype(np.int64), doc, lengths.astype(np.int64), content, resolver)
+        entry, start, number, doc = answers(h, count.astype(np.int64), least, most, lengths.astype(np.int64), content, resolver)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        within = spread(np.zeros(len(sizes), np.int64), sizes)
+        who = owner[entry]
         out = []
-        hit, start, number = covered
-        who = owner[hit]
-        order = np.argsort(who, kind="stable")
-        hit, start, number, who = hit[order], start[order], number[order], who[order]
         for a, b in segments(who):
-            x = hit[a:b]
-            out.append((int(block[who[a]]), bucket, pack(row[x], pos[x] + start[a:b], number[a:b].astype(np.uint16))))
+            out.append((int(block[who[a]]), bucket, pack(within[entry[a:b]].astype(np.uint32), start[a:b].astype(np.uint16), number[a:b].astype(np.uint16), doc[a:b])))
         return _batch(out, ("__q_block", "__q_bucket"))
 
     names = ["__q_id", "__q_text", *[f"__q_k{i}" for i in range(len(keep))]]
 
-    def apply(table: pa.Table, told: pa.Table) -> pa.Table:
+    def apply(table: pa.Table, heard: pa.Table) -> pa.Table:
         ids, texts, order = _rows(table)
         table = table.select(names).take(pa.array(order, pa.int64()))
-        marks = [unpack(x) for x in told.column("__q_blob").to_pylist()]
-        row = np.concatenate([m[0] for m in marks]).astype(np.int64) if marks else np.empty(0, np.int64)
-        pos = np.concatenate([m[1] for m in marks]) if marks else row
-        number = np.concatenate([m[2] for m in marks]).astype(np.int64) if marks else row
-        by = np.argsort(row, kind="stable")
-        row, pos, number = row[by], pos[by], number[by]
+        answered = heard.column("__q_answer").to_numpy(zero_copy_only=False).astype(bool)
+        c = contents(texts, ids, _by_bucket(heard.filter(pa.array(~answered)))) if answered.any() else None
+        row, pos, number = c.covered(_by_bucket(heard.filter(pa.array(answered))), ids) if c else (np.empty(0, np.int64),) * 3
         edge = np.searchsorted(row, np.arange(len(texts) + 1))
         removed = []
         for i, t in enumerate(texts):
@@ -379,9 +381,7 @@ def repeated(
             if a == b:
                 removed.append(np.zeros(n, bool))
                 continue
-            delta = np.zeros(n + 1, np.int32)
-            np.add.at(delta, pos[a:b], 1)
-            np.add.at(delta, pos[a:b] + number[a:b] + window - 1, -1)
+            delta = np.bincount(pos[a:b], minlength=n + 1) - np.bincount(pos[a:b] + number[a:b] + window - 1, minlength=n + 1)
             removed.append(np.cumsum(delta[:-1]) > 0)
         return finish(table, removed)
 
@@ -390,16 +390,58 @@ def repeated(
     grouped = rows.groupBy("__q_block")
     spans = grouped.cogroup(told.groupBy("__q_block")).applyInArrow(suffixes, MESSAGE)
     marks = spans.groupBy("__q_bucket").applyInArrow(resolve, ANSWER)
+    heard = told.withColumn("__q_answer", F.lit(False)).unionByName(marks.withColumn("__q_answer", F.lit(True)))
 
-    def last(table: pa.Table, told: pa.Table) -> pa.Table:
-        return apply(table, told) if table.num_rows else finish(table.select(names), [])
+    def last(table: pa.Table, heard: pa.Table) -> pa.Table:
+        return apply(table, heard) if table.num_rows else finish(table.select(names), [])
 
-    return grouped.cogroup(marks.groupBy("__q_block")).applyInArrow(last, schema)
+    return grouped.cogroup(heard.groupBy("__q_block")).applyInArrow(last, schema)
 
 
-def _covered(h: np.ndarray, count: np.ndarray, doc: np.ndarray, lengths: np.ndarray, content: np.ndarray, resolver: Resolver) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which windows of which run also start in a smaller document: (run, first window, how many), maximal."""
-    starts = np.cumsum(lengths) - lengths
+def _by_bucket(messages: pa.Table) -> list[tuple[int, bytes]]:
+    return sorted(zip(messages.column("__q_bucket").to_pylist(), messages.column("__q_blob").to_pylist(), strict=True))
+
+
+class Contents:
+    """Runs of windows of a block, and their distinct contents sorted by bin.
+
+    ``lead``: the first run of each content; ``bucket``, ``least`` and ``most``: its bin, and the smallest and largest ids
+    of documents that have it; ``kind``: the content of each run.
+    """
+
+    def __init__(self, h: np.ndarray, count: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, lengths: np.ndarray, content: np.ndarray, bins: int) -> None:
+        self.h, self.count, self.row, self.pos, self.lengths, self.content = h, count, row, pos, lengths, content
+        self.starts = np.cumsum(lengths) - lengths
+        kind, lead = distinct(h, self.starts, lengths, content)
+        bucket = (mix(h[lead]) % np.uint64(bins)).astype(np.int64)
+        order = np.lexsort((lead, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.kind, self.lead, self.bucket = place[kind], lead[order], bucket[order]
+        self.least, self.most = np.full(len(lead), NULL_ID, np.int64), np.full(len(lead), np.iinfo(np.int64).min, np.int64)
+        np.minimum.at(self.least, self.kind, ids[row])
+        np.maximum.at(self.most, self.kind, ids[row])
+
+    def covered(self, told: list[tuple[int, bytes]], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first window and how many windows that also start in a smaller document, sorted by row."""
+        base = dict(zip(self.bucket[runs(self.bucket)].tolist(), runs(self.bucket).tolist(), strict=True))
+        got = [(base[bucket], unpack(blob)) for bucket, blob in told]
+        kind = np.concatenate([b + p[0].astype(np.int64) for b, p in got])
+        start, number, least = (np.concatenate([p[i] for _, p in got]) for i in (1, 2, 3))
+        by = np.argsort(self.kind, kind="stable")
+        first = np.searchsorted(self.kind[by], np.arange(len(self.lead) + 1))
+        copies = first[kind + 1] - first[kind]
+        run = by[spread(first[kind], copies)]
+        start, number, least = (np.repeat(x.astype(np.int64), copies) for x in (start, number, least))
+        yes = least < ids[self.row[run]]
+        run, start, number = run[yes], start[yes], number[yes]
+        order = np.argsort(self.row[run], kind="stable")
+        run, start, number = run[order], start[order], number[order]
+        return self.row[run], self.pos[run] + start, number
+
+
+def distinct(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each run, equal for equal prefixes and contents, and the first run of each kind."""
     sums = np.empty(len(h), np.uint64)
     step = max(1, (1 << 21) // max(1, int(lengths.max())))
     for a in range(0, len(h), step):  # a content's hash, some contents at a time
@@ -411,48 +453,35 @@ def _covered(h: np.ndarray, count: np.ndarray, doc: np.ndarray, lengths: np.ndar
     new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (sums[order][1:] != sums[order][:-1])))
     kind = np.empty(len(h), np.int64)
     kind[order] = np.cumsum(new) - 1
-    lead = order[new]  # the first run of each kind
-    kind, lead = _exact(kind, lead, starts, lengths, content, step)
-    least = np.full(len(lead), NULL_ID, np.int64)
-    np.minimum.at(least, kind, doc)
-    group = h[lead]
-    g_order = np.argsort(group, kind="stable")
-    at = runs(group[g_order])
-    size = np.diff(np.append(at, len(group)))
-    alone = np.empty(len(lead), bool)
-    alone[g_order] = np.repeat(size == 1, size)
-    # Kinds that are alone with their anchor: all windows share one answer.
-    run_alone = alone[kind]
-    hit = np.flatnonzero(run_alone & (least[kind] < doc))
-    out = [(hit, np.zeros(len(hit), np.int64), count[hit])]
-    mixed = np.flatnonzero(~alone)
-    if len(mixed):
-        number = np.empty(len(lead), np.int64)
-        number[mixed] = np.arange(len(mixed))
-        src = lead[mixed]
-        gid = np.unique(group[mixed], return_inverse=True)[1]
-        n = lengths[src]
-        text = content[spread(starts[src], n)]
-        offsets = np.concatenate(([0], np.cumsum(n)))
-        windows = count[src]
-        classes = resolver(text, offsets, windows, gid)
-        first = np.cumsum(windows) - windows
-        best = np.full(int(classes.max()) + 1, NULL_ID, np.int64)
-        np.minimum.at(best, classes, np.repeat(least[mixed], windows))
-        answer = best[classes]
-        members = np.flatnonzero(~run_alone)
-        for a in range(0, len(members), 1 << 16):
-            m = members[a : a + (1 << 16)]
-            k = number[kind[m]]
-            w = count[m]
-            yes = answer[spread(first[k], w)] < np.repeat(doc[m], w)
-            run_of = np.repeat(np.arange(len(m)), w)
-            edge = np.flatnonzero(np.concatenate(([True], (yes[1:] != yes[:-1]) | (run_of[1:] != run_of[:-1]))))
-            long = np.diff(np.append(edge, len(yes)))
-            edge, long = edge[yes[edge]], long[yes[edge]]
-            base = (np.cumsum(w) - w)[run_of[edge]]
-            out.append((m[run_of[edge]], edge - base, long))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))  # type: ignore[return-value]
+    return _exact(kind, order[new], starts, lengths, content, step)
+
+
+def answers(h: np.ndarray, count: np.ndarray, least: np.ndarray, most: np.ndarray, lengths: np.ndarray, content: np.ndarray, resolver: Resolver) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each entry, runs of windows that start in a smaller document than its largest: (entry, first window, how many, document)."""
+    starts = np.cumsum(lengths) - lengths
+    kind, lead = distinct(h, starts, lengths, content)
+    smallest = np.full(len(lead), NULL_ID, np.int64)
+    np.minimum.at(smallest, kind, least)
+    n, windows = lengths[lead], count[lead]
+    text = content[spread(starts[lead], n)]
+    classes = resolver(text, np.concatenate(([0], np.cumsum(n))), windows, np.unique(h[lead], return_inverse=True)[1])
+    first = np.cumsum(windows) - windows
+    best = np.full(int(classes.max()) + 1, NULL_ID, np.int64)
+    np.minimum.at(best, classes, np.repeat(smallest, windows))
+    answer = best[classes]
+    out = []
+    for a in range(0, len(h), 1 << 16):
+        m = np.arange(a, min(len(h), a + (1 << 16)))
+        w = count[m]
+        got = answer[spread(first[kind[m]], w)]
+        run_of = np.repeat(np.arange(len(m)), w)
+        edge = np.flatnonzero(np.concatenate(([True], (got[1:] != got[:-1]) | (run_of[1:] != run_of[:-1]))))
+        long = np.diff(np.append(edge, len(got)))
+        keep = got[edge] < most[m][run_of[edge]]
+        edge, long = edge[keep], long[keep]
+        base = (np.cumsum(w) - w)[run_of[edge]]
+        out.append((m[run_of[edge]], edge - base, long, got[edge]))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))  # type: ignore[return-value]
 
 
 def _exact(kind: np.ndarray, lead: np.ndarray, starts: np.ndarray, lengths: np.ndarray, content: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:

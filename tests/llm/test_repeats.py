@@ -1,10 +1,12 @@
 import random
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import repeats
-from quire.llm.substring_dedup import dedup_words, op2_substring_dedup, tree_classes
+from quire.llm import repeats, suffix_array
+from quire.llm.substring_dedup import dedup_words, deep_nodes, op2_substring_dedup, tree_classes
 from quire.llm.suffix_array import dedup_bytes, op3_suffix_array_dedup
 from tests.llm.brute import bytes_removed, words_removed
 
@@ -46,8 +48,6 @@ def test_empty(spark):
 
 
 def test_prefix_groups_of_any_size():
-    import numpy as np
-
     words = ["a", "b"]
     rng = random.Random(5)
     contents = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(50)]
@@ -66,3 +66,33 @@ def test_queries_on_tables(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op3_suffix_array_dedup(spark, sf).collect())) == sorted(bytes_removed(docs))
     assert sorted(map(tuple, op2_substring_dedup(spark, sf).collect())) == sorted(words_removed(docs))
+
+
+def test_deep_nodes():
+    left, right = deep_nodes(np.array([3, 5, 6, 2, 7, 1]), 5)
+    assert list(zip(left.tolist(), right.tolist())) == [(1, 4), (4, 6)]
+    assert deep_nodes(np.empty(0, int), 5)[0].size == 0
+
+
+def test_every_window_passes_the_resolver(spark, monkeypatch, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(80))
+    docs = [(i, passage + f" own{i}") for i in range(40)] + [(99, "alone " * 3)]
+    folder, real = str(tmp_path), suffix_array.radix_classes
+
+    def counting(window):
+        inner = real(window)
+
+        def resolve(text, offsets, windows, group):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(int(windows.sum())))
+            return inner(text, offsets, windows, group)
+
+        return resolve
+
+    monkeypatch.setattr(suffix_array, "radix_classes", counting)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dedup_bytes(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(bytes_removed(docs))
+    # Each window of the passage once for a bin at most, however many of a block's documents have it.
+    seen = sum(int(f.read_text()) for f in tmp_path.iterdir())
+    assert len(passage) - 49 <= seen <= 4 * (len(passage) + 60 * 40)

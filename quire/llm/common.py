@@ -29,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
-#: Tasks that may write a table of any size.
-FILES = 40
+#: Tasks that may write a table of any size, and one of a few columns of numbers.
+FILES, FEW = 40, 12
 
 
 def materialize(df: DataFrame, name: str = "part", files: int | None = None) -> DataFrame:
@@ -56,9 +56,14 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def files_for(rows: int, per: int = 50_000) -> int:
-    """Tasks to write ``rows`` rows: ``FILES``, or what holds about ``per`` rows in each."""
-    return max(FILES, rows // per)
+def files_for(rows: int, per: int = 50_000, least: int = FILES) -> int:
+    """Tasks to write ``rows`` rows: ``least``, or what holds about ``per`` rows in each."""
+    return max(least, rows // per)
+
+
+def compact(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, made from the table ``source`` row by row, in one task for each 2 MB of it at most (or ``FILES``)."""
+    return df.coalesce(max(FILES, plan_bytes(source) >> 21))
 
 
 def plan_bytes(df: DataFrame) -> int:

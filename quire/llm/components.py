@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, files_for, materialize
+from quire.llm.common import FEW, discard, files_for, materialize
 
 #: More steps than any graph of 2**60 nodes needs; reaching it is an error, not a result.
 STEPS = 120
@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     is aggregated map-side; the join that hands out its smallest neighbour is one that Spark splits at run time. Nodes without links do not appear; order and repeats of links don't matter.
     """
     a, b = links.columns[:2]
-    edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", files_for(links.count(), EDGES))
+    edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", files_for(links.count(), EDGES, FEW))
     last, parts = None, max(1, edges.count() // EDGES)
     for _ in range(STEPS):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import FILES, NULL_ID, discard, files_for, hot_lookup, materialize, mix, plan_bytes, rolling
+from quire.llm.common import FEW, FILES, NULL_ID, discard, files_for, hot_lookup, materialize, mix, plan_bytes, rolling
 from quire.llm.components import components
 from quire.llm.repeats import Chunk, chunks, runs, spread
 
@@ -293,7 +293,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     slot = lambda keys, slots: F.pmod(F.xxhash64(*keys), F.lit(slots))
     slots = max(least, met_rows // ENTRIES)
     dealt = shared.join(signed, "node").select(slot(["band", "v", "tile"], slots).alias("slot"), "band", "v", "tile", "node", "n", "bands")
-    pairs = materialize(dealt.groupBy("slot").applyInArrow(linked, "a long, b long").distinct(), "pairs", files_for(met_rows))
+    pairs = materialize(dealt.groupBy("slot").applyInArrow(linked, "a long, b long").distinct(), "pairs", files_for(met_rows, least=FEW))
 
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(shared.where("tiles > 1").select("node")).distinct()
     wanted = reps.join(nodes, "node", "left_semi").select("node", "id", "h")
@@ -335,11 +335,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     if in_doubt:
         slots = max(least, 8 * in_doubt // BYTES)
         dealt = doubt.join(texts, "node").withColumn("slot", slot(["band", "v", "i", "j"], slots))
-        more = materialize(dealt.groupBy("slot").applyInArrow(settled, "a long, b long").distinct(), "more", files_for(met_rows))
+        more = materialize(dealt.groupBy("slot").applyInArrow(settled, "a long, b long").distinct(), "more", files_for(met_rows, 5_000))
         again = components(more).toDF("__q_node", "__q_root")
         known = roots.unionAll(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))).distinct()
         roots = known.join(again, F.col("root") == F.col("__q_node"), "left").select("node", F.coalesce("__q_root", "root").alias("root"))
-        roots = materialize(roots.distinct(), "roots", files_for(met_rows))
+        roots = materialize(roots.distinct(), "roots", files_for(met_rows, least=FEW))
     discard(doubt, rest, shared, pairs, texts)
 
     members = reps.join(roots, "node").select("node", "root", "id", "h")
@@ -389,7 +389,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -
     count, mean = pairs.count(), texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2 * count * mean) // BYTES)
     salt = F.when(F.col("d").isNotNull(), F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / PARTNERS))).otherwise(0)
-    dealt = materialize(pairs.join(many, "a", "left").select(F.pmod(F.xxhash64("a", salt), F.lit(slots)).alias("slot"), "a", "b"), "dealt", files_for(count))
+    dealt = materialize(pairs.join(many, "a", "left").select(F.pmod(F.xxhash64("a", salt), F.lit(slots)).alias("slot"), "a", "b"), "dealt", files_for(count, least=FEW))
     need = dealt.select(F.col("slot").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def judge(asked: pa.Table, named: pa.Table) -> pa.Table:

@@ -96,3 +96,13 @@ def test_every_window_passes_the_resolver(spark, monkeypatch, tmp_path):
     # Each window of the passage once for a bin at most, however many of a block's documents have it.
     seen = sum(int(f.read_text()) for f in tmp_path.iterdir())
     assert len(passage) - 49 <= seen <= 4 * (len(passage) + 60 * 40)
+
+
+def test_cut_characters(spark):
+    same = "é" * 40
+    docs = [(1, "x" + same), (2, "zé" + same + "\ufffdend"), (3, "\u00e8\u00e8" + "ab" * 25), (4, "\u00e9\u00e8" + "ab" * 25)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup_bytes(df, as_text=True).collect()}
+    want = {r[0]: r for r in bytes_removed(docs)}
+    assert {i: (r.n_removed, r.n_spans) for i, r in got.items()} == {i: want[i][2:4] for i in want}
+    assert got[1].kept == docs[0][1] and got[2].kept == "z\ufffdend" and got[4].kept == "\u00e9"

@@ -29,7 +29,11 @@ def default_path() -> str:
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """(piece, score) of a sentencepiece file's ordinary pieces: the score is the logarithm of a Zipf share of its rank."""
+    """(piece, score) of a sentencepiece file's ordinary pieces.
+
+    No unigram file is at hand, so the scores of this vocabulary are a stand-in: the logarithm of a Zipf share of the piece's
+    rank in the file. ``count_tokens`` takes any pieces and scores in its place.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -50,6 +54,7 @@ class Counter(dict):
             self.find.add_word(piece, (len(piece), score))
         if pieces:
             self.find.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
 
     def __missing__(self, word: str) -> int:
@@ -61,31 +66,33 @@ class Counter(dict):
         return n
 
     def pieces_of(self, text: str) -> int:
-        size = len(text)
-        ends: list[list[tuple[int, float]] | None] = [None] * (size + 1)
-        for end, match in self.find.iter(text) if len(self.find) else ():
-            if ends[end + 1] is None:
-                ends[end + 1] = [match]
-            else:
-                ends[end + 1].append(match)
-        score, count, lost = [0.0] * (size + 1), [0] * (size + 1), [False] * (size + 1)
+        """Pieces of a text; matches are taken as the automaton finds them, by the place where they end."""
+        size, keep = len(text), self.longest
+        # Of the places before, only as many as the longest piece has characters are remembered.
+        score, count, lost = [0.0] * (keep + 1), [0] * (keep + 1), [False] * (keep + 1)
+        found = iter(self.find.iter(text) if len(self.find) else ())
+        end, match = next(found, (size, None))
         for at in range(1, size + 1):
             best, start, single = -math.inf, -1, False
-            for length, value in ends[at] or ():
+            while end == at - 1 and match is not None:
+                length, value = match
+                end, match = next(found, (size, None))
                 if length == 1:
                     single = True
                 s = at - length
-                got = value + score[s]
+                got = value + score[s % (keep + 1)]
                 if got > best or (got == best and s < start):
                     best, start = got, s
             if not single:  # the last to be tried, so it must be better
-                got = self.unknown + score[at - 1]
+                last = (at - 1) % (keep + 1)
+                got = self.unknown + score[last]
                 if got > best or start < 0:
-                    score[at], lost[at] = got, True
-                    count[at] = count[at - 1] + (0 if lost[at - 1] else 1)
+                    here = at % (keep + 1)
+                    score[here], count[here], lost[here] = got, count[last] + (0 if lost[last] else 1), True
                     continue
-            score[at], count[at] = best, count[start] + 1
-        return count[size]
+            here = at % (keep + 1)
+            score[here], count[here], lost[here] = best, count[start % (keep + 1)] + 1, False
+        return count[size % (keep + 1)]
 
     def tokens(self, text: str) -> tuple[int, int]:
         """Words and pieces of a text."""
@@ -100,19 +107,22 @@ class Counter(dict):
 _OPEN: dict[str, Counter] = {}
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pieces: list[tuple[str, float]] | None = None) -> DataFrame:
     """``id_col``, ``n_words`` (stretches that begin at a space or at the start) and ``n_tokens`` of each row's whole text.
 
-    Null and empty texts have none. Rows are counted one by one: repeated rows and null ids stay, other columns are ignored.
+    The vocabulary is ``pieces`` (with their log probabilities) or that of the file ``path``, whose scores are a stand-in (see
+    ``vocabulary``). Null and empty texts have none. A text of any length needs memory for one word's automaton only. Rows are counted one by one: repeated rows and null ids stay, other columns are ignored.
     """
     path = path or default_path()
     rows = docs.select(F.col(id_col).alias("__q_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__q_text"))
     schema = rows.drop("__q_text").schema.add("n_words", "long").add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _OPEN:
-            _OPEN[path] = Counter(vocabulary(path))
-        counter = _OPEN[path]
+        name = path if pieces is None else str(hash(tuple(pieces)))
+        if name not in _OPEN:
+            _OPEN.clear()
+            _OPEN[name] = Counter(vocabulary(path) if pieces is None else pieces)
+        counter = _OPEN[name]
         for batch in batches:
             found = [counter.tokens(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=schema.names)

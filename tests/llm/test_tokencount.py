@@ -34,3 +34,15 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (None, None, 1), (2, "", 0)], "doc_id long, text string, n_tokens int")
     assert sorted(map(tuple, tokencount.count_tokens(df).collect()), key=str) == sorted([(1, 2, 2), (1, 2, 2), (None, 0, 0), (2, 0, 0)], key=str)
     assert tokencount.count_tokens(df.limit(0)).count() == 0
+
+
+def test_query_and_other_pieces(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(8)
+    text = " ".join(r.text for r in docs.limit(40).collect())
+    own = {text[i : i + rng.randint(1, 6)].replace(" ", tokencount.SPACE) for i in (rng.randrange(len(text)) for _ in range(3000))}
+    other = [(p, -rng.random() * 12) for p in sorted(own) if p]
+    for pieces, got in ((tokencount.vocabulary(tokencount.default_path()), tokencount.op4_token_counts(spark, sf)), (other, tokencount.count_tokens(docs, pieces=other))):
+        want = library(pieces)
+        assert {r.doc_id: r.n_tokens for r in got.collect()} == {r.doc_id: want(r.text or "") for r in docs.collect()}

@@ -148,9 +148,10 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("tile", [512, 7])
-def test_embeddings(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile,longest", [(512, 4096), (7, 4096), (7, 20)])
+def test_embeddings(spark, monkeypatch, tile, longest):
     monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "LIST", longest)
     rows = cases()
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, n_links int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.links_and_classes(df).collect()}
@@ -210,3 +211,28 @@ def test_query(spark):
     got = minhash.op10_minhash(spark, sf)
     assert got.columns == ["doc_id", "class_id", "kept"]
     assert sorted(map(tuple, got.collect()), key=str) == classes_of(rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_embedding_query(spark, sf):
+    sf = f"/root/testdata/{sf}"
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    pairs = blockwise(rows)
+    got = {r.vec_id: r for r in embeddings.op5_embedding_dedup(spark, sf).collect()}
+    root = union(len(rows), pairs)
+    links = Counter(x for p in pairs for x in p)
+    assert len(got) == len(rows) and all(got[r[0]].n_links <= links[k] for k, r in enumerate(rows))
+    assert sum(r.n_links for r in got.values()) >= 0.98 * 2 * len(pairs)
+    assert sum(got[r[0]].component_id == rows[root[k]][0] for k, r in enumerate(rows)) >= 0.98 * len(rows)
+
+
+def blockwise(rows, cosine=0.98):
+    """Linked pairs of a table without odd vectors, a thousand rows against all at a time."""
+    label = np.array([r[2] for r in rows])
+    vec = np.array([r[1] for r in rows], float)
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    out = []
+    for a in range(0, len(rows), 1000):
+        x, y = np.nonzero((unit[a : a + 1000] @ unit.T >= cosine) & (label[a : a + 1000, None] == label))
+        out += [(i + a, j) for i, j in zip(x.tolist(), y.tolist(), strict=True) if i + a > j]
+    return out

@@ -2,13 +2,14 @@
 
 A suffix automaton of each language's labelled text recognises every substring of it. A document is parsed greedily: a
 phrase is the longest match from where the last one ended. Phrases are normalised by the document's length and the bits
-that name a place in the language's text. All automata lie in one dense table and step through many documents at once.
+that name a place in the language's text. Symbols are the UTF-8 bytes of letters in lower case, so any script is learned
+whole; a run of other characters is one symbol. All automata lie in one dense table and step through many documents at
+once.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quire.llm.sample import held_out, labelled_sample
 
-#: The bounds of the learning sample: rows of a language, and characters of its automaton.
-ROWS, CHARS = 200, 24_000
-LETTERS = 94
-#: Characters after which a phrase ends in any case, so that a very long text is parsed in parallel pieces.
+#: The bounds of the learning sample: rows of a language, characters of a row; bytes of a language's automaton, and of all.
+ROWS, ROW_CHARS, BYTES, ALL_BYTES = 80, 600, 24_000, 1 << 18
+#: Symbols of a piece; the pieces of a very long text are parsed side by side.
 SEGMENT = 8192
 UNKNOWN = "und"
 
@@ -32,21 +32,15 @@ class Automata:
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.langs = sorted(texts)
-        low = {k: texts[k].lower() for k in self.langs}
-        seen = Counter(c for t in low.values() for c in t if c.isalpha())
-        top = sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS]
-        self.symbol = np.zeros(0x110000, np.int32)  # 0: no letter, 1: a letter that was not learned
-        self.letter = np.zeros(0x110000, bool)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                self.letter[c], self.symbol[c] = True, 1
-        for i, c in enumerate(top):
-            self.symbol[ord(c)] = 2 + i
-        width = self.width = 2 + len(top)
+        self.letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+        spelled = [self.spelled(texts[k])[0] for k in self.langs]
+        self.symbol = np.zeros(256, np.int32)  # 0: a byte that was not learned
+        seen = np.unique(np.concatenate(spelled)) if spelled else np.empty(0, np.uint8)
+        self.symbol[seen] = 1 + np.arange(len(seen))
+        width = self.width = 1 + len(seen)
         tables, self.roots, self.bits, base = [], [], [], 0
-        for lang in self.langs:
-            codes = self.symbols(low[lang])[0]
-            table = automaton(codes, width)
+        for data in spelled:
+            table = automaton(self.symbol[data], width)
             root = table[0].copy()
             known = root >= 0
             # A missing step ends a phrase and begins the next one, or is a phrase by itself where the symbol is unknown.
@@ -54,40 +48,81 @@ class Automata:
             step[0] = np.where(known, root * 4, 1)
             tables.append(((step >> 2) + base) * width * 4 + (step & 3))
             self.roots.append(base * width)
-            self.bits.append(math.log2(len(codes) + 2))
+            self.bits.append(math.log2(len(data) + 2))
             base += len(table)
         self.table = np.concatenate(tables).ravel().astype(np.int64 if base * width * 4 >= 1 << 31 else np.int32) if tables else np.zeros(0, np.int32)
 
-    def symbols(self, text: str) -> tuple[np.ndarray, bool]:
-        """Symbols of ``text`` in lower case, runs of other characters as one, and whether it has a letter."""
+    def spelled(self, text: str) -> tuple[np.ndarray, bool]:
+        """Bytes of ``text`` in lower case, runs of other characters as one space, and whether it has a letter."""
         codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        s = self.symbol[codes]
-        return s[np.concatenate((np.ones(min(1, len(s)), bool), (s[1:] != 0) | (s[:-1] != 0)))], bool(self.letter[codes].any())
+        letter = self.letter[codes]
+        codes = np.where(letter, codes, np.uint32(0x20))[np.concatenate((np.ones(min(1, len(codes)), bool), letter[1:] | letter[:-1]))]
+        return np.frombuffer(codes.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8), bool(letter.any())
+
+    def symbols(self, text: str) -> tuple[np.ndarray, bool]:
+        data, has_letter = self.spelled(text)
+        return self.symbol[data], has_letter
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (row) in each language (column)."""
-        count = np.zeros((len(texts), len(self.langs)), np.int64)
+    def phrases(self, texts: list[np.ndarray], segment: int = SEGMENT) -> np.ndarray:
+        """Phrases of each text (row) in each language (column).
+
+        Pieces of a long text are parsed side by side, each as if a phrase began with it. Then each piece is begun again in
+        the state in which the piece before it ends, until both parses are in one state: what follows is the same. A
+        text of which a piece is over before that is parsed again in one.
+        """
+        roots = np.array(self.roots, self.table.dtype)[:, None]
         sizes = np.array([len(t) for t in texts], np.int64)
-        pieces = np.maximum(1, -(-sizes // SEGMENT))
+        pieces = np.maximum(1, -(-sizes // segment))
         owner = np.repeat(np.arange(len(texts)), pieces)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         flat = np.concatenate(texts) if texts else np.empty(0, np.int32)
-        starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + number * SEGMENT
-        lengths = np.minimum(SEGMENT, sizes[owner] - number * SEGMENT)
+        starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + number * segment
+        lengths = np.minimum(segment, sizes[owner] - number * segment)
+        state, total = self.parse(flat, starts, lengths, np.repeat(roots, len(owner), axis=1))
+        later = np.flatnonzero(number > 0)
+        lost = np.zeros(len(texts), bool)
+        if len(later):
+            last = number[later] == pieces[owner[later]] - 1
+            more, end, met = self.resume(flat, starts[later], lengths[later], state[:, later - 1], np.repeat(roots, len(later), axis=1))
+            total[:, later] += more
+            cut = ~met.all(axis=0)
+            state[:, later] = np.where(met, state[:, later], end)  # a last piece that is over too soon ends in the true state
+            lost[owner[later[cut & ~last]]] = True
+        finals = np.cumsum(pieces) - 1
+        count = np.stack([np.bincount(owner, total[k], len(texts)) for k in range(len(self.langs))], axis=1).astype(np.int64) if self.langs else np.zeros((len(texts), 0), np.int64)
+        count += (state[:, finals] != roots).T  # the phrase that the end cuts off
+        for i in np.flatnonzero(lost).tolist():
+            count[i] = self.phrases([texts[i]], max(segment, len(texts[i])))[0]
+        return count
+
+    def parse(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states in which pieces end, and how many phrases end in them."""
         order = np.argsort(-lengths, kind="stable")
-        starts, lengths, owner = starts[order], lengths[order], owner[order]
-        roots = np.array(self.roots, self.table.dtype)[:, None]
-        state = np.repeat(roots, len(owner), axis=1)
+        starts, lengths, state = starts[order], lengths[order], np.ascontiguousarray(state[:, order])
         total = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), side="left")
         for j, a in enumerate(active.tolist()):
             v = self.table[state[:, :a] + flat[starts[:a] + j]]
             total[:, :a] += v & 3
             state[:, :a] = v >> 2
-        total += state != roots  # the phrase that the end cuts off
-        for k in range(len(self.langs)):
-            count[:, k] = np.bincount(owner, total[k], len(texts)).astype(np.int64)
-        return count
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return state[:, back], total[:, back]
+
+    def resume(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, state: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases more if pieces begin in ``state`` than in ``fresh``, the states at the end or meeting, and which met."""
+        state, fresh, more = state.copy(), fresh.copy(), np.zeros(state.shape, np.int64)
+        met, j = state == fresh, 0
+        while True:
+            at = np.flatnonzero((lengths > j) & ~met.all(axis=0))
+            if not len(at):
+                return more, state, met
+            symbol = flat[starts[at] + j]
+            v, w = self.table[state[:, at] + symbol], self.table[fresh[:, at] + symbol]
+            more[:, at] += (v & 3).astype(np.int64) - (w & 3)
+            state[:, at], fresh[:, at] = v >> 2, w >> 2
+            met[:, at] |= state[:, at] == fresh[:, at]
+            j += 1
 
 
 def automaton(codes: np.ndarray, width: int) -> np.ndarray:
@@ -128,13 +163,26 @@ def automaton(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Up to ``CHARS`` characters of text of each language, from at most ``ROWS`` rows that are not held out."""
-    rows = labelled_sample(docs, ROWS, CHARS, id_col, text_col, lang_col, ~held_out(id_col)).collect()
-    texts: dict[str, str] = {}
+    """Text of each language: up to ``ROW_CHARS`` characters of each of at most ``ROWS`` rows that are not held out.
+
+    A language gets about ``BYTES`` bytes, less where all would get more than ``ALL_BYTES``; its rows give equal parts of that.
+    Labels of which no chosen row has a letter are not learned.
+    """
+    rows = labelled_sample(docs, ROWS, ROW_CHARS, id_col, text_col, lang_col, ~held_out(id_col)).collect()
+    found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["__q_lang"], r["__q_rank"])):
-        have = texts.get(r["__q_lang"], "")
-        if len(have) < CHARS and any(c.isalpha() for c in r["__q_sample"]):
-            texts[r["__q_lang"]] = (have + "\n" + r["__q_sample"])[: CHARS + 1]
+        if any(c.isalpha() for c in r["__q_sample"]):
+            found.setdefault(r["__q_lang"], []).append(r["__q_sample"])
+    room = min(BYTES, ALL_BYTES // max(1, len(found)))
+    texts = {}
+    for lang, parts in found.items():
+        joined, size = [], 0
+        for part in parts:
+            joined.append(part[: max(16, room // 4)])
+            size += len(joined[-1].encode("utf-8", "replace"))
+            if size >= room:
+                break
+        texts[lang] = "\n".join(joined)
     return texts
 
 

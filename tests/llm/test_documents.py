@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quire.llm import langid, quality
@@ -24,16 +25,33 @@ def phrases(train, text):
 
 
 def test_phrase_counts():
-    texts = {"aa": "the cat sat on the mat and the dog ran", "bb": "le chat est sur la table et le chien"}
+    texts = {"aa": "the cat sat on the mat and the dog ran", "bb": "le chat est sur la table et le chien", "cc": "ο σκύλος και η γάτα στο χαλί"}
     m = langid.Automata(texts)
-    asked = ["the dog sat", "le chien est", "zzz", "", "a", "the thé ¡! mat", "the cat " * 30, "dog" * 4000]
+    asked = ["the dog sat", "le chien est", "zzz", "", "a", "the thé ¡! mat", "the cat " * 30, "dog" * 400, "γάτα, σκύλος", "日本語 the", "ο" * 50, "q" * 40 + " the cat", "the cat and the dog " * 20 + "z"]
     symbols = [m.symbols(t)[0] for t in asked]
-    got = m.phrases(symbols)
-    for k, lang in enumerate(m.langs):
-        train = "".join(chr(65 + s) for s in m.symbols(texts[lang])[0])
-        for i, s in enumerate(symbols):
-            parts = [s[a : a + langid.SEGMENT] for a in range(0, max(1, len(s)), langid.SEGMENT)]
-            assert got[i, k] == sum(phrases(train, "".join(chr(65 + x) for x in p)) for p in parts)
+    want = [[phrases("".join(chr(65 + s) for s in m.symbols(texts[lang])[0]), "".join(chr(65 + x) if x else "?" for x in s)) for lang in m.langs] for s in symbols]
+    for segment in (1, 2, 3, 7, 50, 8192):
+        assert m.phrases(symbols, segment).tolist() == want, segment
+
+
+def test_scripts_do_not_crowd_one_another_out():
+    latin = {f"l{i}": "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(3000)) for i in range(8)}
+    greek = {"el": "η γλώσσα και το κείμενο " * 40, "ru": "язык и текст " * 40, "ja": "日本語の文章です。" * 40}
+    m = langid.Automata(latin | greek)
+    for lang, text in (("el", "το κείμενο και η γλώσσα"), ("ru", "текст и язык"), ("ja", "文章の日本語")):
+        cost = m.phrases([m.symbols(text)[0]])[0] * np.array(m.bits)
+        assert m.langs[cost.argmin()] == lang
+
+
+def test_very_long_texts_and_many_labels(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} common words " * 30, f"lang{i % 90:02d}") for i in range(360)]
+    rows.append((1000, "wab common words " * 40_000, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    learned = {lang for i, _, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(model) == learned and len(learned) > 64 and sum(map(len, model.values())) <= 2 * langid.ALL_BYTES
+    got = {r.doc_id: r for r in langid.identify(df.where("doc_id = 1000"), model).collect()}
+    assert got[1000].lang_pred in learned and 0 <= got[1000].score <= 1
 
 
 def test_identify(spark):
@@ -41,7 +59,7 @@ def test_identify(spark):
     docs += [(100, None, "en", 0.0), (101, "", None, 0.0), (102, "123 !? \n", "en", 0.0), (103, "the dog sat", None, 0.0), (None, "le chien", "xx", 0.0), (103, "the dog sat", None, 0.0)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, score double")
     model = langid.learn(df)
-    assert set(model) == {"en", "fr"} and all(len(t) <= langid.CHARS + 1 for t in model.values())
+    assert set(model) == {"en", "fr"} and all(len(t) <= 2 * langid.BYTES for t in model.values())
     got = langid.identify(df, model).collect()
     by = {(r.doc_id, r.text): r for r in got}
     assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got)
@@ -131,3 +149,57 @@ def test_words_of_another_language_and_no_common_words(spark):
     none = spark.createDataFrame([(n, " ".join(f"wo{chr(97 + i % 26)}{chr(97 + i // 26)}rd" for i in range(n)), lang) for n in (100, 150, 600) for lang in ("en", "es", "fr", "de")], "doc_id long, text string, lang string")
     got = judged(none)
     assert not any(r.kept for r in got) and len(got) == 12
+
+
+def distance(p, q):
+    """Jensen-Shannon distance by definition."""
+    kl = lambda a, m: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    return max(0.0, (kl(p, m) + kl(q, m)) / 2) ** 0.5
+
+
+def test_quality_query_by_definition(spark):
+    """The verdict of every document: distances and limits computed again from the references."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    refs = {r["__q_lang"]: r for r in quality.references(docs.select("doc_id", "text", "lang")).collect()}
+    rows = {r.doc_id: r for r in quality.op9_quality_rules(spark, SF).collect()}
+    judged = 0
+    for d in docs.collect():
+        r, t, ref = rows[d.doc_id], d.text or "", refs.get(d.lang)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == counters(t)
+        words, near = WORD.findall(t), True
+        if ref and len(t) >= quality.LEAST_CHARS:
+            kinds = [sum(c.isalpha() for c in t), sum(c in " \t\n\x0b\x0c\r" for c in t), sum(c in "0123456789" for c in t), sum(c in "#*$%&|<>" for c in t)]
+            p = [x / len(t) for x in (*kinds, len(t) - sum(kinds))]
+            assert abs(r.js_classes - distance(p, ref["__q_ref_classes"])) < 1e-6
+            near &= r.js_classes <= quality.MOST_CLASSES
+        else:
+            assert r.js_classes is None
+        if ref and len(words) >= quality.LEAST_WORDS:
+            rest = lambda a: [*a, max(0.0, 1 - sum(a))]
+            shares, none = rest([words.count(w) / len(words) for w in ref["__q_ref_words"]]), rest([0.0] * len(ref["__q_ref_words"]))
+            own = rest(ref["__q_ref_shares"])
+            assert abs(r.js_words - distance(shares, own)) < 1e-6
+            near &= r.js_words <= min(quality.MOST_WORDS + quality.SHORT / len(words) ** 0.5, quality.REACH * distance(none, own))
+            judged += 1
+        else:
+            assert r.js_words is None
+        assert r.kept == (not r.base_failed and near)
+    assert judged > 50
+
+
+def test_language_query_by_definition(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs)
+    m = langid.Automata(model)
+    train = {k: "".join(chr(65 + s) for s in m.symbols(t)[0]) for k, t in model.items()}
+    got = {r.doc_id: r for r in langid.op7_language_id(spark, SF).collect()}
+    some = [d for d in docs.collect() if d.text and len(d.text) < 900][:40]
+    for d in some:
+        s = m.symbols(d.text)[0]
+        text = "".join(chr(65 + x) if x else "?" for x in s)
+        cost = [phrases(train[k], text) * b / max(1, len(s)) for k, b in zip(m.langs, m.bits, strict=True)]
+        order = np.argsort(cost, kind="stable")
+        assert got[d.doc_id].lang_pred == m.langs[order[0]]
+        assert abs(got[d.doc_id].score - (1 - cost[order[0]] / cost[order[1]])) < 1e-9
+    assert len(some) == 40

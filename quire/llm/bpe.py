@@ -1,18 +1,19 @@
 """BPE encoding and decoding by tree concatenation, equal to the tokenizers library's result.
 
-A long text is cut in halves, again and again, where a character that is not white space meets white space: no match of
-the vocabulary's split pattern spans such a place. Parts are encoded in parallel as rows of their own and joined pairwise:
-at each join a window of tokens is encoded again and grows until its first and last tokens are those of both sides. A
-piece that the pattern can't cut (a very long run of letters, say) is halved at any byte and joined the same way. Two
-sides that agree with the window on a whole token each are exact: neighbours in a BPE sequence that are right pairwise
-are right as a whole.
+A long text is cut into parts that are encoded in parallel as rows of their own. Where the vocabulary's split pattern cuts
+it, parts are simply put side by side. A piece that the pattern does not cut (a very long run of letters, say) is halved,
+again and again, at any byte, and neighbours are joined pairwise: a window of tokens around each join is encoded again
+and grows until its first and last tokens are those of both sides. Two sides that agree with the window on a whole token
+each are exact: neighbours in a BPE sequence that are right pairwise are right as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Bytes of an uncut piece that one leaf encodes, and characters of a text that one row encodes.
+#: Bytes of an uncut piece that one leaf encodes, and bytes of a text that one row encodes.
 LEAF, PART = 2048, 1 << 16
 #: Pieces whose tokens a worker remembers; when full it forgets them all.
 REMEMBER = 300_000
@@ -96,11 +97,7 @@ class TreeBPE:
         m = 4
         while True:
             a, b = left[-m:], right[:m]
-            try:
-                again = encode(b"".join(self.bytes_of[i] for i in a + b))
-            except UnicodeDecodeError:  # the window's ends lie within characters
-                m *= 2
-                continue
+            again = encode(b"".join(self.bytes_of[i] for i in a + b))
             if (m >= len(left) or again[0] == a[0]) and (m >= len(right) or again[-1] == b[-1]):
                 return left[: len(left) - len(a)] + again + right[len(b) :]
             m *= 2
@@ -140,20 +137,46 @@ def opened(path: str) -> TreeBPE:
     return _OPEN[path]
 
 
-def halves(text: str, most: int = PART) -> list[str]:
-    """``text`` cut in halves until no part is over ``most`` characters or no safe place is left in it."""
-    if len(text) <= most:
-        return [text]
-    mid = len(text) // 2
-    for step in range(mid):
-        for at in (mid + step, mid - step):
-            if 0 < at < len(text) and text[at] in " \n" and not _white(text[at - 1]):
-                return halves(text[:at], most) + halves(text[at:], most)
-    return [text]
+def halves(data: bytes, most: int = PART) -> list[bytes]:
+    """``data`` cut in halves until no part is over ``most`` bytes."""
+    if len(data) <= most:
+        return [data]
+    mid = len(data) // 2
+    return halves(data[:mid], most) + halves(data[mid:], most)
 
 
-def _white(c: str) -> bool:
-    return c.isspace() or c in "\x1c\x1d\x1e\x1f"
+def cuts(bpe: TreeBPE, text: str, most: int = PART) -> list[tuple[int, bytes]]:
+    """``text`` in parts of about ``most`` bytes or less, with the number of the run to which a part belongs.
+
+    A run is a stretch between two places where the pattern cuts; only a piece that it does not cut has several parts.
+    """
+    out: list[tuple[int, bytes]] = []
+    held: list[str] = []
+    size = 0
+
+    def close() -> None:
+        nonlocal size
+        if held:
+            out.append((len(out), "".join(held).encode()))
+            held.clear()
+            size = 0
+
+    sections = bpe.specials.split(text) if bpe.specials is not None else [text]
+    for k, section in enumerate(sections):
+        for piece in [section] if k % 2 else (bpe.find if bpe.other(section) else bpe.find_latin)(section):
+            if len(piece) > most // 4:
+                data = piece.encode()
+                if len(data) > most:
+                    close()
+                    run = len(out)
+                    out += [(run, part) for part in halves(data, most)]
+                    continue
+            held.append(piece)
+            size += len(piece)
+            if size >= most // 2:
+                close()
+    close()
+    return out
 
 
 def encode_documents(docs: DataFrame, columns: Callable[[str, bytes], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, part: int = PART) -> DataFrame:
@@ -179,34 +202,45 @@ def encode_documents(docs: DataFrame, columns: Callable[[str, bytes], tuple], sc
                 some = batch.slice(at, 512)
                 yield table(some.column(0).to_pylist(), [columns(*bpe.csv(t)) for t in some.column(1).to_pylist()])
 
+    cut_names = ["__q_id", "__q_key", "__q_no", "__q_run", "__q_alone", "__q_part"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = opened(path)
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = hashlib.sha256(t.encode()).digest()
-                cuts = halves(t, part)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(cuts), pa.int64()), pa.array([key] * len(cuts), pa.binary()), pa.array(range(len(cuts)), pa.int64()), pa.array(cuts, pa.string())], names=["__q_id", "__q_key", "__q_no", "__q_part"])
+                found = cuts(bpe, t, part)
+                many = Counter(r for r, _ in found)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([key] * len(found), pa.binary()), pa.array(range(len(found)), pa.int64()), pa.array([r for r, _ in found], pa.int64()), pa.array([many[r] == 1 for r, _ in found]), pa.array([p for _, p in found], pa.binary())], names=cut_names)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a part that is a run by itself its text is encoded, of a part of a longer piece its bytes."""
         bpe = opened(path)
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([row["__q_id"]], pa.int64()), pa.array([row["__q_key"]], pa.binary()), pa.array([row["__q_no"]], pa.int64()), pa.array([bpe.encode(row["__q_part"])], pa.list_(pa.int32()))], names=["__q_id", "__q_key", "__q_no", "__q_ids"])
+                ids = bpe.encode(row["__q_part"].decode()) if row["__q_alone"] else bpe.piece(row["__q_part"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["__q_id"]], pa.int64()), pa.array([row["__q_key"]], pa.binary()), pa.array([row["__q_no"]], pa.int64()), pa.array([row["__q_run"]], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=[*cut_names[:4], "__q_ids"])
 
     def joined(t: pa.Table) -> pa.Table:
         bpe = opened(path)
         t = t.sort_by("__q_no")
-        number, ids = t.column("__q_no").to_pylist(), t.column("__q_ids").to_pylist()
+        number, run, ids = (t.column(c).to_pylist() for c in ("__q_no", "__q_run", "__q_ids"))
         copies = number.count(0)
-        sides = ids[::copies]  # repeated rows have equal parts
-        again = lambda data: bpe.encode(data.decode())
-        while len(sides) > 1:
-            sides = [bpe.join(sides[k], sides[k + 1], again) if k + 1 < len(sides) else sides[k] for k in range(0, len(sides), 2)]
-        got = columns(",".join(map(str, sides[0])), bpe.decode(sides[0]))
+        run, ids = run[::copies], ids[::copies]  # repeated rows have equal parts
+        whole: list[int] = []
+        for _, group in itertools.groupby(zip(run, ids, strict=True), key=lambda x: x[0]):
+            sides = [x for _, x in group]
+            while len(sides) > 1:
+                sides = [bpe.join(sides[k], sides[k + 1], bpe.core._encode_single_piece) if k + 1 < len(sides) else sides[k] for k in range(0, len(sides), 2)]
+            whole += sides[0]
+        got = columns(",".join(map(str, whole)), bpe.decode(whole))
         return pa.Table.from_batches([table([t.column("__q_id")[0].as_py()] * copies, [got] * copies)])
 
     long = F.length("__q_text") > part
-    parts = rows.where(long).mapInArrow(cut, "__q_id long, __q_key binary, __q_no long, __q_part string")
-    whole = parts.repartition("__q_id", "__q_key", "__q_no").mapInArrow(leaves, "__q_id long, __q_key binary, __q_no long, __q_ids array<int>").groupBy("__q_id", "__q_key").applyInArrow(joined, full)
+    parts = rows.where(long).mapInArrow(cut, "__q_id long, __q_key binary, __q_no long, __q_run long, __q_alone boolean, __q_part binary")
+    dealt = parts.repartition("__q_id", "__q_key", "__q_no")
+    encoded = dealt.mapInArrow(leaves, "__q_id long, __q_key binary, __q_no long, __q_run long, __q_ids array<int>")
+    whole = encoded.groupBy("__q_id", "__q_key").applyInArrow(joined, full)
     return rows.where(~long).mapInArrow(short, full).unionByName(whole).withColumnRenamed("__q_id", id_col)
 
 

@@ -50,3 +50,25 @@ def test_documents(spark, library):
         want.append((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
     assert got == sorted(want, key=str)
     assert bpe.encode_documents(df.limit(0), bpe.digests, bpe.DIGESTS).count() == 0
+
+
+def test_long_text_without_white_space(spark, library):
+    rng = random.Random(2)
+    long = ["".join(rng.choice("abcdefgh") for _ in range(1_000_000)), "é" * 150_001, "x y " * 30_000 + "z" * 90_000 + " <|endoftext|>" + "!?" * 50_000]
+    tree = bpe.opened(bpe.default_path())
+    parts = [bpe.cuts(tree, t) for t in long]
+    assert len(parts[0]) >= 16 and len({r for r, _ in parts[0]}) == 1 and max(len(p) for x in parts for _, p in x) <= bpe.PART
+    assert [b"".join(p for _, p in x) for x in parts] == [t.encode() for t in long]
+    df = spark.createDataFrame(list(enumerate(long)) + [(0, long[0])], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in bpe.encode_documents(df, bpe.digests, bpe.DIGESTS).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(long)}
+
+
+def test_query(spark, library):
+    sf = "/root/testdata/sf0.001"
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, bpe.op8_bpe(spark, sf).collect())) == sorted(want)

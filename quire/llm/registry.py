@@ -11,6 +11,7 @@ from quire.llm.embeddings import op5_embedding_dedup
 from quire.llm.langid import op7_language_id
 from quire.llm.minhash import op10_minhash
 from quire.llm.mixing import op6_mix_sources
+from quire.llm.oracles import ORACLES
 from quire.llm.quality import op9_quality_rules
 from quire.llm.substring_dedup import op2_substring_dedup
 from quire.llm.suffix_array import op3_suffix_array_dedup
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

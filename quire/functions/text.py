@@ -79,8 +79,18 @@ def highlight(c: Column, query: str) -> Column:
     return F.regexp_replace(c, f"(?iu){_quote(query)}", "<mark>$0</mark>") if query else c
 
 
+def whole_word(pattern: str) -> str:
+    """``pattern`` with neither an ASCII letter, a digit nor an underscore on either side."""
+    return f"(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])"
+
+
 def highlight_word(c: Column, word: str) -> Column:
-    return F.regexp_replace(c, rf"(?iu)\b{_quote(word)}\b", "<mark>$0</mark>") if word else c
+    return F.regexp_replace(c, "(?iu)" + whole_word(_quote(word)), "<mark>$0</mark>") if word else c
+
+
+def words_and_gaps(c: Column) -> Column:
+    """A text cut into words and the white space between them; together they are the text."""
+    return F.regexp_extract_all(c, F.lit(r"\s+|\S+"), F.lit(0))
 
 
 def _quote(text: str) -> str:
@@ -106,36 +116,73 @@ def description(c: Column, most: int = 160) -> Column:
     return F.when(F.length(c) > most, F.concat(cut, F.lit("…"))).otherwise(c)
 
 
+ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+
+
 def roman_to_int(c: Column) -> Column:
-    """Value of a Roman numeral; other letters count nothing."""
-    values = F.create_map(*[F.lit(x) for kv in {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.items() for x in kv])
+    """Value of a Roman numeral: a letter below the one after it is taken off; other letters count nothing."""
+    values = F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv])
     letters = F.transform(F.reverse(F.split(F.upper(c), "")), lambda x: F.coalesce(F.try_element_at(values, x), F.lit(0)))
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last"))
-    add = lambda a, v: F.struct((a["sum"] + F.when(v < a["last"], -v).otherwise(v)).alias("sum"), F.greatest(a["last"], v).alias("last"))
+    add = lambda a, v: F.struct((a["sum"] + F.when(v < a["last"], -v).otherwise(v)).alias("sum"), v.alias("last"))
     return F.aggregate(letters, start, add, lambda a: a["sum"])
 
 
-SMALL_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "in", "of", "on", "or", "the", "to", "with")
+#: Words that stay small in the middle of a title (fixed values).
+SMALL_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "in", "nor", "of", "on", "or", "so", "the", "to", "up")
 
 
 def title_case(c: Column, small: tuple[str, ...] = SMALL_WORDS) -> Column:
-    """First letters upper, others lower; small words stay lower unless they come first."""
-    words = F.split(F.lower(c), " ")
-    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*small), w).otherwise(first_upper(w))), " ")
+    """First letters upper, others lower; small words stay lower unless they come first or last. Gaps become one space."""
+    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    cased = lambda ws: F.transform(ws, lambda w, i: F.when((i > 0) & (i < F.size(ws) - 1) & w.isin(*small), w).otherwise(first_upper(w)))
+    return F.array_join(let(words, cased), " ")
 
 
 def title_if_caps(c: Column) -> Column:
-    return F.when((c == F.upper(c)) & (c != F.lower(c)), F.initcap(F.lower(c))).otherwise(c)
+    """Text without small letters with a capital at the head of each run of letters; other text as it is."""
+    runs = F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), first_upper)
+    return F.when(c == F.upper(c), F.array_join(runs, "")).otherwise(c)
 
 
 def poem_title(c: Column) -> Column:
     return F.regexp_replace(strip(F.split_part(c, F.lit(";"), F.lit(1))), "^The ", "")
 
 
+#: Signs of printed text and the letters that stand for them (fixed values).
+PRINT_SIGNS = [("¶", ""), ("\u200a", ""), ("\u00ad", ""), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("æ", "ae"), ("Æ", "Ae"), ("œ", "oe"), ("Œ", "Oe")]
+
+
 def ligatures(c: Column) -> Column:
-    """Printed text's marks as plain letters: pilcrow, hair and soft spaces, ligatures, words cut at line ends."""
-    pairs = [("¶", ""), (" ", ""), ("­", ""), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")]
-    return strip(F.regexp_replace(F.regexp_replace(replace_in_order(c, pairs), r"(\p{L})-\s+(\p{Ll})", "$1$2"), r"\s+", " "))
+    """Printed text's signs as plain letters, single spaces, none before punctuation, and words cut at line ends put together.
+
+    A word goes on in a small letter without its hyphen, in a capital with it.
+    """
+    c = strip(F.regexp_replace(replace_in_order(c, PRINT_SIGNS), r"\s+", " "))
+    c = F.regexp_replace(c, r" ([,;.!?])(?![.\w])", "$1")
+    return F.regexp_replace(F.regexp_replace(c, r"(\w)- ([a-z])", "$1$2"), r"(\w)- ([A-Z])", "$1-$2")
+
+
+def drop_capital(c: Column) -> Column:
+    """A first word that print sets in capitals after its initial, in small letters; a divine name after I, O or A stays."""
+    lone, word = r"^([IOA]) ([A-Z]{2,})\b", r"^[A-Z]{2,}(?=[\s,;:.]|$)"
+    second = F.regexp_extract(c, lone, 2)
+    after = F.substring(c, F.length(second) + 3, F.length(c))
+    small = F.concat(F.substring(c, 1, 2), F.lower(second), after)
+    head = F.regexp_extract(c, word, 0)
+    rest = F.concat(F.substring(c, 1, 1), F.lower(F.substring(head, 2, F.length(head))), F.substring(c, F.length(head) + 1, F.length(c)))
+    return F.when(second.isin("LORD", "GOD"), c).when(second != "", small).when(head != "", rest).otherwise(c)
+
+
+def printed(c: Column) -> Column:
+    """A printed verse as plain text: signs, first word, marks and divine names."""
+    return normalize_divine_names(clean_text(drop_capital(ligatures(c))))
+
+
+def index_slug(url: Column) -> Column:
+    """The folder of an index page's address; an address of another kind as it is."""
+    slug = F.regexp_extract(url, r"^.*/([^/]+)/index\.htm", 1)
+    return F.when(slug != "", slug).otherwise(url)
 
 
 def caps_first_words(c: Column) -> Column:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a key that one window may have to sort, about.
-RANGE = 100_000
+#: Rows of a range, about, and ranges at most.
+RANGE, RANGES = 100_000, 1024
 
 
-def latest_before(rows: DataFrame, key: str, order: tuple[str, ...], is_marker: Column, value: str, ranges: int = 64) -> DataFrame:
+def latest_before(rows: DataFrame, key: str, order: tuple[str, ...], is_marker: Column, value: str, ranges: int | None = None) -> DataFrame:
     """``rows`` with ``marker``: ``value`` of the key's latest marker that is not after the row.
 
     A key's rows are dealt over ranges of the first order column, cut at quantiles of the whole table, so a key that holds much of the
-    table is shared by many tasks; a range without an earlier marker takes the last one of the ranges before it.
+    table is shared by many tasks; a range without an earlier marker takes the last one of the ranges before it. ``ranges``
+    follows from the number of rows.
     """
+    ranges = ranges or max(1, min(RANGES, rows.count() // RANGE))
     first = F.col(order[0])
     if dict(rows.dtypes)[order[0]].startswith(("timestamp", "date")):
         first = first.cast("timestamp")

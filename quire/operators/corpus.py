@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.plans.store import materialize
 
 INDEX_ORDER = ("work_id", "chapter_id", "section_idx", "verse_idx")
 SEARCH_LIMIT, POPOVER, PREVIEW, HISTORY = 100, 5, 25, 10
@@ -16,16 +17,19 @@ SEARCH_LIMIT, POPOVER, PREVIEW, HISTORY = 100, 5, 25, 10
 # ---------------------------------------------------------------- search
 
 
-def search(verses: DataFrame, query: str, work: str | None = None, book: str | None = None, chapter: str | None = None) -> DataFrame:
+def search(verses: DataFrame, query: str, work: str | None = None, book: str | None = None, chapter: str | None = None, books: DataFrame | None = None) -> DataFrame:
     """Verses that contain ``query`` in any case; a blank query finds nothing. The cheap filters come first.
 
-    A book counts only within a chosen work.
+    A book counts only within a chosen work, and, with the manifests' ``books`` at hand, only if that work has it.
     """
     q = query.strip().lower()
     out = verses if q else verses.limit(0)
     if work is not None:
         out = out.where(F.col("work_id") == work)
-        if book is not None:
+        if book is not None and books is not None:
+            known = books.where((F.col("work_id") == work) & (F.col("book_id") == book)).agg((F.count("*") > 0).alias("__q_known"))
+            out = out.crossJoin(F.broadcast(known)).where(~F.col("__q_known") | (F.col("book_id") == book)).drop("__q_known")
+        elif book is not None:
             out = out.where(F.col("book_id") == book)
     if chapter is not None:
         out = out.where(F.col("chapter_id") == chapter)
@@ -64,6 +68,13 @@ def word_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("verse_count"))
 
 
+def lookup(verses: DataFrame, word: str, stopwords: list[str]) -> DataFrame:
+    """The verses that hold a word of the concordance, with their texts. Only verses that contain its letters are tokenized."""
+    some = verses.where(F.contains(F.lower("text"), F.lit(word)))
+    found = F.array_contains(T.concordance_tokens(F.col("text")), word)
+    return some.where(found & F.lit(len(word) > 1 and word not in stopwords))
+
+
 def unknown_words(texts: DataFrame, words: DataFrame, stopwords: list[str]) -> DataFrame:
     """Words of ``texts`` that the concordance lacks."""
     seen = texts.select(F.explode(F.array_distinct(T.concordance_tokens(F.col("text")))).alias("word")).where(F.length("word") > 1)
@@ -77,38 +88,45 @@ VOCABULARY, LEAST_SCORE, TOP = 20_000, 0.1, 5
 BLOCK = 512
 
 
-def weights(chapters: DataFrame, stopwords: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
-    """``work_id``, ``book_id``, ``chapter_id``, ``term``, ``w``: smoothed tf-idf, unit length for each chapter.
+def vectors(chapters: DataFrame, stopwords: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
+    """``work_id``, ``book_id``, ``chapter_id`` and ``terms`` (of each its number ``k``, ``term`` and ``w``): smoothed tf-idf of unit length.
 
-    Terms are the ``vocabulary`` most frequent ones of the corpus (ties by term), a broadcast of bounded size.
+    Terms are the ``vocabulary`` most frequent ones of the corpus (ties by term), a broadcast of bounded size. Counts are
+    written once; a chapter's terms meet in one row, which gives its length without a join.
     """
     text = F.array_join(F.flatten(F.transform("sections", lambda s: s["verses"])), " ")
     keys = ["work_id", "book_id", "chapter_id"]
     rows = chapters.select(*keys, text.alias("text")).where(F.trim("text") != "")
     n = rows.agg(F.count("*").alias("n"))
-    tf = rows.select(*keys, F.explode(T.tfidf_tokens(F.col("text"))).alias("term")).where(~F.col("term").isin(stopwords)).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    tf = rows.select(*keys, F.explode(T.tfidf_tokens(F.col("text"))).alias("term")).where(~F.col("term").isin(stopwords))
+    tf = materialize(tf.groupBy(*keys, "term").agg(F.count("*").alias("tf")), "tf")
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(vocabulary)
-    terms = terms.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(F.broadcast(terms), "term").withColumn("x", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, keys).select(*keys, "term", "df", (F.col("x") / F.col("norm")).alias("w"))
+    terms = terms.crossJoin(F.broadcast(n)).select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("k"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = tf.join(F.broadcast(terms), "term").select(*keys, F.struct("k", "term", (F.col("tf") * F.col("idf")).alias("x")).alias("t"))
+    packed = raw.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, x: a + x["x"] * x["x"]))
+    return packed.withColumn("norm", norm).select(*keys, F.transform("t", lambda x: F.struct(x["k"].alias("k"), x["term"].alias("term"), (x["x"] / F.col("norm")).alias("w"))).alias("terms"))
+
+
+def weights(chapters: DataFrame, stopwords: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
+    """A row for each chapter and term, with its weight ``w`` (see ``vectors``)."""
+    return vectors(chapters, stopwords, vocabulary).select("work_id", "book_id", "chapter_id", F.explode("terms").alias("t")).select("work_id", "book_id", "chapter_id", "t.term", "t.w")
 
 
 def similar_chapters(unit: DataFrame, least: float = LEAST_SCORE, top: int = TOP) -> DataFrame:
-    """For each chapter the ``top`` most similar ones of other books with a cosine of at least ``least``.
+    """For each chapter of ``vectors`` the ``top`` most similar ones of other books with a cosine of at least ``least``.
 
     Every pair counts, so the work grows with the square of the chapters; joining postings would make that many rows. The
     product is computed block by block instead, ``BLOCK`` chapters against as many, and a block returns only what can be
-    among a chapter's best.
+    among a chapter's best. Chapters are numbered once, in a table that is written.
     """
     import numpy as np
     import pandas as pd
 
-    keys = unit.select("work_id", "book_id", "chapter_id").distinct().withColumn("id", F.xxhash64("work_id", "book_id", "chapter_id"))
-    rows = unit.withColumn("id", F.xxhash64("work_id", "book_id", "chapter_id")).withColumn("book", F.xxhash64("work_id", "book_id"))
-    blocks = max(1, math.ceil(keys.count() / BLOCK))
-    packed = rows.groupBy("id", "book").agg(F.collect_list(F.xxhash64("term")).alias("t"), F.collect_list("w").alias("w"))
-    packed = packed.withColumn("b", F.pmod("id", F.lit(blocks)).cast("int"))
+    rows = materialize(unit.select(F.monotonically_increasing_id().alias("id"), "work_id", "book_id", "chapter_id", F.col("terms.k").alias("t"), F.col("terms.w").alias("w")), "unit")
+    keys = rows.select("id", "work_id", "book_id", "chapter_id")
+    blocks = max(1, -(-keys.count() // BLOCK))
+    packed = rows.select("id", F.concat_ws("\u0000", "work_id", "book_id").alias("book"), "t", "w", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     # Each block meets every block from its own number on; a row travels once for each pair of blocks.
     meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
     dealt = packed.withColumn("m", F.explode(meets)).select("m.i", "m.j", "b", "id", "book", "t", "w")
@@ -118,19 +136,19 @@ def similar_chapters(unit: DataFrame, least: float = LEAST_SCORE, top: int = TOP
         left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
         if not len(left) or not len(right):
             return pd.DataFrame({"x": [], "y": [], "score": []})
-        lt = np.concatenate(left["t"].to_numpy())
-        terms = np.unique(lt)
+        terms = np.unique(np.concatenate(left["t"].to_numpy()))
+        place = np.full(max(int(terms.max(initial=0)), max(int(t.max(initial=0)) for t in right["t"])) + 1, -1)
+        place[terms] = np.arange(len(terms))
 
         def dense(part: pd.DataFrame) -> np.ndarray:
             out = np.zeros((len(part), len(terms)))
-            t = np.concatenate(part["t"].to_numpy())
-            at = np.searchsorted(terms, t)
-            ok = (at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == t)
+            at = place[np.concatenate(part["t"].to_numpy())]
             r = np.repeat(np.arange(len(part)), part["t"].map(len).to_numpy())
-            out[r[ok], at[ok]] = np.concatenate(part["w"].to_numpy())[ok]
+            out[r[at >= 0], at[at >= 0]] = np.concatenate(part["w"].to_numpy())[at >= 0]
             return out
 
-        score = dense(left) @ dense(right).T
+        a = dense(left)
+        score = a @ (a if i == j else dense(right)).T
         good = (score >= least) & (left["book"].to_numpy()[:, None] != right["book"].to_numpy()[None, :])
         if i == j:
             good &= np.triu(np.ones_like(good), 1)
@@ -139,9 +157,9 @@ def similar_chapters(unit: DataFrame, least: float = LEAST_SCORE, top: int = TOP
         both = pd.DataFrame({"x": np.concatenate((a, b)), "y": np.concatenate((b, a)), "score": np.concatenate((s, s))})
         # What lies below a chapter's ``top``-th score in this block, by more than rounding, can't be among its best.
         both = both.sort_values(["x", "score"], ascending=[True, False], ignore_index=True)
-        place = both.groupby("x").cumcount()
-        floor = both.loc[place == top - 1].set_index("x")["score"]
-        return both[(place < top) | (both["score"] >= both["x"].map(floor).fillna(0) - 0.002)]
+        rank = both.groupby("x").cumcount()
+        floor = both.loc[rank == top - 1].set_index("x")["score"]
+        return both[(rank < top) | (both["score"] >= both["x"].map(floor).fillna(0) - 0.002)]
 
     pairs = dealt.groupBy("i", "j").applyInPandas(product, "x long, y long, score double")
     name = lambda p: keys.select(*[F.col(c).alias(f"{p}_{c}") for c in ("work_id", "book_id", "chapter_id")], F.col("id").alias(f"{p}_id"))
@@ -193,15 +211,55 @@ def expand_books(books: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- segmentation
 
 
-def islands(lines: Column, starts: Column) -> Column:
-    """Lines joined by a space from each start to the next: ``lines`` and ``starts`` (booleans) are arrays of one length.
+#: Elements that a fold gathers before it adds them to its result: appending one by one would copy the result each time.
+RUN = 256
+
+
+def scan(values: Column, start: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """The states of a fold after each element of an array; ``kind`` is the state's type. Linear in the elements."""
+    none = F.array().cast(f"array<{kind}>")
 
-    What stands before the first start is a piece of its own. One pass within the row.
+    def element(a: Column, x: Column) -> Column:
+        return T.let(step(a["s"], x), lambda s: F.struct(s.alias("s"), F.concat(a["o"], F.array(s)).alias("o")))
+
+    def stretch(v: Column, a: Column, at: Column) -> Column:
+        run = F.aggregate(F.slice(v, at, RUN), F.struct(a["s"].alias("s"), none.alias("o")), element)
+        return T.let(run, lambda r: F.struct(r["s"].alias("s"), F.concat(a["o"], F.array(r["o"])).alias("o")))
+
+    def whole(v: Column) -> Column:
+        begin = F.struct(start.cast(kind).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("o"))
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(starts, begin, lambda a, at: stretch(v, a, at), lambda a: F.flatten(a["o"]))
+
+    return T.let(values, whole)
+
+
+def places(flags: Column) -> Column:
+    """The places (from 0) of the true elements of a bound array of booleans, in order."""
+    return F.filter(F.transform(flags, lambda s, i: F.when(s, i)), lambda i: i.isNotNull())
+
+
+def pieces(values: Column, starts: Column, join: Callable[[Column], Column]) -> Column:
+    """``join`` of the elements from each start to the next; ``values`` and ``starts`` (booleans) are arrays of one length.
+
+    What stands before the first start is a piece of its own. Linear within the row.
     """
-    step = lambda a, x: F.when(x["s"] | (F.size(a) == 0), F.concat(a, F.array(x["l"]))).otherwise(
-        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat_ws(" ", F.when(F.element_at(a, -1) != "", F.element_at(a, -1)), x["l"])))
-    )
-    return F.aggregate(F.zip_with(lines, starts, lambda line, s: F.struct(line.alias("l"), s.alias("s"))), F.array().cast("array<string>"), step)
+
+    def cut(b: Column) -> Column:
+        begins = places(F.transform(b["s"], lambda s, i: s | (i == 0)))
+        return T.let(begins, lambda p: F.transform(p, lambda x, k: join(F.slice(b["v"], x + 1, F.coalesce(F.get(p, k + 1), F.size(b["v"])) - x))))
+
+    return T.let(F.struct(values.alias("v"), starts.alias("s")), cut)
+
+
+def islands(lines: Column, starts: Column) -> Column:
+    """Lines joined by a space from each start to the next; empty lines at a piece's head don't count."""
+
+    def joined(part: Column) -> Column:
+        first = F.array_position(F.transform(part, lambda x: x != ""), F.lit(True)).cast("int")
+        return F.when(first > 0, F.array_join(F.slice(part, F.greatest(first, F.lit(1)), F.size(part)), " ")).otherwise("")
+
+    return pieces(lines, starts, lambda part: T.let(part, joined))
 
 
 def numbered_verses(lines: Column, marker: str = r"^(\d+)\.\s*") -> Column:
@@ -213,28 +271,36 @@ def numbered_verses(lines: Column, marker: str = r"^(\d+)\.\s*") -> Column:
 
 def merged_paragraphs(paragraphs: Column, ends: str = r"[.!?\"”]$") -> Column:
     """Paragraphs joined to the one before while that does not end a sentence."""
-    starts = F.transform(paragraphs, lambda x, i: (i == 0) | F.coalesce(F.get(paragraphs, i - 1).rlike(ends), F.lit(False)))
-    return islands(paragraphs, starts)
+
+    def merged(p: Column) -> Column:
+        return T.let(F.transform(p, lambda x: x.rlike(ends)), lambda e: islands(p, F.transform(p, lambda x, i: (i == 0) | F.coalesce(F.get(e, i - 1), F.lit(False)))))
+
+    return T.let(paragraphs, merged)
 
 
 def sections_of_numbers(numbers: Column) -> Column:
     """Section of each verse number: a number that is not above the one before begins the next section."""
-    falls = F.transform(numbers, lambda n, i: F.when((i > 0) & (n <= F.get(numbers, i - 1)), 1).otherwise(0))
-    return F.transform(falls, lambda _, i: F.aggregate(F.slice(falls, 1, i + 1), F.lit(0), lambda a, x: a + x))
+
+    def falls(n: Column) -> Column:
+        return F.transform(n, lambda x, i: (i > 0) & F.coalesce(x <= F.get(n, i - 1), F.lit(False)))
+
+    sizes = T.let(numbers, lambda n: pieces(n, falls(n), F.size))
+    return F.flatten(F.transform(sizes, lambda size, k: F.array_repeat(k, size)))
 
 
 def sequential_markers(numbers: Column) -> Column:
     """Places of the numbers that count 1, 2, 3... in order; others are no markers."""
-    start = F.struct(F.lit(1).cast("long").alias("want"), F.array().cast("array<int>").alias("at"))
-    pairs = F.transform(numbers, lambda n, i: F.struct(n.cast("long").alias("n"), i.alias("i")))
-    step = lambda a, x: F.when(x["n"] == a["want"], F.struct((a["want"] + 1).alias("want"), F.concat(a["at"], F.array(x["i"])).alias("at"))).otherwise(a)
-    return F.aggregate(pairs, start, step, lambda a: a["at"])
+
+    def found(n: Column) -> Column:
+        wanted = scan(n, F.lit(1), "bigint", lambda want, x: F.when(x.cast("long") == want, want + 1).otherwise(want))
+        return T.let(wanted, lambda w: places(F.transform(w, lambda x, i: x > F.coalesce(F.get(w, i - 1), F.lit(1).cast("long")))))
+
+    return T.let(numbers, found)
 
 
 def filled_forward(values: Column) -> Column:
     """Each value, or where it is null the last one before it."""
-    start = F.array().cast("array<string>")
-    return F.aggregate(values, start, lambda a, x: F.concat(a, F.array(F.coalesce(x, F.try_element_at(a, F.lit(-1))))))
+    return scan(values, F.lit(None), "string", lambda last, x: F.coalesce(x, last))
 
 
 # ---------------------------------------------------------------- verification
@@ -262,6 +328,11 @@ def verify(works: DataFrame, books: DataFrame, chapters: DataFrame, expected: Da
     return no_manifest.unionAll(count).unionAll(missing).unionAll(wrong).unionAll(empty)
 
 
+def sorted_errors(errors: DataFrame) -> DataFrame:
+    """Errors in order as text, sorted over the cluster."""
+    return errors.sort("message")
+
+
 def corpus_stats(chapters: DataFrame) -> DataFrame:
     verses = F.aggregate("sections", F.lit(0).cast("long"), lambda a, s: a + F.size(s["verses"]))
     books = chapters.groupBy("work_id", "book_id").agg(F.count("*").alias("c"), F.sum(verses).alias("v"))
@@ -307,5 +378,16 @@ def patched(verses: DataFrame, changes: DataFrame, key: str = "ref") -> DataFram
 
 def occurrences(text: Column, words: list[str]) -> Column:
     """How many whole words of ``words`` a text holds."""
-    pattern = r"\b(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")\b"
+    pattern = T.whole_word("(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")")
     return F.regexp_count(text, F.lit(pattern))
+
+
+def substrings(text: Column, key: str) -> Column:
+    """How often a text holds ``key``, left to right without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(key), F.lit("")))) / len(key)).cast("long")
+
+
+def patched_count(before: Column, after: Column, keys: list[str]) -> Column:
+    """How many of ``keys``, as substrings, a patch has taken away."""
+    each = [substrings(before, k) - substrings(after, k) for k in keys]
+    return sum(each[1:], each[0])

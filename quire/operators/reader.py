@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,46 @@ def filter_notes(notes: DataFrame, query: str, shown_ref: str | None = None) ->
     return notes.where((F.trim("text") != "") & hit)
 
 
+def of_chapter(rows: DataFrame, work: str, chapter: str, key: str = "ref") -> DataFrame:
+    """Notes or bookmarks of one chapter: those whose reference begins with it."""
+    return rows.where(F.startswith(key, F.lit(f"{work}:{chapter}:")))
+
+
+def matching_bookmarks(marks: DataFrame, query: str, *fields: str) -> DataFrame:
+    """Bookmarks that hold the query in one of ``fields`` (the verse's text, the reference as shown or as stored), whatever the case."""
+    q = F.lit(query.strip().lower())
+    return marks.where(reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(f), q), F.lit(False)) for f in fields]))
+
+
+def listed(rows: DataFrame, key: str = "ref") -> DataFrame:
+    """References in a reader's order: by work, by chapter as text, by verse as a number; sorted over the cluster."""
+    parts = F.split(key, ":")
+    number = F.element_at(parts, -1).try_cast("long")
+    return rows.sort(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), number, key)
+
+
+def replaced(stores: DataFrame, incoming: DataFrame, keys: list[str], user: str = "user_id") -> DataFrame:
+    """Users' stores after an import that replaces: each of ``keys`` is the incoming one, null where the import lacks it.
+
+    Users without an import keep their stores.
+    """
+    new = incoming.select(F.col(user), *[F.col(k).alias(f"__q_{k}") for k in keys], F.lit(True).alias("__q_in"))
+    rows = stores.join(new, user, "full")
+    return rows.select(user, *[F.when(F.col("__q_in"), F.col(f"__q_{k}")).otherwise(F.col(k)).alias(k) for k in keys])
+
+
+def migrated(stores: DataFrame, json: str = "store", old: str = "old_notes") -> DataFrame:
+    """Stores of an older form: a user without a readable store who has notes under the old key gets a store of them.
+
+    The old notes are a JSON object of texts; a store that can be read wins, and what can't be read on either side is left out.
+    """
+    notes = F.from_json(old, "map<string,string>")
+    known = F.from_json(json, STORE)
+    made = F.to_json(F.struct(notes.alias("notes"), F.array().cast("array<string>").alias("bookmarks")))
+    readable = known.isNotNull() & (known["notes"].isNotNull() | known["bookmarks"].isNotNull())
+    return stores.withColumn(json, F.when(readable, F.col(json)).when(notes.isNotNull(), made)).drop(old)
+
+
 def backup(notes: DataFrame, bookmarks: DataFrame) -> DataFrame:
     """A user's store as JSON: a row for each user, as large as what that user wrote."""
     n = notes.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ref", "text")))).alias("notes"))

@@ -25,6 +25,29 @@ def robots(origin: str) -> str:
     return f"User-agent: *\nAllow: /\n\nSitemap: {origin}/sitemap.xml\n"
 
 
+def open_search(origin: str, name: str, description: str) -> str:
+    """The document by which a browser learns to search the site."""
+    escape = lambda s: s.replace("&", "&amp;").replace("<", "&lt;")
+    tags = [("ShortName", name), ("Description", description), ("InputEncoding", "UTF-8")]
+    rows = [f"  <{tag}>{escape(text)}</{tag}>" for tag, text in tags]
+    rows.append(f'  <Url type="text/html" template="{origin}/?q={{searchTerms}}"/>')
+    return "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', '<OpenSearchDescription xmlns="http://a9.com/-/spec/opensearch/1.1/">', *rows, "</OpenSearchDescription>", ""])
+
+
+def with_details(works: DataFrame, details: DataFrame, mentions: DataFrame, origin: str) -> DataFrame:
+    """``work_id`` and ``json``: a work's structured data with what is known of it; a work of which nothing is known has the rest.
+
+    ``details`` has work_id, lang, description, author and year; ``mentions`` work_id and mentions (an array).
+    """
+    rows = works.join(details, "work_id", "left").join(mentions, "work_id", "left")
+    url = F.concat(F.lit(f"{origin}/"), "work_id")
+    fields = F.struct(
+        F.lit("Book").alias("@type"), url.alias("@id"), F.col("title").alias("name"), url.alias("url"), F.coalesce("lang", F.lit("en")).alias("inLanguage"),
+        "description", "author", F.col("year").cast("string").alias("datePublished"), "mentions",
+    )
+    return rows.select("work_id", json_ld(fields).alias("json"))
+
+
 def json_ld(fields: Column) -> Column:
     """A struct as JSON for a script element: null fields are left out and ``<`` is escaped."""
     return F.replace(F.to_json(fields), F.lit("<"), F.lit("\\u003c"))

@@ -117,12 +117,9 @@ def concordance_topk(spark, sf):
 
 @query(WORDS + "SELECT w.ref, v.text, (SELECT count(*) FROM words WHERE word = 'tion') AS verse_count FROM words w JOIN verses v USING (ref) WHERE w.word = 'tion' ORDER BY w.work_id, w.chapter_id, w.verse LIMIT 5")
 def concordance_lookup(spark, sf):
-    verses = document_verses(spark, sf)
-    word = T.click_word(F.lit("Tion,"))
-    hits = C.word_rows(verses.withColumn("body", F.col("text")), STOPWORDS).where(F.col("word") == word)
+    hits = C.lookup(document_verses(spark, sf), "tion", STOPWORDS)
     total = hits.agg(F.count("*").alias("verse_count"))
-    first = hits.orderBy(*C.INDEX_ORDER).limit(C.POPOVER)
-    return first.crossJoin(F.broadcast(total)).select("ref", F.col("body").alias("text"), "verse_count")
+    return hits.orderBy(*C.INDEX_ORDER).limit(C.POPOVER).crossJoin(F.broadcast(total)).select("ref", "text", "verse_count")
 
 
 @query(WORDS + "SELECT work_id, count(*) AS verse_count, count(DISTINCT chapter_id) AS chapters FROM words WHERE word = 'tion' GROUP BY work_id")
@@ -143,9 +140,9 @@ def concordance_totals(spark, sf):
     return w.crossJoin(F.broadcast(v))
 
 
-@query(VERSES + "SELECT ref, regexp_replace(text, '\\b(tion)\\b', '<mark>\\1</mark>', 'gi') AS marked FROM verses WHERE regexp_matches(lower(text), '(^| )tion( |$)') AND NOT regexp_matches(text, '[^ -~]')")
+@query(VERSES + "SELECT ref, regexp_replace(text, '\\b(tion)\\b', '<mark>\\1</mark>', 'gi') AS marked FROM verses WHERE regexp_matches(lower(text), '\\btion\\b')")
 def highlight_words(spark, sf):
-    rows = document_verses(spark, sf).where(F.lower("text").rlike("(^| )tion( |$)") & ~F.col("text").rlike("[^ -~]"))
+    rows = document_verses(spark, sf).where(F.lower("text").rlike(T.whole_word("tion")))
     return rows.select("ref", T.highlight_word(F.col("text"), "tion").alias("marked"))
 
 
@@ -175,12 +172,12 @@ def tfidf_weights(spark, sf):
 
 @query(_SIMILAR + "SELECT work_id, chapter_id, rank, ref, score FROM best WHERE rank <= 5")
 def chapter_similarity_top5(spark, sf):
-    return C.similar_chapters(C.weights(chapters(spark, sf), STOPWORDS)).select("work_id", "chapter_id", F.col("rank").cast("long").alias("rank"), "ref", "score")
+    return C.similar_chapters(C.vectors(chapters(spark, sf), STOPWORDS)).select("work_id", "chapter_id", F.col("rank").cast("long").alias("rank"), "ref", "score")
 
 
 @query(_SIMILAR + "SELECT work_id, chapter_id, ref_work, string_agg(ref, ' ' ORDER BY rank) AS refs FROM best WHERE rank <= 5 GROUP BY work_id, chapter_id, ref_work")
 def related_by_work(spark, sf):
-    return C.related_by_work(C.similar_chapters(C.weights(chapters(spark, sf), STOPWORDS)))
+    return C.related_by_work(C.similar_chapters(C.vectors(chapters(spark, sf), STOPWORDS)))
 
 
 # ---------------------------------------------------------------- navigation
@@ -288,14 +285,16 @@ _text("term_replace", lambda c: T.replace_in_order(c, [("the", "de"), ("de ", "d
 _text("spelling_patch", lambda c: T.replace_words(c, {"shew": "show", "shewed": "showed"}), "regexp_replace(regexp_replace(t, '\\bshewed\\b', 'showed', 'g'), '\\bshew\\b', 'show', 'g')", "concat('shew shewed ', replace(text, ' the ', ' shew '))")
 _text("click_word", T.click_word, "regexp_replace(lower(t), '[^a-z'']', '', 'g')")
 _text("chapter_number", T.chapter_number, "CASE WHEN regexp_matches(t, '[0-9]+$') THEN regexp_extract(t, '[0-9]+$') ELSE t END", "CASE WHEN doc_id % 3 = 0 THEN lang ELSE lang || '-' || doc_id END")
-_text("word_diff", lambda c: T.words_differ(c, F.concat(F.replace(c, F.lit("the"), F.lit("THE")), F.lit(" (-)"))), "FALSE", "concat('a—b ', text, '!')")
-_text("poem_title", T.poem_title, f"regexp_replace(regexp_replace(split_part(t, ';', 1), '^{_WS}+|{_WS}+$', '', 'g'), '^The ', '')", "concat(' The ', left(text, 40), '; or, a tale')")
+_PLAIN_WORDS = "list_filter(string_split(regexp_replace(lower(regexp_replace({}, '[()—-]', ' ', 'g')), '[^a-z ]', '', 'g'), ' '), lambda w: w <> '')"
+_OTHER = "CASE WHEN lang = 'en' THEN replace(t, 'the', 'tha') ELSE replace(t, 'the', 'THE') || ' (-)' END"
+_text("word_diff", lambda c: T.words_differ(c, F.when(F.col("lang") == "en", F.replace(c, F.lit("the"), F.lit("tha"))).otherwise(F.concat(F.replace(c, F.lit("the"), F.lit("THE")), F.lit(" (-)")))), f"t <> {_OTHER} AND {_PLAIN_WORDS.format('t')} <> {_PLAIN_WORDS.format(_OTHER)}", "concat('a—b ', text, '!')")
+_text("poem_title", T.poem_title, f"regexp_replace(regexp_replace(split_part(t, ';', 1), '^{_WS}+|{_WS}+$', '', 'g'), '^The ', '')", "concat(' The ', text, '; or, a tale')")
 _text("copy_text", lambda c: F.concat(c, F.lit(" — "), F.concat_ws(":", "source", F.concat_ws("-", "lang", "doc_id"))), "t || ' — ' || source || ':' || lang || '-' || doc_id")
 
 
 @query()
 def slugify(spark, sf):
-    return docs(spark, sf).select("doc_id", T.slugify(F.substring("text", 1, 80)).alias("out"))
+    return docs(spark, sf).select("doc_id", T.slugify("text").alias("out"))
 
 
 @query()
@@ -313,9 +312,32 @@ def text_wrap(spark, sf):
     return docs(spark, sf).select("doc_id", T.wrap(F.concat("doc_id", F.lit(":1 ")), F.col("text")).alias("out"))
 
 
-@query("SELECT n, value FROM (VALUES ('I', 1), ('IV', 4), ('XIX', 19), ('XL', 40), ('CCXCIX', 299), ('MCMXCIV', 1994), ('', 0)) t(n, value)")
+_NUMERAL = "upper(regexp_replace(text, '[^ivxlcdmIVXLCDM]', '', 'g'))"
+
+
+@query(f"""WITH v AS (SELECT doc_id, list_transform(string_split({_NUMERAL}, ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 ELSE 0 END) AS l FROM documents)
+SELECT doc_id, coalesce(list_sum(list_transform(l, lambda x, i: CASE WHEN x < coalesce(l[i + 1], 0) THEN -x ELSE x END)), 0)::BIGINT AS value FROM v""")
 def roman_numbers(spark, sf):
-    return spark.createDataFrame([(x,) for x in ("I", "IV", "XIX", "XL", "CCXCIX", "MCMXCIV", "")], "n string").select("n", T.roman_to_int(F.col("n")).alias("value"))
+    """The numeral letters of each document as one numeral."""
+    numeral = F.upper(F.regexp_replace("text", "[^ivxlcdmIVXLCDM]", ""))
+    return docs(spark, sf).select("doc_id", T.roman_to_int(numeral).cast("long").alias("value"))
+
+
+@query("SELECT doc_id, regexp_extract_all(text, '[ \\t\\n\\v\\f\\r]+|[^ \\t\\n\\v\\f\\r]+') AS parts FROM documents")
+def words_and_gaps(spark, sf):
+    return docs(spark, sf).select("doc_id", T.words_and_gaps(F.col("text")).alias("parts"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url || '/index.htm', '/([^/]+)/index\\.htm') THEN regexp_extract(url || '/index.htm', '^.*/([^/]+)/index\\.htm', 1) ELSE url || '/index.htm' END AS slug FROM pages")
+def index_slugs(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.index_slug(F.concat("url", F.lit("/index.htm"))).alias("slug"))
+
+
+@query()
+def printed_text(spark, sf):
+    """Documents as printed verses: a first word in capitals, signs and cut words."""
+    made = F.concat(F.upper(F.split_part("text", F.lit(" "), F.lit(1))), F.lit(" cæsar¶ be- side Baal- Hanan ﬁne LORD , "), "text")
+    return docs(spark, sf).select("doc_id", T.printed(made).alias("out"))
 
 
 # ---------------------------------------------------------------- segmentation
@@ -372,15 +394,24 @@ def volume_asof(spark, sf):
 # ---------------------------------------------------------------- verification
 
 
-@query("""SELECT source || '/' || lang || '-' || doc_id || ': ' || len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) || ' verses, expected ' || (n_chars // 100) AS message FROM documents
-WHERE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) <> n_chars // 100 UNION ALL SELECT 'nowhere: manifest missing'""")
+@query("""WITH d AS (SELECT source AS w, source || '_' || lang AS b, doc_id, n_chars, len(string_split(text, chr(10))) AS verses, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) AS blank FROM documents),
+b AS (SELECT w, b, count(*) AS n, min(doc_id) AS s, count(*) FILTER (n_chars > 500) AS want FROM d GROUP BY ALL), p AS (SELECT w, b, unnest(range(s, s + n)) AS k FROM b)
+SELECT w || '/' || b || ': ' || n || ' chapters, expected ' || want AS message FROM b WHERE want > 0 AND n <> want
+UNION ALL SELECT w || '/' || b || '-' || k || ': chapter missing' FROM p WHERE (b, k) NOT IN (SELECT (b, doc_id) FROM d)
+UNION ALL SELECT w || '/' || b || '-' || doc_id || ': ' || verses || ' verses, expected ' || (n_chars // 100) FROM d WHERE n_chars > 500 AND verses <> n_chars // 100
+UNION ALL SELECT w || '/' || b || '-' || doc_id || ': ' || blank || ' blank verses' FROM d WHERE blank > 0
+UNION ALL SELECT 'nowhere: manifest missing'""")
 def verify_errors(spark, sf):
-    c = chapters(spark, sf).withColumn("book_id", F.concat_ws("-", "book_id", "chapter_num"))
-    b = c.select("work_id", "book_id", F.lit(1).alias("chapters"), F.col("chapter_num").alias("start"), F.lit(None).cast("array<string>").alias("names"))
-    c = c.withColumn("chapter_id", F.concat_ws("-", "book_id", "chapter_num"))
-    expected = docs(spark, sf).select(F.concat_ws("-", "lang", "doc_id").alias("book_id"), F.lit(0).alias("idx"), F.floor(F.col("n_chars") / 100).alias("verses"))
+    """Every check fires: blank lines are verses here, books have gaps in their numbers, and short documents aren't expected."""
+    book = F.concat_ws("_", "source", "lang")
+    c = docs(spark, sf).select(
+        F.col("source").alias("work_id"), book.alias("book_id"), F.concat_ws("-", book, "doc_id").alias("chapter_id"), F.col("doc_id").alias("chapter_num"),
+        F.array(F.struct(F.lit(1).alias("startVerse"), F.split("text", "\n").alias("verses"))).alias("sections"), "n_chars",
+    )
+    b = C.books_of(c).select("work_id", "book_id", "chapters", "start", F.lit(None).cast("array<string>").alias("names"))
+    expected = c.where("n_chars > 500").join(b.select("book_id", "start"), "book_id").select("book_id", (F.col("chapter_num") - F.col("start")).alias("idx"), F.floor(F.col("n_chars") / 100).alias("verses"))
     works = c.select("work_id").distinct().unionAll(spark.createDataFrame([("nowhere",)], "work_id string"))
-    return C.verify(works, b, c, expected).select(F.regexp_replace("message", r"^([^/]*/[^/]*?-\d+)-\d+:", "$1:").alias("message"))
+    return C.sorted_errors(C.verify(works, b, c, expected))
 
 
 @query("SELECT count(DISTINCT source) AS works, count(DISTINCT (source, lang)) AS books, count(*) AS chapters, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::BIGINT AS verses FROM documents")
@@ -419,12 +450,13 @@ def bookmark_toggle(spark, sf):
     return R.toggled(table(spark, sf, "events"), "user_id", "event_type")
 
 
-_NOTES = "WITH old AS (SELECT lang || '-' || doc_id AS ref, left(text, 30) AS text FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT lang || '-' || doc_id AS ref, lower(left(text, 20)) AS text FROM documents WHERE doc_id % 2 = 0) "
+_NOTES = "WITH old AS (SELECT source || ':' || lang || '-' || doc_id || ':1' AS ref, text FROM documents WHERE lang <> 'de'), new AS (SELECT source || ':' || lang || '-' || doc_id || ':1' AS ref, lower(text) AS text FROM documents WHERE lang <> 'en') "
 
 
 def notes(spark, sf):
-    rows = docs(spark, sf).select("doc_id", F.concat_ws("-", "lang", "doc_id").alias("ref"), "text")
-    return rows.where("doc_id % 3 <> 0").select("ref", F.left("text", F.lit(30)).alias("text")), rows.where("doc_id % 2 = 0").select("ref", F.lower(F.left("text", F.lit(20))).alias("text"))
+    """Two stores of notes on documents that overlap; each document is in one of them at least."""
+    rows = docs(spark, sf).select("lang", F.concat_ws(":", "source", F.concat_ws("-", "lang", "doc_id"), F.lit(1)).alias("ref"), "text")
+    return rows.where("lang <> 'de'").select("ref", "text"), rows.where("lang <> 'en'").select("ref", F.lower("text").alias("text"))
 
 
 @query(_NOTES + "SELECT coalesce(new.ref, old.ref) AS ref, coalesce(new.text, old.text) AS text FROM old FULL JOIN new ON old.ref = new.ref")
@@ -466,11 +498,62 @@ def works_order_merge(spark, sf):
     return R.ordered_union(old, nation.where("n_nationkey % 4 <> 1").select(F.col("n_name").alias("w")), "w", "k")
 
 
-@query()
+_STORES = "WITH n AS (SELECT doc_id // 20 AS user_id, lang, text FROM documents) "
+
+
+def _stores(spark, sf):
+    rows = docs(spark, sf).select(F.expr("doc_id DIV 20").alias("user_id"), F.concat_ws("-", "lang", "doc_id").alias("ref"), "text", F.col("doc_id").alias("seq"), "lang")
+    return R.restore(R.backup(rows.select("user_id", "ref", "text"), rows.where("lang <> 'de'").select("user_id", "ref", "seq")))
+
+
+def _counted(stores):
+    size = F.aggregate(F.map_values("store.notes"), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return stores.select("user_id", F.size("store.notes").cast("long").alias("notes"), F.size("store.bookmarks").cast("long").alias("bookmarks"), size.alias("size"))
+
+
+@query(_STORES + "SELECT user_id, count(*) AS notes, count(*) FILTER (lang <> 'de') AS bookmarks, sum(length(text))::BIGINT AS size FROM n GROUP BY user_id")
 def backup_round_trip(spark, sf):
-    rows = docs(spark, sf).select((F.col("doc_id") % 50).alias("user_id"), F.concat_ws("-", "lang", "doc_id").alias("ref"), F.left("text", F.lit(40)).alias("text"), F.col("doc_id").alias("seq"))
-    stores = R.restore(R.backup(rows.where("seq % 2 = 0").select("user_id", "ref", "text"), rows.select("user_id", "ref", "seq")))
-    return stores.select("user_id", F.size("store.notes").alias("notes"), F.size("store.bookmarks").alias("bookmarks"))
+    return _counted(_stores(spark, sf))
+
+
+@query("SELECT user_id, CASE WHEN t > 0 THEN t * 10 ELSE h END AS history, CASE WHEN t > 0 THEN NULL ELSE d END AS display FROM (SELECT doc_id AS user_id, max(toxic) AS t, max(quality) AS h, 'd' AS d FROM labels GROUP BY doc_id)")
+def import_replace(spark, sf):
+    """An import that replaces: what it lacks goes, and users without one keep what they have."""
+    rows = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("user_id")).agg(F.max("toxic").alias("t"), F.max("quality").alias("history"))
+    stores = rows.select("user_id", "history", F.lit("d").alias("display"))
+    incoming = rows.where("t > 0").select("user_id", (F.col("t") * 10).alias("history"), F.lit(None).cast("string").alias("display"))
+    return R.replaced(stores, incoming, ["history", "display"])
+
+
+@query("SELECT doc_id AS user_id, CASE WHEN lang = 'en' THEN 1 WHEN lang = 'de' THEN 2 ELSE 0 END::BIGINT AS notes FROM documents")
+def store_migration(spark, sf):
+    """English stores can be read, German ones are of the older form with two notes, others are broken."""
+    made = F.to_json(F.struct(F.create_map("lang", "text").alias("notes"), F.array().cast("array<string>").alias("bookmarks")))
+    old = F.to_json(F.create_map(F.lit("a"), F.col("text"), F.lit("b"), F.col("text")))
+    rows = docs(spark, sf).select(F.col("doc_id").alias("user_id"), F.when(F.col("lang") == "en", made).otherwise("{broken").alias("store"), F.when(F.col("lang") == "de", old).otherwise("no json").alias("old_notes"))
+    return R.restore(R.migrated(rows)).select("user_id", F.size("store.notes").cast("long").alias("notes"))
+
+
+@query(_NOTES + "SELECT ref, text FROM old WHERE starts_with(ref, 'src3:en-' || (SELECT min(doc_id) FROM documents WHERE source = 'src3' AND lang = 'en') || ':')")
+def notes_of_chapter(spark, sf):
+    first = docs(spark, sf).where("source = 'src3' AND lang = 'en'").agg(F.min("doc_id")).first()[0]
+    return R.of_chapter(notes(spark, sf)[0], "src3", f"en-{first}")
+
+
+@query(_NOTES + "SELECT ref, row_number() OVER (PARTITION BY split_part(ref, ':', 1) ORDER BY split_part(ref, ':', 2)) AS place FROM old")
+def notes_listed(spark, sf):
+    """Notes in a reader's order, numbered within each work."""
+    from pyspark.sql import Window
+
+    rows = R.listed(notes(spark, sf)[0]).withColumn("work", F.substring_index("ref", ":", 1))
+    place = F.row_number().over(Window.partitionBy("work").orderBy(F.get(F.split("ref", ":"), F.lit(1))))
+    return rows.select("ref", place.cast("long").alias("place"))
+
+
+@query("SELECT source || ':' || lang || '-' || doc_id AS ref FROM documents WHERE contains(lower(text), 'the of') OR contains(lower(source || ':' || lang || '-' || doc_id), 'the of')")
+def bookmarks_matching(spark, sf):
+    rows = docs(spark, sf).select(F.concat_ws(":", "source", F.concat_ws("-", "lang", "doc_id")).alias("ref"), "text")
+    return R.matching_bookmarks(rows, "The OF ", "text", "ref").select("ref")
 
 
 @query("SELECT conv_id, turn, CASE WHEN role IS NOT NULL THEN upper(left(role, 1)) || substr(role, 2) || ': ' || text ELSE text END AS line FROM conversations")
@@ -503,29 +586,31 @@ def text_roundtrip(spark, sf):
     return verses_of(back).select("chapter_id", F.col("verse").cast("long").alias("verse"), "text")
 
 
-@query(VERSES + "SELECT 'vpl' AS work_id, 'b' || book_id AS book_id, doc_id AS chapter_num, 2 * verse AS verse, regexp_replace(regexp_replace(regexp_replace(text, ' ([,;:.!?])', '\\1', 'g'), '  +', ' ', 'g'), '-{2,}', '—', 'g') AS text FROM verses WHERE NOT regexp_matches(text, '[\\[\\]]|^[ \\t\\r\\n]|[ \\t\\r\\n]$|LORD|GOD') AND book_id <> 'de'")
+_PLAIN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\bLORD\\b', 'Lord', 'g'), '\\bGOD\\b', 'God', 'g'), '[\\[\\]]', '', 'g'), '-{{2,}}', '—', 'g'), ' ([,;:.!?])', '\\1', 'g'), '  +', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(VERSES + f"SELECT 'vpl' AS work_id, 'b' || book_id AS book_id, doc_id AS chapter_num, 2 * verse AS verse, {_PLAIN} AS text FROM (SELECT * EXCLUDE text, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS text FROM verses) WHERE text <> '' AND book_id <> 'de'")
 def verse_per_line(spark, sf):
     """Verses written as lines ``BOOK CH:VS text`` and read back; a book that is not listed is left out."""
     from quire.sources.layouts import verse_lines
 
-    v = document_verses(spark, sf).where(~F.col("text").rlike(r"[\[\]]|^\s|\s$|LORD|GOD"))
-    lines = v.select(F.concat(F.upper("book_id"), F.lit(" "), "chapter_num", F.lit(":"), F.col("verse") * 2, F.lit(" "), "text").alias("value"))
+    lines = document_verses(spark, sf).select(F.concat(F.upper("book_id"), F.lit(" "), "chapter_num", F.lit(":"), F.col("verse") * 2, F.lit(" "), "text").alias("value"))
     listed = spark.createDataFrame([(x.upper(), f"b{x}") for x in ("en", "fr", "es", "it")], "abbrev string, book_id string")
     c = verse_lines(lines, listed, "vpl")
     rows = c.select("work_id", "book_id", "chapter_num", F.posexplode(F.col("sections")[0]["verses"]).alias("i", "text"), F.col("sections")[0]["startVerse"].alias("first"))
     return rows.select("work_id", "book_id", F.col("chapter_num").cast("long").alias("chapter_num"), (F.col("first") + 2 * F.col("i")).cast("long").alias("verse"), "text")
 
 
-@query("SELECT source AS work_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS verses, doc_id FROM documents")
+@query(VERSES + f"SELECT doc_id, verse, trim(regexp_replace(regexp_replace(text, '[\\r\u0085\u2028\u2029]', ' ', 'g'), '^{_WS}+', '')) AS text FROM verses")
 def headed_verses(spark, sf):
-    """Lines ``[NNN_VVV]V text`` under chapter heads: the verses counted."""
+    """Lines ``[NNN_VVV]V text`` under chapter heads, read back."""
     from quire.sources.layouts import headed_verses as read
 
-    c = chapters(spark, sf).select("work_id", "chapter_num", F.flatten(F.transform("sections", lambda s: s["verses"])).alias("v"))
-    lines = F.transform("v", lambda x, i: F.concat(F.lit("["), "chapter_num", F.lit("_"), i + 1, F.lit("]"), i + 1, F.lit(" "), F.regexp_replace(x, "[\r\u0085  ]", " ")))
+    c = chapters(spark, sf).select("chapter_num", F.flatten(F.transform("sections", lambda s: s["verses"])).alias("v"))
+    lines = F.transform("v", lambda x, i: F.concat(F.lit("["), "chapter_num", F.lit("_"), i + 1, F.lit("]"), i + 1, F.lit(" "), F.regexp_replace(x, "[\r\u0085\u2028\u2029]", " ")))
     files = c.select(F.concat("chapter_num", F.lit(". n: T\nnoise\n"), F.array_join(lines, "\n")).alias("value"))
-    out = read(files, "q").select(F.col("chapter_num").cast("long").alias("doc_id"), F.size(F.col("sections")[0]["verses"]).cast("long").alias("verses"))
-    return out.join(c.select("work_id", F.col("chapter_num").alias("doc_id")), "doc_id")
+    rows = read(files, "q").select(F.col("chapter_num").cast("long").alias("doc_id"), F.posexplode(F.col("sections")[0]["verses"]).alias("i", "text"))
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("verse"), "text")
 
 
 @query()
@@ -586,6 +671,66 @@ def verse_patch(spark, sf):
     return C.patched(v, C.verse_changes(v, other)).select("ref", "text")
 
 
-@query("SELECT doc_id, len(regexp_extract_all(' ' || regexp_replace(text, '[^a-zA-Z]', '  ', 'g') || ' ', ' (the|and|of) ')) AS n FROM documents WHERE NOT regexp_matches(text, '[^ -~\\n]')")
+@query("SELECT doc_id, len(regexp_extract_all(' ' || regexp_replace(text, '[^a-zA-Z]', '  ', 'g') || ' ', ' (the|and|of) ')) AS n FROM documents")
 def spelling_count(spark, sf):
-    return docs(spark, sf).where(~F.col("text").rlike(r"[^ -~\n]")).select("doc_id", C.occurrences(F.regexp_replace("text", "[0-9_]", " "), ["the", "and", "of"]).alias("n"))
+    return docs(spark, sf).select("doc_id", C.occurrences(F.regexp_replace("text", "[0-9_]", " "), ["the", "and", "of"]).alias("n"))
+
+
+@query("SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3 - (length(p) - length(replace(p, 'the', ''))) // 3 + (length(text) - length(replace(text, 'and', ''))) // 3 - (length(p) - length(replace(p, 'and', ''))) // 3)::BIGINT AS n FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '\\bthe\\b', 'ye', 'g'), '\\band\\b', 'et', 'g') AS p FROM documents)")
+def spelling_patched(spark, sf):
+    """How many of the old spellings, as substrings, a patch of whole words has taken away."""
+    return docs(spark, sf).select("doc_id", C.patched_count(F.col("text"), T.replace_words(F.col("text"), {"the": "ye", "and": "et"}), ["the", "and"]).alias("n"))
+
+
+@query(VERSES + "SELECT ref, text FROM verses WHERE contains(lower(text), 'on') AND work_id = 'src3'")
+def search_unknown_book(spark, sf):
+    """A book that the work lacks is no filter."""
+    return C.search(document_verses(spark, sf), "on", work="src3", book="nowhere", books=books(spark, sf)).select("ref", "text")
+
+
+@query("SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS work_id, d.lang || '-' || d.doc_id AS chapter_id FROM labels l JOIN documents d USING (doc_id) UNION ALL SELECT 'whole', lang || '-' || doc_id FROM documents")
+def works_split(spark, sf):
+    """Chapters under the works that claim them, and a work that claims none and gets all."""
+    from quire.plans.build import split_works
+
+    c = chapters(spark, sf).select("work_id", "chapter_id", "chapter_num")
+    claims = table(spark, sf, "labels").join(c.withColumnRenamed("chapter_num", "doc_id"), "doc_id").select(F.when(F.col("quality") == 1, "good").otherwise("poor").alias("work_id"), "chapter_id")
+    members = claims.unionAll(spark.createDataFrame([("whole", None)], "work_id string, chapter_id string"))
+    return split_works(c, members).select("work_id", "chapter_id")
+
+
+@query("""WITH w AS (SELECT DISTINCT source AS work_id FROM documents), m AS (SELECT source AS work_id, list(DISTINCT lang ORDER BY lang) AS mentions FROM documents WHERE lang <> 'en' GROUP BY source)
+SELECT w.work_id, '{"@type":"Book","@id":"https://example.org/' || w.work_id || '","name":"' || upper(w.work_id) || '","url":"https://example.org/' || w.work_id || '","inLanguage":"' || CASE WHEN w.work_id < 'src3' THEN 'de' ELSE 'en' END || '"' ||
+CASE WHEN w.work_id < 'src3' THEN ',"datePublished":"1900"' ELSE '' END || CASE WHEN m.mentions IS NOT NULL THEN ',"mentions":["' || array_to_string(m.mentions, '","') || '"]' ELSE '' END || '}' AS json FROM w LEFT JOIN m USING (work_id)""")
+def work_details(spark, sf):
+    from quire.operators.site import with_details
+
+    c = chapters(spark, sf)
+    works = c.select("work_id").distinct().withColumn("title", F.upper("work_id"))
+    details = works.where("work_id < 'src3'").select("work_id", F.lit("de").alias("lang"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("author"), F.lit(1900).alias("year"))
+    mentions = c.where("book_id <> 'en'").groupBy("work_id").agg(F.array_sort(F.collect_set("book_id")).alias("mentions"))
+    return with_details(works, details, mentions, "https://example.org")
+
+
+@query("""WITH b AS (SELECT source, lang, count(*) AS n, min(doc_id) AS s FROM documents GROUP BY ALL), w AS (SELECT source, list('{"id":"' || lang || '","name":"' || upper(lang) || '","chapters":' || n || ',"start":' || s || '}' ORDER BY lang) AS l FROM b GROUP BY source)
+SELECT source AS work_id, '{"id":"' || source || '","title":"T ' || source || '","books":[' || array_to_string(l, ',') || ']}' AS json FROM w""")
+def manifest_files(spark, sf):
+    from quire.plans.build import manifests
+
+    b = C.books_of(chapters(spark, sf))
+    works = b.select("work_id").distinct().withColumn("title", F.concat(F.lit("T "), "work_id"))
+    null = lambda kind: F.lit(None).cast(kind)
+    return manifests(works, b.select("work_id", F.col("book_id").alias("book_ord"), "book_id", F.upper("book_id").alias("name"), null("string").alias("abbrev"), "chapters", "start", null("array<string>").alias("names")))
+
+
+@query("SELECT source AS work_id, lang || '-' || doc_id AS chapter_id, '{\"sections\":[{\"startVerse\":1,\"verses\":' || to_json(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::VARCHAR || '}]}' AS json FROM documents")
+def chapter_files(spark, sf):
+    from quire.plans.build import chapter_files as files
+
+    return files(chapters(spark, sf))
+
+
+@query("SELECT user_id // 10 AS window_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def parsed_tallies(spark, sf):
+    """Rows of each kind of each group, as a parser reports its chapters by work."""
+    return table(spark, sf, "events").groupBy(F.expr("user_id DIV 10").alias("window_id"), "event_type").agg(F.count("*").alias("n"))

@@ -9,11 +9,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import ROMAN, SMALL_WORDS, let
+from quire.operators.corpus import pieces
+
 CHAPTERS = "work_id string, book_id string, chapter_id string, chapter_num int, name string, sections array<struct<startVerse:int,verses:array<string>>>"
 Verses = list[str]
 Sections = list[tuple[int, Verses]]
@@ -54,18 +58,17 @@ def sentence_case(text: str) -> str:
     return " ".join(low + words[run:])
 
 
-def heading_case(text: str, small: frozenset[str] = frozenset("a an and as at but by for in nor of on or so the to up".split())) -> str:
+def heading_case(text: str) -> str:
+    """``quire.functions.text.title_case`` of one title."""
     words = text.lower().split()
-    last = len(words) - 1
-    return " ".join(w if 0 < i < last and w in small else w[:1].upper() + w[1:] for i, w in enumerate(words))
-
-
-ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+    inner = range(1, len(words) - 1)
+    return " ".join(w if i in inner and w in SMALL_WORDS else w[:1].upper() + w[1:] for i, w in enumerate(words))
 
 
 def roman(text: str) -> int:
-    values = [ROMAN.get(c, 0) for c in text]
-    return sum(-v if any(v < w for w in values[i + 1 : i + 2]) else v for i, v in enumerate(values))
+    """``quire.functions.text.roman_to_int`` of one numeral."""
+    values = [ROMAN.get(c, 0) for c in text.upper()]
+    return sum(-v if v < after else v for v, after in zip(values, [*values, 0][1:], strict=True))
 
 
 # ---------------------------------------------------------------- bodies into verses
@@ -255,57 +258,58 @@ def commented(lines: list[str], marks: tuple[str, ...] = ("COMMENTARY", "TSANG")
     return [(1, text)] + ([(len(text) + 1, comment)] if comment else [])
 
 
-STANZA = re.compile(r"(\d+)[.,]\s*(.*)")
-SPEAKER = re.compile(r"(\w[\w\s'-]*?)\s+spake:\s*$")
+#: The lines of a lay by their form (fixed by the printed text): rules and gaps, numbered heads, speakers, stanzas, notes.
+STANZA = re.compile(r"(?P<number>\d+)[.,]\s*(?P<text>.*)")
+SPEAKER = re.compile(r"(?P<name>\w[\w\s'-]*?)\s+spake:\s*$")
+NOT_TEXT = re.compile(r"__|\.(?:\s+\.)+$|[IVXLC]+\.\s+[A-Z]")
+NOTE = re.compile(r"\[(?:\d+|Prose|General|Introductory)")
+
+
+def noted(lines: list[str]) -> list[bool]:
+    """Lines of notes: a note begins with its bracket and ends where its brackets are closed; blank lines are none."""
+    out, depth = [], 0
+    for line in lines:
+        out.append(bool(line) and (depth > 0 or NOTE.match(line) is not None))
+        if out[-1]:
+            depth = max(0, depth + line.count("[") - line.count("]"))
+    return out
 
 
 def lay(body: str) -> Verses:
-    """Stanzas and prose of a lay: numbered stanzas, prose paragraphs between them, speakers before what they say.
+    """Stanzas and prose of a lay, as islands between blank lines and stanza numbers; a speaker's name goes before what follows.
 
-    Notes in brackets, titles, rules and gaps are left out. A speaker's name waits for the next text.
+    Notes in brackets, titles, rules and gaps are left out.
     """
-    verses: Verses = []
-    held: list[str] = []
-    depth, speaker = 0, ""
-
-    def flush() -> None:
-        if held:
-            verses.append(" ".join(held))
-            held.clear()
-
-    for line in map(str.strip, body.split("\n")):
-        if not line:
-            # A blank line ends prose, and a stanza too: its number is gone from its text.
-            flush()
-            continue
-        if depth > 0 or re.match(r"\[(?:\d+|Prose|General|Introductory)", line):
-            depth = max(0, depth + line.count("[") - line.count("]"))
-            continue
-        number = STANZA.match(line)
-        title = re.match(r"[IVXLC]+\.\s+[A-Z]", line) or (line.isupper() and len(line) > 3 and not number)
-        if title or line.startswith("__") or re.fullmatch(r"\.(?:\s+\.)+", line):
+    lines = [x.strip() for x in body.split("\n")]
+    islands: list[list[str]] = [[]]
+    speaker = ""
+    for line, note in zip(lines, noted(lines), strict=True):
+        stanza, said_by = STANZA.match(line), SPEAKER.match(line)
+        capitals = line.isupper() and len(line) > 3 and not stanza
+        if note or capitals or NOT_TEXT.match(line):
             continue
-        if m := SPEAKER.match(line):
-            speaker = m[1].strip()
+        if said_by:
+            speaker = said_by["name"].strip()
             continue
-        if number:
-            flush()
-        text = number[2].strip() if number else line
-        if speaker and (text or number):
+        if stanza or not line:
+            islands.append([])
+        text = stanza["text"].strip() if stanza else line
+        if speaker and (text or stanza):
             text, speaker = f"{speaker}: {text}".strip(), ""
-        if text:
-            held.append(text)
-    flush()
-    return verses
+        islands[-1].append(text)
+    return [joined for x in islands if (joined := " ".join(filter(None, x)))]
+
+
+#: What a lay's verses are cleaned of, one after the other (fixed by the printed text).
+LAY_MARKS = (
+    (PAGE, ""), (r"(?i)\[paragraph continues\]", ""), (r"[\[\]]", ""), (r"-{2,}", "—"), (r"(?:^|\s)\.(?:\s+\.)+(?:\s|$)", " "),
+    (r"\s+", " "), (r"^ | $", ""), (r"^[,;]\s*", ""), (r"^(?:f?p\.\s*\d+|[.\s]*)$", ""),
+)
 
 
 def lay_text(text: str) -> str:
     """A verse of a lay without page marks, gaps and stray punctuation; empty if nothing else was in it."""
-    text = re.sub(r"(?i)\[paragraph continues\]", "", re.sub(PAGE, "", text))
-    text = re.sub(r"-{2,}", "—", re.sub(r"[\[\]]", "", text))
-    text = one_line(re.sub(r"(?:^|\s)\.(?:\s+\.)+(?:\s|$)", " ", text))
-    text = re.sub(r"^[,;]\s*", "", text)
-    return "" if re.fullmatch(r"f?p\.\s*\d+|[.\s]*", text) else text
+    return reduce(lambda t, mark: re.sub(mark[0], mark[1], t), LAY_MARKS, text)
 
 
 def after_introduction(body: str) -> str:
@@ -387,7 +391,7 @@ def verse_lines(lines: DataFrame, books: DataFrame, work: str) -> DataFrame:
     """
     from quire.functions.text import clean_text, normalize_divine_names, strip
 
-    pattern = r"^(\w+)\s+(\d+):(\d+)\s+(.*)$"
+    pattern = r"(?s)^(\w+)\s+(\d+):(\d+)\s+(.*)$"
     line = strip(F.col("value"))
     part = lambda k: F.regexp_extract(line, pattern, k)
     rows = lines.where(line.rlike(pattern)).select(part(1).alias("abbrev"), part(2).cast("int").alias("chapter_num"), part(3).cast("int").alias("verse"), clean_text(normalize_divine_names(part(4))).alias("text"))
@@ -400,16 +404,9 @@ def verse_lines(lines: DataFrame, books: DataFrame, work: str) -> DataFrame:
 def headed_verses(files: DataFrame, work: str, head: str = r"^(\d+)\. [^:]*: .*$", verse: str = r"^\[(\d+)_(\d+)\](\d+)\s*(.*)$") -> DataFrame:
     """Chapters of whole texts (``value``) with chapter heads and verse lines ``[NNN_VVV]V text``; all within the row."""
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.rtrim(x)), lambda x: x.rlike(head) | x.rlike(verse))
-    start = F.struct(F.lit(None).cast("int").alias("ch"), F.array().cast("array<struct<ch:int,text:string>>").alias("v"))
-
-    def step(a, x):
-        ch = F.when(x.rlike(head), F.regexp_extract(x, head, 1).cast("int")).otherwise(a["ch"])
-        one = F.struct(ch.alias("ch"), F.trim(F.regexp_extract(x, verse, 4)).alias("text"))
-        more = F.when(x.rlike(verse) & ch.isNotNull(), F.concat(a["v"], F.array(one))).otherwise(a["v"])
-        return F.struct(ch.alias("ch"), more.alias("v"))
-
-    rows = files.select(F.aggregate(lines, start, step, lambda a: a["v"]).alias("v"))
-    rows = rows.select("v", F.explode(F.array_distinct(F.transform("v", lambda x: x["ch"]))).alias("chapter_num"))
-    verses = F.transform(F.filter("v", lambda x: x["ch"] == F.col("chapter_num")), lambda x: x["text"])
-    section = F.struct(F.lit(1).alias("startVerse"), verses.alias("verses"))
+    # A chapter is the piece from one head to the next; lines before the first head belong to none.
+    rows = files.select(F.explode(let(lines, lambda l: pieces(l, F.transform(l, lambda x: x.rlike(head)), lambda p: p))).alias("p")).where(F.get("p", F.lit(0)).rlike(head))
+    verses = F.transform(F.filter("p", lambda x: x.rlike(verse)), lambda x: F.trim(F.regexp_extract(x, verse, 4)))
+    rows = rows.select(F.regexp_extract(F.get("p", F.lit(0)), head, 1).cast("int").alias("chapter_num"), verses.alias("v")).where(F.size("v") > 0)
+    section = F.struct(F.lit(1).alias("startVerse"), F.col("v").alias("verses"))
     return rows.select(F.lit(work).alias("work_id"), F.lit(work).alias("book_id"), F.concat(F.lit(f"{work}-"), "chapter_num").alias("chapter_id"), "chapter_num", F.lit(None).cast("string").alias("name"), F.array(section).alias("sections"))

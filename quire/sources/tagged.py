@@ -69,15 +69,16 @@ PAIR = re.compile(r"\s*(.+?)\s*\|\s*(.+?)\s*$")
 
 
 def parse_text(text: str) -> list[dict]:
-    """The chapters of one work's text, in order, with their book and work."""
+    """The chapters of one work's text, in order, with their book and work. A directive whose number is none is a verse or has no effect."""
     work: dict = {"work_id": None, "title": None}
     book: dict | None = None
     chapter: dict | None = None
     books = 0
     out: list[dict] = []
 
-    def number(rest: str) -> int:
-        return int(rest) if rest else 1
+    def number(rest: str) -> int | None:
+        """A verse number; 1 if none is given, None if it is not a number."""
+        return int(rest) if rest.isascii() and rest.isdigit() else None if rest else 1
 
     for line in text.split("\n"):
         tag, _, rest = line.partition(":")
@@ -91,7 +92,8 @@ def parse_text(text: str) -> list[dict]:
             book, chapter = {"book_ord": books, "book_id": m[1], "book_name": m[2], "start": 1, "count": 0}, None
             books += 1
         elif tag == "START" and book is not None:
-            book["start"] = int(rest)
+            n = number(rest.strip())
+            book["start"] = book["start"] if n is None else n
         elif tag == "CHAPTER":
             place = book or {"book_ord": 0, "book_id": "ch", "book_name": "ch", "start": 1, "count": len(out)}
             chapter = {"chapter_ord": place["count"], "chapter_id": f"{place['book_id']}-{place['start'] + place['count']}", "name": rest.strip() or None, "intro": None, "sections": [], "next": 1}
@@ -102,11 +104,11 @@ def parse_text(text: str) -> list[dict]:
             continue
         elif line.startswith("> "):
             chapter["intro"] = line[2:]
-        elif line.startswith("@") and not line.startswith("@@"):
-            chapter["next"] = number(line[1:].strip())
+        elif line.startswith("@") and not line.startswith("@@") and (n := number(line[1:].strip())) is not None:
+            chapter["next"] = n
         elif tag == "SECTION":
-            if rest.strip().startswith("@"):
-                chapter["next"] = number(rest.strip()[1:].strip())
+            if rest.strip().startswith("@") and (n := number(rest.strip()[1:].strip())) is not None:
+                chapter["next"] = n
             chapter["sections"].append({"startVerse": chapter["next"], "verses": []})
         else:
             if not chapter["sections"]:

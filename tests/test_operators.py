@@ -81,7 +81,7 @@ def test_similarity(spark):
     t = ["alpha beta gamma delta", "alpha beta gamma delta", "alpha beta gamma omega", "unlike words here entirely"]
     rows = [("w1", "b", "b-1", t[0]), ("w1", "b", "b-2", t[1]), ("w2", "b", "c-1", t[1]), ("w2", "d", "d-1", t[2]), ("w3", "e", "e-1", t[3]), ("w3", "e", "e-2", " ")]
     df = spark.createDataFrame(rows, "work_id string, book_id string, chapter_id string, t string").withColumn("sections", F.array(F.struct(F.lit(1).alias("startVerse"), F.array("t").alias("verses"))))
-    got = [(r.chapter_id, r["rank"], r.ref, r.score) for r in C.similar_chapters(C.weights(df, [])).orderBy("chapter_id", "rank").collect()]
+    got = [(r.chapter_id, r["rank"], r.ref, r.score) for r in C.similar_chapters(C.vectors(df, [])).orderBy("chapter_id", "rank").collect()]
     assert [g[:3] for g in got if g[0] == "b-1"] == [("b-1", 1, "w2:c-1"), ("b-1", 2, "w2:d-1")] and got[0][3] == 1.0
     assert not any(g[0].startswith("e") for g in got)
     assert [g[2] for g in got if g[0] == "c-1"] == ["w1:b-1", "w1:b-2", "w2:d-1"]
@@ -125,3 +125,90 @@ def test_site(spark):
     assert lines[2] == "<url><loc>https://h/w/b-3</loc><changefreq>yearly</changefreq><priority>0.6</priority></url>"
     row = spark.range(1).select(site.json_ld(F.struct(F.lit("</script>").alias("a"), F.lit(None).cast("string").alias("b"))), site.json_ld(site.breadcrumbs(F.array(F.lit("n")), F.array(F.lit("i"))))).first()
     assert row[0] == '{"a":"\\u003c/script>"}' and '"position":1' in row[1]
+
+
+def test_folds_are_linear(spark):
+    """A document of 100,000 lines: each fold ends in seconds and is right."""
+    import time
+
+    n = 100_000
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i % 7 == 0, i)).alias("v"), F.sequence(F.lit(1), F.lit(n)).alias("k"))
+    text = F.transform("k", lambda i: F.concat(F.when(i % 5 == 1, F.concat(i.cast("string"), F.lit(". "))).otherwise(""), F.lit("w")))
+    paragraphs = F.transform("k", lambda i: F.when(i % 3 == 0, "end.").otherwise("on"))
+    began = time.time()
+    filled = C.filled_forward(F.transform("v", lambda x: x.cast("string")))
+    restarts = C.sections_of_numbers(F.transform("k", lambda i: i % 10))
+    marks = C.sequential_markers(F.transform("k", lambda i: F.when(i % 2 == 0, i / 2).otherwise(0)))
+    row = rows.select(filled.alias("f"), restarts.alias("r"), marks.alias("m"), C.numbered_verses(text).alias("t"), C.merged_paragraphs(paragraphs).alias("p")).first()
+    assert row.f[:8] == [None] * 6 + ["7", "7"] and row.f[-1] == str(n - n % 7)
+    assert row.r[8:12] == [0, 1, 1, 1] and row.r[-1] == n // 10 and len(row.r) == n
+    assert row.m == list(range(1, n, 2))
+    assert len(row.t) == n // 5 and set(row.t) == {"w w w w w"}
+    assert row.p[0] == "on on end." and len(row.p) == n // 3 + 1
+    assert time.time() - began < 60
+
+
+def test_folds_on_small_arrays(spark):
+    values = [[], [None], ["a", None, None, "b", None], [None, "", "x"]]
+    df = spark.createDataFrame([(v,) for v in values] + [(["m"] + [None] * 600,)], "v array<string>")
+    assert [r[0] for r in df.select(C.filled_forward(F.col("v"))).collect()] == [[], [None], ["a", "a", "a", "b", "b"], [None, "", "x"], ["m"] * 601]
+    df = spark.createDataFrame([(["", "a", "", "b"], [False, False, True, False]), ([], []), ([""], [True])], "l array<string>, s array<boolean>")
+    assert [r[0] for r in df.select(C.islands(F.col("l"), F.col("s"))).collect()] == [["a", "b"], [], [""]]
+
+
+def test_numerals_and_titles(spark):
+    from quire.sources.layouts import heading_case, roman
+
+    numerals = ["", "I", "IV", "XIX", "XL", "CCXCIX", "MCMXCIV", "XIIX", "IIX", "iv", "A"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in numerals], "c string").select(T.roman_to_int(F.col("c"))).collect()]
+    assert got == [roman(x) for x in numerals] == [0, 1, 4, 19, 40, 299, 1994, 20, 10, 4, 0]
+    titles = ["UP TO NOW AND UP", "the lay OF the king", "a", "", "of the", "  so it   is "]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in titles], "c string").select(T.title_case(F.col("c"))).collect()] == [heading_case(x) for x in titles]
+    assert heading_case("UP TO NOW AND UP") == "Up to Now and Up"
+    assert one(spark, "THE KING'S SON", T.title_if_caps(F.col("c"))) == ("The King'S Son",)
+
+
+def test_printed_text(spark):
+    cases = {
+        "I SAW the Lord": "I saw the Lord", "O LORD our GOD": "O Lord our God", "THUS the heavens": "Thus the heavens", "AND, behold": "And, behold", "See Feasts .": "See Feasts.",
+        "be- side Baal- Hanan": "beside Baal-Hanan", "Cæsar\u00ad ¶x": "Caesar x", "McK x": "McK x", "A": "A", "": "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, c string").orderBy("i")
+    assert [r[0] for r in df.select(T.printed(F.col("c"))).collect()] == list(cases.values())
+
+
+def test_stores(spark):
+    mk = lambda rows, s: spark.createDataFrame(rows, s)
+    stores = R.restore(R.migrated(mk([(1, '{"notes":{"a":"b"}}', '{"c":"d"}'), (2, "broken", '{"c":"d"}'), (3, None, "broken"), (4, None, None)], "user_id int, store string, old_notes string")))
+    assert {r.user_id: dict(r.store.notes) for r in stores.collect()} == {1: {"a": "b"}, 2: {"c": "d"}, 3: {}, 4: {}}
+    kept = R.replaced(mk([(1, "x", "y"), (2, "x", "y")], "user_id int, a string, b string"), mk([(1, "z", None), (3, "n", None)], "user_id int, a string, b string"), ["a", "b"])
+    assert sorted(map(tuple, kept.collect())) == [(1, "z", None), (2, "x", "y"), (3, "n", None)]
+    refs = ["w:b-10:2", "w:b-2:10", "w:b-2:9", "v:z-1:1", "w:b-2:x"]
+    assert [r.ref for r in R.listed(mk([(r,) for r in refs], "ref string")).collect()] == ["v:z-1:1", "w:b-10:2", "w:b-2:x", "w:b-2:9", "w:b-2:10"]
+    assert [r.ref for r in R.of_chapter(mk([(r,) for r in refs], "ref string"), "w", "b-2").collect()] == ["w:b-2:10", "w:b-2:9", "w:b-2:x"]
+    assert R.matching_bookmarks(mk([("w:a-1:1", None), ("x", "The END")], "ref string, text string"), " end ", "text", "ref").count() == 1
+
+
+def test_build(spark, tmp_path):
+    from quire.plans import build
+
+    folder = str(tmp_path / "corpus")
+    assert [r.message for r in build.missing_works_list(spark, folder).collect()] == ["works: list missing"]
+    works = spark.createDataFrame([("w", "Work"), ("v", "Other")], "work_id string, title string")
+    books = spark.createDataFrame([("w", 0, "b", "Book", None, 2, 1, None)], "work_id string, book_ord int, book_id string, name string, abbrev string, chapters int, start int, names array<string>")
+    s = "array<struct<startVerse:int,verses:array<string>>>"
+    chapters = spark.createDataFrame([("w", "b", "b-1", 1, [(1, ["alpha beta", "gamma"])]), ("w", "b", "b-2", 2, [(1, ["beta"])])], f"work_id string, book_id string, chapter_id string, chapter_num int, sections {s}")
+    build.write_corpus(works, books, chapters, folder)
+    assert build.missing_works_list(spark, folder).count() == 0
+    assert [r.work_id for r in build.works_list(spark, folder).orderBy("work_id").collect()] == ["v", "w"]
+    back = {r.work_id: r.value for r in spark.read.text(f"{folder}/manifests").collect()}
+    assert back == {"w": '{"id":"w","title":"Work","books":[{"id":"b","name":"Book","chapters":2,"start":1}]}', "v": '{"id":"v","title":"Other","books":[]}'}
+    assert build.build_indexes(chapters, [], folder) == {"search": 3, "concordance": 4, "similarity": 0}
+    assert [r.word for r in spark.read.parquet(f"{folder}/concordance").select("word").distinct().orderBy("word").collect()] == ["alpha", "beta", "gamma"]
+    assert "text/html" in site.open_search("https://h", "a & b", "d") and "a &amp; b" in site.open_search("https://h", "a & b", "d")
+
+
+def test_search_with_manifests(spark, verses):
+    books = spark.createDataFrame([("w", "b")], "work_id string, book_id string")
+    assert C.search(verses, "cat", work="w", book="none", books=books).count() == 2 == C.search(verses, "cat", work="w", book="b", books=books).count()
+    assert C.lookup(verses, "cat", []).count() == 121 and C.lookup(verses, "cat", ["cat"]).count() == 0

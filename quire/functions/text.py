@@ -284,6 +284,26 @@ def parse_route(path: Column) -> Column:
     )
 
 
+def parse_location(path: Column) -> Column:
+    """work, chapter and verse of a reader's address ``/work/chapter:verse``; null without a second slash.
+
+    The last colon begins a verse only if a number follows it, of which the leading digits count.
+    """
+    raw = F.regexp_replace(path, "^/", "")
+    whole = r"(?s)^([^/]*)/(.*)$"
+    rest = F.regexp_extract(raw, whole, 2)
+    ends = r"(?s)^(.*):\s*([+-]?\d+)[^:]*$"
+    numbered = rest.rlike(ends)
+    return F.when(
+        raw.rlike(whole),
+        F.struct(
+            F.regexp_extract(raw, whole, 1).alias("work_id"),
+            F.when(numbered, F.regexp_extract(rest, ends, 1)).otherwise(rest).alias("chapter_id"),
+            F.when(numbered, F.regexp_extract(rest, ends, 2).try_cast("long")).alias("verse"),
+        ),
+    )
+
+
 def credit(translators: Column, edition: Column, year: Column) -> Column:
     names = F.when(F.size(translators) > 0, F.array_join(translators, " & "))
     return F.coalesce(names, edition, year.cast("string"))

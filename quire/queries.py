@@ -734,3 +734,75 @@ def chapter_files(spark, sf):
 def parsed_tallies(spark, sf):
     """Rows of each kind of each group, as a parser reports its chapters by work."""
     return table(spark, sf, "events").groupBy(F.expr("user_id DIV 10").alias("window_id"), "event_type").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- addresses, front matter, printed pages
+
+
+@query("""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/' || source WHEN 1 THEN '/' || source || '/' || lang || '-' || doc_id WHEN 2 THEN '/' || source || '/' || lang || '-' || doc_id || ':' || n_chars || 'x' ELSE '/' || source || '/' || lang || ':' || doc_id || ':' || lang END AS path FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN split_part(path, '/', 2) END AS work_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 2 THEN split_part(split_part(path, '/', 3), ':', 1) ELSE split_part(path, '/', 3) END AS chapter_id,
+CASE WHEN doc_id % 4 = 2 THEN regexp_extract(split_part(path, ':', 2), '[0-9]+')::BIGINT END AS verse FROM p""")
+def location_parse(spark, sf):
+    path = F.expr("CASE doc_id % 4 WHEN 0 THEN '/' || source WHEN 1 THEN '/' || source || '/' || lang || '-' || doc_id WHEN 2 THEN '/' || source || '/' || lang || '-' || doc_id || ':' || n_chars || 'x' ELSE '/' || source || '/' || lang || ':' || doc_id || ':' || lang END")
+    return docs(spark, sf).select("doc_id", T.parse_location(path).alias("l")).select("doc_id", "l.work_id", "l.chapter_id", "l.verse")
+
+
+@query("SELECT source AS key, lang || ': ' || doc_id AS value FROM documents UNION ALL SELECT 'nowhere', NULL")
+def front_matter(spark, sf):
+    """Lines ``key: value``, cut at the first colon; a key that must be there and lacks has no value."""
+    from quire.sources.corpus import front_matter as read
+
+    return read(docs(spark, sf).select(F.concat("source", F.lit(":  "), "lang", F.lit(": "), "doc_id", F.lit(" ")).alias("value")), ("src3", "nowhere"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN lang || ' & ' || source WHEN lang = 'de' THEN source ELSE n_chars::VARCHAR END AS credit FROM documents")
+def credit_lines(spark, sf):
+    names = F.when(F.col("lang") == "en", F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
+    return docs(spark, sf).select("doc_id", T.credit(names, F.when(F.col("lang") == "de", F.col("source")), F.col("n_chars")).alias("credit"))
+
+
+_SPANS = "WITH s AS (SELECT l_orderkey AS doc, l_linenumber AS p, l_partkey AS id, (l_extendedprice % 400)::DOUBLE AS x, floor(l_suppkey % 300)::DOUBLE AS y, (l_quantity % 12)::DOUBLE AS s, CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 16 ELSE 0 END AS f FROM lineitem) "
+
+
+def spans(spark, sf):
+    flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 16).otherwise(0)
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("p"), F.col("l_partkey").alias("id"), (F.col("l_extendedprice") % 400).cast("double").alias("x"),
+        F.floor(F.col("l_suppkey") % 300).cast("double").alias("y"), (F.col("l_quantity") % 12).cast("double").alias("s"), flag.alias("f"),
+    )
+
+
+@query(_SPANS + "SELECT doc, p, id, CASE WHEN doc % 2 = 0 THEN 0 WHEN y < 100 THEN 0 WHEN y < 200 THEN 1 ELSE 2 END AS zone, (x >= 200)::INT AS col, y AS line, round(x, 6) AS x FROM s")
+def span_places(spark, sf):
+    """Zone, column and line of each span; odd documents have two heads on each page."""
+    from quire.sources.spans import reading_order
+
+    rows = spans(spark, sf)
+    bounds = rows.where("doc % 2 = 1").select("doc", "p").distinct().withColumn("ys", F.array(F.lit(100.0), F.lit(200.0)))
+    placed = reading_order(rows, bounds, 200.0)
+    return placed.select("doc", "p", "id", F.col("place.zone").alias("zone"), F.col("place.column").alias("col"), F.col("place.line").alias("line"), F.round("place.x", 6).alias("x"))
+
+
+@query(_SPANS + "SELECT doc, p, id FROM s WHERE s >= 5 AND f & 1 = 0")
+def span_text(spark, sf):
+    from quire.sources.spans import without_notes
+
+    return without_notes(spans(spark, sf), 5.0).select("doc", "p", "id")
+
+
+@query("""WITH t AS (SELECT user_id AS doc, event_id AS p, event_type AS a FROM events WHERE event_type = 'purchase'), h AS (SELECT user_id AS doc, event_id AS p, CASE WHEN event_id % 3 = 0 THEN event_type END AS b FROM events),
+j AS (SELECT h.doc, h.p, coalesce(a, b) AS book FROM h LEFT JOIN t ON t.doc = h.doc AND t.p = h.p) SELECT doc, p, last_value(book IGNORE NULLS) OVER (PARTITION BY doc ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS book FROM j""")
+def page_books(spark, sf):
+    """The book of each page: from titles, else from headers, else the page before's."""
+    from quire.sources.spans import filled_pages
+
+    e = table(spark, sf, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("p"), "event_type")
+    titles = e.where("event_type = 'purchase'").select("doc", "p", F.col("event_type").alias("book"))
+    headers = e.select("doc", "p", F.when(F.col("p") % 3 == 0, F.col("event_type")).alias("book"))
+    return filled_pages(titles, headers)
+
+
+@query()
+def title_cases(spark, sf):
+    """Documents as titles: with small words, and with capitals only if they have no small letter."""
+    return docs(spark, sf).select("doc_id", T.title_case(F.col("text")).alias("title"), T.title_if_caps(F.upper("text")).alias("caps"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quire.operators import reader
-from quire.streaming.reader import recent_stream, toggled_stream
+from quire.streaming.reader import recent_stream, toggled_stream, windowed_activity
 
 
 def test_streams_equal_batch(spark, tmp_path):
@@ -27,3 +27,17 @@ def test_streams_equal_batch(spark, tmp_path):
     q = toggled_stream(stream, "user_id", "key").writeStream.outputMode("complete").foreachBatch(lambda b, _: out.update(x={tuple(r) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert out["x"] == {tuple(r) for r in reader.toggled(df, "user_id", "key").collect()}
+
+
+def test_windows_equal_batch(spark, tmp_path):
+    rows = [(f"k{i % 3}", i * 700) for i in range(120)]
+    df = spark.createDataFrame(rows, "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = windowed_activity(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {tuple(r) for r in windowed_activity(df).collect()}
+    last = max(r[0] for r in want)
+    # A window is given out once the watermark has passed its end.
+    assert {r for r in want if r[0] < last} - got <= {r for r in want if (last - r[0]).total_seconds() <= 3600} and got <= want and len(got) > 50

@@ -26,7 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    # With the scheme of the file system that Spark itself would use, so that whoever else opens it finds the same folder.
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
 
 
 #: Tasks that may write a table of any size, and one of a few columns of numbers.

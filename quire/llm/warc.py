@@ -22,6 +22,8 @@ from quire.llm.common import hot_lookup, materialize, shared_dir
 
 ROLL = 256 << 20
 READ = 1 << 16
+#: Bytes that a record's head may have.
+MOST_HEAD = 1 << 20
 EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -57,50 +59,76 @@ class DamagedArchive(ValueError):
     """A record that is cut off, badly framed, or does not have its digest."""
 
 
-def members(stream) -> Iterator[bytes]:
-    """The inflated bytes of each gzip member of a stream, read and inflated ``READ`` bytes at a time."""
+class Frame:
+    """One record as its bytes come: the head, the block of the length that the head states, and the record's end."""
+
+    def __init__(self) -> None:
+        self.headers: dict | None = None
+        self.head, self.block, self.end = bytearray(), bytearray(), bytearray()
+        self.size, self.sha = 0, hashlib.sha1()
+
+    def feed(self, data: bytes) -> None:
+        if self.headers is None:
+            self.head += data
+            at = self.head.find(b"\r\n\r\n")
+            if (at if at >= 0 else len(self.head)) > MOST_HEAD:
+                raise DamagedArchive("a record's head does not end")
+            if at < 0:
+                return
+            data, self.headers = bytes(self.head[at + 4 :]), self.parsed(bytes(self.head[:at]))
+        rest = self.size - len(self.block)
+        self.block += data[:rest]
+        self.sha.update(data[:rest])
+        self.end += data[rest:]
+        if len(self.end) > 4:
+            raise DamagedArchive("a record's content length is not its block's")
+
+    def parsed(self, head: bytes) -> dict:
+        lines = head.decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise DamagedArchive("a member does not begin with a WARC head")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        if not headers.get("content-length", "").isdecimal():
+            raise DamagedArchive("a record has no content length")
+        self.size = int(headers["content-length"])
+        return headers
+
+    def close(self) -> dict:
+        """The record's headers (lower case), its HTTP head and its payload; framing and digests are verified."""
+        if self.headers is None:
+            raise DamagedArchive("a member does not begin with a WARC head")
+        if len(self.block) != self.size or self.end != b"\r\n\r\n":
+            raise DamagedArchive("a record's content length is not its block's")
+        if (want := self.headers.get("warc-block-digest")) and want != f"sha1:{base64.b32encode(self.sha.digest()).decode()}":
+            raise DamagedArchive("a block does not have its digest")
+        http, _, payload = bytes(self.block).partition(b"\r\n\r\n")
+        if self.headers.get("warc-type") == "response" and (want := self.headers.get("warc-payload-digest")) and want != f"sha1:{digest(payload)}":
+            raise DamagedArchive("a payload does not have its digest")
+        return self.headers | {"http": http.decode("latin-1"), "payload": payload}
+
+
+def records(stream) -> Iterator[dict]:
+    """The records of a stream, one gzip member each, read and inflated ``READ`` bytes at a time and framed as they come."""
     data = stream.read(READ)
     while data:
-        z, parts = zlib.decompressobj(31), []
+        z, frame = zlib.decompressobj(31), Frame()
         while not z.eof:
             if not data:
                 raise DamagedArchive("the archive ends within a member")
             try:
-                parts.append(z.decompress(data))
+                frame.feed(z.decompress(data, READ))
             except zlib.error as e:
                 raise DamagedArchive(f"a member can't be inflated: {e}") from e
-            data = z.unused_data if z.eof else stream.read(READ)
-        yield b"".join(parts)
+            data = z.unused_data if z.eof else z.unconsumed_tail or stream.read(READ)
+        yield frame.close()
         data = data or stream.read(READ)
 
 
-def parse(member: bytes) -> dict:
-    """A record's headers (lower case), its HTTP head and its payload; framing and digests are verified."""
-    head, gap, rest = member.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not gap or not lines[0].startswith("WARC/"):
-        raise DamagedArchive("a member does not begin with a WARC head")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-    try:
-        size = int(headers["content-length"])
-    except (KeyError, ValueError) as e:
-        raise DamagedArchive("a record has no content length") from e
-    block = rest[:size]
-    if len(block) != size or rest[size:] != b"\r\n\r\n":
-        raise DamagedArchive("a record's content length is not its block's")
-    if (want := headers.get("warc-block-digest")) and want != f"sha1:{digest(block)}":
-        raise DamagedArchive("a block does not have its digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    if headers.get("warc-type") == "response" and (want := headers.get("warc-payload-digest")) and want != f"sha1:{digest(payload)}":
-        raise DamagedArchive("a payload does not have its digest")
-    return headers | {"http": http.decode("latin-1"), "payload": payload}
-
-
 def _filesystem(uri: str):
-    """The file system of a folder's URI and the path in it."""
+    """The file system of a folder's URI and the path in it. ``shared_dir`` gives every folder with its scheme."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def plan_records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
@@ -168,9 +196,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
             for path, want in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 rows, held, seen = [], 0, 0
                 with system.open_input_stream(path, compression=None) as stream:
-                    for member in members(stream):
-                        rows.append(_row(parse(member)))
-                        held, seen = held + len(member), seen + 1
+                    for record in records(stream):
+                        rows.append(_row(record))
+                        held, seen = held + len(record["payload"]), seen + 1
                         if held >= 4 << 20:
                             yield _records(rows)
                             rows, held = [], 0

@@ -33,23 +33,30 @@ def test_round_trip(spark, tmp_path, roll, least):
     assert archives.agg({"records": "sum"}).collect()[0][0] == len(rows())
 
 
-def test_every_record_is_a_member_of_its_own():
-    made = [warc.record("response", 1, "u", b"a"), warc.record("revisit", 2, "v", b"a", 1), warc.record("response", 3, None, b"")]
-    found = list(warc.members(io.BytesIO(b"".join(made))))
-    assert found == [gzip.decompress(m) for m in made]
-    assert [warc.parse(m)["payload"] for m in found] == [b"a", b"", b""]
+@pytest.mark.parametrize("read", [1, 7, 1 << 16])
+def test_every_record_is_a_member_of_its_own(monkeypatch, read):
+    monkeypatch.setattr(warc, "READ", read)
+    made = [warc.record("response", 1, "u", b"a\r\n\r\n" * 900), warc.record("revisit", 2, "v", b"a", 1), warc.record("response", 3, None, b"")]
+    found = list(warc.records(io.BytesIO(b"".join(made))))
+    assert [r["payload"] for r in found] == [b"a\r\n\r\n" * 900, b"", b""] and [r["warc-type"] for r in found] == ["response", "revisit", "response"]
+    assert all(gzip.decompress(m).startswith(b"WARC/1.1\r\n") for m in made)
 
 
 def test_damage_is_an_error():
     whole = warc.record("response", 1, "u", b"hello" * 50)
-    with pytest.raises(warc.DamagedArchive):
-        list(warc.members(io.BytesIO(whole[:-9])))
-    with pytest.raises(warc.DamagedArchive):
-        list(warc.members(io.BytesIO(b"no gzip")))
     raw = gzip.decompress(whole)
-    for bad in (raw.replace(b"hello", b"jello", 1), raw.replace(b"Content-Length: 3", b"Content-Length: 2"), raw[:-1], b"x" + raw):
+    bad = [whole[:-9], b"no gzip", *map(gzip.compress, (raw.replace(b"hello", b"jello", 1), raw.replace(b"Content-Length: 3", b"Content-Length: 2"), raw.replace(b"Content-Length: ", b"Content-Size: "), raw[:-1], raw + b"x", b"x" + raw, b"WARC/1.1\r\n", b""))]
+    for data in bad:
         with pytest.raises(warc.DamagedArchive):
-            warc.parse(bad)
+            list(warc.records(io.BytesIO(data)))
+    with pytest.raises(warc.DamagedArchive):
+        list(warc.records(io.BytesIO(gzip.compress(b"WARC/1.1\r\nX: " + b"y" * warc.MOST_HEAD + raw))))
+
+
+def test_shared_folder_names_its_file_system(spark):
+    from quire.llm.common import shared_dir
+
+    assert shared_dir(spark).startswith("file:///")
 
 
 def test_empty(spark, tmp_path):

@@ -806,3 +806,23 @@ def page_books(spark, sf):
 def title_cases(spark, sf):
     """Documents as titles: with small words, and with capitals only if they have no small letter."""
     return docs(spark, sf).select("doc_id", T.title_case(F.col("text")).alias("title"), T.title_if_caps(F.upper("text")).alias("caps"))
+
+
+@query(VERSES + f"SELECT work_id, doc_id, (verse - 1) // 90 + 1 AS chapter_num, (verse - 1) % 90 + 1 AS verse, regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), '^$', 'x') AS text FROM verses")
+def span_chapters(spark, sf):
+    """Documents printed as volumes of one book, in chapters of 90 verses with bold numbers, and read back."""
+    from quire.sources.spans import span_chapters as read
+
+    v = document_verses(spark, sf).withColumn("n", (F.col("verse") - 1) % 90 + 1).withColumn("c", F.floor((F.col("verse") - 1) / 90) + 1)
+    piece = lambda k, t, size, f: F.struct(F.lit(k).alias("k"), t.alias("t"), F.lit(size).alias("s"), F.lit(f).alias("f"))
+    body = F.array(piece(2, F.col("n").cast("string"), 8.0, 16), piece(3, F.trim("text"), 8.0, 0))
+    heads = F.when(F.col("n") == 1, F.array(piece(1, F.concat(F.lit("CHAPTER "), "c"), 8.0, 0))).otherwise(F.array().cast("array<struct<k:int,t:string,s:double,f:int>>"))
+    first = F.when(F.col("verse") == 1, F.array(piece(0, F.lit(" the book "), 20.0, 0))).otherwise(F.array().cast("array<struct<k:int,t:string,s:double,f:int>>"))
+    rows = v.select(F.col("chapter_num").alias("doc"), "work_id", "verse", F.explode(F.concat(first, heads, body)).alias("e"))
+    rows = rows.select("doc", "e.t", "e.s", "e.f", F.struct("verse", "e.k").alias("place"))
+    titles = spark.createDataFrame([("The Book", "volume", "b")], "title string, work_id string, book_id string")
+    # Each document is a volume here: the book's id carries the document's.
+    found = read(rows, titles, 15.0, by_volume=True)
+    out = found.select(F.col("doc").alias("doc_id"), F.col("chapter_num").cast("long").alias("chapter_num"), F.posexplode(F.get("sections", F.lit(0))["verses"]).alias("i", "text"))
+    out = out.join(chapters(spark, sf).select(F.col("chapter_num").alias("doc_id"), "work_id"), "doc_id")
+    return out.select("work_id", "doc_id", "chapter_num", (F.col("i") + 1).cast("long").alias("verse"), "text")

@@ -5,9 +5,12 @@ A span is ``(doc, p, t, s, f, x, y)``: page, text, size, flags, place. Decoding
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+from quire.operators.corpus import pieces, scan
+
 SUPERSCRIPT, BOLD = 1, 16
 
 
@@ -27,23 +30,65 @@ def without_notes(spans: DataFrame, smallest: float) -> DataFrame:
     return spans.where((F.col("s") >= smallest) & (F.col("f").bitwiseAND(SUPERSCRIPT) == 0))
 
 
-def page_verses(spans: DataFrame, most: int = 200, jump: int = 10) -> DataFrame:
-    """``doc``, ``p``, ``verse``, ``text``: bold numbers begin verses if they are plausible (at most ``most``, and from the last
-    number to ``jump`` above it). A page is folded as one row.
+def plausible(numbers: Column, most: int = 200, jump: int = 10) -> Column:
+    """The verse number in force at each element of an array of numbers (null for text).
+
+    A number is a verse's if it is at most ``most``, and from the last one to ``jump`` above it.
     """
+    fits = lambda now, n: F.coalesce((n <= most) & n.between(now, now + jump), F.lit(False))
+    return scan(numbers, F.lit(0), "int", lambda now, n: F.when(fits(now, n), n).otherwise(now))
+
+
+def verses_in(spans: DataFrame, keys: list[str], most: int = 200, jump: int = 10) -> DataFrame:
+    """``keys``, ``verse`` and ``text``: the spans of a group (a page, a chapter) in reading order, cut at bold numbers that are plausible."""
     rows = spans.withColumn("n", F.when(F.col("f").bitwiseAND(BOLD) > 0, F.trim("t").try_cast("int")))
-    pages = rows.groupBy("doc", "p").agg(F.array_sort(F.collect_list(F.struct("place", "t", "n"))).alias("l"))
-    start = F.struct(F.lit(0).alias("v"), F.array().cast("array<struct<v:int,t:string>>").alias("o"))
-
-    def step(a, x):
-        good = x["n"].isNotNull() & (x["n"] <= most) & (x["n"] >= a["v"]) & (x["n"] <= a["v"] + jump)
-        v = F.when(F.coalesce(good, F.lit(False)), x["n"]).otherwise(a["v"])
-        more = F.when(F.coalesce(good, F.lit(False)), a["o"]).otherwise(F.concat(a["o"], F.array(F.struct(v.alias("v"), F.trim(x["t"]).alias("t")))))
-        return F.struct(v.alias("v"), more.alias("o"))
-
-    parts = pages.select("doc", "p", F.explode(F.aggregate("l", start, step, lambda a: F.transform(a["o"], lambda x, i: F.struct(x["v"].alias("v"), i.alias("i"), x["t"].alias("t"))))).alias("x"))
-    joined = parts.groupBy("doc", "p", F.col("x.v").alias("verse")).agg(F.array_sort(F.collect_list(F.struct("x.i", "x.t"))).alias("l"))
-    return joined.select("doc", "p", "verse", F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"))
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", F.trim("t").alias("t"), "n"))).alias("l"))
+
+    def cut(x: Column) -> Column:
+        """Pieces that begin with a number which changes or repeats the one in force, as its number and the text after it."""
+        begins = F.transform(x["l"], lambda e, i: F.coalesce(e["n"] == F.get(x["v"], i), F.lit(False)))
+        pairs = F.zip_with(F.zip_with(x["l"], x["v"], lambda e, v: F.struct(v.alias("v"), e["t"].alias("t"))), begins, lambda e, s: F.struct(e["v"].alias("v"), F.when(~s, e["t"]).alias("t")))
+        return pieces(pairs, begins, lambda part: F.struct(F.get(part, F.lit(0))["v"].alias("v"), F.array_join(F.transform(part, lambda e: e["t"]), " ").alias("t")))
+
+    found = lists.withColumn("v", plausible(F.transform("l", lambda x: x["n"]), most, jump))
+    parts = found.select(*keys, F.posexplode(let(F.struct("l", "v"), cut)).alias("i", "x"))
+    joined = parts.where("x.t <> ''").groupBy(*keys, F.col("x.v").alias("verse")).agg(F.array_sort(F.collect_list(F.struct("i", "x.t"))).alias("l"))
+    return joined.select(*keys, "verse", F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"))
+
+
+def page_verses(spans: DataFrame, most: int = 200, jump: int = 10) -> DataFrame:
+    """``doc``, ``p``, ``verse``, ``text`` of each page."""
+    return verses_in(spans, ["doc", "p"], most, jump)
+
+
+def span_chapters(spans: DataFrame, titles: DataFrame, title_size: float, by_volume: bool = False, head: str = r"^(?:CHAPTER|SECTION|PSALM)\s+(\d+)$") -> DataFrame:
+    """Chapters of printed volumes: ``work_id``, ``book_id``, ``chapter_id``, ``chapter_num``, ``name`` and ``sections``.
+
+    ``spans`` are in reading order by ``place``; ``titles`` (``title``, ``work_id``, ``book_id``) is the small table of book titles,
+    matched without case in spans of ``title_size`` or larger. A book goes on to the next title, a chapter to the next
+    head or title. What stands before the first title or head belongs to none. Several works may come from one volume, and
+    volumes of one book are put together, unless they are kept apart ``by_volume`` (with a column ``doc``).
+    """
+    known = F.broadcast(titles.select(F.upper(F.trim("title")).alias("__q_title"), "work_id", "book_id"))
+    rows = spans.withColumn("__q_title", F.when(F.col("s") >= title_size, F.upper(F.trim("t")))).join(known, "__q_title", "left").drop("__q_title")
+    rows = rows.withColumn("number", F.regexp_extract(F.trim("t"), head, 1).try_cast("int"))
+    volume = Window.partitionBy("doc").orderBy("place")
+    rows = rows.withColumn("nth", F.count("book_id").over(volume))
+    book = Window.partitionBy("doc", "nth").orderBy("place")
+    rows = rows.select("doc", "nth", "place", "t", "f", "number", F.first("work_id").over(book).alias("work_id"), F.first("book_id").over(book).alias("book_id"), F.last("number", ignorenulls=True).over(book).alias("chapter_num"), F.col("book_id").alias("title"))
+    body = rows.where("nth > 0 AND chapter_num IS NOT NULL AND number IS NULL AND title IS NULL")
+    found = verses_in(body, ["doc", "work_id", "book_id", "chapter_num"])
+    keys = [*(["doc"] if by_volume else []), "work_id", "book_id", "chapter_num"]
+    lists = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("verse", "doc", "text"))).alias("v"))
+    section = F.struct(F.greatest(F.get("v", F.lit(0))["verse"], F.lit(1)).alias("startVerse"), F.transform("v", lambda x: x["text"]).alias("verses"))
+    return lists.select(*keys[:-3], "work_id", "book_id", F.concat_ws("-", "book_id", "chapter_num").alias("chapter_id"), "chapter_num", F.lit(None).cast("string").alias("name"), F.array(section).alias("sections"))
+
+
+def volume_manifest(chapters: DataFrame, titles: DataFrame) -> DataFrame:
+    """The books of the works of printed volumes in the order of ``titles`` (``ord``), as ``quire.plans.build.manifests`` takes them."""
+    counts = chapters.groupBy("work_id", "book_id").agg(F.count("*").alias("chapters"), F.min("chapter_num").cast("long").alias("start"))
+    books = titles.select("work_id", "book_id", F.col("ord").alias("book_ord"), F.col("title").alias("name"))
+    return counts.join(F.broadcast(books), ["work_id", "book_id"]).select("work_id", "book_ord", "book_id", "name", F.lit(None).cast("string").alias("abbrev"), "chapters", "start", F.lit(None).cast("array<string>").alias("names"))
 
 
 def filled_pages(titles: DataFrame, headers: DataFrame) -> DataFrame:

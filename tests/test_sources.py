@@ -111,3 +111,14 @@ def test_web(spark):
     df = spark.createDataFrame([(1, "http://h/d/index.htm", page)], "page_id long, url string, html string")
     assert [(r.pos, r.link) for r in web.page_links(df).collect()] == [(0, "http://h/d/b.htm"), (1, "http://h/d/c.htm")]
     assert web.visible_text("<title>T</title><p>Next</p><p>1. In the beginning &amp; so on</p><script>x</script><p>more of it</p><p>Index</p>").startswith("1. In the beginning & so on")
+
+
+def test_span_chapters(spark):
+    rows = [(0, "FIRST BOOK", 20.0, 0), (1, "stray", 8.0, 0), (2, "CHAPTER 1", 9.0, 0), (3, "1", 8.0, 16), (4, "In the", 8.0, 0), (5, "beginning", 8.0, 0), (6, "2", 8.0, 16), (7, "and 900", 8.0, 0), (8, "900", 8.0, 16), (9, "CHAPTER 2", 9.0, 0), (10, "5", 8.0, 16), (11, "later", 8.0, 0), (12, "first book", 8.0, 0), (13, "Second Book", 20.0, 0), (14, "SECTION 7", 9.0, 0), (15, "no number", 8.0, 0), (16, "1", 8.0, 16), (17, "a verse", 8.0, 0)]
+    df = spark.createDataFrame([("d", i, t, s, f) for i, t, s, f in rows], "doc string, place int, t string, s double, f int")
+    titles = spark.createDataFrame([("First Book", "w1", "b1", 0), ("Second Book", "w2", "b2", 0)], "title string, work_id string, book_id string, ord int")
+    found = spans.span_chapters(df, titles, 15.0)
+    got = {r.chapter_id: (r.work_id, [(x.startVerse, x.verses) for x in r.sections]) for r in found.collect()}
+    assert got == {"b1-1": ("w1", [(1, ["In the beginning", "and 900 900"])]), "b1-2": ("w1", [(5, ["later first book"])]), "b2-7": ("w2", [(1, ["no number", "a verse"])])}
+    books = {r.book_id: (r.work_id, r.chapters, r.start, r.name) for r in spans.volume_manifest(found, titles).collect()}
+    assert books == {"b1": ("w1", 2, 1, "First Book"), "b2": ("w2", 1, 7, "Second Book")}

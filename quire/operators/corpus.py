@@ -81,6 +81,18 @@ def unknown_words(texts: DataFrame, words: DataFrame, stopwords: list[str]) -> D
     return seen.where(~F.col("word").isin(stopwords)).distinct().join(words.select("word"), "word", "left_anti")
 
 
+def known_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """Words of ``texts`` that the concordance has."""
+    seen = texts.select(F.explode(F.array_distinct(T.concordance_tokens(F.col("text")))).alias("word")).distinct()
+    return seen.join(words.select("word"), "word", "left_semi")
+
+
+def hits_by_work(hits: DataFrame, order: DataFrame) -> DataFrame:
+    """Hits of each work, sorted by the works' own order (``work_id``, ``ord``); works that have no place come last."""
+    per = hits.groupBy("work_id").agg(F.count("*").alias("hits"))
+    return per.join(F.broadcast(order.select("work_id", "ord")), "work_id", "left").sort(F.col("ord").asc_nulls_last(), "work_id")
+
+
 # ---------------------------------------------------------------- similarity
 
 VOCABULARY, LEAST_SCORE, TOP = 20_000, 0.1, 5
@@ -174,6 +186,13 @@ def related_by_work(similar: DataFrame) -> DataFrame:
     return similar.groupBy("work_id", "chapter_id", "ref_work").agg(matches.alias("m")).select("work_id", "chapter_id", "ref_work", F.array_join("m.ref", " ").alias("refs"))
 
 
+def related_by_title(similar: DataFrame, titles: DataFrame) -> DataFrame:
+    """A chapter's similar ones in groups by work, with the group's place in order of the works' titles (``work_id``, ``title``)."""
+    groups = related_by_work(similar).join(F.broadcast(titles.select(F.col("work_id").alias("ref_work"), "title")), "ref_work", "left")
+    by_title = Window.partitionBy("work_id", "chapter_id").orderBy(F.coalesce("title", "ref_work"), "ref_work")
+    return groups.withColumn("place", F.row_number().over(by_title))
+
+
 # ---------------------------------------------------------------- order without a task per work
 
 RANGE = 4096
@@ -278,8 +297,22 @@ def merged_paragraphs(paragraphs: Column, ends: str = r"[.!?\"”]$") -> Column:
     return T.let(paragraphs, merged)
 
 
-def sections_of_numbers(numbers: Column) -> Column:
-    """Section of each verse number: a number that is not above the one before begins the next section."""
+def sections_of_numbers(numbers: Column, filled: Column | None = None) -> Column:
+    """Section of each verse number: a number that is not above the one before begins the next section.
+
+    With ``filled`` (whether the verse has any text, for each number), it does so only if a verse of its section has text.
+    """
+    if filled is not None:
+        kind = "struct<last:bigint,section:int,some:boolean>"
+        start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("section"), F.lit(False).alias("some"))
+
+        def step(a: Column, x: Column) -> Column:
+            new = a["some"] & F.coalesce(x["n"] <= a["last"], F.lit(False))
+            some = F.when(new, x["f"]).otherwise(a["some"] | x["f"])
+            return F.struct(x["n"].cast("bigint").alias("last"), (a["section"] + new.cast("int")).alias("section"), some.alias("some"))
+
+        pairs = F.zip_with(numbers, filled, lambda n, f: F.struct(n.alias("n"), f.alias("f")))
+        return F.transform(scan(pairs, start, kind, step), lambda s: s["section"])
 
     def falls(n: Column) -> Column:
         return F.transform(n, lambda x, i: (i > 0) & F.coalesce(x <= F.get(n, i - 1), F.lit(False)))
@@ -347,6 +380,13 @@ def books_of(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("work_id", "book_id").agg(F.count("*").alias("chapters"), F.min("chapter_num").alias("start"), F.min_by("chapter_id", "chapter_num").alias("first_id"))
 
 
+def with_book(chapters: DataFrame, books: DataFrame) -> DataFrame:
+    """Chapters with the name of their book and the title of their work, empty where the manifests don't know them."""
+    known = books.select("work_id", "book_id", F.col("book_name").alias("__q_name"), F.col("title").alias("__q_title"))
+    rows = chapters.drop("book_name", "title").join(known, ["work_id", "book_id"], "left")
+    return rows.withColumns({"book_name": F.coalesce("__q_name", F.lit("")), "title": F.coalesce("__q_title", F.lit(""))}).drop("__q_name", "__q_title")
+
+
 def chapter_title(title: Column, book_name: Column, number: Column, chapters: Column, books: Column) -> Column:
     """A book of one chapter is called by its name, a chapter of a work with one book by the work's, any other by its book's."""
     return F.when(chapters == 1, book_name).when(books == 1, F.concat_ws(" ", title, number)).otherwise(F.concat_ws(" ", book_name, number))

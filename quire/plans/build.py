@@ -38,6 +38,18 @@ def write_corpus(works: DataFrame, books: DataFrame, chapters: DataFrame, folder
     works.select("work_id").orderBy("work_id").write.mode("overwrite").json(f"{folder}/works")
 
 
+def corpus_module(manifests: DataFrame) -> DataFrame:
+    """``work_id`` and ``json`` of all manifests for a site; a manifest whose id is not its folder's name (``dir``) is an error."""
+    wrong = F.concat(F.lit("manifest of "), "dir", F.lit(" has the id "), F.coalesce("work_id", F.lit("null")))
+    checked = F.when(F.col("work_id").eqNullSafe(F.col("dir")), F.col("json")).otherwise(F.raise_error(wrong).cast("string"))
+    return manifests.select("dir", checked.alias("json")).withColumnRenamed("dir", "work_id")
+
+
+def work_text(spark: SparkSession, folder: str, work: str) -> DataFrame:
+    """The lines of one work's text, as ``quire.sources.tagged.write`` left them: only that work's files are read."""
+    return spark.read.text(folder).where(F.col("work_id") == work).select("value")
+
+
 def works_list(spark: SparkSession, folder: str) -> DataFrame:
     """``work_id`` of the works listed in a folder."""
     return spark.read.schema("work_id string").json(f"{folder}/works")

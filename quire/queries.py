@@ -826,3 +826,46 @@ def span_chapters(spark, sf):
     out = found.select(F.col("doc").alias("doc_id"), F.col("chapter_num").cast("long").alias("chapter_num"), F.posexplode(F.get("sections", F.lit(0))["verses"]).alias("i", "text"))
     out = out.join(chapters(spark, sf).select(F.col("chapter_num").alias("doc_id"), "work_id"), "doc_id")
     return out.select("work_id", "doc_id", "chapter_num", (F.col("i") + 1).cast("long").alias("verse"), "text")
+
+
+# ---------------------------------------------------------------- groups in order, enriched chapters, works of several files
+
+
+@query(WORDS + "SELECT DISTINCT b.word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS word FROM benchmark) b WHERE b.word IN (SELECT word FROM words)")
+def concordance_known_words(spark, sf):
+    return C.known_words(table(spark, sf, "benchmark"), words(spark, sf))
+
+
+@query(VERSES + "SELECT v.work_id, count(*) AS hits, CASE WHEN v.work_id <> 'src5' THEN length(v.work_id) * 100 - ascii(right(v.work_id, 1)) END::BIGINT AS ord FROM verses v WHERE contains(lower(text), 'on') GROUP BY v.work_id")
+def search_works_order(spark, sf):
+    """Hits by work in the works' own order; one work has no place in it."""
+    order = chapters(spark, sf).select("work_id").distinct().where("work_id <> 'src5'").withColumn("ord", F.expr("cast(length(work_id) * 100 - ascii(right(work_id, 1)) AS BIGINT)"))
+    return C.hits_by_work(C.search(document_verses(spark, sf), "on"), order)
+
+
+@query(_SIMILAR + ", g AS (SELECT work_id, chapter_id, ref_work, string_agg(ref, ' ' ORDER BY rank) AS refs FROM best WHERE rank <= 5 GROUP BY ALL) SELECT work_id, chapter_id, ref_work, refs, row_number() OVER (PARTITION BY work_id, chapter_id ORDER BY reverse(ref_work), ref_work) AS place FROM g")
+def related_by_title(spark, sf):
+    titles = chapters(spark, sf).select("work_id").distinct().withColumn("title", F.reverse("work_id"))
+    found = C.related_by_title(C.similar_chapters(C.vectors(chapters(spark, sf), STOPWORDS)), titles)
+    return found.select("work_id", "chapter_id", "ref_work", "refs", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT doc_id, CASE WHEN lang <> 'fr' THEN upper(lang) ELSE '' END AS book_name, CASE WHEN lang <> 'fr' THEN 'T ' || source ELSE '' END AS title FROM documents")
+def chapter_enriched(spark, sf):
+    """Chapters with their book's and work's names; one language is not in the manifests."""
+    known = books(spark, sf).where("book_id <> 'fr'").withColumn("book_name", F.upper("book_id")).withColumn("title", F.concat(F.lit("T "), "work_id"))
+    return C.with_book(chapters(spark, sf), known).select(F.col("chapter_num").alias("doc_id"), "book_name", "title")
+
+
+@query("SELECT lang AS book_id, count(*) AS verses FROM (SELECT lang, unnest(string_split(text, chr(10))) AS x FROM documents WHERE lang <> 'es') WHERE regexp_matches(x, '[^ \\t\\n\\v\\f\\r]') GROUP BY lang")
+def books_parsed(spark, sf):
+    """A work whose books come in files of three layouts, their verses counted; a book without a layout is left out."""
+    from quire.sources.layouts import LAYOUTS, parse_books
+
+    c = docs(spark, sf).select("lang", "doc_id", F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "").alias("v"))
+    lines = F.array_join(F.transform("v", lambda x: F.concat(F.lit("   x"), F.regexp_replace(x, "[^A-Za-z ]", "x"))), "\n")
+    head = F.when(F.col("lang") == "fr", F.concat(F.lit("             "), "doc_id", F.lit("\n"))).otherwise("")
+    files = c.select(F.col("lang").alias("book_id"), F.concat(head, lines).alias("value"))
+    found = parse_books(files, {"en": LAYOUTS["whole"], "de": LAYOUTS["commented"], "fr": LAYOUTS["indented"]}, "w")
+    number = F.aggregate("sections", F.lit(0).cast("long"), lambda a, x: a + F.size(x["verses"]))
+    return found.groupBy("book_id").agg(F.sum(number).alias("verses"))

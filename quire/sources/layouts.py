@@ -361,25 +361,43 @@ LAYOUTS = {
         body=lambda b: re.sub(r"\A(?:\s*\n)?(?:(?=[^\n]*\S)[^a-z\n]+(?:\n|\Z))+", "", b),
     ),
     "commented": Layout("gl", r"\A", lambda b: commented(b.split("\n")), clean=(str.strip,), first_caps=True, number=lambda m, i: i + 1, flags=0),
+    "whole": Layout("dm", r"\A", indented, clean=(str.strip,), first_caps=True, number=lambda m, i: i + 1, flags=0),
     "indented": Layout("analects", r"^[^\S\n]{11,}(?P<num>\d+)[^\S\n]*$", indented, clean=(str.strip,), first_caps=True),
 }
 
 
+def _rows(layout: Layout, text: str | None, work: str, own: str | None = None) -> Iterator[tuple]:
+    for found, number, name, sections in layout.parse(text or ""):
+        book = own or found
+        yield work, book, f"{book}-{number}", number, name, [{"startVerse": a, "verses": v} for a, v in sections]
+
+
 def parse_files(files: DataFrame, layout: Layout) -> DataFrame:
     """Chapters of ``files`` (a column ``value`` with a whole text each); a null text gives none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.strip().split()[0] for c in CHAPTERS.split(", ")]
         for batch in batches:
-            rows = []
-            for text in batch["value"]:
-                for book, number, name, sections in layout.parse(text or ""):
-                    rows.append((layout.work, book, f"{book}-{number}", number, name, [{"startVerse": a, "verses": v} for a, v in sections]))
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([r for text in batch["value"] for r in _rows(layout, text, layout.work)], columns=names)
 
     return files.select("value").mapInPandas(run, CHAPTERS)
 
 
+def parse_books(files: DataFrame, layouts: dict[str, Layout], work: str) -> DataFrame:
+    """Chapters of a work whose books come in files of their own (``book_id``, ``value``), each in the layout of its book.
+
+    Files of books without a layout are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.strip().split()[0] for c in CHAPTERS.split(", ")]
+        for batch in batches:
+            known = [(b, t) for b, t in zip(batch["book_id"], batch["value"], strict=True) if b in layouts]
+            yield pd.DataFrame([r for book, text in known for r in _rows(layouts[book], text, work, book)], columns=names)
+
+    return files.select("book_id", "value").mapInPandas(run, CHAPTERS)
+
+
 # ---------------------------------------------------------------- one verse a line: no Python
 
 

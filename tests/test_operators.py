@@ -156,6 +156,12 @@ def test_folds_on_small_arrays(spark):
     assert [r[0] for r in df.select(C.islands(F.col("l"), F.col("s"))).collect()] == [["a", "b"], [], [""]]
 
 
+def test_sections_need_text(spark):
+    rows = [([1, 2, 1, 2, 2, 1], [True, True, True, False, False, True]), ([1, 1, 1], [False, False, True]), ([3, 2, 1], [True, True, True]), ([], [])]
+    df = spark.createDataFrame(rows, "n array<int>, f array<boolean>")
+    assert [r[0] for r in df.select(C.sections_of_numbers(F.col("n"), F.col("f"))).collect()] == [[0, 0, 1, 1, 2, 2], [0, 0, 0], [0, 1, 2], []]
+
+
 def test_numerals_and_titles(spark):
     from quire.sources.layouts import heading_case, roman
 

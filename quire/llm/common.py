@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Tasks that may write a table of any size, and one of a few columns of numbers.
 FILES, FEW = 40, 12
+#: More tasks than any stage has.
+MOST_FILES = 1 << 22
 
 
 def materialize(df: DataFrame, name: str = "part", files: int | None = None) -> DataFrame:
@@ -42,7 +44,7 @@ def materialize(df: DataFrame, name: str = "part", files: int | None = None) ->
     ``files``: the most tasks that write it, so that a small table is not dealt over every shuffle partition.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df = df.coalesce(files) if files else df
+    df = df.coalesce(min(files, MOST_FILES)) if files else df
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -66,7 +68,7 @@ def files_for(rows: int, per: int = 50_000, least: int = FILES) -> int:
 
 def compact(df: DataFrame, source: DataFrame) -> DataFrame:
     """``df``, made from the table ``source`` row by row, in one task for each 2 MB of it at most (or ``FILES``)."""
-    return df.coalesce(max(FILES, plan_bytes(source) >> 21))
+    return df.coalesce(min(MOST_FILES, max(FILES, plan_bytes(source) >> 21)))
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -82,7 +84,7 @@ def sized(df: DataFrame) -> DataFrame:
 def parts_for(df: DataFrame, target: int) -> int:
     """Partitions that hold about ``target`` estimated bytes each, never fewer than the session's shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 22, math.ceil(plan_bytes(df) / target)))
+    return max(least, min(MOST_FILES, math.ceil(plan_bytes(df) / target)))
 
 
 def hot_lookup(big: DataFrame, small: DataFrame, key: str, count: str, most: int = 1024) -> DataFrame:

@@ -28,6 +28,8 @@ PIVOTS, MOST_PIVOTS, NEAREST, SHARED = 256, 2048, 10, 2
 #: Vectors for each pivot that pivots are chosen from (the bound of the fitting sample). Pivots that are chosen even if they
 #: are alike: any two choices of 10 among 24 share 2 with a chance of 0.99.
 POOL, LEAST_PIVOTS = 16, 24
+#: Bytes of that pool, and of all pivots, at most (but never fewer than 1,024 vectors and ``PIVOTS`` pivots).
+POOL_BYTES, PIVOT_BYTES = 64 << 20, 16 << 20
 TILE, LIST = 512, 4096
 
 
@@ -52,7 +54,9 @@ def choose_pivots(rows: DataFrame, count: int = PIVOTS, cosine: float = COSINE)
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return np.zeros((0, 0))
-    found = rows.where(F.size("vec") == sizes[0]["d"]).select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(POOL * count).collect()
+    room = 8 * max(1, sizes[0]["d"])
+    count = min(count, max(PIVOTS, PIVOT_BYTES // room))
+    found = rows.where(F.size("vec") == sizes[0]["d"]).select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(min(POOL * count, max(1024, POOL_BYTES // room))).collect()
     pool = _unit(np.array([r["vec"] for r in found], float))
     chosen, near = [0], pool @ pool[0]
     while len(chosen) < min(count, len(pool)):

@@ -203,3 +203,17 @@ def test_language_query_by_definition(spark):
         assert got[d.doc_id].lang_pred == m.langs[order[0]]
         assert abs(got[d.doc_id].score - (1 - cost[order[0]] / cost[order[1]])) < 1e-9
     assert len(some) == 40
+
+
+def test_quality_of_clashing_columns_ties_and_many_languages(spark):
+    text = " ".join(f"the w{i % 37} of w{i % 11}x{i}" for i in range(60))
+    rows = [(i, text, f"l{i % 80:02d}", "x", True, 1.0) for i in range(160)] + [(7, text, "l07", "x", True, 1.0), (None, text, None, None, None, None), (900, "", "l01", "y", False, 2.0), (901, "word " * 200_000, "l02", "y", False, 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, js_classes string, kept boolean, js_words double")
+    refs = quality.references(df)
+    assert refs.count() == 80
+    got = quality.judge(df, refs).collect()
+    assert len(got) == len(rows) and all(r.kept == (not r.base_failed) for r in got if r.text == text)
+    same = {(r.lang, r.js_classes, r.js_words, r.kept) for r in got if r.doc_id == 7}
+    assert len(same) == 1 and {r.doc_id: r.js_words for r in got}[None] is None
+    long = next(r for r in got if r.doc_id == 901)
+    assert (long.n_words, long.n_repeat_words, long.base_failed, long.kept) == (200_000, 200_000, True, False)

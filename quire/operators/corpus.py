@@ -100,11 +100,11 @@ VOCABULARY, LEAST_SCORE, TOP = 20_000, 0.1, 5
 BLOCK = 512
 
 
-def vectors(chapters: DataFrame, stopwords: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
-    """``work_id``, ``book_id``, ``chapter_id`` and ``terms`` (of each its number ``k``, ``term`` and ``w``): smoothed tf-idf of unit length.
+def weights(chapters: DataFrame, stopwords: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
+    """``work_id``, ``book_id``, ``chapter_id``, ``term``, its number ``k`` and ``w``: smoothed tf-idf, unit length for each chapter.
 
     Terms are the ``vocabulary`` most frequent ones of the corpus (ties by term), a broadcast of bounded size. Counts are
-    written once; a chapter's terms meet in one row, which gives its length without a join.
+    written once; a chapter's rows meet in one exchange, which gives its length without a join.
     """
     text = F.array_join(F.flatten(F.transform("sections", lambda s: s["verses"])), " ")
     keys = ["work_id", "book_id", "chapter_id"]
@@ -114,19 +114,13 @@ def vectors(chapters: DataFrame, stopwords: list[str], vocabulary: int = VOCABUL
     tf = materialize(tf.groupBy(*keys, "term").agg(F.count("*").alias("tf")), "tf")
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(vocabulary)
     terms = terms.crossJoin(F.broadcast(n)).select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("k"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(F.broadcast(terms), "term").select(*keys, F.struct("k", "term", (F.col("tf") * F.col("idf")).alias("x")).alias("t"))
-    packed = raw.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("t"))
-    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, x: a + x["x"] * x["x"]))
-    return packed.withColumn("norm", norm).select(*keys, F.transform("t", lambda x: F.struct(x["k"].alias("k"), x["term"].alias("term"), (x["x"] / F.col("norm")).alias("w"))).alias("terms"))
-
-
-def weights(chapters: DataFrame, stopwords: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
-    """A row for each chapter and term, with its weight ``w`` (see ``vectors``)."""
-    return vectors(chapters, stopwords, vocabulary).select("work_id", "book_id", "chapter_id", F.explode("terms").alias("t")).select("work_id", "book_id", "chapter_id", "t.term", "t.w")
+    raw = tf.join(F.broadcast(terms), "term").withColumn("x", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*keys)))
+    return raw.select(*keys, "term", "k", (F.col("x") / norm).alias("w"))
 
 
 def similar_chapters(unit: DataFrame, least: float = LEAST_SCORE, top: int = TOP) -> DataFrame:
-    """For each chapter of ``vectors`` the ``top`` most similar ones of other books with a cosine of at least ``least``.
+    """For each chapter of ``weights`` the ``top`` most similar ones of other books with a cosine of at least ``least``.
 
     Every pair counts, so the work grows with the square of the chapters; joining postings would make that many rows. The
     product is computed block by block instead, ``BLOCK`` chapters against as many, and a block returns only what can be
@@ -135,7 +129,8 @@ def similar_chapters(unit: DataFrame, least: float = LEAST_SCORE, top: int = TOP
     import numpy as np
     import pandas as pd
 
-    rows = materialize(unit.select(F.monotonically_increasing_id().alias("id"), "work_id", "book_id", "chapter_id", F.col("terms.k").alias("t"), F.col("terms.w").alias("w")), "unit")
+    lists = unit.groupBy("work_id", "book_id", "chapter_id").agg(F.collect_list("k").alias("t"), F.collect_list("w").alias("w"))
+    rows = materialize(lists.select(F.monotonically_increasing_id().alias("id"), "*"), "unit")
     keys = rows.select("id", "work_id", "book_id", "chapter_id")
     blocks = max(1, -(-keys.count() // BLOCK))
     packed = rows.select("id", F.concat_ws("\u0000", "work_id", "book_id").alias("book"), "t", "w", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))

@@ -172,12 +172,12 @@ def tfidf_weights(spark, sf):
 
 @query(_SIMILAR + "SELECT work_id, chapter_id, rank, ref, score FROM best WHERE rank <= 5")
 def chapter_similarity_top5(spark, sf):
-    return C.similar_chapters(C.vectors(chapters(spark, sf), STOPWORDS)).select("work_id", "chapter_id", F.col("rank").cast("long").alias("rank"), "ref", "score")
+    return C.similar_chapters(C.weights(chapters(spark, sf), STOPWORDS)).select("work_id", "chapter_id", F.col("rank").cast("long").alias("rank"), "ref", "score")
 
 
 @query(_SIMILAR + "SELECT work_id, chapter_id, ref_work, string_agg(ref, ' ' ORDER BY rank) AS refs FROM best WHERE rank <= 5 GROUP BY work_id, chapter_id, ref_work")
 def related_by_work(spark, sf):
-    return C.related_by_work(C.similar_chapters(C.vectors(chapters(spark, sf), STOPWORDS)))
+    return C.related_by_work(C.similar_chapters(C.weights(chapters(spark, sf), STOPWORDS)))
 
 
 # ---------------------------------------------------------------- navigation
@@ -846,7 +846,7 @@ def search_works_order(spark, sf):
 @query(_SIMILAR + ", g AS (SELECT work_id, chapter_id, ref_work, string_agg(ref, ' ' ORDER BY rank) AS refs FROM best WHERE rank <= 5 GROUP BY ALL) SELECT work_id, chapter_id, ref_work, refs, row_number() OVER (PARTITION BY work_id, chapter_id ORDER BY reverse(ref_work), ref_work) AS place FROM g")
 def related_by_title(spark, sf):
     titles = chapters(spark, sf).select("work_id").distinct().withColumn("title", F.reverse("work_id"))
-    found = C.related_by_title(C.similar_chapters(C.vectors(chapters(spark, sf), STOPWORDS)), titles)
+    found = C.related_by_title(C.similar_chapters(C.weights(chapters(spark, sf), STOPWORDS)), titles)
     return found.select("work_id", "chapter_id", "ref_work", "refs", F.col("place").cast("long").alias("place"))
 
 

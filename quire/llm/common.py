@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +109,31 @@ def words_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def release() -> None:
+    """Gives memory that arrays have left unused back to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(f):
+    """``f``, a function on a task's table or on two, with ``release`` after it. Spark counts the arguments."""
+
+    def one(table):
+        try:
+            return f(table)
+        finally:
+            release()
+
+    def two(table, other):
+        try:
+            return f(table, other)
+        finally:
+            release()
+
+    return two if f.__code__.co_argcount == 2 else one
+
+
 # ---------------------------------------------------------------- hashes in numpy
 
 _RNG = np.random.default_rng(20240607)

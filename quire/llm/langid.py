@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from quire.llm.common import release
 from quire.llm.sample import held_out, labelled_sample
 
 #: The bounds of the learning sample: rows of a language, characters of a row; bytes of a language's automaton, and of all.
@@ -46,7 +47,7 @@ class Automata:
             # A missing step ends a phrase and begins the next one, or is a phrase by itself where the symbol is unknown.
             step = np.where(table >= 0, table * 4, np.where(known, np.where(known, root, 0) * 4 + 1, 2))
             step[0] = np.where(known, root * 4, 1)
-            tables.append(((step >> 2) + base) * width * 4 + (step & 3))
+            tables.append(((step.astype(np.int64) >> 2) + base) * width * 4 + (step & 3))
             self.roots.append(base * width)
             self.bits.append(math.log2(len(data) + 2))
             base += len(table)
@@ -155,7 +156,7 @@ def automaton(codes: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((used, width), -1, np.int64)
+    table = np.full((used, width), -1, np.int32)
     for s in range(used):
         d = step[s]
         table[s, list(d.keys())] = list(d.values())
@@ -206,11 +207,13 @@ def identify(docs: DataFrame, model: dict[str, str], text_col: str = "text") ->
         if key not in _MODELS:
             _MODELS.clear()
             _MODELS[key] = Automata(model)
+            release()
         m = _MODELS[key]
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 some = batch.slice(a, 1000)
                 yield judged(m, some, some.column(at).to_pylist())
+        release()
 
     def judged(m: Automata, some: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
         made = [m.symbols(t or "") for t in texts]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import FEW, FILES, NULL_ID, discard, files_for, hot_lookup, materialize, mix, plan_bytes, rolling
+from quire.llm.common import FEW, FILES, NULL_ID, discard, files_for, hot_lookup, materialize, mix, plan_bytes, release, released, rolling
 from quire.llm.components import components
 from quire.llm.repeats import Chunk, chunks, runs, spread
 
@@ -39,7 +39,7 @@ AGREE = 60 / 96
 #: Texts of a tile, and shingles of a tile, about.
 TILE, TILE_SHINGLES = 256, 1 << 19
 #: Bucket entries that one task compares, and bytes of text that one task verifies, about.
-ENTRIES, BYTES = 1 << 14, 8 << 20
+ENTRIES, BYTES = 1 << 14, 4 << 20
 #: Partners of a text from which its pairs are dealt over several tasks.
 PARTNERS = 64
 
@@ -122,6 +122,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int) -
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
                 total = np.bincount(doc, w, n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(names, pa.binary()), pa.array(total), lists], names=["id", "h", "key", "n", "bands"])
+        release()
 
     return base.mapInArrow(run, "id long, h long, key binary, n long, bands array<long>")
 
@@ -282,6 +283,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     shared = materialize(shared, "shared", files_for(count * bands, 500_000))
     met_rows = shared.count()
 
+    @released
     def linked(table: pa.Table) -> pa.Table:
         met = Met(table, ["band", "v", "tile"])
         a, b = met.pairs(similarity, False)
@@ -311,6 +313,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     slots = max(least, (rest.agg(F.sum("tiles")).first()[0] or 0) // ENTRIES)
     schema = "band int, v long, i int, j int, tile int, node long, root long, n long, bands array<long>"
 
+    @released
     def doubted(table: pa.Table) -> pa.Table:
         met = Met(table.drop_columns(["slot"]), ["band", "v", "i", "j"])
         a, b = met.pairs(similarity, True)
@@ -319,6 +322,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     dealt = blocks.join(signed, "node").select(slot(["band", "v", "i", "j"], slots).alias("slot"), "band", "v", "i", "j", "tile", "node", "root", "n", "bands")
     doubt = materialize(dealt.groupBy("slot").applyInArrow(doubted, schema), "doubt", files_for(met_rows, 5_000))
 
+    @released
     def settled(table: pa.Table) -> pa.Table:
         met = Met(table, ["band", "v", "i", "j"])
         a, b = met.pairs(similarity, True)
@@ -392,6 +396,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -
     dealt = materialize(pairs.join(many, "a", "left").select(F.pmod(F.xxhash64("a", salt), F.lit(slots)).alias("slot"), "a", "b"), "dealt", files_for(count, least=FEW))
     need = dealt.select(F.col("slot").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
 
+    @released
     def judge(asked: pa.Table, named: pa.Table) -> pa.Table:
         node = named.column("node").to_numpy()
         order = np.argsort(node)

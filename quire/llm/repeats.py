@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BYTE_HASH, IS_SEP, NULL_ID, mix, parts_for, rolling, sized, word_hashes, word_spans
+from quire.llm.common import BYTE_HASH, IS_SEP, NULL_ID, mix, parts_for, release, released, rolling, sized, word_hashes, word_spans
 
 ANCHOR = 16
 #: Different surroundings of an anchor from which the prefix is the whole window.
@@ -274,6 +274,7 @@ def repeated(
         number = table.column("__q_block").to_numpy()
         for b in np.unique(number):
             yield from anchors(table.filter(pa.array(number == b))).combine_chunks().to_batches()
+        release()
 
     def shared(table: pa.Table) -> pa.Table:
         bucket = table.column("__q_bucket")[0].as_py()
@@ -337,6 +338,7 @@ def repeated(
         content = np.concatenate([p[5] for p in parts])
         return Contents(h, count, row, pos, ids, lengths, content, bins)
 
+    @released
     def suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return _batch([], ("__q_bucket", "__q_block"))
@@ -349,6 +351,7 @@ def repeated(
             out.append((int(c.bucket[a]), block, pack(c.h[o], c.count[o].astype(np.uint16), c.least[a:b], c.most[a:b], c.lengths[o].astype(np.uint32), c.content[spread(c.starts[o], c.lengths[o])])))
         return _batch(out, ("__q_bucket", "__q_block"))
 
+    @released
     def resolve(table: pa.Table) -> pa.Table:
         bucket = table.column("__q_bucket")[0].as_py()
         block = table.column("__q_block").to_numpy()
@@ -392,6 +395,7 @@ def repeated(
     marks = spans.groupBy("__q_bucket").applyInArrow(resolve, ANSWER)
     heard = told.withColumn("__q_answer", F.lit(False)).unionByName(marks.withColumn("__q_answer", F.lit(True)))
 
+    @released
     def last(table: pa.Table, heard: pa.Table) -> pa.Table:
         return apply(table, heard) if table.num_rows else finish(table.select(names), [])
 

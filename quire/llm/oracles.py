@@ -39,4 +39,37 @@ g AS (SELECT doc_id, sum(gone::INT) AS n, sum(begins::INT) AS spans, coalesce(st
 SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(g.kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""
 )
 
-ORACLES = {"op1_warc": WARC, "op2_substring_dedup": WORDS, "op3_suffix_array_dedup": BYTES}
+#: Days 0 to 367: no correction reaches the last, which stands for all days to come. Equal neighbours form islands.
+HISTORY = """WITH c AS (SELECT doc_id - ((doc_id % 5) + 5) % 5 AS d, doc_id AS m, j, lang AS v, ('0x' || substr(sha256(doc_id || ':' || j), 1, 12))::BIGINT AS h
+  FROM documents, (SELECT unnest([0, 1]) AS j) WHERE doc_id IS NOT NULL),
+k AS (SELECT *, h % 365 AS s, CASE WHEN (h // 1000) % 10 < 2 THEN 'd' WHEN (h // 1000) % 10 < 5 THEN 'c' ELSE 'u' END AS kind FROM c),
+days AS (SELECT d, unnest(range(0, 368)) AS day FROM (SELECT DISTINCT d FROM k)),
+f AS (SELECT x.d, x.day, max({a: h, b: m, c: j, k: kind, v: v}) FILTER (kind = 'c' AND day < s + 3) AS o, max({s: s, a: h, b: m, c: j, k: kind, v: v}) FILTER (kind <> 'c') AS b
+  FROM days x JOIN k ON k.d = x.d AND k.s <= x.day GROUP BY ALL),
+p AS (SELECT d, day, CASE WHEN o IS NOT NULL THEN o.v ELSE b.v END AS v FROM f WHERE o IS NOT NULL OR b.k = 'u'),
+e AS (SELECT *, (lag(day) OVER w IS DISTINCT FROM day - 1 OR lag(v) OVER w IS DISTINCT FROM v)::INT AS begins FROM p WINDOW w AS (PARTITION BY d ORDER BY day)),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY d ORDER BY day) AS version FROM e)
+SELECT d AS doc_id, version::INT AS version, min(day) AS valid_from, nullif(max(day) + 1, 368) AS valid_to, min(v) AS value FROM g GROUP BY d, version"""
+
+
+def _lloyd(clusters: int = 40, rounds: int = 5) -> str:
+    """Rounds one after another; whole numbers all through, and a quotient rounded down whatever its sign."""
+    far = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [f"""c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id) - 1)::INT AS k, q FROM v QUALIFY k < {clusters})"""]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT v.vec_id, any_value(v.q) AS q, min({{d: {far}::BIGINT, k: c.k}}) AS b FROM v, c{r} c GROUP BY v.vec_id)")
+        if r < rounds:
+            steps.append(f"u{r} AS (SELECT b.k AS k, unnest(range(1, 65)) AS i, unnest(q) AS x FROM a{r})")
+            steps.append(f"m{r} AS (SELECT k, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM u{r} GROUP BY k, i)")
+            steps.append(f"l{r} AS (SELECT k, list(x::BIGINT ORDER BY i) AS q FROM m{r} GROUP BY k)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(l.q, c.q) AS q FROM c{r} c LEFT JOIN l{r} l USING (k))")
+    return (
+        """WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64), """
+        + ", ".join(steps)
+        + f""" SELECT vec_id, b.k AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.k))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON c.k = b.k"""
+    )
+
+
+ORACLES = {"op1_warc": WARC, "op2_substring_dedup": WORDS, "op3_suffix_array_dedup": BYTES, "op12_history": HISTORY, "op13_centroids": _lloyd()}

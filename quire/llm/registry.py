@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.bpe import op8_bpe
+from quire.llm.centroids import op13_centroids
 from quire.llm.embeddings import op5_embedding_dedup
+from quire.llm.history import op12_history
 from quire.llm.langid import op7_language_id
 from quire.llm.minhash import op10_minhash
 from quire.llm.mixing import op6_mix_sources
@@ -31,6 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_quality_rules": op9_quality_rules,
         "op10_minhash": op10_minhash,
+        "op12_history": op12_history,
+        "op13_centroids": op13_centroids,
     }
 
 

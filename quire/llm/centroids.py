@@ -69,7 +69,7 @@ def cluster(vectors: DataFrame, id_col: str = "vec_id", embedding_col: str = "em
 
     A vector is kept if it has exactly ``length`` components, none null, non-finite or 2**62 or more in size after scaling; other
     rows give no row. Its whole numbers are floor(``scale`` * x). Centroids start as the vectors of the ``clusters`` smallest
-    sha256 of ``seed:id``, in that order; rows with one id come in order of their numbers, null ids last, and if there are
+    sha256 of ``seed:id``, in that order; rows with one id come in order of their packed bytes, null ids last, and if there are
     fewer vectors there are fewer centroids (equal ones keep their own numbers; the later one is empty and stays). Each
     round assigns every vector to the nearest centroid, the smaller number on ties, and moves centroids that are not empty to
     floor(sum / count); then vectors are assigned once more. ``distance`` is squared; distances and sums that no long holds

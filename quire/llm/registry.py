@@ -14,6 +14,7 @@ from quire.llm.langid import op7_language_id
 from quire.llm.minhash import op10_minhash
 from quire.llm.mixing import op6_mix_sources
 from quire.llm.oracles import ORACLES
+from quire.llm.packing import op11_packing
 from quire.llm.quality import op9_quality_rules
 from quire.llm.substring_dedup import op2_substring_dedup
 from quire.llm.suffix_array import op3_suffix_array_dedup
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_quality_rules": op9_quality_rules,
         "op10_minhash": op10_minhash,
+        "op11_packing": op11_packing,
         "op12_history": op12_history,
         "op13_centroids": op13_centroids,
     }

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.bpe import byte_letters
 from quire.llm.common import materialize, mix, parts_for
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,7 +28,7 @@ LONGEST, END = 2048, 1
 HASHED, DIMENSIONS, BITS = 1024, 4, 12
 #: Bytes of tokens in a range, about.
 RANGE_BYTES = 4 << 20
-#: Pieces whose tokens a worker remembers; when full it forgets them all. Longer pieces are not remembered.
+#: Pieces whose tokens a worker remembers; when full it forgets them all. Pieces of over ``SHORT`` letters are not remembered.
 REMEMBER, SHORT = 400_000, 64
 
 
@@ -42,12 +44,15 @@ def default_path() -> str:
 class WordTokens:
     """Ids of a word-level BPE file as bytes, piece by piece: the split pattern parts words that never influence each other.
 
-    Texts of Latin letters and common punctuation are lower-cased and split here, and each distinct piece is encoded by the library
-    once; every other text goes to the library whole. ``width`` is the bytes of an id in what is stored.
+    Texts of Latin letters and common punctuation are lower-cased and split here, and the library's model encodes each distinct piece.
+    Every other text goes to the library whole.
     """
 
-    #: The file's split pattern for such texts (fixed value).
-    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\s0-9a-zß-öø-ſ]+"
+    #: White space, ASCII and the letters of Latin-1; such letters, Latin Extended-A but for the one that lower-cases to two
+    #: characters, and common punctuation.
+    LATIN1 = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0x100)])
+    OTHER = "[^\t\n\r -~À-įı-ſ‐-‧]"
+    LETTERS = "a-zß-öø-ſ"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -55,44 +60,56 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.plain = self._is_known(path)
-        self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        # What is neither white space, ASCII, a Latin letter (but for one that lower-cases to two characters) nor common punctuation.
-        self.other = re.compile("[^\t\n\r -~À-įı-ſ‐-‧]|<\\|").search
-        self.find = re.compile(self.PIECE).findall
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.plain = self.is_known(spec)
+        self.model = self.library.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.other = re.compile(self.OTHER).search
+        # What the file's pattern finds in such texts; only the contractions must come before other signs.
+        self.find = re.compile(rf"[{self.LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9{self.LETTERS}]+").findall
         self.known: dict[str, bytes] = {}
 
     @staticmethod
-    def _is_known(path: str) -> bool:
-        """Whether the file normalises and splits as ``PIECE`` supposes."""
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def is_known(spec: dict) -> bool:
+        """Whether the file normalises and splits as is supposed here."""
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = next((p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), {})
         # The pattern in the file (fixed value).
         return kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+    def simple(self, text: str) -> bool:
+        """Whether ``text`` is split here. Special tokens begin with ``<|``."""
+        if not self.plain or "<|" in text:
+            return False
+        try:
+            return not text.encode("latin-1").translate(None, self.LATIN1)
+        except UnicodeEncodeError:
+            return self.other(text) is None
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            found = self.whole(piece)
-            if len(piece) <= SHORT:
-                if len(self.known) >= REMEMBER:
-                    self.known.clear()
-                self.known[piece] = found
+    def learn(self, piece: str) -> bytes:
+        """The ids of a piece, from the file's model alone; it is remembered if it is short."""
+        if len(self.known) >= REMEMBER:
+            self.known.clear()
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        found = array(self.dtype.char, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(piece) <= SHORT:
+            self.known[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        if not self.plain or self.other(text):
+        """The ids of a text."""
+        if not self.simple(text):
             return self.whole(text)
-        pieces = self.find(text.lower())
+        pieces, get = self.find(text.lower()), self.known.get
         try:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            return b"".join(map(self.piece, pieces))
+            return b"".join([get(p) or self.learn(p) for p in pieces])
 
 
 _OPEN: dict[str, WordTokens] = {}

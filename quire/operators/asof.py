@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a range, about, and ranges at most.
-RANGE, RANGES = 100_000, 1024
+from quire.operators.ranges import PART, carried, in_parts
 
 
 def latest_before(rows: DataFrame, key: str, order: tuple[str, ...], is_marker: Column, value: str, ranges: int | None = None) -> DataFrame:
     """``rows`` with ``marker``: ``value`` of the key's latest marker that is not after the row.
 
-    A key's rows are dealt over ranges of the first order column, cut at quantiles of the whole table, so a key that holds much of the
-    table is shared by many tasks; a range without an earlier marker takes the last one of the ranges before it. ``ranges``
-    follows from the number of rows.
+    A key's rows are dealt over ranges of the first order column, so a key that holds much of the table is shared by many
+    tasks. ``ranges`` follows from the table's size.
     """
-    ranges = ranges or max(1, min(RANGES, rows.count() // RANGE))
-    first = F.col(order[0])
-    if dict(rows.dtypes)[order[0]].startswith(("timestamp", "date")):
-        first = first.cast("timestamp")
-    first = first.cast("double")
-    cuts = rows.select(first.alias("x")).agg(F.percentile_approx("x", F.array(*[F.lit((i + 1) / ranges) for i in range(max(1, ranges - 1))]), F.lit(1000)).alias("c"))
-    dealt = rows.withColumn("__q_m", F.when(is_marker, F.col(value))).crossJoin(F.broadcast(cuts))
-    dealt = dealt.withColumn("__q_r", F.size(F.filter(F.coalesce("c", F.array().cast("array<double>")), lambda c: c < first))).drop("c")
-    near = Window.partitionBy(key, "__q_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = dealt.where("__q_m IS NOT NULL").groupBy(key, "__q_r").agg(F.max_by("__q_m", F.struct(*order)).alias("__q_last"))
-    spans = dealt.select(key, "__q_r").distinct().join(last, [key, "__q_r"], "left")
-    before = Window.partitionBy(key).orderBy("__q_r").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("__q_before", F.last("__q_last", ignorenulls=True).over(before)).drop("__q_last")
-    out = dealt.withColumn("__q_near", F.last("__q_m", ignorenulls=True).over(near)).join(spans, [key, "__q_r"])
-    return out.withColumn("marker", F.coalesce("__q_near", "__q_before")).drop("__q_m", "__q_r", "__q_near", "__q_before")
+    dealt = in_parts(rows, order[0], ranges)
+    return carried(dealt, [key], list(order), last={"marker": F.when(is_marker, F.col(value))}).drop(PART)

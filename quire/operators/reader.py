@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ranges import numbered
+
 HISTORY = 10
 STORE = "notes MAP<STRING,STRING>, bookmarks ARRAY<STRING>"
 
@@ -69,9 +71,19 @@ def matching_bookmarks(marks: DataFrame, query: str, *fields: str) -> DataFrame:
 
 def listed(rows: DataFrame, key: str = "ref") -> DataFrame:
     """References in a reader's order: by work, by chapter as text, by verse as a number; sorted over the cluster."""
+    return rows.sort(*reader_order(key))
+
+
+def reader_order(key: str = "ref") -> list[Column]:
+    """What a reader's references are sorted by."""
     parts = F.split(key, ":")
-    number = F.element_at(parts, -1).try_cast("long")
-    return rows.sort(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), number, key)
+    return [F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.element_at(parts, -1).try_cast("long"), F.col(key)]
+
+
+def places(rows: DataFrame, key: str = "ref") -> DataFrame:
+    """``rows`` with ``work`` and ``place``, their number from 1 within the work in a reader's order; a large work is numbered in many tasks."""
+    work, *rest = reader_order(key)
+    return numbered(rows.withColumn("work", work), ["work"], rest, "place")
 
 
 def replaced(stores: DataFrame, incoming: DataFrame, keys: list[str], user: str = "user_id") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.model import verses_of
 from quire.operators import corpus as C
-from quire.plans.store import materialize
+from quire.plans.store import materialize, small
+from quire.sources.folders import FORMAT, register
 
 
 def manifests(works: DataFrame, books: DataFrame) -> DataFrame:
@@ -32,9 +33,15 @@ def chapter_files(chapters: DataFrame) -> DataFrame:
 
 
 def write_corpus(works: DataFrame, books: DataFrame, chapters: DataFrame, folder: str) -> None:
-    """Manifests and chapters as JSON lines, and the list of works, each in one folder that is divided by work."""
-    manifests(works, books).write.partitionBy("work_id").mode("overwrite").text(f"{folder}/manifests")
-    chapter_files(chapters).select("work_id", "json").write.partitionBy("work_id").mode("overwrite").text(f"{folder}/chapters")
+    """Each work's ``manifest.json`` and ``chapters/<chapter_id>.json``, as ``quire.sources.corpus`` reads them, and the list of works.
+
+    The works appear all together when every file is written; a work that was there before is replaced.
+    """
+    spark = works.sparkSession
+    register(spark)
+    rows = manifests(works, books).select("work_id", F.lit(None).cast("string").alias("chapter_id"), "json").unionByName(chapter_files(chapters))
+    # One work's files come from many tasks; rows are dealt by both, so that no work is one task's.
+    rows.repartition("work_id", "chapter_id").write.format(FORMAT).mode("overwrite").save(folder)
     works.select("work_id").orderBy("work_id").write.mode("overwrite").json(f"{folder}/works")
 
 
@@ -79,5 +86,5 @@ def split_works(chapters: DataFrame, members: DataFrame) -> DataFrame:
     """
     own = members.where("chapter_id IS NOT NULL").join(chapters.drop("work_id"), "chapter_id")
     whole = members.where("chapter_id IS NULL").select("work_id").distinct()
-    every = chapters.drop("work_id").crossJoin(F.broadcast(whole))
+    every = chapters.drop("work_id").crossJoin(small(whole))
     return own.unionByName(every.select(*own.columns)).select("work_id", *[c for c in own.columns if c != "work_id"])

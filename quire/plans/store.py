@@ -5,22 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Estimated bytes of a table that may be sent to every task.
+SMALL = 32 << 20
 
-def materialize(df: DataFrame, name: str = "part") -> DataFrame:
-    """``df`` written as Parquet and read again, so that what follows does not compute it twice.
 
-    The table lies in ``spark.checkpoint.dir``, which all executors share; only where that is unset, in a local session, a
-    folder of this machine is made and set.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder's name in ``spark.checkpoint.dir``, which all executors share; only where that is unset, in a local session, a
+    folder of this machine is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "part") -> DataFrame:
+    """``df`` written as Parquet and read again, so that what follows does not compute it twice."""
+    path = f"{folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the bytes of ``df``; no job runs. Enormous where Spark can't tell."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it is surely small; else as it is, and Spark joins it as it sees fit."""
+    return F.broadcast(df) if plan_bytes(df) <= SMALL else df

@@ -366,9 +366,9 @@ def section_restart(spark, sf):
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), F.col("z.n").cast("long").alias("n"), F.col("z.s").cast("long").alias("section"))
 
 
-@query(_LINES + ", h AS (SELECT doc_id, i, CASE WHEN i % 4 = 2 THEN left(line, 10) END AS header FROM e) SELECT doc_id, i, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS header FROM h")
+@query(_LINES + ", h AS (SELECT doc_id, i, CASE WHEN i % 4 = 2 THEN line END AS header FROM e) SELECT doc_id, i, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS header FROM h")
 def forward_fill(spark, sf):
-    heads = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.left(x, F.lit(10))))
+    heads = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, x))
     rows = docs(spark, sf).select("doc_id", F.posexplode(C.filled_forward(heads)).alias("i", "header"))
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "header")
 
@@ -491,11 +491,12 @@ def book_upsert(spark, sf):
     return R.upsert(docs(spark, sf).select("doc_id", "lang", "n_chars"), new, "doc_id")
 
 
-@query("WITH old AS (SELECT n_name AS w, n_nationkey AS k FROM nation WHERE n_nationkey % 3 <> 0), present AS (SELECT n_name AS w FROM nation WHERE n_nationkey % 4 <> 1) SELECT old.w, 0 AS side, k::BIGINT AS place FROM old JOIN present USING (w) UNION ALL SELECT w, 1, 0 FROM present WHERE w NOT IN (SELECT w FROM old)")
+@query("WITH old AS (SELECT n_name AS w, n_nationkey AS k FROM nation WHERE n_regionkey < 3), present AS (SELECT n_name AS w FROM nation WHERE n_regionkey <> 1) SELECT old.w, 0 AS side, k::BIGINT AS place FROM old JOIN present USING (w) UNION ALL SELECT w, 1, 0 FROM present WHERE w NOT IN (SELECT w FROM old)")
 def works_order_merge(spark, sf):
+    """Three regions' nations are listed, all but one region's are there: some stay, some go, some are new."""
     nation = table(spark, sf, "nation")
-    old = nation.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("w"), F.col("n_nationkey").alias("k"))
-    return R.ordered_union(old, nation.where("n_nationkey % 4 <> 1").select(F.col("n_name").alias("w")), "w", "k")
+    old = nation.where("n_regionkey < 3").select(F.col("n_name").alias("w"), F.col("n_nationkey").alias("k"))
+    return R.ordered_union(old, nation.where("n_regionkey <> 1").select(F.col("n_name").alias("w")), "w", "k")
 
 
 _STORES = "WITH n AS (SELECT doc_id // 20 AS user_id, lang, text FROM documents) "
@@ -540,14 +541,10 @@ def notes_of_chapter(spark, sf):
     return R.of_chapter(notes(spark, sf)[0], "src3", f"en-{first}")
 
 
-@query(_NOTES + "SELECT ref, row_number() OVER (PARTITION BY split_part(ref, ':', 1) ORDER BY split_part(ref, ':', 2)) AS place FROM old")
+@query(_NOTES + "SELECT ref, row_number() OVER (PARTITION BY split_part(ref, ':', 1) ORDER BY split_part(ref, ':', 2), split_part(ref, ':', 3)::BIGINT) AS place FROM old")
 def notes_listed(spark, sf):
     """Notes in a reader's order, numbered within each work."""
-    from pyspark.sql import Window
-
-    rows = R.listed(notes(spark, sf)[0]).withColumn("work", F.substring_index("ref", ":", 1))
-    place = F.row_number().over(Window.partitionBy("work").orderBy(F.get(F.split("ref", ":"), F.lit(1))))
-    return rows.select("ref", place.cast("long").alias("place"))
+    return R.places(notes(spark, sf)[0]).select("ref", "place")
 
 
 @query("SELECT source || ':' || lang || '-' || doc_id AS ref FROM documents WHERE contains(lower(text), 'the of') OR contains(lower(source || ':' || lang || '-' || doc_id), 'the of')")
@@ -828,6 +825,126 @@ def span_chapters(spark, sf):
     return out.select("work_id", "doc_id", "chapter_num", (F.col("i") + 1).cast("long").alias("verse"), "text")
 
 
+#: A printed text's clean-up in SQL: signs, spaces, words cut at line ends, the first word, marks and divine names.
+def _printed_sql(c: str) -> str:
+    for a, b in T.PRINT_SIGNS:
+        c = f"replace({c}, '{a}', '{b}')"
+    c = f"regexp_replace(regexp_replace({c}, '{_WS}+', ' ', 'g'), '^ | $', '', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '(\\w)- ([a-z])', '\\1\\2', 'g'), '(\\w)- ([A-Z])', '\\1-\\2', 'g')"
+    c = f"""(SELECT CASE WHEN b IN ('LORD', 'GOD') THEN a WHEN b <> '' THEN left(a, 2) || lower(b) || substr(a, length(b) + 3) WHEN h <> '' THEN left(h, 1) || lower(substr(h, 2)) || substr(a, length(h) + 1) ELSE a END
+      FROM (SELECT a, regexp_extract(a, '^([IOA]) ([A-Z]{{2,}})\\b', 2) AS b, regexp_extract(a, '^([A-Z]{{2,}})(?:[\\s,;:.]|$)', 1) AS h FROM (SELECT {c} AS a)))"""
+    return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '[\\[\\]]', '', 'g'), '-{{2,}}', '—', 'g'), ' ([,;:.!?])', '\\1', 'g'), '  +', ' ', 'g'), '^ +| +$', '', 'g'), '\\bLORD\\b', 'Lord', 'g'), '\\bGOD\\b', 'God', 'g')"
+
+
+_VOLUMES = VERSES + f""", c AS (SELECT doc_id, book_id, (verse - 1) // 3 + 1 AS chapter_num, verse, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS t FROM verses),
+p AS (SELECT doc_id, book_id, chapter_num, verse, {_printed_sql("CASE WHEN verse % 3 = 1 THEN 'The ' || t || ' 999' ELSE t || ' 999 1' END")} AS text FROM c)
+SELECT doc_id, book_id, chapter_num, row_number() OVER (PARTITION BY doc_id, chapter_num ORDER BY verse) AS place, text FROM p"""
+
+
+def volumes(spark, sf):
+    """Documents as printed volumes: chapters of three verses on pages of eight in two columns, with all that isn't verse text around them.
+
+    A head goes over both columns; below it the chapter's lines on this page fill the left column, then the right.
+    """
+    c = chapters(spark, sf).select(F.col("chapter_num").alias("doc"), "book_id", F.get("sections", F.lit(0))["verses"].alias("v")).where(F.size("v") > 0)
+    rows = c.select("doc", "book_id", F.size("v").alias("n"), F.posexplode("v").alias("i", "t"))
+    rows = rows.withColumns({"t": T.strip(F.col("t")), "c": F.floor(F.col("i") / 3).cast("int"), "p": F.floor(F.col("i") / 8).cast("int")})
+    first, last = F.greatest(F.col("c") * 3, F.col("p") * 8), F.least(F.col("c") * 3 + 2, F.col("p") * 8 + 7, F.col("n") - 1)
+    half = F.ceil((last - first + 1) / 2).cast("int")
+    row = F.col("i") - first
+    right = row >= half
+    x, top = F.when(right, 230.0).otherwise(20.0), 50.0 + 20.0 * (first - F.col("p") * 8)
+    y = top + 2.0 + 4.0 * F.when(right, row - half).otherwise(row)
+    span = lambda t, s, f=0, at=x, height=y, end=None: F.struct(t.alias("t"), F.lit(s).alias("s"), F.lit(f).alias("f"), at.cast("double").alias("x"), height.cast("double").alias("y"), F.lit(end if end is not None else 0.0).alias("x1"))
+    number, begins = F.col("i") % 3 + 1, F.col("i") % 3 == 0
+    title = F.when(F.col("i") == 0, F.array(span(F.upper("book_id"), 24.0, at=F.lit(90.0), height=F.lit(40.0), end=400.0)))
+    opening = F.when(begins, F.array(
+        span(F.concat(F.lit("CHAPTER "), F.col("c") + 1), 10.5, at=F.lit(90.0), height=top, end=400.0), span(F.lit("what the chapter tells"), 10.2, 6, height=top + 1.0), span(F.lit("(a date)"), 10.2, height=top + 1.5),
+        span(F.lit("T"), 32.0), span(F.concat(F.lit("HE "), "t"), 10.2, at=x + 5),
+    ))
+    plain = F.col("t").rlike("^[A-Za-z]")
+    following = F.when(~begins & plain, F.array(span(number.cast("string"), 10.5, 16), span(F.col("t"), 10.2, at=x + 5))).when(~begins, F.array(span(F.concat_ws(" ", number, "t"), 10.2)))
+    ends = F.array(span(F.lit("a"), 6.0, 1, at=x + 6), span(F.lit("999"), 10.2, at=x + 7), span(F.lit("a note"), 8.5, at=x, height=F.lit(600.0)), span(F.lit("* * *"), 15.0, at=x + 8), span(F.lit("EN 1:1"), 10.0, at=F.lit(60.0), height=F.lit(20.0)))
+    smaller = F.when(~begins, F.array(span(F.lit("1"), 10.2, at=x + 7.5)))
+    none = F.array().cast("array<struct<t:string,s:double,f:int,x:double,y:double,x1:double>>")
+    parts = F.concat(*[F.coalesce(a.cast("array<struct<t:string,s:double,f:int,x:double,y:double,x1:double>>"), none) for a in (title, opening, following, ends, smaller)])
+    return rows.select("doc", "p", F.explode(parts).alias("e")).select("doc", "p", "e.*")
+
+
+@query(_VOLUMES)
+def printed_chapters(spark, sf):
+    """Documents printed as volumes and read back, each rule of the print at work."""
+    from quire.sources.printed import chapters as read
+
+    titles = docs(spark, sf).select("lang").distinct().select(F.upper("lang").alias("title"), F.lit(None).cast("array<string>").alias("words"), F.lit("w").alias("work_id"), F.col("lang").alias("book_id"), F.lit(False).alias("single"))
+    found = read(volumes(spark, sf), titles)
+    return found.select(F.col("doc").alias("doc_id"), "book_id", F.col("chapter_num").cast("long").alias("chapter_num"), F.posexplode("verses").alias("i", "text")).select("doc_id", "book_id", "chapter_num", (F.col("i") + 1).cast("long").alias("place"), "text")
+
+
+_PAGES = VERSES + """, p AS (SELECT DISTINCT doc_id, book_id, (verse - 1) // 8 AS p FROM verses),
+t AS (SELECT doc_id, p, CASE WHEN p = 0 THEN CASE book_id WHEN 'en' THEN 's1' WHEN 'de' THEN 's2' ELSE 's' END WHEN p % 4 IN (2, 3) THEN 'job' END AS x FROM p),
+f AS (SELECT *, last_value(x IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM t) SELECT doc_id, p, CASE WHEN p % 4 = 2 THEN 'ruth' ELSE last END AS first, last FROM f"""
+
+
+@query(_PAGES)
+def printed_page_books(spark, sf):
+    """The books with which a volume's pages begin and end: one title for three books, running heads, and pages without either."""
+    from quire.sources.printed import page_books as read
+
+    v = chapters(spark, sf).select(F.col("chapter_num").alias("doc"), "book_id", F.size(F.get("sections", F.lit(0))["verses"]).alias("n")).where("n > 0")
+    pages = v.select("doc", "book_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 8).cast("int"))).alias("p"))
+    span = lambda t, s, f, y: F.struct(F.lit(t).alias("t"), F.lit(s).alias("s"), F.lit(f).alias("f"), F.lit(50.0).alias("x"), F.lit(y).alias("y"))
+    above = F.when(F.col("book_id") == "en", span("THE FIRST BOOK", 12.0, 0, 50.0)).when(F.col("book_id") == "de", span("the second book", 10.0, 20, 50.0)).otherwise(span("the second to none", 10.0, 0, 50.0))
+    heads = F.when(F.col("p") == 0, F.array(span("Samuel", 24.0, 0, 60.0), above)).when(F.col("p") % 4 == 2, F.array(span("RUTH 1:1 JOB 2:3", 10.0, 0, 20.0))).when(F.col("p") % 4 == 3, F.array(span("JOB 4:5", 10.0, 0, 20.0)))
+    rows = pages.select("doc", "p", F.explode(F.concat(F.coalesce(heads, F.array()), F.array(span("17", 10.0, 0, 20.0), span("some text", 10.2, 0, 70.0)))).alias("e")).select("doc", "p", "e.*")
+    titles = spark.createDataFrame([("SAMUEL", [], "w", "s"), ("SAMUEL", ["FIRST"], "w", "s1"), ("SAMUEL", ["SECOND"], "w", "s2")], "title string, words array<string>, work_id string, book_id string")
+    headers = spark.createDataFrame([("RUTH", "w", "ruth"), ("JOB", "w", "job")], "header string, work_id string, book_id string")
+    found = read(rows, titles, headers)
+    return found.select(F.col("doc").alias("doc_id"), F.col("p").cast("long").alias("p"), F.col("first.book_id").alias("first"), F.col("last.book_id").alias("last"))
+
+
+@query(VERSES + "SELECT work_id, chapter_id, verse, text FROM verses")
+def corpus_written(spark, sf):
+    """All documents written as a corpus of folders, a file a chapter, and read back."""
+    from quire.plans.build import write_corpus
+    from quire.plans.store import folder as fresh
+    from quire.sources.corpus import read_chapters
+
+    c = chapters(spark, sf)
+    b = C.books_of(c).select("work_id", F.lit(0).alias("book_ord"), "book_id", F.col("book_id").alias("name"), F.lit(None).cast("string").alias("abbrev"), "chapters", "start", F.lit(None).cast("array<string>").alias("names"))
+    folder = fresh(spark)
+    write_corpus(c.select("work_id", F.col("work_id").alias("title")).distinct(), b, c, folder)
+    return verses_of(read_chapters(spark, folder)).select("work_id", "chapter_id", F.col("verse").cast("long").alias("verse"), "text")
+
+
+@query("SELECT source AS work_id, lang AS book_id, source AS title, count(*)::INT AS chapters, min(doc_id)::INT AS start, source AS dir FROM documents GROUP BY source, lang")
+def manifests_written(spark, sf):
+    """The manifests of all documents' works written into their folders and read back."""
+    from quire.plans.build import write_corpus
+    from quire.plans.store import folder as fresh
+    from quire.sources.corpus import read_manifests
+
+    c = chapters(spark, sf)
+    b = C.books_of(c).select("work_id", F.lit(0).alias("book_ord"), "book_id", F.col("book_id").alias("name"), F.lit(None).cast("string").alias("abbrev"), "chapters", "start", F.lit(None).cast("array<string>").alias("names"))
+    folder = fresh(spark)
+    write_corpus(c.select("work_id", F.col("work_id").alias("title")).distinct(), b, c.limit(0), folder)
+    return read_manifests(spark, folder).select("work_id", "book_id", "title", "chapters", "start", "dir")
+
+
+@query(VERSES + f"SELECT doc_id, verse, trim(regexp_replace(regexp_replace(text, '[\r\u0085\u2028\u2029]', ' ', 'g'), '^{_WS}+', '')) AS text FROM verses")
+def headed_files(spark, sf):
+    """All documents as chapters of large files of lines ``[NNN_VVV]V text``, read in parts."""
+    from quire.plans.store import folder as fresh
+    from quire.sources.layouts import headed_files as read
+
+    v = document_verses(spark, sf).select("chapter_num", "verse", F.concat(F.lit("["), "chapter_num", F.lit("_"), "verse", F.lit("]"), "verse", F.lit(" "), F.regexp_replace("text", "[\r\u0085\u2028\u2029]", " ")).alias("value"))
+    heads = v.select("chapter_num").distinct().select("chapter_num", F.lit(0).alias("verse"), F.concat("chapter_num", F.lit(". n: T")).alias("value"))
+    folder = f"{fresh(spark)}/files"
+    v.unionByName(heads).repartitionByRange(4, "chapter_num").sortWithinPartitions("chapter_num", "verse").select("value").write.text(folder)
+    rows = read(spark, folder, "q").select(F.col("chapter_num").cast("long").alias("doc_id"), F.posexplode(F.col("sections")[0]["verses"]).alias("i", "text"))
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("verse"), "text")
+
+
 # ---------------------------------------------------------------- groups in order, enriched chapters, works of several files
 
 

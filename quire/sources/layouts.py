@@ -12,11 +12,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import ROMAN, SMALL_WORDS, let
 from quire.operators.corpus import pieces
+from quire.operators.ranges import PART, carried
+from quire.plans.store import small
 
 CHAPTERS = "work_id string, book_id string, chapter_id string, chapter_num int, name string, sections array<struct<startVerse:int,verses:array<string>>>"
 Verses = list[str]
@@ -413,7 +415,7 @@ def verse_lines(lines: DataFrame, books: DataFrame, work: str) -> DataFrame:
     line = strip(F.col("value"))
     part = lambda k: F.regexp_extract(line, pattern, k)
     rows = lines.where(line.rlike(pattern)).select(part(1).alias("abbrev"), part(2).cast("int").alias("chapter_num"), part(3).cast("int").alias("verse"), clean_text(normalize_divine_names(part(4))).alias("text"))
-    rows = rows.join(F.broadcast(books.select("abbrev", "book_id")), "abbrev")
+    rows = rows.join(small(books.select("abbrev", "book_id")), "abbrev")
     grouped_ = rows.groupBy("book_id", "chapter_num").agg(F.array_sort(F.collect_list(F.struct("verse", "text"))).alias("v"))
     section = F.struct(F.element_at("v", 1)["verse"].alias("startVerse"), F.transform("v", lambda x: x["text"]).alias("verses"))
     return grouped_.select(F.lit(work).alias("work_id"), "book_id", F.concat_ws("-", "book_id", "chapter_num").alias("chapter_id"), "chapter_num", F.lit(None).cast("string").alias("name"), F.array(section).alias("sections"))
@@ -428,3 +430,20 @@ def headed_verses(files: DataFrame, work: str, head: str = r"^(\d+)\. [^:]*: .*$
     rows = rows.select(F.regexp_extract(F.get("p", F.lit(0)), head, 1).cast("int").alias("chapter_num"), verses.alias("v")).where(F.size("v") > 0)
     section = F.struct(F.lit(1).alias("startVerse"), F.col("v").alias("verses"))
     return rows.select(F.lit(work).alias("work_id"), F.lit(work).alias("book_id"), F.concat(F.lit(f"{work}-"), "chapter_num").alias("chapter_id"), "chapter_num", F.lit(None).cast("string").alias("name"), F.array(section).alias("sections"))
+
+
+def headed_files(spark: SparkSession, path: str, work: str, head: str = r"^(\d+)\. [^:]*: .*$", verse: str = r"^\[(\d+)_(\d+)\](\d+)\s*(.*)$") -> DataFrame:
+    """What ``headed_verses`` reads, from files of any size: a large file is read by many tasks.
+
+    Spark divides a file at lines. The chapter that a part of a file begins in is handed on from the parts before it; the verses of
+    a chapter, which is as large as one row, meet at the end. Parts know their places by their offset in the file.
+    """
+    line = F.rtrim("value")
+    rows = spark.read.text(path).select(line.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias(PART), F.monotonically_increasing_id().alias("at"))
+    rows = rows.where(F.col("value").rlike(head) | F.col("value").rlike(verse))
+    is_head = F.col("value").rlike(head)
+    number = F.when(is_head, F.regexp_extract("value", head, 1).cast("int"))
+    placed = carried(rows, ["file"], ["at"], last={"chapter_num": number}, total={"nth": is_head.cast("long")})
+    found = placed.where(~is_head & (F.col("nth") > 0)).groupBy("file", "nth", "chapter_num").agg(F.array_sort(F.collect_list(F.struct(PART, "at", F.trim(F.regexp_extract("value", verse, 4)).alias("t")))).alias("v"))
+    section = F.struct(F.lit(1).alias("startVerse"), F.transform("v", lambda x: x["t"]).alias("verses"))
+    return found.select(F.lit(work).alias("work_id"), F.lit(work).alias("book_id"), F.concat(F.lit(f"{work}-"), "chapter_num").alias("chapter_id"), "chapter_num", F.lit(None).cast("string").alias("name"), F.array(section).alias("sections"))

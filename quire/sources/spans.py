@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import let
 from quire.operators.corpus import pieces, scan
+from quire.operators.ranges import carried, in_parts
+from quire.plans.store import small
 
 SUPERSCRIPT, BOLD = 1, 16
 
@@ -69,7 +71,7 @@ def span_chapters(spans: DataFrame, titles: DataFrame, title_size: float, by_vol
     head or title. What stands before the first title or head belongs to none. Several works may come from one volume, and
     volumes of one book are put together, unless they are kept apart ``by_volume`` (with a column ``doc``).
     """
-    known = F.broadcast(titles.select(F.upper(F.trim("title")).alias("__q_title"), "work_id", "book_id"))
+    known = small(titles.select(F.upper(F.trim("title")).alias("__q_title"), "work_id", "book_id"))
     rows = spans.withColumn("__q_title", F.when(F.col("s") >= title_size, F.upper(F.trim("t")))).join(known, "__q_title", "left").drop("__q_title")
     rows = rows.withColumn("number", F.regexp_extract(F.trim("t"), head, 1).try_cast("int"))
     volume = Window.partitionBy("doc").orderBy("place")
@@ -88,10 +90,10 @@ def volume_manifest(chapters: DataFrame, titles: DataFrame) -> DataFrame:
     """The books of the works of printed volumes in the order of ``titles`` (``ord``), as ``quire.plans.build.manifests`` takes them."""
     counts = chapters.groupBy("work_id", "book_id").agg(F.count("*").alias("chapters"), F.min("chapter_num").cast("long").alias("start"))
     books = titles.select("work_id", "book_id", F.col("ord").alias("book_ord"), F.col("title").alias("name"))
-    return counts.join(F.broadcast(books), ["work_id", "book_id"]).select("work_id", "book_ord", "book_id", "name", F.lit(None).cast("string").alias("abbrev"), "chapters", "start", F.lit(None).cast("array<string>").alias("names"))
+    return counts.join(small(books), ["work_id", "book_id"]).select("work_id", "book_ord", "book_id", "name", F.lit(None).cast("string").alias("abbrev"), "chapters", "start", F.lit(None).cast("array<string>").alias("names"))
 
 
 def filled_pages(titles: DataFrame, headers: DataFrame) -> DataFrame:
     """The book of each page: the title pass, else the header pass, else the book of the page before."""
     both = titles.withColumnRenamed("book", "a").join(headers.withColumnRenamed("book", "b"), ["doc", "p"], "full").withColumn("book", F.coalesce("a", "b"))
-    return both.select("doc", "p", F.last("book", ignorenulls=True).over(Window.partitionBy("doc").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)).alias("book"))
+    return carried(in_parts(both, "p"), ["doc"], ["p"], last={"book": F.col("book")}).select("doc", "p", "book")

@@ -207,13 +207,46 @@ def test_build(spark, tmp_path):
     build.write_corpus(works, books, chapters, folder)
     assert build.missing_works_list(spark, folder).count() == 0
     assert [r.work_id for r in build.works_list(spark, folder).orderBy("work_id").collect()] == ["v", "w"]
-    back = {r.work_id: r.value for r in spark.read.text(f"{folder}/manifests").collect()}
+    back = {w: (tmp_path / "corpus" / w / "manifest.json").read_text() for w in ("v", "w")}
     assert back == {"w": '{"id":"w","title":"Work","books":[{"id":"b","name":"Book","chapters":2,"start":1}]}', "v": '{"id":"v","title":"Other","books":[]}'}
     assert build.build_indexes(chapters, [], folder) == {"search": 3, "concordance": 4, "similarity": 0}
     assert [r.word for r in spark.read.parquet(f"{folder}/concordance").select("word").distinct().orderBy("word").collect()] == ["alpha", "beta", "gamma"]
     assert "text/html" in site.open_search("https://h", "a & b", "d") and "a &amp; b" in site.open_search("https://h", "a & b", "d")
 
 
+def test_corpus_is_read_as_it_was_written(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from quire.plans import build
+    from quire.sources import corpus
+
+    folder = str(tmp_path / "corpus")
+    works = spark.createDataFrame([("w", "Work"), ("v", None)], "work_id string, title string")
+    s = "array<struct<startVerse:int,verses:array<string>>>"
+    books = spark.createDataFrame([("w", 0, "b", "Book", "B.", 2, 3, ["x", None]), ("w", 1, "c", "C", None, 1, None, None)], "work_id string, book_ord int, book_id string, name string, abbrev string, chapters int, start int, names array<string>")
+    rows = [("w", "b", f"b-{i}", i, "N" if i % 2 else None, None, [(1, ["é\n\"q\"", ""]), (7, [])]) for i in range(30)] + [("v", "z", "z-1", 1, None, "intro", [])]
+    chapters = spark.createDataFrame(rows, f"work_id string, book_id string, chapter_id string, chapter_num long, name string, intro string, sections {s}").repartition(6)
+    for _ in range(2):  # the second time it is replaced
+        build.write_corpus(works, books, chapters, folder)
+        back = corpus.read_chapters(spark, folder).select(*chapters.columns)
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, chapters.collect()))
+        found = corpus.read_manifests(spark, folder).where("book_id IS NOT NULL").orderBy("book_ord").collect()
+        assert [(r.work_id, r.dir, r.title, r.book_ord, r.book_id, r.book_name, r.abbrev, r.chapters, r.start, r.names) for r in found] == [("w", "w", "Work", 0, "b", "Book", "B.", 2, 3, ["x", None]), ("w", "w", "Work", 1, "c", "C", None, 1, 1, None)]
+    assert corpus.work_mismatches(corpus.read_manifests(spark, folder)).count() == 0
+    build.write_corpus(works.where("work_id = 'w'"), books, chapters.where("chapter_id = 'b-4'"), folder)  # w has one chapter now, v stays
+    assert sorted(r.chapter_id for r in corpus.read_chapters(spark, folder).collect()) == ["b-4", "z-1"]
+    before = sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.json"))
+    for bad in ("../x", "", ".hidden"):
+        with pytest.raises(PySparkException):
+            build.write_corpus(works, books, chapters.withColumn("chapter_id", F.when(F.col("chapter_num") == 7, F.lit(bad)).otherwise(F.col("chapter_id"))), folder)
+    with pytest.raises(PySparkException, match="there already"):
+        spark.createDataFrame([("w", "b-1", "{}")], "work_id string, chapter_id string, json string").write.format("quire_corpus").mode("append").save(folder)
+    assert sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.json")) == before
+    assert not [d for d in (tmp_path / "corpus").iterdir() if d.name.startswith(".staging")]
+    module = build.corpus_module(corpus.read_manifests(spark, folder).select("work_id", "dir", F.lit("{}").alias("json")).distinct())
+    assert sorted(r.work_id for r in module.collect()) == ["v", "w"]
+
+
 def test_search_with_manifests(spark, verses):
     books = spark.createDataFrame([("w", "b")], "work_id string, book_id string")
     assert C.search(verses, "cat", work="w", book="none", books=books).count() == 2 == C.search(verses, "cat", work="w", book="b", books=books).count()

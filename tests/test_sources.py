@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,26 @@ def test_span_chapters(spark):
     assert got == {"b1-1": ("w1", [(1, ["In the beginning", "and 900 900"])]), "b1-2": ("w1", [(5, ["later first book"])]), "b2-7": ("w2", [(1, ["no number", "a verse"])])}
     books = {r.book_id: (r.work_id, r.chapters, r.start, r.name) for r in spans.volume_manifest(found, titles).collect()}
     assert books == {"b1": ("w1", 2, 1, "First Book"), "b2": ("w2", 1, 7, "Second Book")}
+
+
+def test_headed_files_are_read_in_parts(spark, tmp_path):
+    """A file of one line a part gives what the whole text does, wherever Spark cuts it."""
+    rng = random.Random(3)
+    texts = []
+    for f in range(3):
+        lines = ["[1_1]1 before any head", "noise"]
+        for c in range(40):
+            lines += [f"{c}. name: Title {f}", *[f"[{c:03}_{v:03}]{v} verse {v} of {c} " + "x" * rng.randrange(200) for v in range(1, rng.randrange(1, 12))], "noise \t"]
+        texts.append("\n".join(lines))
+        (tmp_path / f"f{f}.txt").write_text(texts[-1])
+    want = sorted((r.chapter_num, r.sections[0].verses) for r in layouts.headed_verses(spark.createDataFrame([(t,) for t in texts], "value string"), "q").collect())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("777", "5000", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = layouts.headed_files(spark, str(tmp_path), "q")
+            assert sorted((r.chapter_num, r.sections[0].verses) for r in got.collect()) == want
+            if size == "777":
+                assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

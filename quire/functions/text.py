@@ -46,10 +46,28 @@ def replace_in_order(c: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
 
 
+#: Characters of words.
+_W = r"\p{L}\p{N}_"
+
+
 def replace_words(c: Column, pairs: dict[str, str]) -> Column:
-    """Whole-word replacements, longest key first. No replacement may hold a key, so their order can't matter."""
-    longest = sorted(pairs, key=lambda k: (-len(k), k))
-    return reduce(lambda x, k: F.regexp_replace(x, rf"\b{re.escape(k)}\b", pairs[k].replace("$", "\\$")), longest, c)
+    """Whole-word replacements in one pass from left to right, the longest key where several begin.
+
+    What is written isn't read again, so a replacement may hold any key. The text is cut into words and what lies between, and each word is
+    looked up in a map, so a table of any size costs one pass; only keys of several words are part of the pattern. A key has word
+    boundaries at both ends; an empty key matches nowhere. Null texts stay null.
+    """
+    keys = sorted((k for k in pairs if k), key=lambda k: (-len(k), k))
+    if not keys:
+        return c
+    word = re.compile(r"\w").match
+    ahead = lambda k: f"(?<![{_W}])" if word(k[0]) else f"(?<=[{_W}])"
+    after = lambda k: f"(?![{_W}])" if word(k[-1]) else f"(?=[{_W}])"
+    several = [ahead(k) + _quote(k) + after(k) for k in keys if not re.fullmatch(r"\w+", k)]
+    gap = f"[^{_W}]" + ("" if any(not word(k[0]) for k in keys) else "+")
+    known = F.create_map(*[F.lit(x) for k in keys for x in (k, pairs[k])])
+    parts = F.regexp_extract_all(c, F.lit("|".join([*several, f"[{_W}]+", gap])), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
 
 
 def plain_words(c: Column) -> Column:
@@ -179,6 +197,18 @@ def printed(c: Column) -> Column:
     return normalize_divine_names(clean_text(drop_capital(ligatures(c))))
 
 
+#: What a lay's print has beside its verses (fixed patterns): marks that stand for a page or a going on, brackets of any kind, gaps of
+#: points between words, and verses that are nothing but a page's mark or points.
+LAY_NOTES, LAY_GAP, LAY_REMNANT = r"\[f?p\.\s*\w+\]|(?i:\[paragraph continues\])|[\[\]]", r"(?:^|\s)\.(?:\s+\.)+(?:\s|$)", r"^(?:f?p\.\s*\d+|[.\s]*)$"
+
+
+def lay_verse(c: Column) -> Column:
+    """A verse of a lay without its print's marks and gaps; empty if it has nothing else."""
+    text = F.regexp_replace(F.regexp_replace(c, LAY_NOTES, ""), "-{2,}", "—")
+    text = F.regexp_replace(strip(F.regexp_replace(F.regexp_replace(text, LAY_GAP, " "), r"\s+", " ")), r"^[,;]\s*", "")
+    return F.when(text.rlike(LAY_REMNANT), "").otherwise(text)
+
+
 def index_slug(url: Column) -> Column:
     """The folder of an index page's address; an address of another kind as it is."""
     slug = F.regexp_extract(url, r"^.*/([^/]+)/index\.htm", 1)

@@ -283,6 +283,7 @@ _text("meta_description", T.description, "CASE WHEN length(t) > 160 THEN CASE WH
 ORACLES["meta_description"] = ORACLES["meta_description"].replace("replace(text, '\\n', ' ')", "replace(text, chr(10), ' ')")
 _text("term_replace", lambda c: T.replace_in_order(c, [("the", "de"), ("de ", "da "), ("and", "&")]), "replace(replace(replace(t, 'the', 'de'), 'de ', 'da '), 'and', '&')")
 _text("spelling_patch", lambda c: T.replace_words(c, {"shew": "show", "shewed": "showed"}), "regexp_replace(regexp_replace(t, '\\bshewed\\b', 'showed', 'g'), '\\bshew\\b', 'show', 'g')", "concat('shew shewed ', replace(text, ' the ', ' shew '))")
+_text("spelling_table", lambda c: T.replace_words(c, {a + b: b + a for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"}), "array_to_string(list_transform(regexp_extract_all(t, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'), lambda w: CASE WHEN regexp_full_match(w, '[a-z][a-z]') THEN reverse(w) ELSE w END), '')")
 _text("click_word", T.click_word, "regexp_replace(lower(t), '[^a-z'']', '', 'g')")
 _text("chapter_number", T.chapter_number, "CASE WHEN regexp_matches(t, '[0-9]+$') THEN regexp_extract(t, '[0-9]+$') ELSE t END", "CASE WHEN doc_id % 3 = 0 THEN lang ELSE lang || '-' || doc_id END")
 _PLAIN_WORDS = "list_filter(string_split(regexp_replace(lower(regexp_replace({}, '[()—-]', ' ', 'g')), '[^a-z ]', '', 'g'), ' '), lambda w: w <> '')"

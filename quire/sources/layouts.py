@@ -12,10 +12,10 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import ROMAN, SMALL_WORDS, let
+from quire.functions.text import ROMAN, SMALL_WORDS, caps_first_words, lay_verse, let
 from quire.operators.corpus import pieces
 from quire.operators.ranges import PART, carried
 from quire.plans.store import small
@@ -42,24 +42,6 @@ def without_parentheses(text: str) -> str:
     return re.sub(r"  +", " ", re.sub(r"\s*\([^)]*\)", "", text)).strip()
 
 
-def sentence_case(text: str) -> str:
-    """A first run of words in capitals as the beginning of a sentence; the divine names keep their capitals."""
-    words = text.split()
-    run = 0
-    for w in words:
-        letters = [c for c in w if c.isascii() and c.isalpha()]
-        if not letters:
-            continue
-        if not all(c.isupper() for c in letters) or (len(letters) == 1 and run == 0):
-            break
-        run += 1
-    if not run:
-        return text
-    low = [w.lower() for w in words[:run]]
-    low = [w[0].upper() + w[1:] if i == 0 or "".join(c for c in w if "a" <= c <= "z") in ("god", "lord") else w for i, w in enumerate(low)]
-    return " ".join(low + words[run:])
-
-
 def heading_case(text: str) -> str:
     """``quire.functions.text.title_case`` of one title."""
     words = text.lower().split()
@@ -179,6 +161,8 @@ class Layout:
     body: Callable[[str], str] = lambda b: b
     name: Callable[[str | None, str], tuple[str | None, str]] = lambda n, b: (n.strip() or None if n else None, b)
     number: Callable[[re.Match, int], int] = lambda m, i: int(m["num"])
+    #: What is done to each verse after parsing, as a Column; what it leaves empty goes. Then the first verse's capitals.
+    finish: Callable[[Column], Column] | None = None
     first_caps: bool = False
     preface: str | None = None
     books: tuple[tuple[str, str], ...] = field(default=())
@@ -220,8 +204,6 @@ class Layout:
             verses = [v for v in verses if v]
             if verses:
                 done.append((first, verses))
-        if done and self.first_caps:
-            done[0][1][0] = sentence_case(done[0][1][0])
         if done:
             yield book, number, name, done
 
@@ -302,18 +284,6 @@ def lay(body: str) -> Verses:
     return [joined for x in islands if (joined := " ".join(filter(None, x)))]
 
 
-#: What a lay's verses are cleaned of, one after the other (fixed by the printed text).
-LAY_MARKS = (
-    (PAGE, ""), (r"(?i)\[paragraph continues\]", ""), (r"[\[\]]", ""), (r"-{2,}", "—"), (r"(?:^|\s)\.(?:\s+\.)+(?:\s|$)", " "),
-    (r"\s+", " "), (r"^ | $", ""), (r"^[,;]\s*", ""), (r"^(?:f?p\.\s*\d+|[.\s]*)$", ""),
-)
-
-
-def lay_text(text: str) -> str:
-    """A verse of a lay without page marks, gaps and stray punctuation; empty if nothing else was in it."""
-    return reduce(lambda t, mark: re.sub(mark[0], mark[1], t), LAY_MARKS, text)
-
-
 def after_introduction(body: str) -> str:
     """A lay's body from its first stanza, speaker or rule on, if an introductory note stands before it."""
     lines = body.split("\n")
@@ -328,7 +298,7 @@ def after_introduction(body: str) -> str:
 def lays(titles: dict[str, str], work: str = "lays") -> Layout:
     """A layout of lays that begin at known titles; ``titles`` maps a title line to the name shown."""
     head = "|".join(re.escape(t) for t in sorted(titles, key=len, reverse=True))
-    return Layout(work, rf"^[^\S\n]*(?P<name>{head})[^\S\n]*$", lay, noise=(PAGE, r"^\s*The .*sacred-texts\.com\s*$"), body=after_introduction, clean=(lay_text,), name=lambda n, b: (titles[(n or "").strip()], b), number=lambda m, i: i + 1)
+    return Layout(work, rf"^[^\S\n]*(?P<name>{head})[^\S\n]*$", lay, noise=(PAGE, r"^\s*The .*sacred-texts\.com\s*$"), body=after_introduction, clean=(), finish=lay_verse, name=lambda n, b: (titles[(n or "").strip()], b), number=lambda m, i: i + 1)
 
 
 #: A layout for each kind of source.
@@ -374,6 +344,27 @@ def _rows(layout: Layout, text: str | None, work: str, own: str | None = None) -
         yield work, book, f"{book}-{number}", number, name, [{"startVerse": a, "verses": v} for a, v in sections]
 
 
+def _finished(found: DataFrame, layouts: list[tuple[Column, Layout]]) -> DataFrame:
+    """``found`` with what the layouts do to verses in the JVM; each layout has the condition of its rows."""
+    verses = lambda x, v: F.struct(x["startVerse"].alias("startVerse"), v.alias("verses"))
+
+    def finished(x: Column, finish: Callable[[Column], Column]) -> Column:
+        return verses(x, F.filter(F.transform(x["verses"], lambda t: finish(t)), lambda t: t != ""))
+
+    sections = F.col("sections")
+    for mine, layout in layouts:
+        if layout.finish:
+            done = F.transform(sections, lambda x: finished(x, layout.finish))  # noqa: B023  built at once
+            sections = F.when(mine, F.filter(done, lambda x: F.size(x["verses"]) > 0)).otherwise(sections)
+    found = found.withColumn("sections", sections).where(F.size("sections") > 0)
+    capitals = [mine for mine, layout in layouts if layout.first_caps]
+    if not capitals:
+        return found
+    first = lambda v: F.transform(v, lambda t, i: F.when(i == 0, caps_first_words(t)).otherwise(t))
+    begun = F.transform("sections", lambda x, i: F.when(i == 0, verses(x, first(x["verses"]))).otherwise(x))
+    return found.withColumn("sections", F.when(reduce(lambda x, y: x | y, capitals), begun).otherwise(F.col("sections")))
+
+
 def parse_files(files: DataFrame, layout: Layout) -> DataFrame:
     """Chapters of ``files`` (a column ``value`` with a whole text each); a null text gives none."""
 
@@ -382,7 +373,7 @@ def parse_files(files: DataFrame, layout: Layout) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([r for text in batch["value"] for r in _rows(layout, text, layout.work)], columns=names)
 
-    return files.select("value").mapInPandas(run, CHAPTERS)
+    return _finished(files.select("value").mapInPandas(run, CHAPTERS), [(F.lit(True), layout)])
 
 
 def parse_books(files: DataFrame, layouts: dict[str, Layout], work: str) -> DataFrame:
@@ -397,7 +388,8 @@ def parse_books(files: DataFrame, layouts: dict[str, Layout], work: str) -> Data
             known = [(b, t) for b, t in zip(batch["book_id"], batch["value"], strict=True) if b in layouts]
             yield pd.DataFrame([r for book, text in known for r in _rows(layouts[book], text, work, book)], columns=names)
 
-    return files.select("book_id", "value").mapInPandas(run, CHAPTERS)
+    found = files.select("book_id", "value").mapInPandas(run, CHAPTERS)
+    return _finished(found, [(F.col("book_id") == b, layout) for b, layout in layouts.items()])
 
 
 # ---------------------------------------------------------------- one verse a line: no Python

@@ -1,5 +1,8 @@
 """Edge cases of the operators on small literals."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +254,17 @@ def test_search_with_manifests(spark, verses):
     books = spark.createDataFrame([("w", "b")], "work_id string, book_id string")
     assert C.search(verses, "cat", work="w", book="none", books=books).count() == 2 == C.search(verses, "cat", work="w", book="b", books=books).count()
     assert C.lookup(verses, "cat", []).count() == 121 and C.lookup(verses, "cat", ["cat"]).count() == 0
+
+
+def test_replace_words_in_one_pass(spark):
+    """As one substitution with the longest key first: what is written isn't read again."""
+    from quire.functions import text as T
+
+    rng = random.Random(6)
+    pairs = {"a": "b", "b": "a", "to day": "today", "to": "of", "of": "to day", "shew-bread": "show$1", "shew": "sh\\\\ew", "don't": "do not", "é": "e", "été": "summer", "": "x", "x2": "2x", "of the": "the"}
+    keys = sorted((k for k in pairs if k), key=len, reverse=True)
+    texts = ["", None, "a", "to day of the to", "abba a-b é été'é", "shew-bread shew bread; don't don''t", "x2 x22 _a a_"]
+    texts += ["".join(rng.choice(["a", "b", " ", "-", "to", "day", "of", "the", "shew", "bread", "'", "don't", "é", "x2", "\n", "é"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    want = [t if t is None else re.sub(r"\b(?:" + "|".join(map(re.escape, keys)) + r")\b", lambda m: pairs[m[0]], t) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.replace_words(F.col("t"), pairs).alias("o")).orderBy("i").collect()
+    assert [r.o for r in rows] == want

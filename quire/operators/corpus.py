@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.plans.store import materialize
+from quire.plans.store import materialize, plan_bytes, small
 
 INDEX_ORDER = ("work_id", "chapter_id", "section_idx", "verse_idx")
 SEARCH_LIMIT, POPOVER, PREVIEW, HISTORY = 100, 5, 25, 10
@@ -52,9 +56,8 @@ def group_hits(hits: DataFrame) -> DataFrame:
 
 def word_rows(verses: DataFrame, stopwords: list[str]) -> DataFrame:
     """One row for each word of each verse record: letters with an inner apostrophe, over one character, no stopword."""
-    stop = F.array(*[F.lit(w) for w in stopwords])
-    words = F.filter(F.array_distinct(T.concordance_tokens(F.col("text"))), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
-    return verses.select(*[c for c in verses.columns if c != "text"], F.explode(words).alias("word"))
+    rows = verses.select(*[c for c in verses.columns if c != "text"], F.explode(F.array_distinct(T.concordance_tokens(F.col("text")))).alias("word"))
+    return rows.where((F.length("word") > 1) & ~F.col("word").isin(stopwords))
 
 
 def concordance(words: DataFrame) -> DataFrame:
@@ -90,90 +93,137 @@ def known_words(texts: DataFrame, words: DataFrame) -> DataFrame:
 def hits_by_work(hits: DataFrame, order: DataFrame) -> DataFrame:
     """Hits of each work, sorted by the works' own order (``work_id``, ``ord``); works that have no place come last."""
     per = hits.groupBy("work_id").agg(F.count("*").alias("hits"))
-    return per.join(F.broadcast(order.select("work_id", "ord")), "work_id", "left").sort(F.col("ord").asc_nulls_last(), "work_id")
+    return per.join(small(order.select("work_id", "ord")), "work_id", "left").sort(F.col("ord").asc_nulls_last(), "work_id")
 
 
 # ---------------------------------------------------------------- similarity
 
 VOCABULARY, LEAST_SCORE, TOP = 20_000, 0.1, 5
-#: Chapters of a block of the similarity product.
-BLOCK = 512
+#: Chapters that are compared at once, terms whose weights are kept as a dense matrix (the most frequent ones), and estimated bytes of
+#: a strip of chapters, of which a task holds two.
+BLOCK, DENSE, STRIP_BYTES = 512, 1024, 32 << 20
 
 
-def weights(chapters: DataFrame, stopwords: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
-    """``work_id``, ``book_id``, ``chapter_id``, ``term``, its number ``k`` and ``w``: smoothed tf-idf, unit length for each chapter.
+def chapter_vectors(chapters: DataFrame, stopwords: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
+    """``work_id``, ``book_id``, ``chapter_id`` and ``l``: a chapter's terms as ``term``, its number ``k`` and ``w``, smoothed tf-idf of unit length.
 
-    Terms are the ``vocabulary`` most frequent ones of the corpus (ties by term), a broadcast of bounded size. Counts are
-    written once; a chapter's rows meet in one exchange, which gives its length without a join.
+    Terms are the ``vocabulary`` most frequent ones of the corpus (ties by term), a broadcast of that size; ``k`` counts them
+    from the most frequent. Texts are dealt once by chapter: counting, weighting and scaling then stay where they are.
     """
     text = F.array_join(F.flatten(F.transform("sections", lambda s: s["verses"])), " ")
     keys = ["work_id", "book_id", "chapter_id"]
     rows = chapters.select(*keys, text.alias("text")).where(F.trim("text") != "")
     n = rows.agg(F.count("*").alias("n"))
-    tf = rows.select(*keys, F.explode(T.tfidf_tokens(F.col("text"))).alias("term")).where(~F.col("term").isin(stopwords))
-    tf = materialize(tf.groupBy(*keys, "term").agg(F.count("*").alias("tf")), "tf")
+    words = rows.repartition(*keys).select(*keys, F.explode(T.tfidf_tokens(F.col("text"))).alias("term")).where(~F.col("term").isin(stopwords))
+    tf = words.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(vocabulary)
-    terms = terms.crossJoin(F.broadcast(n)).select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("k"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(F.broadcast(terms), "term").withColumn("x", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*keys)))
-    return raw.select(*keys, "term", "k", (F.col("x") / norm).alias("w"))
+    terms = terms.crossJoin(F.broadcast(n)).select("term", (F.row_number().over(Window.orderBy(F.desc("cf"), "term")) - 1).alias("k"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    lists = tf.join(F.broadcast(terms), "term").groupBy(*keys).agg(F.collect_list(F.struct("term", "k", (F.col("tf") * F.col("idf")).alias("x"))).alias("l"))
+    norm = F.sqrt(F.aggregate("l", F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
+    scaled = T.let(F.struct(F.col("l").alias("l"), norm.alias("n")), lambda z: F.transform(z["l"], lambda e: F.struct(e["term"].alias("term"), e["k"].alias("k"), (e["x"] / z["n"]).alias("w"))))
+    return lists.select(*keys, scaled.alias("l"))
+
+
+def weights(chapters: DataFrame, stopwords: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
+    """``chapter_vectors`` as rows: ``work_id``, ``book_id``, ``chapter_id``, ``term``, ``k`` and ``w``."""
+    return chapter_vectors(chapters, stopwords, vocabulary).select("work_id", "book_id", "chapter_id", F.inline("l"))
+
+
+def _dense(t: np.ndarray, w: np.ndarray, rows: np.ndarray, count: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Chapters' frequent terms as a matrix, their other terms as rows, terms and weights in order of term, and the length of those."""
+    often = t < DENSE
+    matrix = np.zeros((count, DENSE))
+    matrix[rows[often], t[often]] = w[often]
+    r, k, x = rows[~often], t[~often], w[~often]
+    order = np.argsort(k, kind="stable")
+    return matrix, (r[order], k[order], x[order]), np.sqrt(np.bincount(r, x * x, count))
 
 
-def similar_chapters(unit: DataFrame, least: float = LEAST_SCORE, top: int = TOP) -> DataFrame:
-    """For each chapter of ``weights`` the ``top`` most similar ones of other books with a cosine of at least ``least``.
+def _rare_products(left: tuple, right: tuple, shape: tuple[int, int]) -> np.ndarray:
+    """The products of two blocks' rare terms: each term's rows of one side meet its rows of the other."""
+    (ra, ka, xa), (rb, kb, xb) = left, right
+    low, high = np.searchsorted(kb, ka, "left"), np.searchsorted(kb, ka, "right")
+    n = high - low
+    mine = np.repeat(np.arange(len(ka)), n)
+    theirs = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    return np.bincount(ra[mine] * shape[1] + rb[theirs], xa[mine] * xb[theirs], shape[0] * shape[1]).reshape(shape)
 
-    Every pair counts, so the work grows with the square of the chapters; joining postings would make that many rows. The
-    product is computed block by block instead, ``BLOCK`` chapters against as many, and a block returns only what can be
-    among a chapter's best. Chapters are numbered once, in a table that is written.
+
+def _bests(score: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
+    """Which scores of each row may be among its ``top``, by the score to three places and then the smaller id of the column.
+
+    A score within rounding of a border counts on both sides of it.
+    """
+    low, high = np.floor((score - 1e-9) * 1000 + 0.5), np.floor((score + 1e-9) * 1000 + 0.5)
+    if score.shape[1] <= top:
+        return np.isfinite(score)
+    rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    place = lambda s: np.where(np.isfinite(s), s * (len(ids) + 1) - rank[None, :], -np.inf)
+    floor = np.partition(place(low), -top, axis=1)[:, -top]
+    return np.isfinite(score) & (place(high) >= floor[:, None])
+
+
+def similar_chapters(vectors: DataFrame, least: float = LEAST_SCORE, top: int = TOP, strip_bytes: int = STRIP_BYTES) -> DataFrame:
+    """For each chapter of ``chapter_vectors`` the ``top`` most similar ones of other books with a cosine of at least ``least``.
+
+    Every pair counts, so the work grows with the square of the chapters. Chapters are dealt into strips, and each pair of strips is a task,
+    so a chapter travels to as many tasks as there are strips: the root of the tasks, or what keeps a strip in memory. A task compares
+    blocks: frequent terms by a matrix product, rare ones only where their lengths could still lift a pair to ``least``; it returns a
+    chapter's ``top`` of the task, so a group of equal chapters gives no more than others. Ids follow the order of ties.
     """
-    import numpy as np
-    import pandas as pd
-
-    lists = unit.groupBy("work_id", "book_id", "chapter_id").agg(F.collect_list("k").alias("t"), F.collect_list("w").alias("w"))
-    rows = materialize(lists.select(F.monotonically_increasing_id().alias("id"), "*"), "unit")
-    keys = rows.select("id", "work_id", "book_id", "chapter_id")
-    blocks = max(1, -(-keys.count() // BLOCK))
-    packed = rows.select("id", F.concat_ws("\u0000", "work_id", "book_id").alias("book"), "t", "w", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    # Each block meets every block from its own number on; a row travels once for each pair of blocks.
-    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
+    spark = vectors.sparkSession
+    named = vectors.select("work_id", "book_id", "chapter_id", F.col("l.k").alias("t"), F.col("l.w").alias("w"))
+    sorted_ = named.sort("work_id", "chapter_id", "book_id").select(F.monotonically_increasing_id().alias("id"), "*")
+    rows = materialize(sorted_, "unit")
+    names = rows.select("id", "work_id", "book_id", "chapter_id")
+    # Two strips to a task: as many that all cores have work, more where a strip would be too large.
+    strips = max(1, math.isqrt(6 * spark.sparkContext.defaultParallelism), -(-plan_bytes(rows) * 3 // strip_bytes))
+    packed = rows.select("id", F.concat_ws("\u0000", "work_id", "book_id").alias("book"), "t", "w", F.pmod(F.xxhash64("id"), F.lit(strips)).cast("int").alias("b"))
+    meets = F.transform(F.sequence(F.lit(0), F.lit(strips - 1)), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
     dealt = packed.withColumn("m", F.explode(meets)).select("m.i", "m.j", "b", "id", "book", "t", "w")
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"x": [], "y": [], "score": []})
-        terms = np.unique(np.concatenate(left["t"].to_numpy()))
-        place = np.full(max(int(terms.max(initial=0)), max(int(t.max(initial=0)) for t in right["t"])) + 1, -1)
-        place[terms] = np.arange(len(terms))
-
-        def dense(part: pd.DataFrame) -> np.ndarray:
-            out = np.zeros((len(part), len(terms)))
-            at = place[np.concatenate(part["t"].to_numpy())]
-            r = np.repeat(np.arange(len(part)), part["t"].map(len).to_numpy())
-            out[r[at >= 0], at[at >= 0]] = np.concatenate(part["w"].to_numpy())[at >= 0]
-            return out
-
-        a = dense(left)
-        score = a @ (a if i == j else dense(right)).T
-        good = (score >= least) & (left["book"].to_numpy()[:, None] != right["book"].to_numpy()[None, :])
-        if i == j:
-            good &= np.triu(np.ones_like(good), 1)
-        r, c = np.nonzero(good)
-        a, b, s = left["id"].to_numpy()[r], right["id"].to_numpy()[c], score[r, c]
-        both = pd.DataFrame({"x": np.concatenate((a, b)), "y": np.concatenate((b, a)), "score": np.concatenate((s, s))})
-        # What lies below a chapter's ``top``-th score in this block, by more than rounding, can't be among its best.
-        both = both.sort_values(["x", "score"], ascending=[True, False], ignore_index=True)
-        rank = both.groupby("x").cumcount()
-        floor = both.loc[rank == top - 1].set_index("x")["score"]
-        return both[(rank < top) | (both["score"] >= both["x"].map(floor).fillna(0) - 0.002)]
-
-    pairs = dealt.groupBy("i", "j").applyInPandas(product, "x long, y long, score double")
-    name = lambda p: keys.select(*[F.col(c).alias(f"{p}_{c}") for c in ("work_id", "book_id", "chapter_id")], F.col("id").alias(f"{p}_id"))
-    full = pairs.join(name("a"), F.col("x") == F.col("a_id")).join(name("b"), F.col("y") == F.col("b_id")).withColumn("score", F.round("score", 3))
-    best = Window.partitionBy("a_work_id", "a_chapter_id").orderBy(F.desc("score"), "b_work_id", "b_chapter_id")
-    ranked = full.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return ranked.select(F.col("a_work_id").alias("work_id"), F.col("a_chapter_id").alias("chapter_id"), "rank", F.concat_ws(":", "b_work_id", "b_chapter_id").alias("ref"), F.col("b_work_id").alias("ref_work"), "score")
+    def product(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        table = table.combine_chunks()
+        ids, strip = table.column("id").to_numpy(), table.column("b").to_numpy()
+        book = np.unique(table.column("book").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        lists = table.column("t").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        t, w = lists.flatten().to_numpy(), table.column("w").combine_chunks().flatten().to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        of = lambda side: [side[k : k + BLOCK] for k in range(0, len(side), BLOCK)]
+        left, right = of(np.flatnonzero(strip == i)), of(np.flatnonzero(strip == j))
+
+        def loaded(at: np.ndarray) -> tuple:
+            take = np.repeat(starts[at] - np.cumsum(sizes[at]) + sizes[at], sizes[at]) + np.arange(int(sizes[at].sum()))
+            return _dense(t[take], w[take], np.repeat(np.arange(len(at)), sizes[at]), len(at))
+
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for m, at in enumerate(left):
+            a, rare_a, rest_a = loaded(at)
+            for n, bt in enumerate(right):
+                if i == j and n < m:
+                    continue
+                b, rare_b, rest_b = (a, rare_a, rest_a) if i == j and n == m else loaded(bt)
+                score = a @ b.T
+                if (score + np.outer(rest_a, rest_b)).max(initial=0) < least - 1e-9:
+                    continue
+                score += _rare_products(rare_a, rare_b, score.shape)
+                score[(score < least) | (book[at][:, None] == book[bt][None, :])] = -np.inf
+                r, c = np.nonzero(_bests(score, ids[bt], top))
+                found.append((ids[at][r], ids[bt][c], score[r, c]))
+                if not (i == j and n == m):
+                    c, r = np.nonzero(_bests(score.T, ids[at], top))
+                    found.append((ids[bt][c], ids[at][r], score[r, c]))
+        x, y, z = (np.concatenate([f[k] for f in found]) if found else np.empty(0, kind) for k, kind in enumerate((np.int64, np.int64, float)))
+        return pa.table({"x": x, "y": y, "score": z})
+
+    pairs = dealt.groupBy("i", "j").applyInArrow(product, "x long, y long, score double").withColumn("score", F.round("score", 3))
+    best = Window.partitionBy("x").orderBy(F.desc("score"), "y")
+    ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    name = lambda p: names.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "work_id", "chapter_id")])
+    full = ranked.join(name("a"), F.col("x") == F.col("a_id")).join(name("b"), F.col("y") == F.col("b_id"))
+    return full.select(F.col("a_work_id").alias("work_id"), F.col("a_chapter_id").alias("chapter_id"), "rank", F.concat_ws(":", "b_work_id", "b_chapter_id").alias("ref"), F.col("b_work_id").alias("ref_work"), "score")
 
 
 def related_by_work(similar: DataFrame) -> DataFrame:
@@ -183,7 +233,7 @@ def related_by_work(similar: DataFrame) -> DataFrame:
 
 def related_by_title(similar: DataFrame, titles: DataFrame) -> DataFrame:
     """A chapter's similar ones in groups by work, with the group's place in order of the works' titles (``work_id``, ``title``)."""
-    groups = related_by_work(similar).join(F.broadcast(titles.select(F.col("work_id").alias("ref_work"), "title")), "ref_work", "left")
+    groups = related_by_work(similar).join(small(titles.select(F.col("work_id").alias("ref_work"), "title")), "ref_work", "left")
     by_title = Window.partitionBy("work_id", "chapter_id").orderBy(F.coalesce("title", "ref_work"), "ref_work")
     return groups.withColumn("place", F.row_number().over(by_title))
 
@@ -334,26 +384,44 @@ def filled_forward(values: Column) -> Column:
 # ---------------------------------------------------------------- verification
 
 
-def verify(works: DataFrame, books: DataFrame, chapters: DataFrame, expected: DataFrame) -> DataFrame:
+def verify(works: DataFrame, books: DataFrame, chapters: DataFrame, expected: DataFrame, seen: Observation | None = None) -> DataFrame:
     """Errors of a corpus, as text. ``expected`` has book_id, idx and verses; ``books`` has work_id, book_id, chapters, start.
 
     Works without manifest, books with another number of chapters than expected, chapters that are promised and missing,
-    other verse counts than expected, and blank verses.
+    other verse counts than expected, and blank verses. All that is known of a chapter, book or work meets in one aggregate over one ledger,
+    so each table is read once and a chapter is a row of a few numbers. ``seen``, if given, learns on the way how many chapters, verses and
+    blank verses there are.
     """
-    known = books.select("work_id").distinct()
-    no_manifest = works.join(known, "work_id", "left_anti").select(F.concat("work_id", F.lit(": manifest missing")).alias("message"))
-    want = expected.groupBy("book_id").agg(F.count("*").alias("want"))
-    count = books.join(want, "book_id").where("chapters <> want").select(F.concat("work_id", F.lit("/"), "book_id", F.lit(": "), "chapters", F.lit(" chapters, expected "), "want"))
-    promised = expand_books(books.withColumn("names", F.lit(None).cast("array<string>")) if "names" not in books.columns else books)
-    missing = promised.join(chapters.select("work_id", "chapter_id"), ["work_id", "chapter_id"], "left_anti").select(F.concat("work_id", F.lit("/"), "chapter_id", F.lit(": chapter missing")))
     number = F.aggregate("sections", F.lit(0), lambda a, s: a + F.size(s["verses"]))
     blank = F.aggregate("sections", F.lit(0), lambda a, s: a + F.size(F.filter(s["verses"], lambda v: F.trim(v) == "")))
-    have = chapters.select("work_id", "book_id", "chapter_id", number.alias("verses"), blank.alias("blank"), "chapter_num")
+    have = chapters.select("work_id", "book_id", F.col("chapter_num").cast("long").alias("number"), "chapter_id", number.alias("verses"), blank.alias("blank"))
+    if seen is not None:
+        have = have.observe(seen, F.count("*").alias("chapters"), F.sum("verses").alias("verses"), F.sum("blank").alias("blank"))
+    promised = expand_books(books.withColumn("names", F.lit(None).cast("array<string>")) if "names" not in books.columns else books)
     starts = books.select("work_id", "book_id", F.coalesce("start", F.lit(1)).alias("start"))
-    placed = have.join(starts, ["work_id", "book_id"]).withColumn("idx", F.col("chapter_num") - F.col("start"))
-    wrong = placed.join(expected.withColumnRenamed("verses", "want"), ["book_id", "idx"]).where("verses <> want").select(F.concat("work_id", F.lit("/"), "chapter_id", F.lit(": "), "verses", F.lit(" verses, expected "), "want"))
-    empty = have.where("blank > 0").select(F.concat("work_id", F.lit("/"), "chapter_id", F.lit(": "), "blank", F.lit(" blank verses")))
-    return no_manifest.unionAll(count).unionAll(missing).unionAll(wrong).unionAll(empty)
+    asked = expected.select("book_id", "idx", F.col("verses").cast("long").alias("want")).join(small(starts), "book_id")
+    kinds = {
+        "work": works.select("work_id"),
+        "manifest": books.select("work_id", "book_id", F.col("chapters").cast("long").alias("chapters")),
+        "promised": promised.select("work_id", "book_id", F.col("chapter_num").cast("long").alias("number")),
+        "asked": asked.select("work_id", "book_id", (F.col("start") + F.col("idx")).cast("long").alias("number"), "want"),
+        "there": have,
+    }
+    ledger = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("kind", F.lit(k)) for k, df in kinds.items()])
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(kind)
+    most = [F.max(c).alias(c) for c in ("chapters", "want", "verses", "blank", "chapter_id")]
+    level = F.grouping_id().alias("level")
+    met = ledger.rollup("work_id", "book_id", "number").agg(level, *[of(k) for k in kinds], *most)
+    chapter, book, work = (F.col("level") == x for x in (0, 1, 3))
+    path = F.concat("work_id", F.lit("/"), "book_id")
+    messages = F.array(
+        F.when(work & (F.col("work") > 0) & (F.col("manifest") == 0), F.concat("work_id", F.lit(": manifest missing"))),
+        F.when(book & (F.col("asked") > 0) & (F.col("chapters") != F.col("asked")), F.concat(path, F.lit(": "), "chapters", F.lit(" chapters, expected "), "asked")),
+        F.when(chapter & (F.col("promised") > 0) & (F.col("there") == 0), F.concat(path, F.lit("-"), "number", F.lit(": chapter missing"))),
+        F.when(chapter & (F.col("verses") != F.col("want")), F.concat("work_id", F.lit("/"), "chapter_id", F.lit(": "), "verses", F.lit(" verses, expected "), "want")),
+        F.when(chapter & (F.col("blank") > 0), F.concat("work_id", F.lit("/"), "chapter_id", F.lit(": "), "blank", F.lit(" blank verses"))),
+    )
+    return met.select(F.explode(F.filter(messages, lambda m: m.isNotNull())).alias("message"))
 
 
 def sorted_errors(errors: DataFrame) -> DataFrame:
@@ -397,7 +465,7 @@ def resolve_routes(routes: DataFrame, books: DataFrame) -> DataFrame:
 def with_overrides(names: DataFrame, overrides: DataFrame, key: str = "num", name: str = "name") -> DataFrame:
     """Names as listed, without their article, or as overridden."""
     own = overrides.select(key, F.col(name).alias("__q_name"))
-    return names.join(F.broadcast(own), key, "left").select(key, F.coalesce("__q_name", F.regexp_replace(name, "^The ", "")).alias(name))
+    return names.join(small(own), key, "left").select(key, F.coalesce("__q_name", F.regexp_replace(name, "^The ", "")).alias(name))
 
 
 def verse_changes(verses: DataFrame, other: DataFrame, key: str = "ref") -> DataFrame:

@@ -75,7 +75,7 @@ def build_indexes(chapters: DataFrame, stopwords: list[str], folder: str) -> dic
     verses.select("ref", "text", *C.INDEX_ORDER).sort(*C.INDEX_ORDER).write.mode("overwrite").parquet(f"{folder}/search")
     words = C.concordance(C.word_rows(verses, stopwords))
     words.sort("word", "work_id", "chapter_id").write.mode("overwrite").parquet(f"{folder}/concordance")
-    C.similar_chapters(C.weights(chapters, stopwords)).write.mode("overwrite").parquet(f"{folder}/similarity")
+    C.similar_chapters(C.chapter_vectors(chapters, stopwords)).write.mode("overwrite").parquet(f"{folder}/similarity")
     return {name: chapters.sparkSession.read.parquet(f"{folder}/{name}").count() for name in ("search", "concordance", "similarity")}
 
 

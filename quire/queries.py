@@ -172,12 +172,12 @@ def tfidf_weights(spark, sf):
 
 @query(_SIMILAR + "SELECT work_id, chapter_id, rank, ref, score FROM best WHERE rank <= 5")
 def chapter_similarity_top5(spark, sf):
-    return C.similar_chapters(C.weights(chapters(spark, sf), STOPWORDS)).select("work_id", "chapter_id", F.col("rank").cast("long").alias("rank"), "ref", "score")
+    return C.similar_chapters(C.chapter_vectors(chapters(spark, sf), STOPWORDS)).select("work_id", "chapter_id", F.col("rank").cast("long").alias("rank"), "ref", "score")
 
 
 @query(_SIMILAR + "SELECT work_id, chapter_id, ref_work, string_agg(ref, ' ' ORDER BY rank) AS refs FROM best WHERE rank <= 5 GROUP BY work_id, chapter_id, ref_work")
 def related_by_work(spark, sf):
-    return C.related_by_work(C.similar_chapters(C.weights(chapters(spark, sf), STOPWORDS)))
+    return C.related_by_work(C.similar_chapters(C.chapter_vectors(chapters(spark, sf), STOPWORDS)))
 
 
 # ---------------------------------------------------------------- navigation
@@ -395,7 +395,7 @@ def volume_asof(spark, sf):
 # ---------------------------------------------------------------- verification
 
 
-@query("""WITH d AS (SELECT source AS w, source || '_' || lang AS b, doc_id, n_chars, len(string_split(text, chr(10))) AS verses, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) AS blank FROM documents),
+@query("""WITH d AS (SELECT source AS w, source || '_' || lang AS b, doc_id, n_chars, len(string_split(t, chr(10))) AS verses, len(list_filter(string_split(t, chr(10)), lambda x: trim(x) = '')) AS blank FROM (SELECT *, replace(text, '.', chr(10)) AS t FROM documents)),
 b AS (SELECT w, b, count(*) AS n, min(doc_id) AS s, count(*) FILTER (n_chars > 500) AS want FROM d GROUP BY ALL), p AS (SELECT w, b, unnest(range(s, s + n)) AS k FROM b)
 SELECT w || '/' || b || ': ' || n || ' chapters, expected ' || want AS message FROM b WHERE want > 0 AND n <> want
 UNION ALL SELECT w || '/' || b || '-' || k || ': chapter missing' FROM p WHERE (b, k) NOT IN (SELECT (b, doc_id) FROM d)
@@ -403,11 +403,11 @@ UNION ALL SELECT w || '/' || b || '-' || doc_id || ': ' || verses || ' verses, e
 UNION ALL SELECT w || '/' || b || '-' || doc_id || ': ' || blank || ' blank verses' FROM d WHERE blank > 0
 UNION ALL SELECT 'nowhere: manifest missing'""")
 def verify_errors(spark, sf):
-    """Every check fires: blank lines are verses here, books have gaps in their numbers, and short documents aren't expected."""
+    """Every check fires: verses are what points and line ends part, so some are blank, books have gaps in their numbers, short documents aren't expected."""
     book = F.concat_ws("_", "source", "lang")
     c = docs(spark, sf).select(
         F.col("source").alias("work_id"), book.alias("book_id"), F.concat_ws("-", book, "doc_id").alias("chapter_id"), F.col("doc_id").alias("chapter_num"),
-        F.array(F.struct(F.lit(1).alias("startVerse"), F.split("text", "\n").alias("verses"))).alias("sections"), "n_chars",
+        F.array(F.struct(F.lit(1).alias("startVerse"), F.split(F.replace("text", F.lit("."), F.lit("\n")), "\n").alias("verses"))).alias("sections"), "n_chars",
     )
     b = C.books_of(c).select("work_id", "book_id", "chapters", "start", F.lit(None).cast("array<string>").alias("names"))
     expected = c.where("n_chars > 500").join(b.select("book_id", "start"), "book_id").select("book_id", (F.col("chapter_num") - F.col("start")).alias("idx"), F.floor(F.col("n_chars") / 100).alias("verses"))
@@ -964,7 +964,7 @@ def search_works_order(spark, sf):
 @query(_SIMILAR + ", g AS (SELECT work_id, chapter_id, ref_work, string_agg(ref, ' ' ORDER BY rank) AS refs FROM best WHERE rank <= 5 GROUP BY ALL) SELECT work_id, chapter_id, ref_work, refs, row_number() OVER (PARTITION BY work_id, chapter_id ORDER BY reverse(ref_work), ref_work) AS place FROM g")
 def related_by_title(spark, sf):
     titles = chapters(spark, sf).select("work_id").distinct().withColumn("title", F.reverse("work_id"))
-    found = C.related_by_title(C.similar_chapters(C.weights(chapters(spark, sf), STOPWORDS)), titles)
+    found = C.related_by_title(C.similar_chapters(C.chapter_vectors(chapters(spark, sf), STOPWORDS)), titles)
     return found.select("work_id", "chapter_id", "ref_work", "refs", F.col("place").cast("long").alias("place"))
 
 

@@ -84,12 +84,63 @@ def test_similarity(spark):
     t = ["alpha beta gamma delta", "alpha beta gamma delta", "alpha beta gamma omega", "unlike words here entirely"]
     rows = [("w1", "b", "b-1", t[0]), ("w1", "b", "b-2", t[1]), ("w2", "b", "c-1", t[1]), ("w2", "d", "d-1", t[2]), ("w3", "e", "e-1", t[3]), ("w3", "e", "e-2", " ")]
     df = spark.createDataFrame(rows, "work_id string, book_id string, chapter_id string, t string").withColumn("sections", F.array(F.struct(F.lit(1).alias("startVerse"), F.array("t").alias("verses"))))
-    got = [(r.chapter_id, r["rank"], r.ref, r.score) for r in C.similar_chapters(C.weights(df, [])).orderBy("chapter_id", "rank").collect()]
+    got = [(r.chapter_id, r["rank"], r.ref, r.score) for r in C.similar_chapters(C.chapter_vectors(df, [])).orderBy("chapter_id", "rank").collect()]
     assert [g[:3] for g in got if g[0] == "b-1"] == [("b-1", 1, "w2:c-1"), ("b-1", 2, "w2:d-1")] and got[0][3] == 1.0
     assert not any(g[0].startswith("e") for g in got)
     assert [g[2] for g in got if g[0] == "c-1"] == ["w1:b-1", "w1:b-2", "w2:d-1"]
 
 
+def test_similarity_is_all_pairs(spark):
+    """Many strips, rare words beyond the dense ones, copies and ties: as numpy finds it."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(9)
+    common, rare = [f"c{i}" for i in range(900)], [f"rare{i}" for i in range(2500)]
+    rows = []
+    for i in range(260):
+        words = [rng.choice(common) for _ in range(40)] + [rng.choice(rare) for _ in range(rng.randrange(40))] if i % 5 else ["one", "passage", "again", common[7]]
+        rows.append((f"w{i % 4}", f"b{i % 3}", f"b-{i:03}", " ".join(words)))
+    rows += [("v", "z", f"z-{k}", " ".join([f"only{k % 3}", f"rare{k}x"] * 2)) for k in range(9)]
+    df = spark.createDataFrame(rows, "work_id string, book_id string, chapter_id string, t string").withColumn("sections", F.array(F.struct(F.lit(1).alias("startVerse"), F.array("t").alias("verses"))))
+    tf = [Counter(t.split()) for *_, t in rows]
+    cf, dfs = Counter(), Counter()
+    for c in tf:
+        cf.update(c)
+        dfs.update(c.keys())
+    assert len(cf) > 1.5 * C.DENSE
+    vec = []
+    for c in tf:
+        x = {w: n * (math.log((1 + len(rows)) / (1 + dfs[w])) + 1) for w, n in c.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        vec.append({w: v / norm for w, v in x.items()})
+    want = {}
+    for i, (w, b, c, _) in enumerate(rows):
+        scores = [(-round(s, 3), (w2, c2)) for j, (w2, b2, c2, _) in enumerate(rows) if (w2, b2) != (w, b) and (s := sum(v * vec[j].get(k, 0) for k, v in vec[i].items())) >= 0.1]
+        for r, (s, (w2, c2)) in enumerate(sorted(scores)[:5], 1):
+            want[w, c, r] = (f"{w2}:{c2}", -s)
+    for size in (1 << 25, 20_000):
+        got = {(r.work_id, r.chapter_id, r["rank"]): (r.ref, r.score) for r in C.similar_chapters(C.chapter_vectors(df, []), strip_bytes=size).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_verify_in_one_pass(spark):
+    """Each check, repeated and null rows, and what is observed on the way."""
+    from pyspark.sql import Observation
+
+    s = "array<struct<startVerse:int,verses:array<string>>>"
+    works = spark.createDataFrame([("w",), ("w",), ("gone",), (None,)], "work_id string")
+    books = spark.createDataFrame([("w", "b", 2, 5), ("w", "c", 0, None), ("v", "b", 1, None)], "work_id string, book_id string, chapters int, start int")
+    chapters = spark.createDataFrame([("w", "b", "b-5", 5, [(1, ["a", ""]), (3, [" "])]), ("x", "q", "q-9", 9, [(1, [" "])]), ("v", "b", "b-1", 1, []), ("w", "b", "b-8", 8, [(1, ["extra"])])], f"work_id string, book_id string, chapter_id string, chapter_num int, sections {s}")
+    expected = spark.createDataFrame([("b", 0, 3), ("b", 1, 2), ("b", 2, 2), ("none", 0, 1)], "book_id string, idx int, verses int")
+    seen = Observation()
+    got = sorted(r.message for r in C.verify(works, books, chapters, expected, seen).collect())
+    assert got == ["gone: manifest missing", "v/b-1: 0 verses, expected 3", "v/b: 1 chapters, expected 3", "w/b-5: 2 blank verses", "w/b-6: chapter missing", "w/b: 2 chapters, expected 3", "x/q-9: 1 blank verses"]
+    assert seen.get == {"chapters": 4, "verses": 5, "blank": 3}
+    assert C.verify(works.limit(0), books.limit(0), chapters.limit(0), expected.limit(0)).count() == 0
+
+
 def test_verify(spark):
     s = "array<struct<startVerse:int,verses:array<string>>>"
     works = spark.createDataFrame([("w",), ("gone",)], "work_id string")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.common import held
+
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of an uncut piece that one leaf encodes, and bytes of a text that one row encodes.
 LEAF, PART = 2048, 1 << 16
@@ -128,13 +130,11 @@ class TreeBPE:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
-_OPEN: dict[str, TreeBPE] = {}
-
-
 def opened(path: str) -> TreeBPE:
-    if path not in _OPEN:
-        _OPEN[path] = TreeBPE(path)
-    return _OPEN[path]
+    known = held("bpe")
+    if path not in known:
+        known[path] = TreeBPE(path)
+    return known[path]
 
 
 def halves(data: bytes, most: int = PART) -> list[bytes]:

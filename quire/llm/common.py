@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -116,16 +117,35 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str | None = None) -> dict:
+    """What a worker remembers from task to task for one operator (``owner``).
+
+    Workers live on between stages, so what this one remembers for other operators is dropped when a task of another begins.
+    """
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        del _HELD[name]
+    if others:
+        gc.collect()
+        release()
+    return _HELD.setdefault(owner, {}) if owner else {}
+
+
 def released(f):
     """``f``, a function on a task's table or on two, with ``release`` after it. Spark counts the arguments."""
 
     def one(table):
+        held()
         try:
             return f(table)
         finally:
             release()
 
     def two(table, other):
+        held()
         try:
             return f(table, other)
         finally:

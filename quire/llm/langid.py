@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quire.llm.common import release
+from quire.llm.common import held, release
 from quire.llm.sample import held_out, labelled_sample
 
 #: The bounds of the learning sample: rows of a language, characters of a row; bytes of a language's automaton, and of all.
@@ -187,9 +187,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return texts
 
 
-_MODELS: dict[int, Automata] = {}
-
-
 def identify(docs: DataFrame, model: dict[str, str], text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``phrase_rate``; columns of these names are replaced.
 
@@ -204,11 +201,12 @@ def identify(docs: DataFrame, model: dict[str, str], text_col: str = "text") ->
     at = out.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Automata(model)
+        known = held("langid")
+        if key not in known:
+            known.clear()
+            known[key] = Automata(model)
             release()
-        m = _MODELS[key]
+        m = known[key]
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 some = batch.slice(a, 1000)

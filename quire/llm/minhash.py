@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import FEW, FILES, NULL_ID, discard, files_for, hot_lookup, materialize, mix, plan_bytes, release, released, rolling
+from quire.llm.common import FEW, FILES, NULL_ID, discard, files_for, held, hot_lookup, materialize, mix, plan_bytes, release, released, rolling
 from quire.llm.components import components
 from quire.llm.repeats import Chunk, chunks, runs, spread
 
@@ -111,6 +111,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int) -
     base = docs.select(*_named(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             for row, chunk in chunks(texts, True):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import byte_letters
-from quire.llm.common import materialize, mix, parts_for
+from quire.llm.common import held, materialize, mix, parts_for
 
 TOKENIZER = "word_bpe_49k.json"
 LONGEST, END = 2048, 1
@@ -112,13 +112,11 @@ class WordTokens:
             return b"".join([get(p) or self.learn(p) for p in pieces])
 
 
-_OPEN: dict[str, WordTokens] = {}
-
-
 def opened(path: str) -> WordTokens:
-    if path not in _OPEN:
-        _OPEN[path] = WordTokens(path)
-    return _OPEN[path]
+    known = held("packing")
+    if path not in known:
+        known[path] = WordTokens(path)
+    return known[path]
 
 
 # ---------------------------------------------------------------- the curve

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BYTE_HASH, IS_SEP, NULL_ID, mix, parts_for, release, released, rolling, sized, word_hashes, word_spans
+from quire.llm.common import BYTE_HASH, IS_SEP, NULL_ID, held, mix, parts_for, release, released, rolling, sized, word_hashes, word_spans
 
 ANCHOR = 16
 #: Different surroundings of an anchor from which the prefix is the whole window.
@@ -267,6 +267,7 @@ def repeated(
 
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition holds whole blocks; each is handled by itself."""
+        held()
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.common import held
+
 PIECES = "piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -104,9 +106,6 @@ class Counter(dict):
         return len(words), sum(map(self.__getitem__, words))
 
 
-_OPEN: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pieces: list[tuple[str, float]] | None = None) -> DataFrame:
     """``id_col``, ``n_words`` (stretches that begin at a space or at the start) and ``n_tokens`` of each row's whole text.
 
@@ -119,10 +118,11 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = path if pieces is None else str(hash(tuple(pieces)))
-        if name not in _OPEN:
-            _OPEN.clear()
-            _OPEN[name] = Counter(vocabulary(path) if pieces is None else pieces)
-        counter = _OPEN[name]
+        known = held("tokencount")
+        if name not in known:
+            known.clear()
+            known[name] = Counter(vocabulary(path) if pieces is None else pieces)
+        counter = known[name]
         for batch in batches:
             found = [counter.tokens(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=schema.names)

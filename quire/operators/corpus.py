@@ -8,10 +8,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.ranges import numbered
+from quire.plans.sorted import looked_up, write_sorted
 from quire.plans.store import materialize, plan_bytes, small
 
 INDEX_ORDER = ("work_id", "chapter_id", "section_idx", "verse_idx")
@@ -78,6 +80,28 @@ def lookup(verses: DataFrame, word: str, stopwords: list[str]) -> DataFrame:
     return some.where(found & F.lit(len(word) > 1 and word not in stopwords))
 
 
+def write_index(verses: DataFrame, stopwords: list[str], folder: str, files: int | None = None) -> None:
+    """The concordance sorted by word, and the verses by chapter, each with a sparse index for ``stored_lookup``."""
+    write_sorted(concordance(word_rows(verses, stopwords)), ["word", "work_id", "chapter_id"], f"{folder}/words", files)
+    write_sorted(verses.withColumn("chapter", F.concat_ws(":", "work_id", "chapter_id")), ["chapter", *INDEX_ORDER[2:]], f"{folder}/verses", files)
+
+
+def stored_lookup(spark: SparkSession, folder: str, word: str, most: int = POPOVER) -> DataFrame:
+    """The first ``most`` verses that hold ``word``, in index order: ``ref``, ``text``, and ``verse_count`` of all.
+
+    Only the files that hold the word are read, and of the verses those that hold the chapters of its first ``most`` references.
+    """
+    lists = looked_up(spark, f"{folder}/words", "word", word)
+    first = lists.orderBy("work_id", "chapter_id").limit(most).select("work_id", "chapter_id", F.slice(F.split("refs", " "), 1, most).alias("refs"))
+    rows = first.collect()  # no more than ``most`` chapters
+    if not rows:
+        return lists.select(F.lit("").alias("ref"), F.lit("").alias("text"), F.lit(0).cast("long").alias("verse_count")).limit(0)
+    refs = [r for row in rows for r in row["refs"]][:most]
+    total = lists.agg(F.sum("verse_count").cast("long").alias("verse_count"))
+    verses = looked_up(spark, f"{folder}/verses", "chapter", *sorted({f"{r['work_id']}:{r['chapter_id']}" for r in rows}))
+    return verses.where(F.col("ref").isin(refs)).crossJoin(F.broadcast(total)).orderBy(*INDEX_ORDER).select("ref", "text", "verse_count")
+
+
 def unknown_words(texts: DataFrame, words: DataFrame, stopwords: list[str]) -> DataFrame:
     """Words of ``texts`` that the concordance lacks."""
     seen = texts.select(F.explode(F.array_distinct(T.concordance_tokens(F.col("text")))).alias("word")).where(F.length("word") > 1)
@@ -429,6 +453,13 @@ def sorted_errors(errors: DataFrame) -> DataFrame:
     return errors.sort("message")
 
 
+def tallies(chapters: DataFrame) -> DataFrame:
+    """Chapters and verses of each parsed work; a chapter is counted by its id."""
+    verses = F.aggregate("sections", F.lit(0).cast("long"), lambda a, s: a + F.size(s["verses"]))
+    each = chapters.groupBy("work_id", "chapter_id").agg(F.sum(verses).alias("v"))
+    return each.groupBy("work_id").agg(F.count("*").alias("chapters"), F.sum("v").alias("verses"))
+
+
 def corpus_stats(chapters: DataFrame) -> DataFrame:
     verses = F.aggregate("sections", F.lit(0).cast("long"), lambda a, s: a + F.size(s["verses"]))
     books = chapters.groupBy("work_id", "book_id").agg(F.count("*").alias("c"), F.sum(verses).alias("v"))
@@ -479,6 +510,20 @@ def patched(verses: DataFrame, changes: DataFrame, key: str = "ref") -> DataFram
     return verses.join(changes.select(key, "new_text"), key, "left").withColumn("text", F.coalesce("new_text", "text")).drop("new_text")
 
 
+def ranges_replaced(lines: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Lines (``key``, ``i`` from 0, ``line``) with ranges replaced by other lines, however many; numbered anew.
+
+    ``changes`` has ``key``, ``first``, ``end`` (exclusive) and ``lines``; ranges of a key must not overlap, in any order. A range is put
+    where it begins, so a range beyond the end of a text changes nothing. Ranges meet lines by key and line number, not by search.
+    """
+    numbers = F.when(F.col("end") > F.col("first"), F.sequence("first", F.col("end") - 1)).otherwise(F.array().cast("array<int>"))
+    covered = changes.select(F.col(key).alias("__q_key"), F.explode(numbers).alias("__q_i"), "first", "lines")
+    met = lines.join(covered, (F.col(key) == F.col("__q_key")) & (F.col("i") == F.col("__q_i")), "left")
+    own = F.when(F.col("first").isNull(), F.array("line")).when(F.col("i") == F.col("first"), F.col("lines")).otherwise(F.array().cast("array<string>"))
+    rows = met.select(key, F.col("i").alias("__q_at"), F.posexplode(own).alias("__q_k", "line"))
+    return numbered(rows, [key], [F.col("__q_at"), F.col("__q_k")], "i").select(key, (F.col("i") - 1).alias("i"), "line")
+
+
 def occurrences(text: Column, words: list[str]) -> Column:
     """How many whole words of ``words`` a text holds."""
     pattern = T.whole_word("(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")")

@@ -70,13 +70,12 @@ def missing_works_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def build_indexes(chapters: DataFrame, stopwords: list[str], folder: str) -> dict[str, int]:
-    """The flat index, the concordance in order of word and the similar chapters, written to ``folder``; rows of each."""
+    """The flat index, the concordance as ``stored_lookup`` reads it and the similar chapters, written to ``folder``; rows of each."""
     verses = materialize(verses_of(chapters), "verses")
     verses.select("ref", "text", *C.INDEX_ORDER).sort(*C.INDEX_ORDER).write.mode("overwrite").parquet(f"{folder}/search")
-    words = C.concordance(C.word_rows(verses, stopwords))
-    words.sort("word", "work_id", "chapter_id").write.mode("overwrite").parquet(f"{folder}/concordance")
+    C.write_index(verses, stopwords, f"{folder}/concordance")
     C.similar_chapters(C.chapter_vectors(chapters, stopwords)).write.mode("overwrite").parquet(f"{folder}/similarity")
-    return {name: chapters.sparkSession.read.parquet(f"{folder}/{name}").count() for name in ("search", "concordance", "similarity")}
+    return {name.split("/")[0]: chapters.sparkSession.read.parquet(f"{folder}/{name}").count() for name in ("search", "concordance/words/data", "similarity")}
 
 
 def split_works(chapters: DataFrame, members: DataFrame) -> DataFrame:

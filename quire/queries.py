@@ -946,6 +946,81 @@ def headed_files(spark, sf):
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("verse"), "text")
 
 
+@query(WORDS + "SELECT w.ref, v.text, (SELECT count(*) FROM words WHERE word = 'tion') AS verse_count FROM words w JOIN verses v USING (ref) WHERE w.word = 'tion' ORDER BY w.work_id, w.chapter_id, w.verse LIMIT 5")
+def concordance_stored(spark, sf):
+    """A word looked up in the concordance as it is stored: sorted, with files pruned."""
+    from quire.plans.store import folder as fresh
+
+    folder = fresh(spark)
+    C.write_index(document_verses(spark, sf), STOPWORDS, folder, files=8)
+    return C.stored_lookup(spark, folder, "tion")
+
+
+_VERSIONED = """WITH n AS (SELECT doc_id // 20 AS user_id, lang || '-' || doc_id AS ref, text FROM documents), l AS (SELECT doc_id // 20 AS user_id, 'label-' || doc_id AS ref, min(quality)::VARCHAR AS text FROM labels GROUP BY doc_id)
+SELECT user_id, ref, text FROM n WHERE user_id NOT IN (SELECT user_id FROM l WHERE text = '0') UNION ALL SELECT user_id, ref, text FROM l"""
+
+
+@query(_VERSIONED)
+def store_versions(spark, sf):
+    """All users' notes as a versioned table: notes are added to some users' stores, then those with a poor label are replaced."""
+    from quire.plans import versions as V
+    from quire.plans.store import folder as fresh
+
+    notes = docs(spark, sf).select(F.expr("doc_id DIV 20").alias("user_id"), F.concat_ws("-", "lang", "doc_id").alias("ref"), "text")
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").cast("string").alias("text"))
+    labels = labels.select(F.expr("doc_id DIV 20").alias("user_id"), F.concat_ws("-", F.lit("label"), "doc_id").alias("ref"), "text")
+    folder = fresh(spark)
+    V.create(notes, folder, "user_id", 32)
+    V.change(labels, folder, lambda old, new: old.unionByName(new))
+    poor = labels.where("text = '0'").select("user_id").distinct()
+    V.change(labels.join(poor, "user_id", "left_semi"), folder, lambda old, new: R.upsert(old, new, "user_id"))
+    return V.read(spark, folder)
+
+
+@query("SELECT b.source AS work_id, b.lang AS book_id, i AS number, CASE WHEN i % 3 = 1 THEN 'N' || i END AS name FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) b, LATERAL (SELECT unnest(range(0, b.n)) AS i)")
+def chapter_names(spark, sf):
+    """Names of a manifest's chapters by their place; a list that is too short, and a null in it, give none."""
+    b = books(spark, sf).withColumn("start", F.lit(0)).withColumn("names", F.transform(F.sequence(F.lit(0), F.col("chapters").cast("int") - 1), lambda i: F.when(i % 3 == 1, F.concat(F.lit("N"), i))))
+    b = b.withColumn("names", F.slice("names", 1, F.greatest(F.lit(1), F.col("chapters").cast("int") - 1 + F.when(F.col("chapters") % 3 == 2, 1).otherwise(0))))
+    return C.expand_books(b).select("work_id", "book_id", F.col("chapter_num").cast("long").alias("number"), "name")
+
+
+@query(_LINES + """, r AS (SELECT doc_id, i, line, len(string_split(text, chr(10))) AS n FROM e JOIN documents USING (doc_id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, CASE WHEN i = 2 AND n >= 3 THEN 'patched ' || doc_id WHEN i = 3 AND n >= 3 THEN '' ELSE line END AS line FROM r WHERE NOT (i = 4 AND n >= 4)""")
+def lines_patched(spark, sf):
+    """Lines of ranges replaced by others: two lines for the second and third, one line less for the fourth."""
+    lines = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    n = docs(spark, sf).select("doc_id", F.size(F.split("text", "\n")).alias("n"))
+    two = n.where("n >= 3").select("doc_id", F.lit(1).alias("first"), F.lit(3).alias("end"), F.array(F.concat(F.lit("patched "), "doc_id"), F.lit("")).alias("lines"))
+    none = n.where("n >= 4").select("doc_id", F.lit(3).alias("first"), F.lit(4).alias("end"), F.array().cast("array<string>").alias("lines"))
+    return C.ranges_replaced(lines, two.unionByName(none), "doc_id").select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "line")
+
+
+@query("""WITH c AS (SELECT *, role || ' spake:' AS s FROM conversations), l AS (SELECT conv_id, turn, unnest([s, text]) AS line, unnest([0, 1]) AS k FROM c WHERE role IS NOT NULL AND text IS NOT NULL)
+SELECT conv_id, turn, upper(left(role, 1)) || substr(role, 2) || ': ' || regexp_replace(replace(text, chr(10), ' '), '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g') AS line FROM c WHERE role IS NOT NULL AND text IS NOT NULL""")
+def speakers_spake(spark, sf):
+    """Lines ``Name spake:`` before turns, read as the turn's prefix."""
+    c = table(spark, sf, "conversations").where("role IS NOT NULL AND text IS NOT NULL")
+    said = F.concat(T.first_upper(F.col("role")), F.lit(" spake:"))
+    rows = c.select("conv_id", "turn", T.with_speakers(F.array(said, F.replace("text", F.lit("\n"), F.lit(" ")))).alias("l"))
+    return rows.select("conv_id", "turn", F.get("l", F.lit(0)).alias("line"))
+
+
+@query(VERSES + "SELECT 'vpl' AS work_id, count(DISTINCT (book_id, doc_id)) AS chapters, count(*) AS verses FROM verses UNION ALL SELECT 'headed', count(DISTINCT doc_id), count(*) FROM verses")
+def works_tallied(spark, sf):
+    """Chapters and verses of the works that two parsers read."""
+    from quire.sources.layouts import headed_verses as headed
+    from quire.sources.layouts import verse_lines
+
+    v = document_verses(spark, sf)
+    lines = v.select(F.concat(F.upper("book_id"), F.lit(" "), "chapter_num", F.lit(":"), "verse", F.lit(" "), F.concat(F.lit("x"), "text")).alias("value"))
+    listed = docs(spark, sf).select(F.upper("lang").alias("abbrev"), F.col("lang").alias("book_id")).where("lang IS NOT NULL").distinct()
+    c = chapters(spark, sf).select("chapter_num", F.flatten(F.transform("sections", lambda s: s["verses"])).alias("v"))
+    marked = F.transform("v", lambda x, i: F.concat(F.lit("["), "chapter_num", F.lit("_"), i + 1, F.lit("]"), i + 1, F.lit(" x")))
+    files = c.select(F.concat("chapter_num", F.lit(". n: T\n"), F.array_join(marked, "\n")).alias("value"))
+    return C.tallies(verse_lines(lines, listed, "vpl").unionByName(headed(files, "headed")))
+
+
 # ---------------------------------------------------------------- groups in order, enriched chapters, works of several files
 
 

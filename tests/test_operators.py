@@ -264,7 +264,7 @@ def test_build(spark, tmp_path):
     back = {w: (tmp_path / "corpus" / w / "manifest.json").read_text() for w in ("v", "w")}
     assert back == {"w": '{"id":"w","title":"Work","books":[{"id":"b","name":"Book","chapters":2,"start":1}]}', "v": '{"id":"v","title":"Other","books":[]}'}
     assert build.build_indexes(chapters, [], folder) == {"search": 3, "concordance": 4, "similarity": 0}
-    assert [r.word for r in spark.read.parquet(f"{folder}/concordance").select("word").distinct().orderBy("word").collect()] == ["alpha", "beta", "gamma"]
+    assert [r.word for r in spark.read.parquet(f"{folder}/concordance/words/data").select("word").distinct().orderBy("word").collect()] == ["alpha", "beta", "gamma"]
     assert "text/html" in site.open_search("https://h", "a & b", "d") and "a &amp; b" in site.open_search("https://h", "a & b", "d")
 
 
@@ -319,3 +319,16 @@ def test_replace_words_in_one_pass(spark):
     want = [t if t is None else re.sub(r"\b(?:" + "|".join(map(re.escape, keys)) + r")\b", lambda m: pairs[m[0]], t) for t in texts]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.replace_words(F.col("t"), pairs).alias("o")).orderBy("i").collect()
     assert [r.o for r in rows] == want
+
+
+def test_ranges_of_lines(spark):
+    lines = [(1, i, f"l{i}") for i in range(6)] + [(2, 0, "only")]
+    changes = [(1, 4, 6, ["x"]), (1, 0, 1, ["a", "b", "c"]), (1, 2, 3, []), (2, 5, 7, ["beyond"]), (2, 0, 0, ["nothing"])]
+    got = C.ranges_replaced(spark.createDataFrame(lines, "k int, i int, line string"), spark.createDataFrame(changes, "k int, first int, end int, lines array<string>"), "k")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, "l1"), (1, 4, "l3"), (1, 5, "x"), (2, 0, "only")]
+
+
+def test_speakers(spark):
+    lines = ["Othin spake:", "", "  Hail ", "he spake so", "A spake:", "Bragi spake:", "x", "Last spake:"]
+    row = spark.createDataFrame([(lines,), (None,), ([],)], "l array<string>").select(T.with_speakers(F.col("l")).alias("o")).collect()
+    assert [r.o for r in row] == [["Othin: Hail", "he spake so", "Bragi: x"], None, []]

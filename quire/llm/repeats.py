@@ -38,7 +38,8 @@ CHUNK = 1 << 18
 BLOCK_BYTES = 8 << 20
 LOW = np.uint64(0xFFFFFF)
 
-#: (tokens' bytes, offsets of the contents, windows of each content, anchor group of each content) -> class of each window.
+#: (tokens' bytes, offsets of the contents, windows of each content, anchor group of each content) -> class of each window. It decides
+#: alone which tokens are equal; an attribute ``same`` takes (bytes, starts, lengths, group) of whole runs -> class of each run.
 Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -337,7 +338,7 @@ def repeated(
             return None
         h, count, row, pos, lengths = (np.concatenate([p[i] for p in parts]) for i in range(5))
         content = np.concatenate([p[5] for p in parts])
-        return Contents(h, count, row, pos, ids, lengths, content, bins)
+        return Contents(h, count, row, pos, ids, lengths, content, bins, resolver)
 
     @released
     def suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -414,10 +415,10 @@ class Contents:
     of documents that have it; ``kind``: the content of each run.
     """
 
-    def __init__(self, h: np.ndarray, count: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, lengths: np.ndarray, content: np.ndarray, bins: int) -> None:
+    def __init__(self, h: np.ndarray, count: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, lengths: np.ndarray, content: np.ndarray, bins: int, resolver: Resolver) -> None:
         self.h, self.count, self.row, self.pos, self.lengths, self.content = h, count, row, pos, lengths, content
         self.starts = np.cumsum(lengths) - lengths
-        kind, lead = distinct(h, self.starts, lengths, content)
+        kind, lead = kinds(resolver, h, self.starts, lengths, content)
         bucket = (mix(h[lead]) % np.uint64(bins)).astype(np.int64)
         order = np.lexsort((lead, bucket))
         place = np.empty(len(order), np.int64)
@@ -445,26 +446,54 @@ class Contents:
         return self.row[run], self.pos[run] + start, number
 
 
-def distinct(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The kind of each run, equal for equal prefixes and contents, and the first run of each kind."""
-    sums = np.empty(len(h), np.uint64)
-    step = max(1, (1 << 21) // max(1, int(lengths.max())))
-    for a in range(0, len(h), step):  # a content's hash, some contents at a time
-        n = lengths[a : a + step]
-        within = spread(np.zeros(len(n), np.int64), n)
-        flat = BYTE_HASH[content[starts[a] : starts[a] + int(n.sum())]] * mix(within.astype(np.uint64) + np.uint64(7))
-        sums[a : a + step] = mix(np.add.reduceat(flat, np.cumsum(n) - n) + n.astype(np.uint64))
-    order = np.lexsort((sums, h))
-    new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (sums[order][1:] != sums[order][:-1])))
-    kind = np.empty(len(h), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    return _exact(kind, order[new], starts, lengths, content, step)
+DIGIT = 8
+
+
+def by_prefix(content: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The class of each run, equal for runs of one group with equal bytes: the prefix that runs share grows until each is alone or ends.
+
+    A pass takes the next ``DIGIT`` bytes of the runs that still share all before them, so a group of runs is split as the
+    branches below a node of their tree are, and a run that is alone leaves. Runs of one length that are read to their end are equal.
+    """
+    classes = np.full(len(starts), -1, np.int64)
+    padded = np.concatenate((content, np.zeros(DIGIT, np.uint8)))
+    words = np.ndarray((len(content) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    done, depth, alive, parent, digit = 0, 0, np.arange(len(starts)), group, lengths
+    while len(alive):
+        order = np.lexsort((digit, parent))
+        g, d = parent[order], digit[order]
+        edge = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]))))
+        size = np.diff(np.append(edge, len(order)))
+        alone = np.repeat(size == 1, size)
+        lone = alive[order[alone]]
+        classes[lone] = done + np.arange(len(lone))
+        done += len(lone)
+        alive, parent = alive[order[~alone]], np.repeat(np.arange(len(edge)), size)[~alone]
+        left = lengths[alive] - depth
+        ended = left <= 0
+        if ended.any():
+            names, number = np.unique(parent[ended], return_inverse=True)
+            classes[alive[ended]] = done + number
+            done += len(names)
+            alive, parent, left = alive[~ended], parent[~ended], left[~ended]
+        digit = words[starts[alive] + depth]
+        short = left < DIGIT
+        digit[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        depth += DIGIT
+    return classes
+
+
+def kinds(resolver: Resolver, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each run, equal for runs that the resolver finds equal (its ``same``, else ``by_prefix``), and the first run of each kind."""
+    same = getattr(resolver, "same", by_prefix)
+    _, lead, kind = np.unique(same(content, starts, lengths, np.unique(h, return_inverse=True)[1]), return_index=True, return_inverse=True)
+    return kind, lead
 
 
 def answers(h: np.ndarray, count: np.ndarray, least: np.ndarray, most: np.ndarray, lengths: np.ndarray, content: np.ndarray, resolver: Resolver) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each entry, runs of windows that start in a smaller document than its largest: (entry, first window, how many, document)."""
     starts = np.cumsum(lengths) - lengths
-    kind, lead = distinct(h, starts, lengths, content)
+    kind, lead = kinds(resolver, h, starts, lengths, content)
     smallest = np.full(len(lead), NULL_ID, np.int64)
     np.minimum.at(smallest, kind, least)
     n, windows = lengths[lead], count[lead]
@@ -487,27 +516,3 @@ def answers(h: np.ndarray, count: np.ndarray, least: np.ndarray, most: np.ndarra
         base = (np.cumsum(w) - w)[run_of[edge]]
         out.append((m[run_of[edge]], edge - base, long, got[edge]))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(4))  # type: ignore[return-value]
-
-
-def _exact(kind: np.ndarray, lead: np.ndarray, starts: np.ndarray, lengths: np.ndarray, content: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes decide: a run whose bytes differ from its kind's first run gets a kind of its own bytes."""
-    odd = []
-    for a in range(0, len(kind), step):
-        r = lead[kind[a : a + step]]
-        n = lengths[a : a + step]
-        wrong = n != lengths[r]
-        m = np.where(wrong, 1, n)
-        same = content[spread(starts[a : a + step], m)] == content[spread(starts[r], m)]
-        odd.append(a + np.flatnonzero(wrong | ~np.logical_and.reduceat(same, np.cumsum(m) - m)))
-    bad = np.concatenate(odd)
-    if len(bad):
-        seen: dict = {}
-        more = list(lead)
-        for i in bad:
-            key = (int(kind[i]), content[starts[i] : starts[i] + lengths[i]].tobytes())
-            if key not in seen:
-                seen[key] = len(more)
-                more.append(i)
-            kind[i] = seen[key]
-        lead = np.array(more)
-    return kind, lead

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import repeats, suffix_array
+from quire.llm import repeats, substring_dedup, suffix_array
+from quire.llm.repeats import by_prefix
 from quire.llm.substring_dedup import dedup_words, deep_nodes, op2_substring_dedup, tree_classes
 from quire.llm.suffix_array import dedup_bytes, op3_suffix_array_dedup
 from tests.llm.brute import bytes_removed, words_removed
@@ -106,3 +107,34 @@ def test_cut_characters(spark):
     want = {r[0]: r for r in bytes_removed(docs)}
     assert {i: (r.n_removed, r.n_spans) for i, r in got.items()} == {i: want[i][2:4] for i in want}
     assert got[1].kept == docs[0][1] and got[2].kept == "z\ufffdend" and got[4].kept == "\u00e9"
+
+
+@pytest.mark.parametrize("module,name,dedup", [(suffix_array, "radix_classes", "dedup_bytes"), (substring_dedup, "tree_classes", "dedup_words")])
+def test_nothing_else_finds_repeats(spark, monkeypatch, module, name, dedup):
+    """With a resolver for which all is different nothing is removed: neither within a block of documents nor between blocks."""
+
+    class Different:
+        def __call__(self, text, offsets, windows, group):
+            return np.arange(int(windows.sum()))
+
+        def same(self, content, starts, lengths, group):
+            return np.arange(len(starts))
+
+    passage = " ".join(f"w{i}" for i in range(120))
+    df = spark.createDataFrame([(i, f"own{i} {passage} more{i}" if i % 3 else passage) for i in range(90)], "doc_id long, text string")
+    assert getattr(module, dedup)(df).agg(F.sum("n_removed")).first()[0] > 5000
+    monkeypatch.setattr(module, name, lambda *a: Different())
+    assert getattr(module, dedup)(df).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_by_prefix():
+    rng = np.random.default_rng(1)
+    base = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(1, 30, 300)]
+    runs_ = base + base[:100] + [b"x" * 500, b"x" * 499 + b"y", b"x" * 500, b"", b"", b"a\0", b"a"]
+    group = np.array([len(r) % 2 for r in runs_])
+    lengths = np.array([len(r) for r in runs_])
+    starts = np.cumsum(lengths) - lengths
+    got = by_prefix(np.frombuffer(b"".join(runs_), np.uint8), starts, lengths, group)
+    want = list(zip(group.tolist(), runs_, strict=True))
+    assert (got >= 0).all() and len(set(zip(got.tolist(), want, strict=True))) == len(set(got.tolist())) == len(set(want))
+    assert len(by_prefix(np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))) == 0

@@ -51,6 +51,14 @@ e AS (SELECT *, (lag(day) OVER w IS DISTINCT FROM day - 1 OR lag(v) OVER w IS DI
 g AS (SELECT *, sum(begins) OVER (PARTITION BY d ORDER BY day) AS version FROM e)
 SELECT d AS doc_id, version::INT AS version, min(day) AS valid_from, nullif(max(day) + 1, 368) AS valid_to, min(v) AS value FROM g GROUP BY d, version"""
 
+#: All pairs of a label; the smallest id of a component is the smallest that links reach.
+EMBEDDINGS = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id"""
+
 
 def _lloyd(clusters: int = 40, rounds: int = 5) -> str:
     """Rounds one after another; whole numbers all through, and a quotient rounded down whatever its sign."""
@@ -72,4 +80,4 @@ sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{round
     )
 
 
-ORACLES = {"op1_warc": WARC, "op2_substring_dedup": WORDS, "op3_suffix_array_dedup": BYTES, "op12_history": HISTORY, "op13_centroids": _lloyd()}
+ORACLES = {"op1_warc": WARC, "op2_substring_dedup": WORDS, "op3_suffix_array_dedup": BYTES, "op5_embedding_dedup": EMBEDDINGS, "op12_history": HISTORY, "op13_centroids": _lloyd()}

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import repeats, substring_dedup, suffix_array
+from quire.llm import substring_dedup, suffix_array
 from quire.llm.repeats import by_prefix
 from quire.llm.substring_dedup import dedup_words, deep_nodes, op2_substring_dedup, tree_classes
 from quire.llm.suffix_array import dedup_bytes, op3_suffix_array_dedup

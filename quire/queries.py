@@ -611,13 +611,15 @@ def headed_verses(spark, sf):
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("verse"), "text")
 
 
-@query()
+@query(VERSES + f"SELECT doc_id, greatest(1, verse - 1) AS section, 'x ' || regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS text FROM verses")
 def layouts_parsed(spark, sf):
-    """Each document as a scraped chapter, by the layout engine."""
+    """Each document as a scraped chapter, by the layout engine: from the third line on numbers fall back, so each is a section."""
     from quire.sources.layouts import LAYOUTS, parse_files
 
-    files = docs(spark, sf).select(F.concat(F.lit("=== CHAPTER "), "doc_id", F.lit(" ===\n1. "), F.replace("text", F.lit("\n"), F.lit("\n2. "))).alias("value"))
-    return parse_files(files, LAYOUTS["scraped"]).select("chapter_id", F.size("sections").alias("sections"), F.aggregate("sections", F.lit(0), lambda a, s: a + F.size(s["verses"])).alias("verses"))
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x, i: F.concat(F.when(i == 0, "1. x ").otherwise("2. x "), x))
+    files = docs(spark, sf).select(F.concat(F.lit("=== CHAPTER "), "doc_id", F.lit(" ===\n"), F.array_join(lines, "\n")).alias("value"))
+    found = parse_files(files, LAYOUTS["scraped"]).select(F.col("chapter_num").cast("long").alias("doc_id"), F.posexplode("sections").alias("i", "s"))
+    return found.select("doc_id", (F.col("i") + 1).cast("long").alias("section"), F.explode("s.verses").alias("text"))
 
 
 @query("SELECT 'https://example.org/' || source || '/' || lang || '-' || doc_id AS url, '{\"@type\":\"Chapter\",\"name\":\"' || lang || ' ' || doc_id || '\",\"position\":' || doc_id || '}' AS json FROM documents")
@@ -1050,15 +1052,15 @@ def chapter_enriched(spark, sf):
     return C.with_book(chapters(spark, sf), known).select(F.col("chapter_num").alias("doc_id"), "book_name", "title")
 
 
-@query("SELECT lang AS book_id, count(*) AS verses FROM (SELECT lang, unnest(string_split(text, chr(10))) AS x FROM documents WHERE lang <> 'es') WHERE regexp_matches(x, '[^ \\t\\n\\v\\f\\r]') GROUP BY lang")
+@query(VERSES + f"SELECT book_id, 'x' || regexp_replace(text, '{_WS}+$', '') AS text FROM verses")
 def books_parsed(spark, sf):
-    """A work whose books come in files of three layouts, their verses counted; a book without a layout is left out."""
+    """A work whose books come in files of three layouts; the files of a book without a layout are left out."""
     from quire.sources.layouts import LAYOUTS, parse_books
 
-    c = docs(spark, sf).select("lang", "doc_id", F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "").alias("v"))
-    lines = F.array_join(F.transform("v", lambda x: F.concat(F.lit("   x"), F.regexp_replace(x, "[^A-Za-z ]", "x"))), "\n")
+    c = docs(spark, sf).select("lang", "doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("v"))
+    lines = F.array_join(F.transform("v", lambda x: F.concat(F.lit("   x"), x)), "\n")
     head = F.when(F.col("lang") == "fr", F.concat(F.lit("             "), "doc_id", F.lit("\n"))).otherwise("")
     files = c.select(F.col("lang").alias("book_id"), F.concat(head, lines).alias("value"))
-    found = parse_books(files, {"en": LAYOUTS["whole"], "de": LAYOUTS["commented"], "fr": LAYOUTS["indented"]}, "w")
-    number = F.aggregate("sections", F.lit(0).cast("long"), lambda a, x: a + F.size(x["verses"]))
-    return found.groupBy("book_id").agg(F.sum(number).alias("verses"))
+    files = files.unionAll(files.select(F.lit("unlisted").alias("book_id"), "value"))
+    found = parse_books(files, {"en": LAYOUTS["whole"], "de": LAYOUTS["commented"], "fr": LAYOUTS["indented"], "es": LAYOUTS["whole"]}, "w")
+    return found.select("book_id", F.explode("sections").alias("s")).select("book_id", F.explode("s.verses").alias("text"))

@@ -500,22 +500,19 @@ def works_order_merge(spark, sf):
     return R.ordered_union(old, nation.where("n_regionkey <> 1").select(F.col("n_name").alias("w")), "w", "k")
 
 
-_STORES = "WITH n AS (SELECT doc_id // 20 AS user_id, lang, text FROM documents) "
-
-
 def _stores(spark, sf):
     rows = docs(spark, sf).select(F.expr("doc_id DIV 20").alias("user_id"), F.concat_ws("-", "lang", "doc_id").alias("ref"), "text", F.col("doc_id").alias("seq"), "lang")
     return R.restore(R.backup(rows.select("user_id", "ref", "text"), rows.where("lang <> 'de'").select("user_id", "ref", "seq")))
 
 
-def _counted(stores):
-    size = F.aggregate(F.map_values("store.notes"), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    return stores.select("user_id", F.size("store.notes").cast("long").alias("notes"), F.size("store.bookmarks").cast("long").alias("bookmarks"), size.alias("size"))
-
-
-@query(_STORES + "SELECT user_id, count(*) AS notes, count(*) FILTER (lang <> 'de') AS bookmarks, sum(length(text))::BIGINT AS size FROM n GROUP BY user_id")
+@query("""WITH n AS (SELECT doc_id // 20 AS user_id, lang, lang || '-' || doc_id AS ref, doc_id, text FROM documents)
+SELECT user_id, 'note' AS kind, 0 AS place, ref, text FROM n UNION ALL SELECT user_id, 'bookmark', row_number() OVER (PARTITION BY user_id ORDER BY doc_id), ref, NULL FROM n WHERE lang <> 'de'""")
 def backup_round_trip(spark, sf):
-    return _counted(_stores(spark, sf))
+    """All users' notes and bookmarks as stores in JSON and read back: whole texts, and bookmarks in their order."""
+    stores = _stores(spark, sf)
+    notes = stores.select("user_id", F.lit("note").alias("kind"), F.lit(0).cast("long").alias("place"), F.explode("store.notes").alias("ref", "text"))
+    marks = stores.select("user_id", F.lit("bookmark").alias("kind"), F.posexplode("store.bookmarks").alias("i", "ref"))
+    return notes.unionByName(marks.select("user_id", "kind", (F.col("i") + 1).cast("long").alias("place"), "ref", F.lit(None).cast("string").alias("text")))
 
 
 @query("SELECT user_id, CASE WHEN t > 0 THEN t * 10 ELSE h END AS history, CASE WHEN t > 0 THEN NULL ELSE d END AS display FROM (SELECT doc_id AS user_id, max(toxic) AS t, max(quality) AS h, 'd' AS d FROM labels GROUP BY doc_id)")
@@ -527,13 +524,13 @@ def import_replace(spark, sf):
     return R.replaced(stores, incoming, ["history", "display"])
 
 
-@query("SELECT doc_id AS user_id, CASE WHEN lang = 'en' THEN 1 WHEN lang = 'de' THEN 2 ELSE 0 END::BIGINT AS notes FROM documents")
+@query("SELECT doc_id AS user_id, 'en' AS ref, text FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, unnest(['a', 'b']), text FROM documents WHERE lang = 'de'")
 def store_migration(spark, sf):
-    """English stores can be read, German ones are of the older form with two notes, others are broken."""
+    """English stores can be read, German ones are of the older form with two notes, others are broken and become empty."""
     made = F.to_json(F.struct(F.create_map("lang", "text").alias("notes"), F.array().cast("array<string>").alias("bookmarks")))
     old = F.to_json(F.create_map(F.lit("a"), F.col("text"), F.lit("b"), F.col("text")))
     rows = docs(spark, sf).select(F.col("doc_id").alias("user_id"), F.when(F.col("lang") == "en", made).otherwise("{broken").alias("store"), F.when(F.col("lang") == "de", old).otherwise("no json").alias("old_notes"))
-    return R.restore(R.migrated(rows)).select("user_id", F.size("store.notes").cast("long").alias("notes"))
+    return R.restore(R.migrated(rows)).select("user_id", F.explode("store.notes").alias("ref", "text"))
 
 
 @query(_NOTES + "SELECT ref, text FROM old WHERE starts_with(ref, 'src3:en-' || (SELECT min(doc_id) FROM documents WHERE source = 'src3' AND lang = 'en') || ':')")
@@ -587,13 +584,14 @@ def text_roundtrip(spark, sf):
 _PLAIN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\bLORD\\b', 'Lord', 'g'), '\\bGOD\\b', 'God', 'g'), '[\\[\\]]', '', 'g'), '-{{2,}}', '—', 'g'), ' ([,;:.!?])', '\\1', 'g'), '  +', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-@query(VERSES + f"SELECT 'vpl' AS work_id, 'b' || book_id AS book_id, doc_id AS chapter_num, 2 * verse AS verse, {_PLAIN} AS text FROM (SELECT * EXCLUDE text, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS text FROM verses) WHERE text <> '' AND book_id <> 'de'")
+@query(VERSES + f"SELECT 'vpl' AS work_id, 'b' || book_id AS book_id, doc_id AS chapter_num, 2 * verse AS verse, {_PLAIN} AS text FROM (SELECT * EXCLUDE text, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS text FROM verses) WHERE text <> ''")
 def verse_per_line(spark, sf):
     """Verses written as lines ``BOOK CH:VS text`` and read back; a book that is not listed is left out."""
     from quire.sources.layouts import verse_lines
 
     lines = document_verses(spark, sf).select(F.concat(F.upper("book_id"), F.lit(" "), "chapter_num", F.lit(":"), F.col("verse") * 2, F.lit(" "), "text").alias("value"))
-    listed = spark.createDataFrame([(x.upper(), f"b{x}") for x in ("en", "fr", "es", "it")], "abbrev string, book_id string")
+    lines = lines.unionAll(lines.select(F.concat(F.lit("X"), "value")))  # the same verses in books that are not listed
+    listed = docs(spark, sf).where("lang IS NOT NULL").select(F.upper("lang").alias("abbrev"), F.concat(F.lit("b"), "lang").alias("book_id")).distinct()
     c = verse_lines(lines, listed, "vpl")
     rows = c.select("work_id", "book_id", "chapter_num", F.posexplode(F.col("sections")[0]["verses"]).alias("i", "text"), F.col("sections")[0]["startVerse"].alias("first"))
     return rows.select("work_id", "book_id", F.col("chapter_num").cast("long").alias("chapter_num"), (F.col("first") + 2 * F.col("i")).cast("long").alias("verse"), "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import textwrap
 import unicodedata
+import zlib
 from functools import reduce
 
 import pandas as pd
@@ -65,9 +66,14 @@ def replace_words(c: Column, pairs: dict[str, str]) -> Column:
     after = lambda k: f"(?![{_W}])" if word(k[-1]) else f"(?=[{_W}])"
     several = [ahead(k) + _quote(k) + after(k) for k in keys if not re.fullmatch(r"\w+", k)]
     gap = f"[^{_W}]" + ("" if any(not word(k[0]) for k in keys) else "+")
-    known = F.create_map(*[F.lit(x) for k in keys for x in (k, pairs[k])])
+    # Maps are searched entry by entry, so keys are dealt by their checksum over as many small maps as there are keys.
+    shelves: list[list[str]] = [[] for _ in keys]
+    for k in keys:
+        shelves[zlib.crc32(k.encode()) % len(keys)].append(k)
+    maps = F.array(*[F.create_map(*[F.lit(x) for k in shelf or [""] for x in (k, pairs[k] if k else "")]) for shelf in shelves])
+    found = lambda x: F.try_element_at(F.get(maps, (F.crc32(x.cast("binary")) % len(keys)).cast("int")), x)
     parts = F.regexp_extract_all(c, F.lit("|".join([*several, f"[{_W}]+", gap])), F.lit(0))
-    return F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(found(x), x)), "")
 
 
 def plain_words(c: Column) -> Column:

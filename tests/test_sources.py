@@ -8,45 +8,46 @@ from quire.model import verses_of
 from quire.sources import corpus, layouts, spans, tagged, web
 
 
-def parsed(layout, text):
-    return [(b, n, name, s) for b, n, name, s in layouts.LAYOUTS[layout].parse(text)]
+def parsed(spark, layout, text):
+    rows = layouts.parse_files(spark.createDataFrame([(text,)], "value string"), layouts.LAYOUTS[layout]).collect()
+    return [(r.book_id, r.chapter_num, r.name, [(x.startVerse, x.verses) for x in r.sections]) for r in rows]
 
 
-def test_chunks():
+def test_chunks(spark):
     text = "PART I\n\n\n\nCh. 1. 1. The Tao\nthat can\n2. second\n\n\n\nCh. 2. 1. All\r\n 3. x"
-    assert parsed("chunks", text) == [("ttc", 1, None, [(1, ["The Tao that can", "second"])]), ("ttc", 2, None, [(1, ["All", "x"])])]
+    assert parsed(spark, "chunks", text) == [("ttc", 1, None, [(1, ["The Tao that can", "second"])]), ("ttc", 2, None, [(1, ["All", "x"])])]
 
 
-def test_sequence_takes_only_the_next_number():
+def test_sequence_takes_only_the_next_number(spark):
     text = "CHAPTER 1.\n\n0. On the name.\n[1. First (gl) of 12. men 2. second\n\nmore 3, third\nCHAPTER 2.\nno marks"
-    assert parsed("sequence", text) == [("bund", 1, "On the name", [(1, ["First of 12. men", "second more", "third"])])]
+    assert parsed(spark, "sequence", text) == [("bund", 1, "On the name", [(1, ["First of 12. men", "second more", "third"])])]
 
 
-def test_subverses():
+def test_subverses(spark):
     text = "CHAPTER 3 [The way.]\n[Part 1. Intro]\n\n1. IN THE name [p. 4] (1) of (2) God\ngo on\n2. Two (x y) end ."
-    assert parsed("subverses", text) == [("viraf", 3, "The way.", [(1, ["In the name of God go on", "Two end."])])]
+    assert parsed(spark, "subverses", text) == [("viraf", 3, "The way.", [(1, ["In the name of God go on", "Two end."])])]
 
 
-def test_volumes():
+def test_volumes(spark):
     text = "VOL. I.\nPREFACE. [*1]\nI say.\n\n[SECT. I.--THE BEGINNING.]\n\n[1] When chaos\n\nbegan. [*2]\n\nNext one.\nFootnotes\nx\nVOL. II.\n[SECT. II.—Mixed Case]\nBody here.\n"
-    got = parsed("volumes", text)
+    got = parsed(spark, "volumes", text)
     assert [(b, n, s) for b, n, _, s in got] == [("kjk", 0, [(1, ["I say."])]), ("kjk", 1, [(1, ["When chaos began.", "Next one."])]), ("kjn", 2, [(1, ["Body here."])])]
     assert got[1][2] == "The Beginning." and got[2][2] == "Mixed Case"
 
 
-def test_poems_and_runes():
+def test_poems_and_runes(spark):
     text = "PART I\nBOOK I. x\nI\nThe Kwan; celebrating\n[1] Kwan kwan\ngo. [2] Second\nII\nPoem two\nline a\nline b\nPART II\nI\nThe X\n[1] y"
-    assert parsed("poems", text) == [("guofeng", 1, "Kwan", [(1, ["Kwan kwan go.", "Second"])]), ("guofeng", 2, "Poem two", [(1, ["line a line b"])]), ("xiaoya", 1, "X", [(1, ["y"])])]
+    assert parsed(spark, "poems", text) == [("guofeng", 1, "Kwan", [(1, ["Kwan kwan go.", "Second"])]), ("guofeng", 2, "Poem two", [(1, ["line a line b"])]), ("xiaoya", 1, "X", [(1, ["y"])])]
     text = "PROEM.\n\nMASTERED by desire,\nsing.\n\nRUNE IV.\nBIRTH OF THE HERO.\n\nIn primeval times\n\na maiden.\n\nNext\n"
-    assert parsed("runes", text) == [("kv", 0, "Proem", [(1, ["Mastered by desire, sing."])]), ("kv", 4, "Birth of the Hero", [(1, ["In primeval times a maiden.", "Next"])])]
+    assert parsed(spark, "runes", text) == [("kv", 0, "Proem", [(1, ["Mastered by desire, sing."])]), ("kv", 4, "Birth of the Hero", [(1, ["In primeval times a maiden.", "Next"])])]
 
 
-def test_scraped_and_indented():
+def test_scraped_and_indented(spark):
     text = "=== CHAPTER 1 ===\nTITLE LINE\n1. the first\nmore\n2. b\n1. new\n=== CHAPTER 2 ===\npara one\ngoes\n\npara two\n"
-    assert parsed("scraped", text) == [("scraped", 1, None, [(1, ["the first more", "b"]), (1, ["new"])]), ("scraped", 2, None, [(1, ["para one goes", "para two"])])]
+    assert parsed(spark, "scraped", text) == [("scraped", 1, None, [(1, ["the first more", "b"]), (1, ["new"])]), ("scraped", 2, None, [(1, ["para one goes", "para two"])])]
     text = "              1\n   THE MASTER said\n go on\n   Second\n              2\n   X\n"
-    assert parsed("indented", text) == [("analects", 1, None, [(1, ["The master said go on", "Second"])]), ("analects", 2, None, [(1, ["X"])])]
-    assert parsed("commented", "   A\n b\n   C\nCOMMENTARY OF TSANG\n   D\n") == [("gl", 1, None, [(1, ["A b", "C"]), (3, ["D"])])]
+    assert parsed(spark, "indented", text) == [("analects", 1, None, [(1, ["The master said go on", "Second"])]), ("analects", 2, None, [(1, ["X"])])]
+    assert parsed(spark, "commented", "   A\n b\n   C\nCOMMENTARY OF TSANG\n   D\n") == [("gl", 1, None, [(1, ["A b", "C"]), (3, ["D"])])]
 
 
 def test_lays(spark):

@@ -837,6 +837,8 @@ def _printed_sql(c: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '[\\[\\]]', '', 'g'), '-{{2,}}', '—', 'g'), ' ([,;:.!?])', '\\1', 'g'), '  +', ' ', 'g'), '^ +| +$', '', 'g'), '\\bLORD\\b', 'Lord', 'g'), '\\bGOD\\b', 'God', 'g')"
 
 
+ORACLES["printed_text"] = f"SELECT doc_id, {_printed_sql('t')} AS out FROM (SELECT doc_id, upper(replace(split_part(text, ' ', 1), 'ß', 'ss')) || ' cæsar¶ be- side Baal- Hanan ﬁne LORD , ' || text AS t FROM documents)"
+
 _VOLUMES = VERSES + f""", c AS (SELECT doc_id, book_id, (verse - 1) // 3 + 1 AS chapter_num, verse, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS t FROM verses),
 p AS (SELECT doc_id, book_id, chapter_num, verse, {_printed_sql("CASE WHEN verse % 3 = 1 THEN 'The ' || t || ' 999' ELSE t || ' 999 1' END")} AS text FROM c)
 SELECT doc_id, book_id, chapter_num, row_number() OVER (PARTITION BY doc_id, chapter_num ORDER BY verse) AS place, text FROM p"""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import let
-from quire.plans.store import materialize, plan_bytes
+from quire.plans.store import materialize, source_bytes
 
 #: Estimated bytes of a part.
 PART_BYTES = 16 << 20
@@ -62,7 +62,7 @@ def in_parts(rows: DataFrame, order: str, parts: int | None = None) -> DataFrame
     read for it. A null is in part 0.
     """
     if parts is None:
-        size = plan_bytes(rows)
+        size = source_bytes(rows)
         units = size // PART_BYTES if size < 1 << 60 else 64  # a size that Spark can't tell
         parts = max(1, min(units, 16 * math.isqrt(units)))
     if parts == 1:
@@ -78,7 +78,7 @@ def in_parts(rows: DataFrame, order: str, parts: int | None = None) -> DataFrame
 
 def sorted_parts(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``rows`` with ``PART``, for an order of any types: the sorted range in which Spark puts a row, written so that it stays the same."""
-    size = plan_bytes(rows)
+    size = source_bytes(rows)
     parts = max(1, size // PART_BYTES) if size < 1 << 60 else 64
     return materialize(rows.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id()), "parts")
 

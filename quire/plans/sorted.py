@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.plans.store import plan_bytes
+from quire.plans.store import source_bytes
 
 #: Estimated bytes of a file.
 FILE_BYTES = 64 << 20
@@ -17,7 +17,7 @@ def write_sorted(df: DataFrame, order: list[str], folder: str, files: int | None
     The index has a row for each file: its name and its first and last value of the first column. A value that fills several files is
     in each of them. Null values are kept, but a lookup does not find them.
     """
-    size = plan_bytes(df)
+    size = source_bytes(df)
     files = files or max(1, -(-size // FILE_BYTES) if size < 1 << 60 else 64)
     df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/data")
     # Read back, not kept from the job: what a task that was run again has left is not in it.

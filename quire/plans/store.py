@@ -36,6 +36,12 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Estimated bytes of all that ``df`` is made from: unlike ``plan_bytes``, which multiplies the sides of a join, fit to divide work by."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if it is surely small; else as it is, and Spark joins it as it sees fit."""
     return F.broadcast(df) if plan_bytes(df) <= SMALL else df

@@ -43,5 +43,11 @@ def source_bytes(df: DataFrame) -> int:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is surely small; else as it is, and Spark joins it as it sees fit."""
+    """``df`` marked for broadcast if it is surely small; else as it is, and Spark joins it as it sees fit.
+
+    Spark's estimate of what an aggregate leaves is the size of its input. So where the estimate is too large, ``df`` is written first and its
+    files tell: the few names of a large table must not send that table's partner to as many tasks as there are names.
+    """
+    if plan_bytes(df) > SMALL:
+        df = materialize(df, "small")
     return F.broadcast(df) if plan_bytes(df) <= SMALL else df

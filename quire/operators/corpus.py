@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators.ranges import numbered
 from quire.plans.sorted import looked_up, write_sorted
-from quire.plans.store import materialize, plan_bytes, small
+from quire.plans.store import materialize, plan_bytes, small, source_bytes
 
 INDEX_ORDER = ("work_id", "chapter_id", "section_idx", "verse_idx")
 SEARCH_LIMIT, POPOVER, PREVIEW, HISTORY = 100, 5, 25, 10
@@ -62,6 +62,21 @@ def word_rows(verses: DataFrame, stopwords: list[str]) -> DataFrame:
     return rows.where((F.length("word") > 1) & ~F.col("word").isin(stopwords))
 
 
+#: Estimated bytes of texts whose words a task holds at once.
+WORD_BYTES = 4 << 20
+
+
+def word_parts(texts: DataFrame) -> int:
+    """Partitions of ``texts`` in which the words of each fit a task's memory, never fewer than the session's shuffle partitions."""
+    size = source_bytes(texts)
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // WORD_BYTES) if size < 1 << 60 else 0)
+
+
+def by_chapter(verses: DataFrame) -> DataFrame:
+    """``verses`` dealt by chapter: what groups their words by chapter then does so where they are, so texts travel and not their words."""
+    return verses.repartition(word_parts(verses), "work_id", "chapter_id")
+
+
 def concordance(words: DataFrame) -> DataFrame:
     """The inverted index as posting lists, one for each word and chapter, so that no word's list outgrows a row."""
     refs = F.array_sort(F.collect_list(F.struct("section_idx", "verse_idx", "ref")))
@@ -82,7 +97,7 @@ def lookup(verses: DataFrame, word: str, stopwords: list[str]) -> DataFrame:
 
 def write_index(verses: DataFrame, stopwords: list[str], folder: str, files: int | None = None) -> None:
     """The concordance sorted by word, and the verses by chapter, each with a sparse index for ``stored_lookup``."""
-    write_sorted(concordance(word_rows(verses, stopwords)), ["word", "work_id", "chapter_id"], f"{folder}/words", files)
+    write_sorted(concordance(word_rows(by_chapter(verses), stopwords)), ["word", "work_id", "chapter_id"], f"{folder}/words", files)
     write_sorted(verses.withColumn("chapter", F.concat_ws(":", "work_id", "chapter_id")), ["chapter", *INDEX_ORDER[2:]], f"{folder}/verses", files)
 
 
@@ -132,13 +147,14 @@ def chapter_vectors(chapters: DataFrame, stopwords: list[str], vocabulary: int =
     """``work_id``, ``book_id``, ``chapter_id`` and ``l``: a chapter's terms as ``term``, its number ``k`` and ``w``, smoothed tf-idf of unit length.
 
     Terms are the ``vocabulary`` most frequent ones of the corpus (ties by term), a broadcast of that size; ``k`` counts them
-    from the most frequent. Texts are dealt once by chapter: counting, weighting and scaling then stay where they are.
+    from the most frequent. Texts are dealt once by chapter, in parts whose words a task holds: counting, weighting and scaling then
+    stay where they are and nothing is spilled.
     """
     text = F.array_join(F.flatten(F.transform("sections", lambda s: s["verses"])), " ")
     keys = ["work_id", "book_id", "chapter_id"]
     rows = chapters.select(*keys, text.alias("text")).where(F.trim("text") != "")
     n = rows.agg(F.count("*").alias("n"))
-    words = rows.repartition(*keys).select(*keys, F.explode(T.tfidf_tokens(F.col("text"))).alias("term")).where(~F.col("term").isin(stopwords))
+    words = rows.repartition(word_parts(rows), *keys).select(*keys, F.explode(T.tfidf_tokens(F.col("text"))).alias("term")).where(~F.col("term").isin(stopwords))
     tf = words.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(vocabulary)
     terms = terms.crossJoin(F.broadcast(n)).select("term", (F.row_number().over(Window.orderBy(F.desc("cf"), "term")) - 1).alias("k"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.plans.store import source_bytes
 
-#: Estimated bytes of a file.
-FILE_BYTES = 64 << 20
+#: Estimated bytes of the sources of a file; an index of words is several times as large, and a task sorts it in memory.
+FILE_BYTES = 16 << 20
 
 
 def write_sorted(df: DataFrame, order: list[str], folder: str, files: int | None = None) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import let
-from quire.operators.corpus import pieces, scan
+from quire.operators.corpus import pieces, scan, word_parts
 from quire.operators.ranges import carried, in_parts
 from quire.plans.store import small
 
@@ -73,7 +73,8 @@ def span_chapters(spans: DataFrame, titles: DataFrame, title_size: float, by_vol
     """
     known = small(titles.select(F.upper(F.trim("title")).alias("__q_title"), "work_id", "book_id"))
     rows = spans.withColumn("__q_title", F.when(F.col("s") >= title_size, F.upper(F.trim("t")))).join(known, "__q_title", "left").drop("__q_title")
-    rows = rows.withColumn("number", F.regexp_extract(F.trim("t"), head, 1).try_cast("int"))
+    # Dealt once by volume, in parts of some megabytes; all that follows groups by volume too.
+    rows = rows.withColumn("number", F.regexp_extract(F.trim("t"), head, 1).try_cast("int")).repartition(word_parts(spans), "doc")
     volume = Window.partitionBy("doc").orderBy("place")
     rows = rows.withColumn("nth", F.count("book_id").over(volume))
     book = Window.partitionBy("doc", "nth").orderBy("place")

@@ -3,9 +3,11 @@
 Block i of a source with weight w, of a total W, is released at slot floor(i * W / w) and due by slot ceil((i + 1) * W / w).
 On one line of slots, taking the released block with the earliest deadline meets every deadline, so after any number of
 slots each source has its share to within less than one block. Weights are whole numbers, so releases and deadlines are
-exact for as many slots as there are. The schedule is a table of at most about ``SLOTS`` blocks: a block has ``BLOCK`` rows,
-or, in a corpus of more than ``SLOTS`` such blocks, the rows that make ``SLOTS`` of them. A document's place follows from its
-number within its source.
+exact for as many slots as there are. A block has ``BLOCK`` rows in a corpus of any size.
+
+The line is worked off in stretches of ``STRETCH`` slots, one job each; a stretch hands its sources' states on to the next, so the
+order is that of one line and no task holds more than a stretch. A document's place follows from its number within its
+source.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import FEW, materialize
+from quire.llm.common import FEW, files_for, materialize
 
-#: Rows of a block at least, and blocks of a schedule, about.
-BLOCK, SLOTS = 8, 1 << 16
+#: Rows of a block, and slots of a stretch of the schedule.
+BLOCK, STRETCH = 8, 1 << 16
 #: Parts in which weights that are not whole numbers are counted.
 PARTS = 1 << 40
 #: Slots of a schedule that are gathered before they are added to it.
@@ -69,24 +71,29 @@ def admitted(sizes: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.select("__q_source", "n", "weight", F.least("n", share).alias("m"))
 
 
-def schedule(parts: DataFrame, size: int) -> DataFrame:
+def schedule(parts: DataFrame, size: int, stretch: int = STRETCH) -> DataFrame:
     """The slots of each part of ``parts`` (``part``, ``__q_source``, ``weight``, ``rows``) in blocks of ``size`` rows.
 
     Returns ``part``, ``slot``, ``__q_source``, ``i`` (the source's block) and ``before`` (rows in the part's slots before).
 
     Earliest deadline first among released blocks; equal deadlines go to the first source in order of name. A source
     without a block left leaves the schedule; a slot for which no block is released takes the one that is due first.
+    ``stretch`` changes no result.
     """
     each = parts.where("rows > 0").withColumn("blocks", _div(F.col("rows") + size - 1, F.lit(size)))
     each = each.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("__q_source", "weight", "blocks", "rows"))).alias("o"))
     each = each.withColumn("w", F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a + x["weight"])).withColumn("t", F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a + x["blocks"]))
 
-    def block(x: Column, k: Column) -> Column:
-        """What the next block of a source is judged by: its deadline, the source's number, and its release."""
-        due = _div((k + 1) * F.col("w") + x["weight"] - 1, x["weight"])
-        return F.struct(F.when(k < x["blocks"], due).otherwise(F.lit(1 << 62)).alias("due"), _div(k * F.col("w"), x["weight"]).alias("release"), k.alias("k"))
+    def block(x: Column, k: Column, release: Column, over: Column) -> Column:
+        """What a source's block ``k`` is judged by: its deadline and its release, k * W / w as a whole part and what is left ``over``."""
+        due = release + _div(over + F.col("w") + x["weight"] - 1, x["weight"])
+        return F.struct(F.when(k < x["blocks"], due).otherwise(F.lit(1 << 62)).alias("due"), release.alias("release"), over.alias("over"), k.alias("k"))
+
+    def following(x: Column, b: Column) -> Column:
+        release = lambda v: F.least(b["release"] + _div(v, x["weight"]), F.lit(1 << 61))  # noqa: E731  no slot is later
+        return let(b["over"] + F.col("w"), lambda v: block(x, b["k"] + 1, release(v), v % x["weight"]))
 
-    first = F.transform("o", lambda x: block(x, F.lit(0).cast("long")))
+    zero = F.lit(0).cast("long")
     none = F.array().cast("array<struct<i:int,k:bigint,before:bigint>>")
 
     def chosen(state: Column, t: Column) -> Column:
@@ -95,48 +102,54 @@ def schedule(parts: DataFrame, size: int) -> DataFrame:
 
     def step(acc: Column, t: Column) -> Column:
         def taken(c: Column) -> Column:
-            after = F.transform(acc["state"], lambda x, i: F.when(i == c["i"], block(F.get("o", i), x["k"] + 1)).otherwise(x))
+            after = F.transform(acc["state"], lambda x, i: F.when(i == c["i"], following(F.get("o", i), x)).otherwise(x))
             slot = F.struct(c["i"].alias("i"), c["k"].alias("k"), acc["before"].alias("before"))
             rows = F.least(F.lit(size).cast("long"), F.get("o", c["i"])["rows"] - c["k"] * size)
             return F.struct(after.alias("state"), (acc["before"] + rows).alias("before"), F.concat(acc["run"], F.array(slot)).alias("run"))
 
         return let(chosen(acc["state"], t), taken)
 
-    def stretch(acc: Column, start: Column) -> Column:
+    end = F.least(F.col("at") + stretch, F.col("t"))
+
+    def run(acc: Column, start: Column) -> Column:
         begin = F.struct(acc["state"].alias("state"), acc["before"].alias("before"), none.alias("run"))
-        slots = F.sequence(start, F.least(start + RUN, F.col("t")) - 1)
+        slots = F.sequence(start, F.least(start + RUN, end) - 1)
         return let(F.aggregate(slots, begin, step), lambda r: F.struct(r["state"].alias("state"), r["before"].alias("before"), F.concat(acc["runs"], F.array(r["run"])).alias("runs")))
 
-    begin = F.struct(first.alias("state"), F.lit(0).cast("long").alias("before"), F.array().cast("array<array<struct<i:int,k:bigint,before:bigint>>>").alias("runs"))
-    starts = F.sequence(F.lit(0).cast("long"), F.col("t") - 1, F.lit(RUN).cast("long"))
-    runs = each.select("part", "o", F.flatten(F.aggregate(starts, begin, stretch, lambda a: a["runs"])).alias("order"))
-    slots = runs.select("part", "o", F.posexplode("order").alias("slot", "e"))
-    return slots.select("part", F.col("slot").cast("long").alias("slot"), F.get("o", F.col("e.i"))["__q_source"].alias("__q_source"), F.col("e.k").alias("i"), F.col("e.before").alias("before"))
-
-
-def numbered(docs: DataFrame, order: list[Column], source: Column, ranges: int) -> DataFrame:
-    """``docs`` with ``__q_k``: the row's number within its source, from 0, in order of a hash.
-
-    The hash's ranges are numbered in parallel and offset by the sizes of the ranges before them, so no task holds a
-    source; a source of any size is spread evenly.
+    begin = F.struct("state", "before", F.array().cast("array<array<struct<i:int,k:bigint,before:bigint>>>").alias("runs"))
+    starts = F.sequence(F.col("at"), end - 1, F.lit(RUN).cast("long"))
+    each = each.withColumns({"at": zero, "state": F.transform("o", lambda x: block(x, zero, zero, zero)), "before": zero})
+    done = []
+    for at in range(0, each.agg(F.max("t")).first()[0] or 0, stretch):
+        worked = each.where(F.col("t") > at).select("part", "o", "w", "t", "at", F.aggregate(starts, begin, run).alias("r"))
+        done.append(materialize(worked.select("part", "o", "w", "t", "at", F.flatten("r.runs").alias("order"), "r.state", "r.before"), "stretch"))
+        each = done[-1].withColumn("at", F.col("at") + stretch)
+    paths = [d.written_to for d in done]
+    slots = (parts.sparkSession.read.schema(done[0].schema).parquet(*paths) if done else each.withColumn("order", none)).select("part", "o", "at", F.posexplode("order").alias("slot", "e"))
+    return slots.select("part", (F.col("at") + F.col("slot")).alias("slot"), F.get("o", F.col("e.i"))["__q_source"].alias("__q_source"), F.col("e.k").alias("i"), F.col("e.before").alias("before"))
+
+
+def numbered(rows: DataFrame, order: list[Column], ranges: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (with ``__q_source``) numbered by ``__q_range`` and ``__q_k``, and the table of ranges.
+
+    ``__q_k`` is the row's number within its range, from 0, in order of a hash; of each source and range the table has
+    ``__q_n``, its rows, and ``__q_first``, the source's rows in the ranges before. So no task holds a source, and a source of any
+    size is spread evenly.
     """
-    rows = docs.withColumn("__q_source", source).withColumn("__q_h", F.xxhash64(F.lit(SEED), *order))
+    rows = rows.withColumn("__q_h", F.xxhash64(F.lit(SEED), *order))
     rows = rows.withColumn("__q_range", F.floor((F.shiftright("__q_h", 32) + F.lit(1 << 31)) * ranges / F.lit(1 << 32)).cast("long"))
     sizes = rows.groupBy("__q_source", "__q_range").agg(F.count("*").alias("__q_n"))
     before = Window.partitionBy("__q_source").orderBy("__q_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("__q_source").alias("__q_s"), F.col("__q_range").alias("__q_r"), F.coalesce(F.sum("__q_n").over(before), F.lit(0)).alias("__q_before"))
     within = Window.partitionBy("__q_source", "__q_range").orderBy("__q_h", *order)
-    rows = rows.withColumn("__q_k", F.row_number().over(within) - 1)
-    rows = rows.join(offsets, (F.col("__q_source") == F.col("__q_s")) & (F.col("__q_range") == F.col("__q_r")))
-    return rows.withColumn("__q_k", F.col("__q_k") + F.col("__q_before")).drop("__q_h", "__q_range", "__q_s", "__q_r", "__q_before")
+    return rows.withColumn("__q_k", F.row_number().over(within) - 1).drop("__q_h"), sizes.withColumn("__q_first", F.coalesce(F.sum("__q_n").over(before), F.lit(0)))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, slots: int | None = None, stretch: int = STRETCH) -> DataFrame:
     """``docs`` with ``mix_position``, ``mix_block`` and ``in_mix``; columns of these names are replaced.
 
     ``weights`` has a source column first and ``weight`` (positive numbers; the sources' sizes if none is given). Rows of a
-    source, in order of a hash of their columns, fill blocks of ``block`` rows (more where that makes over ``slots`` blocks),
-    the last one perhaps in part; the schedule places the blocks. ``mix_position`` numbers the rows and ``mix_block`` the
+    source, in order of a hash of their columns, fill blocks of ``block`` rows (more where a caller asks for about ``slots``
+    blocks), the last one perhaps in part; the schedule places the blocks. ``mix_position`` numbers the rows and ``mix_block`` the
     blocks from 0, without gaps. ``in_mix`` marks all rows that the targets admit: the rows of the first source that its
     weight uses up, and of every other source its share of as many; with the default weights, all rows. After any number
     of blocks of the mix each source is within less than one block of its share. The other rows follow by the same
@@ -146,7 +159,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     base = docs.drop("mix_position", "mix_block", "in_mix")
     sizes = materialize(source_sizes(base, source_col), "sizes", FEW)
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    block = max(block, -(-total // slots))
+    block = max(block, -(-total // slots)) if slots else block
     if weights is None:
         weights = sizes.select("__q_source", F.col("n").cast("double").alias("weight"))
     else:
@@ -156,21 +169,27 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     parts = shares.select("__q_source", "weight", F.explode(parts).alias("e")).select("__q_source", "weight", "e.part", "e.rows")
     ends = F.broadcast(parts.where("part = 0").agg(F.sum("rows").alias("r"), F.sum(_div(F.col("rows") + block - 1, F.lit(block))).alias("b")))
     after = lambda c: F.when(F.col("part") == 1, F.coalesce(c, F.lit(0))).otherwise(0)  # noqa: E731  part 1 follows part 0
-    places = schedule(parts, block).crossJoin(ends)
-    places = places.select("__q_source", "part", "i", (F.col("slot") + after(F.col("b"))).cast("long").alias("mix_block"), (F.col("before") + after(F.col("r"))).cast("long").alias("__q_before"))
-    places = materialize(places, "places", FEW)
+    known = F.broadcast(shares.select("__q_source", F.col("m").alias("__q_m"), _div(F.col("m") + block - 1, F.lit(block)).alias("__q_blocks")))
+    places = schedule(parts, block, stretch).crossJoin(ends).join(known, "__q_source")
+    places = places.select("__q_source", (F.col("i") + after(F.col("__q_blocks"))).alias("__q_j"), (F.col("slot") + after(F.col("b"))).cast("long").alias("mix_block"), (F.col("before") + after(F.col("r"))).cast("long").alias("__q_before"))
+
+    def of_block(k: Column) -> Column:
+        """A source's block that holds its row ``k``: the blocks of part 1 follow those of part 0."""
+        return F.when(k < F.col("__q_m"), _div(k, F.lit(block))).otherwise(F.col("__q_blocks") + _div(k - F.col("__q_m"), F.lit(block)))
 
     order = [F.col(id_col).cast("string"), *[F.col(f"`{c}`").cast("string") for c, kind in base.dtypes if c != id_col and kind in ("string", "bigint", "int", "double", "boolean")]]
-    out = numbered(base, order, source_key(F.col(source_col)), max(1, total // RANGE))
-    known = shares.select(F.col("__q_source").alias("__q_s"), F.col("m").alias("__q_m"))
-    out = out.join(F.broadcast(known), F.col("__q_source") == F.col("__q_s"), "left").drop("__q_s")
-    out = out.withColumn("__q_part", F.when(F.col("__q_k") < F.col("__q_m"), 0).when(F.col("__q_m").isNotNull(), 1))
-    out = out.withColumn("__q_k", F.col("__q_k") - F.when(F.col("__q_part") == 1, F.col("__q_m")).otherwise(0))
-    # About ``slots`` rows and one for each source: the table is broadcast whatever the size of the corpus.
-    table = F.broadcast(places.toDF("__q_s", "__q_e", "__q_i", "mix_block", "__q_before"))
-    out = out.join(table, (F.col("__q_source") == F.col("__q_s")) & (F.col("__q_part") == F.col("__q_e")) & (_div(F.col("__q_k"), F.lit(block)) == F.col("__q_i")), "left")
-    out = out.withColumn("mix_position", (F.col("__q_before") + F.col("__q_k") % block).cast("long"))
-    out = out.withColumn("in_mix", F.coalesce(F.col("__q_part") == 0, F.lit(False)))
+    rows, ranges = numbered(base.withColumn("__q_source", source_key(F.col(source_col))), order, max(1, total // RANGE))
+    # Each range gets the places of its few blocks, so places travel to the rows' ranges and the rows stay where they were numbered.
+    ranges = ranges.join(known, "__q_source", "left").withColumn("__q_low", of_block(F.col("__q_first")))
+    wanted = ranges.where("__q_m IS NOT NULL").select("__q_source", "__q_range", F.explode(F.sequence("__q_low", of_block(F.col("__q_first") + F.col("__q_n") - 1))).alias("__q_j"))
+    found = wanted.join(places.hint("merge"), ["__q_source", "__q_j"]).groupBy("__q_source", "__q_range").agg(F.array_sort(F.collect_list(F.struct("__q_j", "mix_block", "__q_before"))).alias("__q_places"))
+    ranges = ranges.join(found.hint("merge"), ["__q_source", "__q_range"], "left").drop("__q_n")
+    ranges = materialize(ranges, "ranges", files_for(total // RANGE, 1_000, FEW))
+
+    out = rows.join(ranges.hint("merge"), ["__q_source", "__q_range"]).withColumn("__q_k", F.col("__q_k") + F.col("__q_first"))
+    place = F.get("__q_places", (of_block(F.col("__q_k")) - F.col("__q_low")).cast("int"))
+    within = F.when(F.col("__q_k") < F.col("__q_m"), F.col("__q_k")).otherwise(F.col("__q_k") - F.col("__q_m")) % block
+    out = out.withColumns({"mix_position": (place["__q_before"] + within).cast("long"), "mix_block": place["mix_block"], "in_mix": F.coalesce(F.col("__q_k") < F.col("__q_m"), F.lit(False))})
     return out.select(*base.columns, "mix_position", "mix_block", "in_mix")
 
 

@@ -101,6 +101,31 @@ def test_larger_blocks(spark):
     assert set(Counter(r.mix_block for r in got).values()) == {30}
 
 
+@pytest.mark.parametrize("weights", [WEIGHTS[4], {**{f"b{i}": 300 for i in range(3)}, **{f"r{i:02d}": 5 for i in range(20)}}])
+@pytest.mark.parametrize("uneven", [False, True])
+def test_stretches(spark, weights, uneven):
+    """A schedule in stretches of 111 slots is that of one line, also where sources end long before the others."""
+    total = sum(weights.values())
+    blocks = {s: max(1, 400 * w // total) * (1 + 2 * uneven * (k % 3)) for k, (s, w) in enumerate(weights.items())}
+    table = spark.createDataFrame([(0, s, w, 5 * blocks[s] - 1) for s, w in weights.items()], "part int, __q_source string, weight long, rows long")
+    rows = sorted(mixing.schedule(table, 5, 111).collect(), key=lambda r: r["slot"])
+    assert [(r["__q_source"], r["i"]) for r in rows] == earliest_deadline(weights, blocks)
+    assert [r["slot"] for r in rows] == list(range(len(rows)))
+    full = [5 - (r["i"] == blocks[r["__q_source"]] - 1) for r in rows]
+    assert [r["before"] for r in rows] == [sum(full[:k]) for k in range(len(full))]
+
+
+def test_blocks_do_not_grow(spark):
+    """A corpus of over 65,536 blocks has blocks of eight rows as any other."""
+    rows = spark.range(600_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
+    got = mixing.mix(rows)
+    assert [tuple(r) for r in got.groupBy("mix_block").count().groupBy("count").count().collect()] == [(8, 75_000)]
+    first = got.where("mix_block < 9").select("mix_block", "source").distinct().orderBy("mix_block").collect()
+    assert [r.source for r in first] == ["s0", "s1", "s2"] * 3
+    assert got.agg(F.min("mix_position"), F.max("mix_position"), F.count_distinct("mix_position")).first()[:] == (0, 599_999, 600_000)
+    assert got.where("mix_position div 8 <> mix_block").count() == 0
+
+
 def test_default_weights_on_documents(spark):
     sf = "/root/testdata/sf0.001"
     got = sorted(mixing.mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")).collect(), key=lambda r: r.mix_position)

@@ -217,3 +217,18 @@ def test_quality_of_clashing_columns_ties_and_many_languages(spark):
     assert len(same) == 1 and {r.doc_id: r.js_words for r in got}[None] is None
     long = next(r for r in got if r.doc_id == 901)
     assert (long.n_words, long.n_repeat_words, long.base_failed, long.kept) == (200_000, 200_000, True, False)
+
+
+def test_references_count_every_labelled_row(spark):
+    """Over 300 rows of a language, a text of over 20,000 characters, and rows without an id: all of them count, whole."""
+    texts = [f"one w{i % 7} {'12' * (i % 3)}" for i in range(700)] + ["late " * 5000 + "end"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(None, "one #%", "en"), (3, "again", "en"), (4, None, "en"), (5, "none", None), (6, "", "leer")]
+    refs = {r["__q_lang"]: r for r in quality.references(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)).collect()}
+    text = [t for _, t, lang in rows if lang == "en" and t]
+    words = Counter(w for t in text for w in WORD.findall(t))
+    best = sorted(words.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]
+    assert list(refs) == ["en"] and refs["en"]["__q_ref_words"] == [w for w, _ in best]
+    assert all(abs(x - n / sum(words.values())) < 1e-12 for x, (_, n) in zip(refs["en"]["__q_ref_shares"], best, strict=True))
+    whole = "".join(text)
+    kinds = [sum(c.isalpha() for c in whole), whole.count(" "), sum(c.isdigit() for c in whole), sum(c in "#*$%&|<>" for c in whole), 0]
+    assert all(abs(x - n / len(whole)) < 1e-12 for x, n in zip(refs["en"]["__q_ref_classes"], kinds, strict=True))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.model import CHAPTER, MANIFEST
+from quire.plans.store import source_bytes
+
+#: Bytes of chapter files that a task reads, about, and tasks that read the files of a small corpus.
+TASK_BYTES, FEW_TASKS = 8 << 20, 64
 
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,9 +22,11 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_chapters(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each chapter file; work and chapter are the folder's and the file's names, the book is what precedes the last hyphen."""
-    rows = spark.read.schema(CHAPTER).option("multiLine", True).json(f"{folder}/*/chapters/*.json")
+    # Works' folders are listed whole: of a pattern for files Spark would look up each match by itself, and list it again.
+    rows = spark.read.schema(CHAPTER).option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{folder}/*/chapters")
     path = r"([^/]+)/chapters/([^/]+)\.json$"
-    rows = rows.select("*", F.input_file_name().alias("f"))
+    # Spark deals some thirty files to a task, however small they are.
+    rows = rows.select("*", F.input_file_name().alias("f")).coalesce(max(FEW_TASKS, source_bytes(rows) // TASK_BYTES))
     rows = rows.select(F.regexp_extract("f", path, 1).alias("work_id"), F.regexp_extract("f", path, 2).alias("chapter_id"), "name", "intro", "sections")
     return rows.select("work_id", F.regexp_extract("chapter_id", "^(.*)-[^-]*$", 1).alias("book_id"), "chapter_id", F.regexp_extract("chapter_id", r"(\d+)$", 1).try_cast("long").alias("chapter_num"), "name", "intro", "sections")
 

@@ -332,3 +332,16 @@ def test_speakers(spark):
     lines = ["Othin spake:", "", "  Hail ", "he spake so", "A spake:", "Bragi spake:", "x", "Last spake:"]
     row = spark.createDataFrame([(lines,), (None,), ([],)], "l array<string>").select(T.with_speakers(F.col("l")).alias("o")).collect()
     assert [r.o for r in row] == [["Othin: Hail", "he spake so", "Bragi: x"], None, []]
+
+
+def test_many_small_chapters_are_few_tasks(spark, tmp_path):
+    from quire.sources import corpus
+
+    for work in ("v", "w"):
+        (tmp_path / work / "chapters").mkdir(parents=True)
+        for i in range(1200):
+            (tmp_path / work / "chapters" / f"b-{i}.json").write_text(f'{{"name": "{work}{i}", "sections": []}}')
+    (tmp_path / "w" / "chapters" / "b-1.txt").write_text("no chapter")
+    rows = corpus.read_chapters(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= corpus.FEW_TASKS
+    assert {(r.work_id, r.chapter_id, r.name) for r in rows.collect()} == {(w, f"b-{i}", f"{w}{i}") for w in "vw" for i in range(1200)}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import DIGESTS, digests, encode_documents
-from quire.llm.common import compact, materialize
+from quire.llm.common import compact, materialize, with_place
 from quire.llm.langid import UNKNOWN, identify, learn
 from quire.llm.minhash import representatives
 from quire.llm.mixing import mix
@@ -52,8 +52,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document: how many, the digest of their ids, and of the text that they decode to."""
-    return encode_documents(docs, digests, DIGESTS)
+    """Tokens of each document: how many, the digest of their ids, and of the text that they decode to, in the mix's order.
+
+    That is the order in which the rows of ``docs`` were written. It is restored once the tokens are written, so that texts are
+    neither dealt again nor encoded twice.
+    """
+    tokens = materialize(encode_documents(with_place(docs, "__q_place"), digests, DIGESTS, keep=("__q_place",)), "tokens")
+    return tokens.orderBy("__q_place").drop("__q_place")
 
 
 STAGES = [

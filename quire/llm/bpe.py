@@ -179,47 +179,55 @@ def cuts(bpe: TreeBPE, text: str, most: int = PART) -> list[tuple[int, bytes]]:
     return out
 
 
-def encode_documents(docs: DataFrame, columns: Callable[[str, bytes], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, part: int = PART) -> DataFrame:
+def encode_documents(docs: DataFrame, columns: Callable[[str, bytes], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, part: int = PART, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: ``id_col`` and what ``columns(ids joined by commas, decoded bytes)`` makes of its text.
 
     ``schema`` lists the columns that ``columns`` returns. Null and empty texts have no ids. Repeated rows give repeated
-    results; null ids are kept; other columns are ignored. Special tokens in a text are recognised, none is added.
+    results; null ids are kept; of the other columns those of ``keep`` follow, which must be of types that can be grouped by.
+    Special tokens in a text are recognised, none is added.
     """
     path = path or default_path()
-    rows = docs.select(F.col(id_col).cast("long").alias("__q_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__q_text"))
-    full = f"__q_id long, {schema}"
-
-    def table(ids: list, found: list[tuple]) -> pa.RecordBatch:
+    kept = [f"__q_keep{k}" for k in range(len(keep))]
+    rows = docs.select(F.col(id_col).cast("long").alias("__q_id"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("__q_text"))
+    head = ["__q_id", *kept]
+    kinds = dict(rows.dtypes)
+    key = ", ".join(f"{c} {kinds[c]}" for c in head)
+    full = f"{key}, {schema}"
+    names = [*head, *[c.split()[0] for c in schema.split(",")]]
+
+    def again(of: pa.RecordBatch, times: int, columns: list[str]) -> list[pa.Array]:
+        """``columns`` of the first row of ``of``, ``times`` over."""
+        return of.select(columns).take(pa.array([0] * times, pa.int64())).columns
+
+    def table(heads: list[pa.Array], found: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c) for c in cols]], names=names)
-
-    names = ["__q_id", *[c.split()[0] for c in schema.split(",")]]
+        return pa.RecordBatch.from_arrays([*heads, *[pa.array(c) for c in cols]], names=names)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = opened(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                yield table(some.column(0).to_pylist(), [columns(*bpe.csv(t)) for t in some.column(1).to_pylist()])
+                yield table(some.columns[:-1], [columns(*bpe.csv(t)) for t in some.column("__q_text").to_pylist()])
 
-    cut_names = ["__q_id", "__q_key", "__q_no", "__q_run", "__q_alone", "__q_part"]
+    leaf_names = [*head, "__q_key", "__q_no", "__q_run"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = opened(path)
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = hashlib.sha256(t.encode()).digest()
+            for at, t in enumerate(batch.column("__q_text").to_pylist()):
+                digest = hashlib.sha256(t.encode()).digest()
                 found = cuts(bpe, t, part)
                 many = Counter(r for r, _ in found)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([key] * len(found), pa.binary()), pa.array(range(len(found)), pa.int64()), pa.array([r for r, _ in found], pa.int64()), pa.array([many[r] == 1 for r, _ in found]), pa.array([p for _, p in found], pa.binary())], names=cut_names)
+                yield pa.RecordBatch.from_arrays([*again(batch.slice(at, 1), len(found), head), pa.array([digest] * len(found), pa.binary()), pa.array(range(len(found)), pa.int64()), pa.array([r for r, _ in found], pa.int64()), pa.array([many[r] == 1 for r, _ in found]), pa.array([p for _, p in found], pa.binary())], names=[*leaf_names, "__q_alone", "__q_part"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a part that is a run by itself its text is encoded, of a part of a longer piece its bytes."""
         bpe = opened(path)
         for batch in batches:
-            for row in batch.to_pylist():
+            for at, row in enumerate(batch.select(["__q_alone", "__q_part"]).to_pylist()):
                 ids = bpe.encode(row["__q_part"].decode()) if row["__q_alone"] else bpe.piece(row["__q_part"])
-                yield pa.RecordBatch.from_arrays([pa.array([row["__q_id"]], pa.int64()), pa.array([row["__q_key"]], pa.binary()), pa.array([row["__q_no"]], pa.int64()), pa.array([row["__q_run"]], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=[*cut_names[:4], "__q_ids"])
+                yield pa.RecordBatch.from_arrays([*again(batch.slice(at, 1), 1, leaf_names), pa.array([ids], pa.list_(pa.int32()))], names=[*leaf_names, "__q_ids"])
 
     def joined(t: pa.Table) -> pa.Table:
         bpe = opened(path)
@@ -234,14 +242,16 @@ def encode_documents(docs: DataFrame, columns: Callable[[str, bytes], tuple], sc
                 sides = [bpe.join(sides[k], sides[k + 1], bpe.core._encode_single_piece) if k + 1 < len(sides) else sides[k] for k in range(0, len(sides), 2)]
             whole += sides[0]
         got = columns(",".join(map(str, whole)), bpe.decode(whole))
-        return pa.Table.from_batches([table([t.column("__q_id")[0].as_py()] * copies, [got] * copies)])
+        return pa.Table.from_batches([table(again(t.slice(0, 1).combine_chunks().to_batches()[0], copies, head), [got] * copies)])
 
     long = F.length("__q_text") > part
-    parts = rows.where(long).mapInArrow(cut, "__q_id long, __q_key binary, __q_no long, __q_run long, __q_alone boolean, __q_part binary")
+    parts = rows.where(long).mapInArrow(cut, f"{key}, __q_key binary, __q_no long, __q_run long, __q_alone boolean, __q_part binary")
     dealt = parts.repartition("__q_id", "__q_key", "__q_no")
-    encoded = dealt.mapInArrow(leaves, "__q_id long, __q_key binary, __q_no long, __q_run long, __q_ids array<int>")
-    whole = encoded.groupBy("__q_id", "__q_key").applyInArrow(joined, full)
-    return rows.where(~long).mapInArrow(short, full).unionByName(whole).withColumnRenamed("__q_id", id_col)
+    encoded = dealt.mapInArrow(leaves, f"{key}, __q_key binary, __q_no long, __q_run long, __q_ids array<int>")
+    whole = encoded.groupBy(*head, "__q_key").applyInArrow(joined, full)
+    out = rows.where(~long).mapInArrow(short, full).unionByName(whole)
+    made = [c for c in names if c not in head]
+    return out.select(F.col("__q_id").alias(id_col), *made, *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)])
 
 
 def digests(ids: str, decoded: bytes) -> tuple[int, str, str]:

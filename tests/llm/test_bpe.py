@@ -64,6 +64,15 @@ def test_long_text_without_white_space(spark, library):
     assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(long)}
 
 
+def test_kept_columns(spark):
+    """Columns that are kept stay with their rows, in texts of one part and of several, and where rows are equal but for them."""
+    rows = [(i % 9, f"word{i % 9} " * (3 if i % 2 else 300), "k" + str(i % 5) if i % 5 else None, (i, i % 3)) for i in range(60)] + [(1, None, "k", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string, place struct<a:int,b:int>")
+    out = bpe.encode_documents(df, lambda ids, decoded: (decoded.decode(),), "again string", part=100, keep=("name", "place"))
+    assert out.columns == ["doc_id", "again", "name", "place"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((i, t or "", n, p) for i, t, n, p in rows), key=str)
+
+
 def test_query(spark, library):
     sf = "/root/testdata/sf0.001"
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()

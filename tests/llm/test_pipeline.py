@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from quire.llm.common import with_place
+from quire.llm.mixing import mix, root_weights
 from tests.llm.brute import bytes_removed
 from tests.llm.test_near import bag, overlap, union
 
@@ -46,6 +48,50 @@ def test_run(spark):
     assert P.ORACLE_SQL is None
 
 
+def in_files(spark, df, files):
+    """``df``, by ``files`` tasks in its own order: Spark reads the larger files first."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", files)
+    try:
+        return P.materialize(df, "files")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tokens_follow_the_mix(spark):
+    """The order of the mix is that of the result, for long texts too; another mix of the same documents gives another order."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 40 == 3, F.repeat(F.concat("text", F.lit(" ")), 70_000)).otherwise(F.col("text")).substr(1, 70_000))
+    docs = P.materialize(docs, "docs")
+    assert docs.where("length(text) = 70000").count() > 3
+    orders = [[r.doc_id for r in mix(docs, w).orderBy("mix_position").collect()] for w in (None, root_weights(docs))]
+    mixed = in_files(spark, P.mixing_stage(spark, docs, sf), 7)
+    other = in_files(spark, mix(docs, root_weights(docs)).orderBy("mix_position").select(*docs.columns), 7)
+    found = []
+    for order, table in zip(orders, (mixed, other), strict=True):
+        assert table.select(F.countDistinct("_metadata.file_name")).first()[0] == 7
+        tokens = P.tokens_stage(spark, table, sf)
+        found.append([tuple(r) for r in tokens.collect()])
+        assert tokens.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and [r[0] for r in found[-1]] == order
+        written = with_place(in_files(spark, tokens, 5), "place").orderBy("place").drop("place")
+        assert [tuple(r) for r in written.collect()] == found[-1]
+    assert orders[0] != orders[1] and sorted(found[0]) == sorted(found[1])
+
+
+def test_run_is_in_the_mix_order(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(P, "materialize", lambda df, name, f=P.materialize: made.setdefault(name, in_files(spark, df, 6) if name == "mix_sources" else f(df, name)))
+    got = [r.doc_id for r in P.run(spark, "/root/testdata/sf0.001").collect()]
+    assert got == [r.doc_id for r in mix(made["suffix_array_dedup"]).orderBy("mix_position").collect()] and len(got) > 50
+
+
+def test_place_without_files(spark):
+    rows = spark.range(40, numPartitions=4).select((39 - F.col("id")).alias("id"))
+    assert [r.id for r in with_place(rows, "place").orderBy("place").collect()] == list(range(39, -1, -1))
+
+
 @pytest.mark.parametrize("name", ["queries", "oracle_sql"])
 def test_entry_without_this_subpackage(name, monkeypatch):
     import __spark_entry__ as entry

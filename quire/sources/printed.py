@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def classified(spans: DataFrame, titles: DataFrame, style: Print = Print()) -> D
     hold all, for books that share one; null or empty for none), ``work_id``, ``book_id`` and ``single`` (a book without chapter heads).
     """
     t, s = T.strip(F.col("t")), F.round("s", 1)
-    rows = spans.withColumns({"t": t, "s": s}).where("t <> ''")
+    rows = spans.where(F.col("t").rlike(r"\S")).withColumns({"t": t, "s": s})
     rows = rows.where(~((F.col("y") < style.header_y) & (F.col("s") <= style.header_size)) & (F.col("s") > style.note_size))
     large = F.col("s").between(*style.title) & (F.col("s") < style.title[1])
     book = F.struct("work_id", "book_id", F.coalesce("single", F.lit(False)).alias("single"))
@@ -147,32 +148,57 @@ def stepped(states: np.ndarray, k: int, soft: bool, n: int | None, style: Print)
     return np.where(body | begins, after, states)
 
 
+def step(state: int, k: int, soft: bool, n: int | None, style: Print) -> int:
+    """``stepped`` for one state."""
+    if k == OTHER:
+        return state
+    if k in (HEAD, DECLARATION, TITLE):
+        return {HEAD: SUMMARY, DECLARATION: PROSE, TITLE: OUTSIDE}[k]
+    if state == SUMMARY and not soft:
+        if k == INITIAL:
+            return BODY + 2
+        state = BODY
+    if state < BODY:
+        return state
+    verse, mode = (state - BODY) // 3 + 1, (state - BODY) % 3
+    if k == INITIAL:
+        return state if mode else state + 2
+    if n is not None and mode < 2 and verse <= n <= min(verse + style.jump, style.most):
+        return BODY + 3 * (n - 1)
+    return state - 1 if mode == 2 else state
+
+
 def function_of(kinds: list[int], softs: list[bool], numbers: list[int | None], style: Print) -> tuple[int, list[int]]:
     """How many chapters begin in a stretch, and the state at its end for each at its begin (one state, if it is always the same)."""
     starts = [i for i, k in enumerate(kinds) if k in (HEAD, DECLARATION, TITLE)]
-    states = np.zeros(1, np.int64) if starts else np.arange(_code(style.most, 2) + 1)
-    for i in range(starts[-1] if starts else 0, len(kinds)):
-        states = stepped(states, kinds[i], softs[i], numbers[i], style)
-    return sum(kinds[i] != TITLE for i in starts), states.tolist()
-
-
-def read_stretch(state: int, chapter: int, elements: list[dict], style: Print) -> Iterator[tuple]:
-    """Pieces of a stretch that begins in ``state``, in chapter number ``chapter`` of the volume: chapter, verse, whether the verse begins, kind of piece, text."""
-    for i, e in enumerate(elements):
-        k, t = e["k"], e["t"]
-        after = int(stepped(np.array([state]), k, e["soft"], e["n"], style)[0])
+    if starts:
+        state = OUTSIDE
+        for i in range(starts[-1], len(kinds)):
+            state = step(state, kinds[i], softs[i], numbers[i], style)
+        return sum(kinds[i] != TITLE for i in starts), [state]
+    states = np.arange(_code(style.most, 2) + 1)
+    for k, soft, n in zip(kinds, softs, numbers, strict=True):
+        states = stepped(states, k, soft, n, style)
+    return 0, states.tolist()
+
+
+def read_stretch(state: int, chapter: int, kinds: list[int], softs: list[bool], numbers: list[int | None], style: Print) -> Iterator[tuple]:
+    """Pieces of a stretch that begins in ``state``, in chapter number ``chapter`` of the volume: chapter, verse, whether the verse begins (and its text
+    is the span's ``rest``), kind of piece, place of the span."""
+    for i, (k, soft, n) in enumerate(zip(kinds, softs, numbers, strict=True)):
+        after = step(state, k, soft, n, style)
         if k in (HEAD, DECLARATION):
             chapter += 1
         elif state == PROSE and k != TITLE:
-            yield chapter, 1, False, "t", t, i
+            yield chapter, 1, False, "t", i
         elif after >= BODY and k in (TEXT, INITIAL):
             verse, mode = (after - BODY) // 3 + 1, (after - BODY) % 3
             if k == INITIAL:
-                yield chapter, verse, False, "v" if state == after else "i", t, i
-            elif mode == 0 and e["n"] == verse and (state < BODY or (state - BODY) % 3 < 2):
-                yield chapter, verse, True, "t", e["rest"], i
+                yield chapter, verse, False, "v" if state == after else "i", i
+            elif mode == 0 and n == verse and (state < BODY or (state - BODY) % 3 < 2):
+                yield chapter, verse, True, "t", i
             else:
-                yield chapter, verse, False, "t", t, i
+                yield chapter, verse, False, "t", i
         state = after
 
 
@@ -230,7 +256,7 @@ def chapters(spans: DataFrame, titles: DataFrame, pages: DataFrame | None = None
     is prose: one verse. A title of a book with a single chapter begins it. Verses without text are left out; a chapter without verses
     stays, with none. ``pages`` (from ``page_books``) names the books where titles do not.
     """
-    rows = materialize(placed(classified(spans, titles, style), style), "spans")
+    rows = placed(materialize(classified(spans, titles, style), "spans"), style)
     heads = chapter_heads(rows, pages, style)
     # A book of one chapter begins it by its title.
     heads = heads.withColumns({"num": F.when((F.col("k") == TITLE) & F.col("own.single"), 1).otherwise(F.col("num")), "k": F.when((F.col("k") == TITLE) & F.col("own.single"), HEAD).otherwise(F.col("k"))})
@@ -252,20 +278,28 @@ def chapters(spans: DataFrame, titles: DataFrame, pages: DataFrame | None = None
     begun = entry_states(known, style.width)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int32()]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int32()]
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = list(read_stretch(batch.column(3)[i].as_py(), batch.column(4)[i].as_py(), batch.column(2)[i].as_py(), style))
-                if found:
-                    ends = [pa.array([batch.column(c)[i].as_py()] * len(found), batch.column(c).type) for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*ends, *[pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]], names=["doc", "stretch", "chapter", "verse", "begins", "kind", "t", "i"])
+            ends = batch.column(2).offsets.to_pylist()
+            spans = batch.column(2).flatten()
+            k, soft, n, rest, t = (spans.field(c) for c in ("k", "soft", "n", "rest", "t"))
+            kinds, softs, numbers = k.to_pylist(), soft.to_pylist(), n.to_pylist()
+            found = []
+            for row, (state, chapter) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                low = ends[row] - ends[0]
+                part = slice(low, ends[row + 1] - ends[0])
+                found += [(row, low + x[4], *x) for x in read_stretch(state, chapter, kinds[part], softs[part], numbers[part], style)]
+            if found:
+                row, at, chapter, verse, begins, kind, i = (pa.array(c, x) for c, x in zip(zip(*found, strict=True), types, strict=True))
+                text = pc.if_else(begins, rest.take(at), t.take(at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), chapter, verse, begins, kind, text, i], names=["doc", "stretch", "chapter", "verse", "begins", "kind", "t", "i"])
 
     entered = stretches.join(begun, ["doc", "stretch"]).select("doc", "stretch", "l", "state", "chapter")
     pieces = entered.mapInArrow(read, f"doc {doc}, stretch long, chapter long, verse int, begins boolean, kind string, t string, i int")
     parts = pieces.groupBy("doc", "chapter", "verse").agg(F.array_sort(F.collect_list(F.struct("stretch", "i", "begins", "kind", "t"))).alias("l"))
     texts = parts.select("doc", "chapter", "verse", F.posexplode(T.let(with_initials(F.col("l")), lambda l: C.pieces(l, F.transform(l, lambda e: e["begins"]), lambda part: F.array_join(F.transform(part, lambda e: e["t"]), " ")))).alias("nth", "t"))
-    texts = texts.withColumn("t", T.printed(F.col("t"))).where("t <> ''")
-    lists = texts.groupBy("doc", "chapter").agg(F.array_sort(F.collect_list(F.struct("verse", "nth", "t"))).alias("l")).select(F.col("doc").alias("__q_doc"), F.col("chapter").alias("__q_chapter"), F.transform("l", lambda e: e["t"]).alias("verses"))
+    texts = texts.withColumn("t", T.printed(F.col("t")))
+    lists = texts.groupBy("doc", "chapter").agg(F.array_sort(F.collect_list(F.struct("verse", "nth", "t"))).alias("l")).select(F.col("doc").alias("__q_doc"), F.col("chapter").alias("__q_chapter"), F.filter(F.transform("l", lambda e: e["t"]), lambda t: t != "").alias("verses"))
     begins = heads.where(F.col("k") != TITLE).withColumn(PART, F.floor(F.col("p") / (16 * style.stretch)))
     numbered = carried(begins, ["doc"], ["place"], total={"chapter": F.lit(1).cast("long")})
     out = numbered.join(lists, F.col("doc").eqNullSafe(F.col("__q_doc")) & (F.col("chapter") == F.col("__q_chapter")), "left")
